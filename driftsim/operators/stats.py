@@ -128,9 +128,11 @@ def default_neighbors(new_items: DataFrame, popular: DataFrame, k: int) -> DataF
             F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), "item_id"))), lambda x: x.item_id
         )
     )
-    others = F.slice(F.filter(ids.scalar(), lambda i: i != F.col("item_id")), 1, k)
-    return new_items.select("item_id", F.posexplode(others).alias("rank", "neighbor_id")).select(
-        "item_id", "neighbor_id", F.lit(0.0).alias("sim"), (F.col("rank") + 1).alias("rank")
+    others = F.slice(F.filter("top", lambda i: i != F.col("item_id")), 1, k)
+    return (
+        new_items.select("item_id", ids.scalar().alias("top"))
+        .select("item_id", F.posexplode(others).alias("rank", "neighbor_id"))
+        .select("item_id", "neighbor_id", F.lit(0.0).alias("sim"), (F.col("rank") + 1).alias("rank"))
     )
 
 

@@ -7,7 +7,7 @@ reads what it touches. ``compact`` starts a new base.
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructType
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from driftsim.operators.pairs import ranked_list, unranked
 from driftsim.plans.bootstrap import Relations
@@ -122,7 +122,7 @@ class StateStore:
         schema, key = STATE[name]
         version, base = self.last()
         rows = (
-            self.spark.read.schema(StructType(schema.fields).add("v", LongType()))
+            self.spark.read.schema(StructType([*schema.fields, StructField("v", LongType())]))
             .parquet(f"{self.folder}/{name}")
             .filter(F.col("v").between(base if key else version, version))
         )
