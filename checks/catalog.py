@@ -87,14 +87,10 @@ def weighted(spark, folder):
     return stats.weighted_ratings(profile(spark, folder), sql.ALPHA)
 
 
-def frozen(base: Relations) -> Relations:
-    return Relations(*(durable(df) for df in (base.user_ratings, base.item_info, base.pair_info, base.neighbors, base.popular)))
-
-
 @cache
 def _relations(spark, folder, part) -> Relations:
     rows = ratings(spark, folder) if part == "all" else split(spark, folder)[0]
-    return frozen(bootstrap.relations(prepare.user_ratings(rows), SETTINGS))
+    return bootstrap.relations(rows, SETTINGS)
 
 
 def whole(spark, folder) -> Relations:
@@ -196,7 +192,8 @@ def _(spark, folder):
 def stored_state(spark, folder) -> StateStore:
     store = StateStore(spark, scratch_path(spark, "state"))
     store.bootstrap(
-        whole(spark, folder), lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r)
+        lambda keep: bootstrap.relations(ratings(spark, folder), SETTINGS, keep),
+        lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r),
     )
     return store
 
@@ -890,7 +887,10 @@ def run_stream(spark, folder, size):
     """Bootstrap on the head, then stream the tail through the serving loop."""
     train, test = split(spark, folder)
     store = StateStore(spark, scratch_path(spark, "state"))
-    store.bootstrap(before(spark, folder), lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r + size))
+    store.bootstrap(
+        lambda keep: bootstrap.relations(train, SETTINGS, keep),
+        lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r + size),
+    )
     staged = replay.stage_replay(test.select(*RATINGS.names), size, [F.col(c) for c in [*ORDER, "rating"]])
     loop.run_loop(store, staged, SETTINGS, [5, SETTINGS.r])
     return store

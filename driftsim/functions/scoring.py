@@ -19,12 +19,21 @@ def pair_similarity(p, q_i, q_j) -> Column:
 
 
 def clamp(sim) -> Column:
-    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.round(_col(sim), 12)))
+    return F.greatest(F.lit(-1.0), F.least(F.lit(1.0), units(sim, 12) / F.lit(1e12)))
+
+
+def units(value, digits: int) -> Column:
+    """``value`` in whole units of the given decimal digit.
+
+    Plain double arithmetic: ``round`` goes through big decimals, which costs more than
+    the rest of a pair row.
+    """
+    return F.floor(_col(value) * F.lit(10.0**digits) + F.lit(0.5))
 
 
 def rank_key(score) -> Column:
     """The value a descending rank sorts by, ascending."""
-    return -F.round(_col(score), RANK_DIGITS)
+    return -units(score, RANK_DIGITS)
 
 
 def majority_sign(positive, negative) -> Column:

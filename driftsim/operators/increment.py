@@ -11,6 +11,7 @@ from driftsim.functions.scoring import decay, pair_similarity
 from driftsim.operators.ordering import positions
 from driftsim.operators.keys import lookup
 from driftsim.operators.pairs import canonical_pair, mirror_pairs, topk_neighbors, with_zero_fill
+from driftsim.session import durable
 
 
 def fresh_keys(fresh: DataFrame, key: str) -> DataFrame:
@@ -242,8 +243,10 @@ def refresh_neighbors(
         .select("item_i", "item_j", pair_similarity("p", "q_i", "q_j").alias("sim"))
     )
     scored = mirror_pairs(scored)
-    explicit = update_candidates(listed, neighbors, scored).select(
-        "item_id", "neighbor_id", F.coalesce("new_sim", "old_sim").alias("sim")
+    explicit = durable(
+        update_candidates(listed, neighbors, scored).select(
+            "item_id", "neighbor_id", F.coalesce("new_sim", "old_sim").alias("sim")
+        )
     )
     return topk_neighbors(with_zero_fill(explicit, listed, touched, k), k)
 

@@ -6,6 +6,8 @@ the rows are range-partitioned instead: each task numbers its own slice and the
 slices are chained by their row counts.
 """
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftsim.session import durable
@@ -20,6 +22,21 @@ def largest_group(df: DataFrame, keys) -> int:
     return sizes.agg(F.max("count")).first()[0] or 0
 
 
+@dataclass(frozen=True)
+class GroupSizes:
+    """How large the groups of a table are: the largest, and the sum of squares."""
+
+    largest: int
+    squares: float
+
+
+def group_sizes(df: DataFrame, keys) -> GroupSizes:
+    sizes = df.groupBy(*keys).count()
+    square = F.col("count").cast("double") * F.col("count")
+    row = sizes.agg(F.max("count"), F.sum(square)).first()
+    return GroupSizes(row[0] or 0, row[1] or 0.0)
+
+
 def positions(
     df: DataFrame,
     order: list[Column],

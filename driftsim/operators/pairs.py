@@ -2,11 +2,13 @@
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftsim.functions.scoring import RANK_DIGITS, clamp, pair_similarity, rank_key
-from driftsim.operators.ordering import largest_group, positions, top_per_key
+from driftsim.functions.scoring import clamp, pair_similarity, rank_key
+from driftsim.operators.ordering import GROUP_ROWS, GroupSizes, group_sizes, positions, top_per_key
 
 # Rows of one group that one side of a pair join may hold.
 CELL_ROWS = 4096
+# Pairs that one task should make.
+PAIR_ROWS = 4_000_000
 
 
 def pairs_within(
@@ -14,34 +16,35 @@ def pairs_within(
     group: str,
     member: str,
     columns: list[str],
-    largest: int | None = None,
+    sizes: GroupSizes | None = None,
     cell_rows: int = CELL_ROWS,
 ) -> DataFrame:
     """Pairs (member_i < member_j) that meet in a group, with both rows' ``columns``.
 
-    Columns come out suffixed ``_i`` and ``_j``. A group above ``cell_rows`` is cut
-    into g chunks by member hash; its rows are laid out on a g x g grid of cells and
-    joined per (group, cell), so that no task holds more than one chunk pair of it
-    and each pair meets in exactly one cell.
+    Columns come out suffixed ``_i`` and ``_j``. ``sizes`` are known bounds of the group
+    sizes. A group above ``cell_rows`` is cut into g chunks by member hash; its rows are
+    laid out on a g x g grid of cells and joined per (group, cell), so that no task holds
+    more than one chunk pair of it and each pair meets in exactly one cell.
     """
-    if largest is None:
-        largest = largest_group(df, [group])
+    if sizes is None:
+        sizes = group_sizes(df, [group])
     keep = [group, member, *columns]
     df = df.select(*keep)
     keys = [group]
     left = right = df
-    if largest > cell_rows:
-        sizes = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > cell_rows)
+    if sizes.largest > cell_rows:
+        counted = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).filter(F.col("__n") > cell_rows)
         chunks = F.ceil(F.col("__n") / F.lit(cell_rows))
-        sized = df.join(sizes, group, "left").withColumn("__g", F.coalesce(chunks, F.lit(1)))
+        sized = df.join(counted, group, "left").withColumn("__g", F.coalesce(chunks, F.lit(1)))
         chunk = F.pmod(F.xxhash64(member), F.col("__g"))
         every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("__g") - 1))
         left = sized.select(*keep, chunk.alias("__row"), every.alias("__column"))
         right = sized.select(*keep, every.alias("__row"), chunk.alias("__column"))
         keys += ["__row", "__column"]
+    tasks = _pair_tasks(df, sizes)
     names = [member, *columns]
-    left = left.select(*keys, *(F.col(c).alias(f"{c}_i") for c in names))
-    right = right.select(*keys, *(F.col(c).alias(f"{c}_j") for c in names))
+    left = left.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_i") for c in names))
+    right = right.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_j") for c in names))
     return (
         left.join(right, keys)
         .filter(F.col(f"{member}_i") < F.col(f"{member}_j"))
@@ -49,14 +52,20 @@ def pairs_within(
     )
 
 
-def co_rated_pairs(profile: DataFrame, largest: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def _pair_tasks(df: DataFrame, sizes: GroupSizes) -> int:
+    """Tasks of a pair join. Its input says little about its work, so the pairs are counted in."""
+    base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return base * max(1, min(16, round(sizes.squares / 2 / PAIR_ROWS / base)))
+
+
+def co_rated_pairs(profile: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For item pairs i < j every user who rated both, with both ratings and timesteps."""
-    return _named(pairs_within(profile, "user_id", "item_id", ["rating", "timestep"], largest, cell_rows))
+    return _named(pairs_within(profile, "user_id", "item_id", ["rating", "timestep"], sizes, cell_rows))
 
 
-def pair_info(weighted: DataFrame, largest: int | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
+def pair_info(weighted: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """Per item pair: drift terms L_i, L_j and the weighted product P."""
-    pairs = _named(pairs_within(weighted, "user_id", "item_id", ["x", "we"], largest, cell_rows))
+    pairs = _named(pairs_within(weighted, "user_id", "item_id", ["x", "we"], sizes, cell_rows))
     return pairs.groupBy("item_i", "item_j").agg(*_pair_sums())
 
 
@@ -71,20 +80,20 @@ def unit_ratings(weighted: DataFrame, info: DataFrame) -> DataFrame:
 
 
 def pair_similarities(
-    weighted: DataFrame, info: DataFrame, largest: int | None = None, cell_rows: int = CELL_ROWS
+    weighted: DataFrame, info: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """Similarity of every co-rated pair."""
     rows = unit_ratings(weighted, info).select("user_id", "item_id", "v")
-    pairs = _named(pairs_within(rows, "user_id", "item_id", ["v"], largest, cell_rows))
+    pairs = _named(pairs_within(rows, "user_id", "item_id", ["v"], sizes, cell_rows))
     return pairs.groupBy("item_i", "item_j").agg(_similarity_sum())
 
 
 def pair_info_with_similarity(
-    weighted: DataFrame, info: DataFrame, largest: int | None = None, cell_rows: int = CELL_ROWS
+    weighted: DataFrame, info: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS
 ) -> DataFrame:
     """The pair sums and the similarity out of one pass over the pairs."""
     rows = unit_ratings(weighted, info)
-    pairs = _named(pairs_within(rows, "user_id", "item_id", ["x", "we", "v"], largest, cell_rows))
+    pairs = _named(pairs_within(rows, "user_id", "item_id", ["x", "we", "v"], sizes, cell_rows))
     return pairs.groupBy("item_i", "item_j").agg(*_pair_sums(), _similarity_sum())
 
 
@@ -153,8 +162,9 @@ def with_zero_fill(
     are all that is needed; the full set of zeros is never built.
     """
     ids = universe.select(F.col(key).alias("neighbor_id")).distinct()
-    numbered = positions(ids, [F.col("neighbor_id")], "slot", unique=True)
-    positive = F.count_if(F.round("sim", RANK_DIGITS) > 0)
+    size = ids.count()
+    numbered = positions(ids, [F.col("neighbor_id")], "slot", (), size, unique=True)
+    positive = F.count_if(rank_key("sim") < 0)
     full = explicit.groupBy(key).agg(positive.alias("n")).filter(F.col("n") >= k)
     short = listed.select(key).distinct().join(full, key, "left_anti")
     taken = (
@@ -166,7 +176,7 @@ def with_zero_fill(
     )
     gap = F.col("slot") - F.col("m")
     below = (
-        positions(taken, [F.col("slot")], "m", (key,), unique=True)
+        positions(taken, [F.col("slot")], "m", (key,), size if size <= GROUP_ROWS else None, unique=True)
         .filter(gap < k)
         .groupBy(key, gap.alias("gap"))
         .agg(F.count(F.lit(1)).alias("n"))

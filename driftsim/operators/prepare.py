@@ -25,13 +25,14 @@ def timestep(clean: DataFrame, largest: int | None = None, limit: int = GROUP_RO
     ).select("user_id", "item_id", "rating", "timestep")
 
 
-def user_ratings(ratings: DataFrame, limit: int = GROUP_ROWS) -> DataFrame:
+def user_ratings(ratings: DataFrame, largest: int | None = None, limit: int = GROUP_ROWS) -> DataFrame:
     """Cleaned ratings with their timestep.
 
     With every user below ``limit`` rows the table is hashed by user once, and
     de-duplication, clock and user statistics all reuse that partitioning.
     """
-    largest = largest_group(ratings, ["user_id"])
+    if largest is None:
+        largest = largest_group(ratings, ["user_id"])
     if largest <= limit:
         ratings = ratings.repartition("user_id")
     return timestep(latest_rating(ratings), largest, limit)

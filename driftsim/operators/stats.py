@@ -1,6 +1,6 @@
 """Sums per user and per item."""
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from driftsim.functions.scoring import decay
 from driftsim.operators.ordering import GROUP_ROWS, positions
@@ -19,18 +19,33 @@ def user_stats(profile: DataFrame) -> DataFrame:
     )
 
 
-def weighted_ratings(profile: DataFrame, alpha: float) -> DataFrame:
-    """Every rating with its decay-weighted deviation ``x`` from the user mean, and ``w*e``."""
-    weight = decay("t", "timestep", alpha)
-    return (
-        profile.join(user_stats(profile), "user_id")
-        .withColumn("w", weight)
-        .select(
-            "user_id",
-            "item_id",
-            (F.col("w") * (F.col("rating") - F.col("avg_rating"))).alias("x"),
-            (F.col("w") * F.col("e")).alias("we"),
+def weighted_ratings(
+    profile: DataFrame, alpha: float, largest: int | None = None, limit: int = GROUP_ROWS
+) -> DataFrame:
+    """Every rating with its decay-weighted deviation ``x`` from the user mean, and ``w*e``.
+
+    If no user is known to exceed ``limit`` rows the statistics come from a window over
+    the user, in the pass that already holds the user's rows; otherwise they are
+    aggregated first and joined.
+    """
+    if largest is not None and largest <= limit:
+        user = W.partitionBy("user_id")
+        n, total = F.count(F.lit(1)).over(user), F.sum("rating").over(user)
+        last = F.max_by("rating", "timestep").over(user)
+        rows = profile.select(
+            "*", n.alias("n"), total.alias("total"), last.alias("last"), F.max("timestep").over(user).alias("t")
         )
+        before = F.when(F.col("n") > 1, (F.col("total") - F.col("last")) / (F.col("n") - 1)).otherwise(F.lit(0.0))
+        rows = rows.withColumn("avg_rating", F.col("total") / F.col("n")).withColumn(
+            "e", F.col("avg_rating") - before
+        )
+    else:
+        rows = profile.join(user_stats(profile), "user_id")
+    return rows.withColumn("w", decay("t", "timestep", alpha)).select(
+        "user_id",
+        "item_id",
+        (F.col("w") * (F.col("rating") - F.col("avg_rating"))).alias("x"),
+        (F.col("w") * F.col("e")).alias("we"),
     )
 
 

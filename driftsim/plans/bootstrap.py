@@ -2,10 +2,12 @@
 
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from driftsim.operators import pairs, prepare, recommend, stats
-from driftsim.operators.ordering import largest_group
+from driftsim.operators.ordering import group_sizes
+from driftsim.session import durable
 
 
 @dataclass(frozen=True)
@@ -31,25 +33,30 @@ class Relations:
 
 def similarity_bootstrap(ratings: DataFrame, settings: Settings) -> DataFrame:
     """Raw ratings to (item_id, neighbor_id, sim, rank)."""
-    largest = largest_group(ratings, ["user_id"])
-    profile = prepare.user_ratings(ratings)
-    weighted = stats.weighted_ratings(profile, settings.alpha)
-    info = stats.item_info(weighted)
-    sims = pairs.pair_similarities(weighted, info, largest)
+    sizes = group_sizes(ratings, ["user_id"])
+    profile = prepare.user_ratings(ratings, sizes.largest)
+    # Feeds the item norms and both sides of the pair join.
+    weighted = durable(stats.weighted_ratings(profile, settings.alpha, sizes.largest))
+    sims = pairs.pair_similarities(weighted, stats.item_info(weighted), sizes)
     return pairs.topk_neighbors(pairs.mirror_pairs(sims), settings.k)
 
 
-def relations(profile: DataFrame, settings: Settings, largest: int | None = None) -> Relations:
-    """All relations of a cleaned ratings table, lazily."""
-    if largest is None:
-        largest = largest_group(profile, ["user_id"])
-    weighted = stats.weighted_ratings(profile, settings.alpha)
-    info = stats.item_info(weighted)
-    sums = pairs.pair_info_with_similarity(weighted, info, largest)
-    neighbors = pairs.topk_neighbors(pairs.mirror_pairs(sums), settings.k)
-    return Relations(
-        profile, info, sums.drop("sim"), neighbors, stats.top_popular(info, settings.p)
-    )
+def relations(ratings: DataFrame, settings: Settings, keep=lambda name, df: durable(df)) -> Relations:
+    """All relations of a raw ratings table.
+
+    ``keep`` stores a relation under its name and returns it as read back.
+    """
+    sizes = group_sizes(ratings, ["user_id"])
+    profile = keep("user_ratings", prepare.user_ratings(ratings, sizes.largest))
+    weighted = durable(stats.weighted_ratings(profile, settings.alpha, sizes.largest))
+    info = keep("item_info", stats.item_info(weighted))
+    # Stored, and ranked: the pairs are summed once for both.
+    sums = pairs.pair_info_with_similarity(weighted, info, sizes).persist(StorageLevel.DISK_ONLY)
+    stored = keep("pair_info", sums.drop("sim"))
+    neighbors = keep("neighbors", pairs.topk_neighbors(pairs.mirror_pairs(sums), settings.k))
+    sums.unpersist()
+    popular = keep("popular", stats.top_popular(info, settings.p))
+    return Relations(profile, info, stored, neighbors, popular)
 
 
 def topr_bootstrap(base: Relations, r: int) -> DataFrame:

@@ -67,7 +67,7 @@ def apply_batch(
     users = increment.fresh_keys(clocked, "user_id")
     old = base.user_ratings.join(users, "user_id", "left_semi")
     profile = increment.merge_profiles(old, clocked, contain_duplicates)
-    served = increment_lists(lists, neighbors, popular)
+    served = durable(increment_lists(lists, neighbors, popular))
     recommendations = keep(
         "recommendations",
         recommend.topr_recommendations(profile, popular, served, settings.r + batch_rows),

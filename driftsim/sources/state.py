@@ -5,6 +5,8 @@ to the last committed version; a semi-join on the key reaches the scan, so a mic
 reads what it touches. ``compact`` starts a new base.
 """
 
+from dataclasses import replace
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
@@ -79,29 +81,24 @@ class StateStore:
             )
         )
 
-    def bootstrap(self, base: Relations, topr) -> Relations:
-        """Store freshly built relations as version 0; ``topr`` derives recommendations from them.
+    def bootstrap(self, build, topr) -> Relations:
+        """Store freshly built relations as version 0.
 
-        Fails if the folder holds a state already.
+        ``build`` gets a function that stores one relation by name, ``topr`` derives the
+        recommendations from the stored ones. Fails if the folder holds a state already.
         """
         if self.last() is not None:
             raise FileExistsError(f"{self.folder} holds a state already")
-        stored = {
-            name: self.write(0, name, getattr(base, name))
-            for name in ("user_ratings", "item_info", "pair_info", "neighbors", "popular")
-        }
-        found = Relations(**stored)
+        found = build(lambda name, rows: self.write(0, name, rows))
         recommendations = self.write(0, "recommendations", topr(found))
         self.commit(0, 0)
-        return Relations(**stored, recommendations=recommendations)
+        return replace(found, recommendations=recommendations)
 
     def load(self, k: int) -> Relations:
         """The stored relations with only the first ``k`` neighbours of each item."""
         found = self.relations()
         lists = unranked(self._stored("neighbors"), "item_id", "neighbors", k)
-        return Relations(
-            found.user_ratings, found.item_info, found.pair_info, lists, found.popular, found.recommendations
-        )
+        return replace(found, neighbors=lists)
 
     def compact(self) -> None:
         """Write every relation whole, as the base of a new version."""
