@@ -5,6 +5,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from driftsim.operators import increment, pairs, recommend, stats
+from driftsim.operators.keys import lookup
 from driftsim.plans.bootstrap import Relations, Settings
 from driftsim.session import durable
 
@@ -42,8 +43,11 @@ def apply_batch(
     """
     if ignore_new:
         fresh = increment.ignore_new(fresh, base.user_ratings.select("user_id").distinct(), base.item_info)
-    means = stats.running_user_mean(base.user_ratings, fresh)
-    # The batch and the candidates drawn for it feed every step below.
+    users = increment.fresh_keys(fresh, "user_id")
+    # The earlier ratings of the batch's users, the batch with its clock, and the
+    # candidates drawn for it feed every step below.
+    old = durable(lookup(base.user_ratings, users, ["user_id"]))
+    means = stats.running_user_mean(old, fresh)
     clocked = durable(increment.clocked(fresh, means))
     pool = durable(
         increment.candidates(clocked, base.neighbors, base.item_info, settings.k, settings.seed, batch)
@@ -53,9 +57,9 @@ def apply_batch(
 
     info = keep(
         "item_info",
-        increment.update_item_info(base.item_info, touched, clocked, base.user_ratings, settings.alpha),
+        increment.update_item_info(base.item_info, touched, clocked, old, settings.alpha),
     )
-    met = increment.fresh_prev_pairs(clocked, base.user_ratings, touched, settings.alpha)
+    met = increment.fresh_prev_pairs(clocked, old, touched, settings.alpha)
     sums = keep("pair_info", increment.update_pair_info(base.pair_info, wanted, met, settings.alpha))
 
     new_items = increment.new_entities(clocked, base.item_info, "item_id")
@@ -64,8 +68,6 @@ def apply_batch(
     neighbors = keep("neighbors", increment.refresh_neighbors(lists, touched, info, sums, settings.k))
 
     ratings = keep("user_ratings", clocked.select("user_id", "item_id", "rating", "timestep"))
-    users = increment.fresh_keys(clocked, "user_id")
-    old = base.user_ratings.join(users, "user_id", "left_semi")
     profile = increment.merge_profiles(old, clocked, contain_duplicates)
     served = durable(increment_lists(lists, neighbors, popular))
     recommendations = keep(
