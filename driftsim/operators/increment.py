@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftsim.functions.scoring import decay, pair_similarity
 from driftsim.operators.ordering import positions
-from driftsim.operators.keys import lookup
+from driftsim.operators.keys import lookup, present
 from driftsim.operators.pairs import canonical_pair, mirror_pairs, topk_neighbors, with_zero_fill
 from driftsim.session import durable
 
@@ -19,14 +19,15 @@ def fresh_keys(fresh: DataFrame, key: str) -> DataFrame:
 
 
 def new_entities(fresh: DataFrame, known: DataFrame, key: str) -> DataFrame:
-    return fresh_keys(fresh, key).join(known.select(key), key, "left_anti")
+    keys = fresh_keys(fresh, key)
+    return keys.join(present(keys, known, [key]), key, "left_anti")
 
 
 def ignore_new(fresh: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
     """Only ratings whose user and item are both known."""
-    return fresh.join(users.select("user_id"), "user_id", "left_semi").join(
-        items.select("item_id"), "item_id", "left_semi"
-    )
+    old_users = present(fresh_keys(fresh, "user_id"), users, ["user_id"])
+    old_items = present(fresh_keys(fresh, "item_id"), items, ["item_id"])
+    return fresh.join(old_users, "user_id", "left_semi").join(old_items, "item_id", "left_semi")
 
 
 def clocked(fresh: DataFrame, means: DataFrame) -> DataFrame:
@@ -94,7 +95,7 @@ def candidates(
 ) -> DataFrame:
     """Candidate partners of every fresh item that owns a neighbour list."""
     items = fresh_keys(fresh, "item_id")
-    listed = items.join(neighbors.select("item_id"), "item_id", "left_semi")
+    listed = present(items, neighbors, ["item_id"])
     first = one_hop(listed, neighbors)
     return (
         first.unionByName(two_hop(first, neighbors))
@@ -235,7 +236,7 @@ def refresh_neighbors(
     A pair updated in this batch, with two norms, gets a new similarity; a stored
     neighbour keeps its old one; any other touched item competes with similarity 0.
     """
-    listed = touched.join(neighbors.select("item_id"), "item_id", "left_semi")
+    listed = present(touched, neighbors, ["item_id"])
     q = new_info.select("item_id", "q").filter(F.col("q") != 0)
     scored = (
         new_pairs.join(q.select(F.col("item_id").alias("item_i"), F.col("q").alias("q_i")), "item_i")

@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from driftsim.functions.scoring import rank_key
+from driftsim.operators.keys import lookup, present
 from driftsim.operators.ordering import top_per_key
 
 
@@ -68,10 +69,13 @@ def predict_observations(observed: DataFrame, profile: DataFrame, neighbors: Dat
     Users without a profile get none, as there is no mean to start from.
     """
     keys = observed.select("user_id", "item_id").distinct()
-    rated = profile.join(keys.select("user_id").distinct(), "user_id", "left_semi")
+    rated = lookup(profile, keys.select("user_id").distinct(), ["user_id"])
     means = rated.groupBy("user_id").agg(F.avg("rating").alias("mean"))
     evidence = (
-        keys.join(neighbors.select("item_id", "neighbor_id", "sim"), "item_id")
+        keys.join(
+            lookup(neighbors, keys.select("item_id").distinct(), ["item_id"]).select("item_id", "neighbor_id", "sim"),
+            "item_id",
+        )
         .join(rated.select("user_id", F.col("item_id").alias("neighbor_id"), "rating"), ["user_id", "neighbor_id"])
         .groupBy("user_id", "item_id")
         .agg(
@@ -102,7 +106,8 @@ def serve_recommendations(
     queries = observed.select(
         "batch", "user_id", "arrival", F.collect_set("item_id").over(so_far).alias("rated")
     )
-    lists = recommendations.groupBy("user_id").agg(
+    asked = lookup(recommendations, observed.select("user_id").distinct(), ["user_id"])
+    lists = asked.groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("stored")
     )
     left = F.filter("stored", lambda x: ~F.array_contains("rated", x.item_id))
@@ -136,7 +141,7 @@ def unseen_items(candidates: DataFrame, rated: DataFrame) -> DataFrame:
 
 
 def has_neighbors(items: DataFrame, neighbors: DataFrame) -> DataFrame:
-    return items.join(neighbors.select("item_id"), "item_id", "left_semi")
+    return items.join(present(items, neighbors, ["item_id"]), "item_id", "left_semi")
 
 
 def top_recommendations(scored: DataFrame, r: int) -> DataFrame:
@@ -145,7 +150,7 @@ def top_recommendations(scored: DataFrame, r: int) -> DataFrame:
 
 
 def _served(popular: DataFrame, neighbors: DataFrame) -> DataFrame:
-    return popular.select("item_id").join(neighbors.select("item_id"), "item_id", "left_semi")
+    return present(popular, neighbors, ["item_id"])
 
 
 def _unseen(profile: DataFrame, served: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def apply_batch(
     ``keep`` stores a changed relation under its name and returns it as read back.
     """
     if ignore_new:
-        fresh = increment.ignore_new(fresh, base.user_ratings.select("user_id").distinct(), base.item_info)
+        fresh = increment.ignore_new(fresh, base.user_ratings, base.item_info)
     users = increment.fresh_keys(fresh, "user_id")
     # The earlier ratings of the batch's users, the batch with its clock, and the
     # candidates drawn for it feed every step below.
