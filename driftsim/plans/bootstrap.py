@@ -5,7 +5,7 @@ from dataclasses import dataclass
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
-from driftsim.operators import pairs, prepare, recommend, stats
+from driftsim.operators import keys, pairs, prepare, recommend, stats
 from driftsim.operators.ordering import group_sizes
 from driftsim.session import durable
 
@@ -30,6 +30,10 @@ class Relations:
     popular: DataFrame
     recommendations: DataFrame | None = None
 
+    def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
+        """Rows of a relation whose key is wanted."""
+        return keys.lookup(getattr(self, name), wanted, on)
+
 
 def similarity_bootstrap(ratings: DataFrame, settings: Settings) -> DataFrame:
     """Raw ratings to (item_id, neighbor_id, sim, rank)."""

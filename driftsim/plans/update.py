@@ -5,7 +5,6 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, functions as F
 
 from driftsim.operators import increment, pairs, recommend, stats
-from driftsim.operators.keys import lookup
 from driftsim.plans.bootstrap import Relations, Settings
 from driftsim.session import durable
 
@@ -46,30 +45,35 @@ def apply_batch(
     users = increment.fresh_keys(fresh, "user_id")
     # The earlier ratings of the batch's users, the batch with its clock, and the
     # candidates drawn for it feed every step below.
-    old = durable(lookup(base.user_ratings, users, ["user_id"]))
+    old = durable(base.find("user_ratings", users, ["user_id"]))
     means = stats.running_user_mean(old, fresh)
     clocked = durable(increment.clocked(fresh, means))
+    items = increment.fresh_keys(clocked, "item_id")
+    near = base.find("neighbors", items, ["item_id"])
+    middle = near.select(F.col("neighbor_id").alias("item_id")).distinct()
+    near = durable(near.unionByName(base.find("neighbors", middle, ["item_id"])).distinct())
     pool = durable(
-        increment.candidates(clocked, base.neighbors, base.item_info, settings.k, settings.seed, batch)
+        increment.candidates(clocked, near, base.item_info, settings.k, settings.seed, batch)
     )
     touched = durable(increment.touched_items(clocked, pool))
     wanted = increment.touched_pairs(pool)
 
-    info = keep(
-        "item_info",
-        increment.update_item_info(base.item_info, touched, clocked, old, settings.alpha),
-    )
+    old_info = base.find("item_info", touched, ["item_id"])
+    info = keep("item_info", increment.update_item_info(old_info, touched, clocked, old, settings.alpha))
     met = increment.fresh_prev_pairs(clocked, old, touched, settings.alpha)
-    sums = keep("pair_info", increment.update_pair_info(base.pair_info, wanted, met, settings.alpha))
+    old_sums = base.find("pair_info", wanted, ["item_i", "item_j"])
+    sums = keep("pair_info", increment.update_pair_info(old_sums, wanted, met, settings.alpha))
 
-    new_items = increment.new_entities(clocked, base.item_info, "item_id")
+    new_items = increment.new_entities(clocked, old_info, "item_id")
     popular = keep("popular", increment.maintain_popular(base.popular, info, settings.p))
-    lists = base.neighbors.unionByName(stats.default_neighbors(new_items, popular, settings.k))
+    defaults = stats.default_neighbors(new_items, popular, settings.k)
+    lists = base.find("neighbors", touched, ["item_id"]).unionByName(defaults)
     neighbors = keep("neighbors", increment.refresh_neighbors(lists, touched, info, sums, settings.k))
 
     ratings = keep("user_ratings", clocked.select("user_id", "item_id", "rating", "timestep"))
     profile = increment.merge_profiles(old, clocked, contain_duplicates)
-    served = durable(increment_lists(lists, neighbors, popular))
+    stored = base.find("neighbors", popular, ["item_id"]).unionByName(defaults)
+    served = durable(increment_lists(stored, neighbors, popular))
     recommendations = keep(
         "recommendations",
         recommend.topr_recommendations(profile, popular, served, settings.r + batch_rows),

@@ -21,13 +21,13 @@ RECOMMENDATION = _struct(item_id=_LONG, pred=_DOUBLE)
 NEIGHBORS = _struct(item_id=_LONG, neighbors=T.ArrayType(NEIGHBOR))
 RECOMMENDATIONS = _struct(user_id=_LONG, recommendations=T.ArrayType(RECOMMENDATION))
 
-# The stored relations and the key that finds one row of each. The short list of
-# popular items has none: every version holds the whole list.
+# The stored relations, the key that finds one row of each, and the columns it is looked
+# up by. The short list of popular items has none: every version holds the whole list.
 STATE = {
-    "user_ratings": (USER_RATINGS, ("user_id", "item_id")),
-    "item_info": (ITEM_INFO, ("item_id",)),
-    "pair_info": (PAIR_INFO, ("item_i", "item_j")),
-    "neighbors": (NEIGHBORS, ("item_id",)),
-    "recommendations": (RECOMMENDATIONS, ("user_id",)),
-    "popular": (_struct(item_id=_LONG, n=_LONG), ()),
+    "user_ratings": (USER_RATINGS, ("user_id", "item_id"), ("user_id",)),
+    "item_info": (ITEM_INFO, ("item_id",), ("item_id",)),
+    "pair_info": (PAIR_INFO, ("item_i", "item_j"), ("item_i", "item_j")),
+    "neighbors": (NEIGHBORS, ("item_id",), ("item_id",)),
+    "recommendations": (RECOMMENDATIONS, ("user_id",), ("user_id",)),
+    "popular": (_struct(item_id=_LONG, n=_LONG), (), ()),
 }

@@ -1,31 +1,54 @@
 """Relations kept as parquet in a shared folder, one directory per version.
 
 A version holds only the rows it changed. Reading takes the newest row of each key up
-to the last committed version; a semi-join on the key reaches the scan, so a micro-batch
-reads what it touches. ``compact`` starts a new base.
+to the last committed version. A base version, from ``bootstrap`` or ``compact``, is laid
+out in buckets by lookup key, and ``find`` opens only the buckets of the wanted keys and
+the changes made since.
 """
 
-from dataclasses import replace
+from __future__ import annotations
+
+from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from driftsim.operators.keys import lookup
 from driftsim.operators.pairs import ranked_list, unranked
 from driftsim.plans.bootstrap import Relations
 from driftsim.schemas import STATE
 
 _COMMITS = (
-    StructType().add("version", LongType()).add("base", LongType()).add("stream", StringType()).add("epoch", LongType())
+    StructType()
+    .add("version", LongType())
+    .add("base", LongType())
+    .add("buckets", IntegerType())
+    .add("stream", StringType())
+    .add("epoch", LongType())
 )
+_CHANGES = -1  # the bucket of rows changed after the base
 # Relations stored as one ranked array per key, and the fields of an entry.
 _LISTS = {"neighbors": ("item_id", ["neighbor_id", "sim"]), "recommendations": ("user_id", ["item_id", "pred"])}
 
 
+@dataclass(frozen=True)
+class StoredRelations(Relations):
+    """Relations of a store, which looks keys up by bucket."""
+
+    store: StateStore | None = None
+
+    def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
+        return self.store.find(name, wanted, on)
+
+
 class StateStore:
-    def __init__(self, spark: SparkSession, folder: str):
+    """``buckets`` applies to bases written from here on; a stored base keeps its own number."""
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1):
         self.spark = spark
         self.folder = folder.rstrip("/")
+        self.buckets = buckets
 
     def commits(self) -> DataFrame | None:
         try:
@@ -35,9 +58,12 @@ class StateStore:
 
     def last(self) -> tuple[int, int] | None:
         """Version and base of the newest commit."""
+        row = self._head()
+        return (row.version, row.base) if row else None
+
+    def _head(self):
         commits = self.commits()
-        row = commits.orderBy(F.desc("version")).select("version", "base").first() if commits else None
-        return tuple(row) if row else None
+        return commits.orderBy(F.desc("version")).first() if commits else None
 
     def applied(self, stream: str, epoch: int) -> bool:
         commits = self.commits()
@@ -45,16 +71,27 @@ class StateStore:
             commits.filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).limit(1).count()
         )
 
-    def write(self, version: int, name: str, rows: DataFrame) -> DataFrame:
-        """Put changed rows under a version not yet committed, and return them as read back."""
-        schema, _ = STATE[name]
+    def write(self, version: int, name: str, rows: DataFrame, base: bool = False) -> DataFrame:
+        """Put rows under a version not yet committed, and return them as read back."""
+        schema = STATE[name][0]
         if name in _LISTS:
             key, fields = _LISTS[name]
             rows = ranked_list(rows, key, fields, name)
-        path = f"{self.folder}/{name}/v={version}"
         typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-        rows.select(*typed).write.mode("overwrite").parquet(path)
-        return self._flat(name, self.spark.read.schema(schema).parquet(path))
+        path = self._put(version, name, rows.select(*typed), base)
+        return self._flat(name, self.spark.read.schema(schema).parquet(path).select(*schema.names))
+
+    def _put(self, version: int, name: str, rows: DataFrame, base: bool) -> str:
+        path = f"{self.folder}/{name}/v={version}"
+        by = STATE[name][2]
+        bucketed = base and by and self.buckets > 1
+        if bucketed:
+            # Rebalancing splits a bucket that one key has made large.
+            rows = rows.withColumn("bucket", _bucket(by, self.buckets)).hint("rebalance", "bucket")
+        else:
+            rows = rows.withColumn("bucket", F.lit(_CHANGES))
+        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+        return path
 
     def append_log(self, version: int, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/log_{name}/v={version}")
@@ -66,20 +103,25 @@ class StateStore:
 
     def commit(self, version: int, base: int, stream: str = "", epoch: int = -1) -> None:
         """Make a version visible. Written last, so a version cut short is never seen."""
-        row = self.spark.createDataFrame([(version, base, stream, epoch)], _COMMITS)
+        buckets = self.buckets if version == base else self._head().buckets
+        row = self.spark.createDataFrame([(version, base, buckets, stream, epoch)], _COMMITS)
         row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
 
     def read(self, name: str) -> DataFrame:
         """A relation as of the last commit."""
         return self._flat(name, self._stored(name))
 
+    def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
+        """Rows of a relation whose key is wanted, out of the buckets that can hold them."""
+        buckets = self._head().buckets
+        if buckets == 1 or tuple(on) != STATE[name][2]:
+            return lookup(self.read(name), wanted, on)
+        # Bucket numbers only: at most as many as there are buckets.
+        found = wanted.select(_bucket(on, buckets).alias("bucket")).distinct().collect()
+        return lookup(self._flat(name, self._stored(name, [r.bucket for r in found])), wanted, on)
+
     def relations(self) -> Relations:
-        return Relations(
-            *(
-                self.read(name)
-                for name in ("user_ratings", "item_info", "pair_info", "neighbors", "popular", "recommendations")
-            )
-        )
+        return StoredRelations(**{name: self.read(name) for name in STATE}, store=self)
 
     def bootstrap(self, build, topr) -> Relations:
         """Store freshly built relations as version 0.
@@ -89,8 +131,8 @@ class StateStore:
         """
         if self.last() is not None:
             raise FileExistsError(f"{self.folder} holds a state already")
-        found = build(lambda name, rows: self.write(0, name, rows))
-        recommendations = self.write(0, "recommendations", topr(found))
+        found = build(lambda name, rows: self.write(0, name, rows, base=True))
+        recommendations = self.write(0, "recommendations", topr(found), base=True)
         self.commit(0, 0)
         return replace(found, recommendations=recommendations)
 
@@ -104,27 +146,30 @@ class StateStore:
         """Write every relation whole, as the base of a new version."""
         version = self.last()[0] + 1
         for name in STATE:
-            self._stored(name).write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+            self._put(version, name, self._stored(name), base=True)
         self.commit(version, version)
 
     def truncate(self) -> None:
         """Commit a new version in which every relation is empty."""
         last = self.last()
         version = last[0] + 1 if last else 0
-        for name, (schema, _) in STATE.items():
-            self.spark.createDataFrame([], schema).write.mode("overwrite").parquet(f"{self.folder}/{name}/v={version}")
+        for name, (schema, *_) in STATE.items():
+            self._put(version, name, self.spark.createDataFrame([], schema), base=True)
         self.commit(version, version)
 
-    def _stored(self, name: str) -> DataFrame:
-        schema, key = STATE[name]
+    def _stored(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+        schema, key, _ = STATE[name]
         version, base = self.last()
+        layout = [StructField("v", LongType()), StructField("bucket", IntegerType())]
         rows = (
-            self.spark.read.schema(StructType([*schema.fields, StructField("v", LongType())]))
+            self.spark.read.schema(StructType([*schema.fields, *layout]))
             .parquet(f"{self.folder}/{name}")
             .filter(F.col("v").between(base if key else version, version))
         )
+        if buckets is not None:
+            rows = rows.filter(F.col("bucket").isin([_CHANGES, *buckets]))
         if not key or version == base:
-            return rows.drop("v")
+            return rows.select(*schema.names)
         rest = [c for c in schema.names if c not in key]
         newest = F.max_by(F.struct(*rest), "v").alias("row")
         return rows.groupBy(*key).agg(newest).select(*key, "row.*")
@@ -135,3 +180,7 @@ class StateStore:
             key, _ = _LISTS[name]
             return unranked(rows, key, name)
         return rows
+
+
+def _bucket(by, buckets: int):
+    return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")

@@ -49,9 +49,13 @@ class Loop:
         rows = durable(parse_columnar_json(messages).withColumn("batch", F.lit(version).cast("long")))
         size = rows.count()
         self.store.append_log(version, "observations", rows)
-        predicted = recommend.predict_observations(rows, base.user_ratings, base.neighbors)
+        users, items = rows.select("user_id").distinct(), rows.select("item_id").distinct()
+        predicted = recommend.predict_observations(
+            rows, base.find("user_ratings", users, ["user_id"]), base.find("neighbors", items, ["item_id"])
+        )
         self.store.append_log(version, "predictions", predicted)
-        served = recommend.serve_recommendations(rows, base.recommendations, self.cutoffs)
+        stored = base.find("recommendations", users, ["user_id"])
+        served = recommend.serve_recommendations(rows, stored, self.cutoffs)
         self.store.append_log(version, "messages", recommendation_messages(served))
         batched = time.time()
 

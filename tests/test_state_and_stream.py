@@ -1,5 +1,7 @@
 """Versioned state, the serving loop, and restarts."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -43,8 +45,8 @@ def split(rows):
     return train.cache(), durable(test.withColumn("user_id", user.cast("long")).withColumn("item_id", item.cast("long")).drop("n"))
 
 
-def new_store(spark, train, folder):
-    store = StateStore(spark, str(folder))
+def new_store(spark, train, folder, buckets=1):
+    store = StateStore(spark, str(folder), buckets)
     store.bootstrap(
         lambda keep: bootstrap.relations(train, SETTINGS, keep),
         lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r + 15),
@@ -78,7 +80,7 @@ def test_state_round_trip(spark, split, tmp_path):
 
 def test_stream_equals_folded_batches(spark, split, tmp_path):
     train, test = split
-    store = new_store(spark, train, tmp_path / "s")
+    store = new_store(spark, train, tmp_path / "s", buckets=5)
     staged = replay.stage_replay(test, 15, [F.col(c) for c in ORDER], str(tmp_path / "in"))
     point = str(tmp_path / "point")
     loop.run_loop(store, staged, SETTINGS, [2, 4], point)
@@ -136,6 +138,19 @@ def test_crash_before_commit_is_repeated(spark, split, tmp_path):
     assert all(same(store.read(n), clean.read(n)) for n in STATE)
 
 
+def test_find_reads_only_the_wanted_buckets(spark, split, tmp_path):
+    store = new_store(spark, split[0], tmp_path / "s", buckets=12)
+    some = durable(store.read("pair_info").select("item_i", "item_j").limit(2))
+    found = store.find("pair_info", some, ["item_i", "item_j"])
+    assert found.count() == 2
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    filters = re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN \(([-\d,]+)\)", plan)
+    assert len(filters.group(1).split(",")) <= 3
+    # A store opened with another number still finds everything.
+    other = StateStore(spark, store.folder, 7)
+    assert other.find("pair_info", some, ["item_i", "item_j"]).count() == 2
+
+
 def test_ignore_new(spark, split):
     train, test = split
     base = bootstrap.relations(train, SETTINGS)
