@@ -22,12 +22,8 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     all others. Rows with equal doc_id are told apart by their text; a row that is
     there twice is one document and both rows get the same result.
     """
-    keyed = docs.select(
-        F.struct("*").alias("document"),
-        F.col("doc_id").alias("id"),
-        F.xxhash64("text").alias("print"),
-        F.split("text", "\n", -1).alias("all"),
-    )
+    whole = docs.select(F.struct("*").alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"))
+    keyed = whole.withColumn("all", F.split("document.text", "\n", -1))
 
     def key(i):
         parts = [F.get("all", i + F.lit(j)) for j in range(lines)]
@@ -53,7 +49,8 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     )
     left = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), F.col("gone"))
     kept = F.array_join(F.transform(left, lambda i: F.get("all", i)), "\n")
-    return keyed.join(covered, F.col("id").eqNullSafe(F.col("id2")) & (F.col("print") == F.col("print2")), "left").select(
+    met = whole.join(covered, F.col("id").eqNullSafe(F.col("id2")) & (F.col("print") == F.col("print2")), "left")
+    return met.withColumn("all", F.split("document.text", "\n", -1)).select(
         "document",
         F.when(F.col("all").isNull(), 0).otherwise(F.size("all")).cast("long").alias("n_lines"),
         F.when(F.col("gone").isNull(), 0).otherwise(F.size("gone")).cast("long").alias("n_removed"),

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftsim.llm import decontamination, language_id, line_dedup, packing, simhash
+from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -43,10 +43,18 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return embedding_dedup.embedding_links(table(spark, folder, "embeddings").select("vec_id", "embedding"))
+
+
 def op8_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents").select("doc_id", "text"))
 
 
+def op9_lm_scoring(spark: SparkSession, folder: str) -> DataFrame:
+    return lm_scoring.score(table(spark, folder, "documents").select("doc_id", "text"))
+
+
 def op10_simhash(spark: SparkSession, folder: str) -> DataFrame:
     return simhash.simhash_components(table(spark, folder, "documents"))
 
@@ -61,7 +69,9 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
     "op5_decontamination": op5_decontamination,
+    "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_simhash": op10_simhash,
     "pipeline": pipeline,
 }
