@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, simhash
+from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, pii, simhash
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,14 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
+    found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    counts = [pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS]
+    return found.select(
+        "document.doc_id", *counts, F.sha2(pii.span_list("base"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans")
+    )
+
+
 def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.benchmark_hits(docs, table(spark, folder, "benchmark"))
@@ -68,6 +76,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
