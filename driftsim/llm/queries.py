@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, pii, simhash
+from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, pii, simhash, substring_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -30,6 +30,11 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = substring_dedup.substring_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("document.doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
     found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
     counts = [pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS]
@@ -76,6 +81,7 @@ def pipeline(spark: SparkSession, folder: str) -> DataFrame:
 LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_line_dedup": op1_line_dedup,
     "op2_language_id": op2_language_id,
+    "op3_substring_dedup": op3_substring_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
     "op7_embedding_dedup": op7_embedding_dedup,
