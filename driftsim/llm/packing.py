@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from bisect import bisect_left, insort
+from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import public_tokenizers
 import tiktoken
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
@@ -21,30 +23,31 @@ from driftsim.session import durable
 SEQUENCE = 2048
 END_ID = 0
 TOKENIZER = "byte_bpe_50k.json"
-#: Pieces numbered in one window of the ranking.
-RANK_ROWS = 512
 _BLANKS = np.zeros(256, bool)
 _BLANKS[[9, 10, 11, 12, 13, 32]] = True
 
 
 @lru_cache(maxsize=2)
-def _encoders(path: str) -> tuple[Tokenizer, tiktoken.Encoding | None]:
-    """The tokenizer of the file, and a faster form of it for texts without runs of blanks.
+def _whole(path: str) -> Tokenizer:
+    return Tokenizer.from_file(path)
 
-    The second holds the same merges as ranks. Its split pattern leaves out the rule for
-    blanks that more blanks follow, which no such text needs; without that rule the
-    pattern has no look-ahead and runs in linear time.
+
+@lru_cache(maxsize=2)
+def _plain(path: str) -> tiktoken.Encoding | None:
+    """A faster form of the tokenizer, for texts without runs of blanks.
+
+    It holds the same merges as ranks. Its split pattern leaves out the rule for blanks
+    that more blanks follow, which no such text needs; without that rule the pattern has
+    no look-ahead and runs in linear time.
     """
-    whole = Tokenizer.from_file(path)
     if not path.endswith(TOKENIZER):
-        return whole, None
-    ranks = {}
+        return None
     to_byte = {c: b for b, c in _byte_letters().items()}
-    for piece, rank in whole.get_vocab(with_added_tokens=False).items():
-        if piece != "<|endoftext|>":
-            ranks[bytes(to_byte[c] for c in piece)] = rank
+    with open(path, encoding="utf-8") as file:
+        vocabulary = json.load(file)["model"]["vocab"]
+    ranks = {bytes(to_byte[c] for c in piece): rank for piece, rank in vocabulary.items() if piece != "<|endoftext|>"}
     pattern = public_tokenizers.PATTERN.replace(r"|\s+(?!\S)", "")
-    return whole, tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("plain", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def _byte_letters() -> dict[int, str]:
@@ -67,16 +70,25 @@ def _needs_whole(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     return odd[ends] > odd[starts]
 
 
+_PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
+_SCHEMA = "doc_id long, piece int, start long, length long, ids_crc32 long"
+
+
 def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32) of every document of ``docs`` (doc_id, text).
 
     A document is its token ids and one END_ID; a null text is empty. Only a document of
     more than ``length`` ids is cut; its first piece takes what full pieces leave over.
     """
+    return _numbered_pieces(docs, length, tokenizer).select(*_PIECE)
+
+
+def _numbered_pieces(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
+    """``pieces`` with the task that made a piece, and its number among the task's of that length."""
     place = public_tokenizers.path(tokenizer)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        whole, plain = _encoders(place)
+        plain, task, met = _plain(place), TaskContext.get().partitionId(), Counter()
         for batch in batches:
             for part in slices(batch, "text"):
                 texts = column_at(part, "text")
@@ -84,7 +96,7 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER)
                 rows: list[tuple] = []
                 for doc_id, text, full in zip(part.column("doc_id").to_pylist(), texts.to_pylist(), slow.tolist(), strict=True):
                     if full or plain is None:
-                        found = whole.encode(text or "", add_special_tokens=False).ids
+                        found = _whole(place).encode(text or "", add_special_tokens=False).ids
                     else:
                         found = plain.encode_ordinary(text or "")
                     found.append(END_ID)
@@ -92,14 +104,13 @@ def pieces(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER)
                     first = len(ids) % length or length if len(ids) > length else len(ids)
                     cuts = [0, *range(first, len(ids) + 1, length)]
                     for n, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
-                        rows.append((doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes())))
-                columns = list(zip(*rows, strict=True)) or [[]] * 5
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
-                names = ["doc_id", "piece", "start", "length", "ids_crc32"]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
+                        rows.append((doc_id, n, a, b - a, zlib.crc32(ids[a:b].tobytes()), task, met[b - a]))
+                        met[b - a] += 1
+                columns = list(zip(*rows, strict=True)) or [[]] * 7
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_PIECE, "task", "nth"])
 
-    schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{_SCHEMA}, task int, nth long")
 
 
 def plan(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[int, int, int, int]]:
@@ -146,31 +157,13 @@ def plan(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[int, in
 def ranked(found: DataFrame) -> DataFrame:
     """``found`` with ``rank``, from 0 without gaps within each length.
 
-    Pieces of one length are spread over buckets by a hash and numbered there; the counts
-    of the buckets before are added. So a frequent length is no single group.
+    The task that read a document numbered its pieces of each length; the counts of the
+    tasks before are added. A frequent length is a row per task, and no group of pieces.
     """
-    buckets = found.count() // RANK_ROWS + 1
-    spread = found.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)))
-    sizes = spread.groupBy("length", "bucket").agg(F.count("*").alias("n"))
-    part = F.floor(F.col("bucket") / RANK_ROWS)
-    # Sums of sums, so that no window holds all buckets of a length.
-    blocks = sizes.groupBy("length", part.alias("part")).agg(F.sum("n").alias("m"))
-    before = F.coalesce(F.sum("m").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    blocks = blocks.select("length", "part", before.alias("base"))
-    inner = Window.partitionBy("length", "part").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    starts = (
-        sizes.withColumn("part", part)
-        .withColumn("ahead", F.coalesce(F.sum("n").over(inner), F.lit(0)))
-        .join(blocks, ["length", "part"])
-        .select("length", "bucket", (F.col("base") + F.col("ahead")).alias("from"))
-    )
-    number = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32", "start"))
-    return (
-        spread.withColumn("number", number)
-        .join(starts, ["length", "bucket"])
-        .withColumn("rank", F.col("from") + F.col("number") - 1)
-        .drop("bucket", "number", "from")
-    )
+    sizes = found.groupBy("length", "task").agg((F.max("nth") + 1).alias("n"))
+    ahead = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("length", "task", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("ahead"))
+    return found.join(starts, ["length", "task"]).withColumn("rank", F.col("ahead") + F.col("nth")).drop("task", "nth", "ahead")
 
 
 def pack(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER) -> DataFrame:
@@ -181,19 +174,19 @@ def pack(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER) ->
     slot by its rank within its length. An empty table gives no rows. Repeated rows and
     null doc_ids are documents like any other. Other columns are not used.
     """
-    found = durable(pieces(docs, length, tokenizer))
+    found = durable(_numbered_pieces(docs, length, tokenizer))
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}
     slots = sorted(plan(counts, length))
     lengths, ranks, firsts, offsets = (np.array(x, np.int64) for x in zip(*slots, strict=True)) if slots else (np.zeros(0, np.int64),) * 4
     order = (lengths << 44) | ranks
 
-    @F.pandas_udf("sequence_id long, offset long")
-    def slot(size: pd.Series, rank: pd.Series) -> pd.DataFrame:
-        at = np.searchsorted(order, (size.to_numpy(np.int64) << 44) | rank.to_numpy(np.int64), "right") - 1
-        return pd.DataFrame({"sequence_id": firsts[at] + rank.to_numpy() - ranks[at], "offset": offsets[at]})
-
-    return (
-        ranked(found)
-        .withColumn("slot", slot("length", "rank"))
-        .select("doc_id", "piece", "start", "length", "ids_crc32", "slot.sequence_id", "slot.offset")
-    )
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size, rank = batch.column("length").to_numpy(), batch.column("rank").to_numpy()
+            at = np.searchsorted(order, (size << 44) | rank, "right") - 1
+            kept = [c for c in batch.schema.names if c != "rank"]
+            new = [pa.array(firsts[at] + rank - ranks[at]), pa.array(offsets[at])]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "sequence_id", "offset"])
+
+    columns = ranked(found).select(*_PIECE, "rank")
+    return columns.mapInArrow(place, f"{_SCHEMA}, sequence_id long, offset long")
