@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, pii, simhash, substring_dedup
+from driftsim.llm import decontamination, embedding_dedup, language_id, line_dedup, lm_scoring, packing, pii, simhash, substring_dedup, suffix_dedup
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -56,6 +56,11 @@ def op5_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def op6_suffix_array_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    found = suffix_dedup.suffix_dedup(table(spark, folder, "documents").select("doc_id", "text"))
+    return found.select("document.doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op7_embedding_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return embedding_dedup.embedding_links(table(spark, folder, "embeddings").select("vec_id", "embedding"))
 
@@ -84,6 +89,7 @@ LLM_QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_substring_dedup": op3_substring_dedup,
     "op4_personal_data": op4_personal_data,
     "op5_decontamination": op5_decontamination,
+    "op6_suffix_array_dedup": op6_suffix_array_dedup,
     "op7_embedding_dedup": op7_embedding_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_lm_scoring": op9_lm_scoring,

@@ -8,108 +8,44 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from driftsim.llm.text import NOT_BLANK, Words, column_at, find_words, gram_hashes, gram_prefix, sliding_argmin, slices, text_buffer, word_hashes
+from driftsim.llm.blocks import Kind, blocks_of, covered, pick, repeated_blocks, runs_by_document, spans, window_hashes, with_blocks, words
+from driftsim.llm.text import NOT_BLANK, column_at, find_words, slices, text_buffer
 from driftsim.session import durable
 
 #: Words of a window, and of a seed inside it.
 WINDOW, SEED = 50, 16
+_KIND = Kind(words, WINDOW, SEED)
 
 
-def words_of(column: pa.Array) -> Words:
-    return find_words(*text_buffer(column), NOT_BLANK)
-
-
-def windows(words: Words, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(start, place of the seed, seed, hash) of every window of one row.
-
-    A window's seed is the run of SEED words in it with the smallest hash, the first on
-    ties: it depends on the window alone, and neighbouring windows mostly share it.
-    """
-    n = len(words.start)
-    if n < window:
-        return (np.zeros(0, np.int64),) * 2 + (np.zeros(0, np.uint64),) * 2
-    prefix = gram_prefix(word_hashes(words))
-    grams = gram_hashes(prefix, np.arange(n - SEED + 1), SEED)
-    place = sliding_argmin(grams, window - SEED + 1)
-    start = np.flatnonzero(words.row[: n - window + 1] == words.row[window - 1 :])
-    place = place[start]
-    return start, place, grams[place], gram_hashes(prefix, start, window)
-
-
-def _seeds(docs: DataFrame) -> DataFrame:
-    """(id, print, seed): the distinct seeds of each document."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words = words_of(part.column("text"))
-                start, place, seed, _ = windows(words)
-                one = np.unique(place, return_index=True)[1]
-                row = words.row[start[one]]
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(row)), part.column("print").take(pa.array(row)), pa.array(seed[one].view(np.int64))],
-                    ["id", "print", "seed"],
-                )
-
-    return docs.select("id", "print", "text").mapInArrow(run, "id long, print long, seed long")
-
-
-def _blocks(docs: DataFrame) -> DataFrame:
-    """The blocks around the wanted seeds of each document.
-
-    ``docs`` has (id, print, text, wanted: array<(seed, first)>). A block is the windows
-    that share one seed place: they start at ``start`` and the following words, the seed
-    stands ``gap`` words after the first, ``hashes`` are theirs. ``first``: the document is
-    the smallest that holds the seed.
-    """
+def _open_blocks(docs: DataFrame) -> DataFrame:
+    """(id, print, seed, is_first, start, gap, hashes): the wanted blocks with their windows' hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                words = words_of(part.column("text"))
-                start, place, seed, whole = windows(words)
-                if not len(start):
-                    continue
-                wanted = part.column("wanted")
-                sizes = np.diff(np.concatenate([wanted.offsets.to_numpy()[:1], wanted.offsets.to_numpy()[1:]]))
-                flat = wanted.flatten()
-                want_row = np.repeat(np.arange(part.num_rows), sizes)
-                want_seed = flat.field("seed").to_numpy().view(np.uint64)
-                want_first = flat.field("first").to_numpy(zero_copy_only=False)
-                edge = np.flatnonzero(np.concatenate([[True], place[1:] != place[:-1]]))
-                end = np.append(edge[1:], len(place))
-                row = words.row[start[edge]]
-                # Both sides as (row, seed), in order; a block is kept where its pair is wanted.
-                order = np.lexsort((want_seed, want_row))
-                key = np.stack([want_row[order].astype(np.uint64), want_seed[order]], axis=1).copy().view([("r", "u8"), ("s", "u8")]).ravel()
-                mine = np.stack([row.astype(np.uint64), seed[edge]], axis=1).copy().view([("r", "u8"), ("s", "u8")]).ravel()
-                at = np.minimum(np.searchsorted(key, mine), max(0, len(key) - 1))
-                keep = np.flatnonzero(key[at] == mine) if len(key) else np.zeros(0, np.int64)
-                lo, hi = edge[keep], end[keep]
-                n = hi - lo
-                pick = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-                offsets = np.concatenate([[0], np.cumsum(n)]).astype(np.int32)
-                rows = pa.array(row[keep])
+                found = blocks_of(words(part.column("text")), _KIND)
+                which, _, first = pick(found, part.column("wanted"))
+                offsets = np.concatenate([[0], np.cumsum(found.n[which])]).astype(np.int32)
+                hashes = window_hashes(found, which, _KIND) if len(which) else np.zeros(0, np.int64)
+                rows = pa.array(found.row[which])
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(rows),
                         part.column("print").take(rows),
-                        pa.array(seed[edge][keep].view(np.int64)),
-                        pa.array(want_first[order][at[keep]], pa.bool_()),
-                        pa.array(start[lo] - words.first[row[keep]]),
-                        pa.array((place[lo] - start[lo]).astype(np.int32)),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(whole[pick].view(np.int64))),
+                        pa.array(found.seed[which]),
+                        pa.array(first.astype(bool)),
+                        pa.array(found.start[which].astype(np.int32)),
+                        pa.array(found.gap[which].astype(np.int32)),
+                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(hashes)),
                     ],
-                    ["id", "print", "seed", "first", "start", "gap", "hashes"],
+                    ["id", "print", "seed", "is_first", "start", "gap", "hashes"],
                 )
 
-    return docs.select("id", "print", "text", "wanted").mapInArrow(
-        run, "id long, print long, seed long, first boolean, start long, gap int, hashes array<long>"
-    )
+    return docs.mapInArrow(run, "id long, print long, seed long, is_first boolean, start int, gap int, hashes array<long>")
 
 
 def _factors(met: DataFrame) -> DataFrame:
-    """Compare blocks with their reference block, aligned at the seed.
+    """Compare open blocks with the reference block of their seed, aligned at the seed.
 
     Windows that agree are a factor: one row (id, print, start, n) where the reference
     stands in a smaller document. A window over the border of the factor, or one that
@@ -119,9 +55,9 @@ def _factors(met: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = np.diff(batch.column("hashes").offsets.to_numpy()).astype(np.int64)
+            m = np.diff(batch.column("ref_hashes").offsets.to_numpy()).astype(np.int64)
             mine = batch.column("hashes").flatten().to_numpy()
             theirs = batch.column("ref_hashes").flatten().to_numpy()
-            m = np.diff(batch.column("ref_hashes").offsets.to_numpy()).astype(np.int64)
             row = np.repeat(np.arange(batch.num_rows), n)
             nth = np.arange(len(mine)) - np.repeat(np.cumsum(n) - n, n)
             shift = batch.column("ref_gap").to_numpy().astype(np.int64) - batch.column("gap").to_numpy()
@@ -130,12 +66,12 @@ def _factors(met: DataFrame) -> DataFrame:
             at = np.where(inside, (np.cumsum(m) - m)[row] + other, 0)
             agree = inside & (theirs[at] == mine) if len(theirs) else inside
             smaller = batch.column("ref_id").to_numpy() < batch.column("id").to_numpy()
-            start = batch.column("start").to_numpy()[row] + nth
+            start = batch.column("start").to_numpy().astype(np.int64)[row] + nth
             edge = np.ones(len(mine) + 1, bool)
             edge[1:-1] = (agree[1:] != agree[:-1]) | (row[1:] != row[:-1])
-            runs = np.flatnonzero(edge)
-            begin, size = runs[:-1], np.diff(runs)
-            use = agree[begin] & smaller[row[begin]]
+            begin = np.flatnonzero(edge)[:-1]
+            size = np.diff(np.flatnonzero(edge))
+            use = agree[begin] & smaller[row[begin]] if len(begin) else np.zeros(0, bool)
             begin, size = begin[use], size[use]
             rest = np.flatnonzero(~agree)
             rows = pa.array(np.concatenate([row[begin], row[rest]]))
@@ -144,79 +80,65 @@ def _factors(met: DataFrame) -> DataFrame:
                     batch.column("id").take(rows),
                     batch.column("print").take(rows),
                     batch.column("seed").take(rows),
-                    pa.array(np.concatenate([start[begin], start[rest]])),
-                    pa.array(np.concatenate([size, np.ones(len(rest), np.int64)])),
+                    pa.array(np.concatenate([start[begin], start[rest]]).astype(np.int32)),
+                    pa.array(np.concatenate([size, np.ones(len(rest), np.int64)]).astype(np.int32)),
                     pa.concat_arrays([pa.nulls(len(begin), pa.int64()), pa.array(mine[rest])]),
                 ],
                 ["id", "print", "seed", "start", "n", "hash"],
             )
 
-    return met.mapInArrow(run, "id long, print long, seed long, start long, n long, hash long")
+    return met.mapInArrow(run, "id long, print long, seed long, start int, n int, hash long")
 
 
 def duplicate_windows(docs: DataFrame) -> DataFrame:
     """(id, print, start, n): runs of windows whose words also start in a document of smaller id.
 
-    ``docs`` has (id: not null, print, text). Only seeds of two documents or more lead on,
-    and each of them has one reference block, that of its first document. Copies agree
-    with it as a whole, so only windows at the borders of factors are looked up by hash.
+    ``docs`` has (id: not null, print, text). The first block of a seed, in the order of
+    ids, is its reference. A block equal to it as a whole is one factor. The others are
+    compared window by window; what the factors leave over at their borders is looked up
+    by hash among all windows that were left over.
     """
-    seeds = _seeds(docs)
-    repeated = seeds.groupBy("seed").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
-    wanted = (
-        seeds.join(repeated, "seed")
-        .groupBy(F.col("id").alias("id2"), F.col("print").alias("print2"))
-        .agg(F.collect_set(F.struct("seed", (F.col("id") == F.col("least")).alias("first"))).alias("wanted"))
-    )
-    met = docs.join(wanted, (F.col("id") == F.col("id2")) & (F.col("print") == F.col("print2")))
-    blocks = durable(_blocks(met))
+    table = repeated_blocks(docs, _KIND, across=True)
+    whole = table.filter("same and id > first_id").select("id", "print", "start", "n")
+    blocks = durable(_open_blocks(with_blocks(docs, table.filter("open and (is_first or not same)"))))
     refs = (
-        blocks.filter("first")
+        blocks.filter("is_first")
         .groupBy("seed")
-        .agg(F.min(F.struct("id", "print", "start", "gap", "hashes")).alias("ref"))
+        .agg(F.min(F.struct("id", "gap", "hashes")).alias("ref"))
         .select("seed", F.col("ref.id").alias("ref_id"), F.col("ref.gap").alias("ref_gap"), F.col("ref.hashes").alias("ref_hashes"))
     )
-    found = durable(_factors(blocks.join(refs, "seed").select("id", "print", "seed", "start", "gap", "hashes", "ref_id", "ref_gap", "ref_hashes")))
+    others = blocks.filter("not is_first").join(refs, "seed")
+    found = durable(_factors(others.select("id", "print", "seed", "start", "gap", "hashes", "ref_id", "ref_gap", "ref_hashes")))
     rest = found.filter("hash is not null")
     least = rest.groupBy("seed", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
     elsewhere = rest.join(least, ["seed", "hash"]).filter("id > least").select("id", "print", "start", "n")
-    return found.filter("hash is null").select("id", "print", "start", "n").unionByName(elsewhere)
+    return whole.unionByName(found.filter("hash is null").select("id", "print", "start", "n")).unionByName(elsewhere)
 
 
 def _remove(found: DataFrame) -> DataFrame:
     """``found`` (document, runs) with the covered words taken out."""
-    schema = T.StructType(
-        [
-            T.StructField(found.schema["document"].name, found.schema["document"].dataType),
-            *T.StructType.fromDDL("n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string").fields,
-        ]
-    )
+    added = T.StructType.fromDDL("n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "document.text"):
-                words = words_of(column_at(part, "document.text"))
-                raw = words.data.tobytes()
-                spans, kept, removed = [], [], []
+                at = find_words(*text_buffer(column_at(part, "document.text")), NOT_BLANK)
+                raw = at.data.tobytes()
+                ranges, kept, removed = [], [], []
                 for r, runs in enumerate(part.column("runs").to_pylist()):
-                    a, b = words.first[r], words.first[r + 1]
-                    cover = np.zeros(b - a + 1, np.int64)
-                    for run in runs or ():
-                        cover[run["start"]] += 1
-                        cover[run["start"] + run["n"] + WINDOW - 1] -= 1
-                    gone = np.cumsum(cover[:-1]) > 0
-                    flips = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-                    spans.append([{"start": x, "end": y} for x, y in flips.reshape(-1, 2).tolist()])
+                    a, b = at.first[r], at.first[r + 1]
+                    gone = covered(runs, b - a, WINDOW)
+                    ranges.append(spans(gone))
                     stay = a + np.flatnonzero(~gone)
-                    kept.append(b" ".join([raw[i:j] for i, j in zip(words.start[stay].tolist(), words.end[stay].tolist(), strict=True)]).decode())
+                    kept.append(b" ".join([raw[i:j] for i, j in zip(at.start[stay].tolist(), at.end[stay].tolist(), strict=True)]).decode())
                     removed.append(int(gone.sum()))
                 span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("document"), pa.array(np.diff(words.first)), pa.array(removed, pa.int64()), pa.array(spans, span), pa.array(kept, pa.string())],
-                    ["document", "n_words", "n_removed", "spans", "kept"],
+                    [part.column("document"), pa.array(np.diff(at.first)), pa.array(removed, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.string())],
+                    ["document", *added.names],
                 )
 
-    return found.mapInArrow(run, schema)
+    return found.mapInArrow(run, T.StructType([T.StructField("document", found.schema["document"].dataType), *added.fields]))
 
 
 def substring_dedup(docs: DataFrame) -> DataFrame:
@@ -230,7 +152,5 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     Rows of one doc_id do not remove from one another, and equal ones get equal results.
     """
     whole = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"))
-    runs = duplicate_windows(whole.filter("id is not null and document.text is not null").select("id", "print", F.col("document.text").alias("text")))
-    per_doc = runs.groupBy(F.col("id").alias("id2"), F.col("print").alias("print2")).agg(F.collect_set(F.struct("start", "n")).alias("runs"))
-    met = whole.join(per_doc, (F.col("id") == F.col("id2")) & (F.col("print") == F.col("print2")), "left").select("document", "runs")
-    return _remove(met)
+    texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"), "text")
+    return _remove(runs_by_document(whole, duplicate_windows(texts)))

@@ -32,7 +32,7 @@ LOWER[65:91] += 32
 
 _RANDOM = np.random.default_rng(20240229)
 _BYTE_VALUES = _RANDOM.integers(0, 1 << 64, 256, dtype=np.uint64)
-_BYTE_BASE, _WORD_BASE = 0x9E3779B97F4A7C15 | 5, 0xC2B2AE3D27D4EB4F | 3
+_BYTE_BASE = 0x9E3779B97F4A7C15
 _powers: dict[int, np.ndarray] = {}
 
 
@@ -55,9 +55,10 @@ def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
 
 
 def text_buffer(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """UTF-8 bytes of a string column, and where each row starts and ends (null: empty)."""
-    wide = column.fill_null("") if column.null_count else column
-    wide = wide.cast(pa.large_string())
+    """Bytes of a string or binary column, and where each row starts and ends (null: empty)."""
+    binary = pa.types.is_binary(column.type)
+    wide = column.fill_null(b"" if binary else "") if column.null_count else column
+    wide = wide.cast(pa.large_binary() if binary else pa.large_string())
     offsets = np.frombuffer(wide.buffers()[1], np.int64)[wide.offset : wide.offset + len(wide) + 1]
     data = wide.buffers()[2]
     if data is None or not len(offsets):
@@ -149,22 +150,9 @@ def word_hashes(words: Words) -> np.ndarray:
     return span_hashes(prefix, words.start, words.end, _BYTE_BASE)
 
 
-def byte_prefix(data: np.ndarray) -> np.ndarray:
-    return prefix_sums(_BYTE_VALUES[data], _BYTE_BASE)
-
-
-def byte_span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return span_hashes(prefix, start, end, _BYTE_BASE)
-
-
-def gram_prefix(hashes: np.ndarray) -> np.ndarray:
-    """Prefix sums over word hashes, for ``gram_hashes``."""
-    return prefix_sums(hashes, _WORD_BASE)
-
-
-def gram_hashes(prefix: np.ndarray, start: np.ndarray, n: int) -> np.ndarray:
-    """Hashes of the n words from each start."""
-    return span_hashes(prefix, start, start + n, _WORD_BASE)
+def byte_values(data: np.ndarray) -> np.ndarray:
+    """A 64-bit value for each byte, to take prefix sums of."""
+    return _BYTE_VALUES[data]
 
 
 def sliding_argmin(values: np.ndarray, width: int) -> np.ndarray:
