@@ -279,7 +279,7 @@ def score(docs: DataFrame) -> DataFrame:
                 of, hit, rows = words.row[is_head], at[is_head], part.num_rows
                 number = task + nth + np.arange(rows)
                 nth += rows
-                sums = [np.bincount(of, x[hit], rows) for x in (trained > 0, base, log10_p)]
+                sums = [np.bincount(of, x[hit], rows).astype(float) for x in (trained > 0, base, log10_p)]
                 # The rare words of each text, without repeats.
                 rest = np.flatnonzero(~is_head)
                 pair = np.stack([words.row[rest].astype(np.uint64), found[rest]])
