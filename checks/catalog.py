@@ -119,9 +119,15 @@ def _change(spark, folder) -> update.Update:
     return update.apply_batch(before(spark, folder), fresh(spark, folder), SETTINGS, 1, sql.TAIL)
 
 
+def known_items(base, rows):
+    """The items of the state and of the batch."""
+    return base.item_info.select("item_id").unionByName(rows.select("item_id")).distinct()
+
+
 def pool(spark, folder):
     base = before(spark, folder)
-    return increment.candidates(clocked(spark, folder), base.neighbors, base.item_info, sql.K, sql.SEED, 1)
+    known = known_items(base, fresh(spark, folder))
+    return increment.candidates(clocked(spark, folder), base.neighbors, known, sql.K, sql.SEED, 1)
 
 
 def flat_profile(name: str) -> str:
@@ -877,7 +883,7 @@ def _(spark, folder):
     base = before(spark, folder)
     items = increment.fresh_keys(fresh(spark, folder), "item_id")
     listed = recommend.has_neighbors(items, base.neighbors)
-    return increment.random_k(listed, base.item_info, sql.K, sql.SEED, 1)
+    return increment.random_k(listed, known_items(base, items), sql.K, sql.SEED, 1)
 
 
 # ---------------------------------------------------------------- streaming and state

@@ -152,7 +152,7 @@ CTES.update({
         SELECT DISTINCT fresh_id, neighbor_id AS candidate_id FROM hop1 JOIN t_nb ON item_id = candidate_id""",
     "draws": f"""
         SELECT item_id, row_number() OVER (ORDER BY md5('{SEED}:1:' || item_id), item_id) AS slot FROM (
-          SELECT item_id FROM t_info ORDER BY md5('{SEED}:1:' || item_id), item_id
+          SELECT item_id FROM (SELECT item_id FROM t_info UNION SELECT item_id FROM clk) ORDER BY md5('{SEED}:1:' || item_id), item_id
           LIMIT {K} * (SELECT count(*) FROM listed_fresh))""",
     "rnd": f"""
         SELECT fresh_id, d.item_id AS candidate_id FROM (

@@ -2,6 +2,8 @@
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftsim.operators.ordering import positions
+
 
 def prediction_error(predicted: DataFrame) -> DataFrame:
     """RMSE, MAE, the RMSE of the plain user mean, and the number of predictions."""
@@ -72,28 +74,40 @@ def avg_view_similarity(neighbors: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def latency_summary(metrics: DataFrame, by: str, value: str) -> DataFrame:
-    """Mean, minimum, percentiles and maximum of a value column."""
+    """Mean, minimum, percentiles and maximum of a value column.
+
+    A percentile lies between two ranks. Values are numbered within their group, which
+    splits a large group over tasks, and only the rows of these ranks are summed; no
+    group is buffered.
+    """
+    shares = {"p50": 0.5, "p90": 0.9, "p99": 0.99}
+    rows = metrics.select(by, F.col(value).alias("value")).filter("value is not null")
+    placed = positions(rows, [F.col("value")], "place", (by,))
+    sizes = rows.groupBy(by).agg(
+        F.avg("value").alias("mean"), F.min("value").alias("min"), F.max("value").alias("max"), F.count(F.lit(1)).alias("n")
+    )
+    zero_based = F.col("place") - 1
 
     def at(share):
-        return F.percentile(value, F.lit(share))
-
-    return metrics.groupBy(by).agg(
-        F.avg(value).alias("mean"),
-        F.min(value).alias("min"),
-        at(0.5).alias("p50"),
-        at(0.9).alias("p90"),
-        at(0.99).alias("p99"),
-        F.max(value).alias("max"),
+        spot = (F.col("n") - 1) * F.lit(share)
+        return F.sum(F.col("value") * F.greatest(F.lit(0.0), 1 - F.abs(zero_based - spot)))
+
+    # A null group is a group like any other.
+    counts = sizes.select(F.col(by).alias("group"), "n")
+    ranks = placed.join(counts, F.col(by).eqNullSafe(F.col("group"))).groupBy("group").agg(
+        *(at(share).alias(name) for name, share in shares.items())
     )
+    return sizes.join(ranks, F.col(by).eqNullSafe(F.col("group"))).select(by, "mean", "min", *shares, "max")
 
 
 def watch_items(batches: DataFrame, metrics: DataFrame, items: list[int]) -> DataFrame:
     """When the batches holding a watched item were processed.
 
-    ``metrics`` has (batch, started, ended) in epoch seconds.
+    ``metrics`` has (batch, started, ended) in epoch seconds, in any number of phases.
     """
     watched = batches.filter(F.col("item_id").isin(items)).select("batch", "item_id").distinct()
-    return watched.join(metrics, "batch").select(
+    whole = metrics.groupBy("batch").agg(F.min("started").alias("started"), F.max("ended").alias("ended"))
+    return watched.join(whole, "batch").select(
         "batch",
         "item_id",
         F.from_unixtime("started").alias("started"),

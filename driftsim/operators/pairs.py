@@ -55,7 +55,7 @@ def pairs_within(
 def _pair_tasks(df: DataFrame, sizes: GroupSizes) -> int:
     """Tasks of a pair join. Its input says little about its work, so the pairs are counted in."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return base * max(1, min(16, round(sizes.squares / 2 / PAIR_ROWS / base)))
+    return max(base, round(sizes.squares / 2 / PAIR_ROWS))
 
 
 def co_rated_pairs(profile: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:

@@ -58,12 +58,15 @@ def split_head_tail(
     at = F.lit(True)
     after = F.lit(False)
     for name in names:
-        after = after | (at & (F.col(name) > F.lit(border[name])))
-        at = at & (F.col(name) == F.lit(border[name]))
+        after = after | (at & _beyond(name, border[name]))
+        at = at & F.col(name).eqNullSafe(F.lit(border[name]))
     # Rows equal to the border row are interchangeable; only their number counts.
     # The first scalar bound lets the scan skip row groups.
-    head = ratings.filter((F.col(names[0]) <= F.lit(border[names[0]])) & ~after & ~at)
-    test = ratings.filter((F.col(names[0]) >= F.lit(border[names[0]])) & after)
+    first, bound = names[0], border[names[0]]
+    head, test = ratings.filter(~after & ~at), ratings.filter(after)
+    if bound is not None:
+        head = head.filter((F.col(first) <= F.lit(bound)) | F.col(first).isNull())
+        test = test.filter(F.col(first) >= F.lit(bound))
     equal = ratings.filter(at)
     n_equal, n_after = equal.count(), test.count()
     in_test = tail - n_after
@@ -77,6 +80,13 @@ def split_head_tail(
     )
 
 
+def _beyond(name: str, border) -> Column:
+    """Whether a value comes after the border's, nulls first as in an ascending sort."""
+    if border is None:
+        return F.col(name).isNotNull()
+    return F.coalesce(F.col(name) > F.lit(border), F.lit(False))
+
+
 def assign_microbatches(
     rows: DataFrame, size: int, order: list[Column], limit: int = GROUP_ROWS
 ) -> DataFrame:

@@ -24,6 +24,7 @@ class Update:
     recommendations: DataFrame
     touched: DataFrame
     touched_pairs: DataFrame
+    users: DataFrame
 
 
 def apply_batch(
@@ -34,11 +35,12 @@ def apply_batch(
     batch_rows: int = 0,
     ignore_new: bool = False,
     contain_duplicates: bool = True,
-    keep=lambda name, df: durable(df),
+    keep=lambda name, df, owners=None: durable(df),
 ) -> Update:
     """Update every relation by one batch of (user_id, item_id, rating, position).
 
-    ``keep`` stores a changed relation under its name and returns it as read back.
+    ``keep`` stores a changed relation under its name and returns it as read back; the
+    third argument are keys whose old list goes even if they have no new one.
     """
     if ignore_new:
         fresh = increment.ignore_new(fresh, base.user_ratings, base.item_info)
@@ -52,9 +54,9 @@ def apply_batch(
     near = base.find("neighbors", items, ["item_id"])
     middle = near.select(F.col("neighbor_id").alias("item_id")).distinct()
     near = durable(near.unionByName(base.find("neighbors", middle, ["item_id"])).distinct())
-    pool = durable(
-        increment.candidates(clocked, near, base.item_info, settings.k, settings.seed, batch)
-    )
+    # The batch's own new items can be drawn as well.
+    known = base.item_info.select("item_id").unionByName(items).distinct()
+    pool = durable(increment.candidates(clocked, near, known, settings.k, settings.seed, batch))
     touched = durable(increment.touched_items(clocked, pool))
     wanted = increment.touched_pairs(pool)
 
@@ -70,13 +72,18 @@ def apply_batch(
     lists = base.find("neighbors", touched, ["item_id"]).unionByName(defaults)
     neighbors = keep("neighbors", increment.refresh_neighbors(lists, touched, info, sums, settings.k))
 
-    ratings = keep("user_ratings", clocked.select("user_id", "item_id", "rating", "timestep"))
+    rows = clocked.select("user_id", "item_id", "rating", "timestep")
+    if not contain_duplicates:
+        # What is written under a key replaces what was there, so the earlier rows go along.
+        rows = rows.unionByName(old.select(*rows.columns).join(rows.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi"))
+    ratings = keep("user_ratings", rows)
     profile = increment.merge_profiles(old, clocked, contain_duplicates)
     stored = base.find("neighbors", popular, ["item_id"]).unionByName(defaults)
     served = durable(increment_lists(stored, neighbors, popular))
     recommendations = keep(
         "recommendations",
         recommend.topr_recommendations(profile, popular, served, settings.r + batch_rows),
+        users,
     )
     return Update(
         ratings,
@@ -87,6 +94,7 @@ def apply_batch(
         recommendations,
         touched,
         wanted,
+        users,
     )
 
 
@@ -100,12 +108,13 @@ def increment_lists(lists: DataFrame, changed: DataFrame, popular: DataFrame) ->
 def merged_relations(base: Relations, change: Update) -> Relations:
     """The relations after the batch, for callers that keep them as plans."""
 
-    def put(old, new, key):
-        return old.join(new.select(*key).distinct(), key, "left_anti").unionByName(new.select(*old.columns))
+    def put(old, new, key, owners=None):
+        gone = (new if owners is None else owners).select(*key).distinct()
+        return old.join(gone, key, "left_anti").unionByName(new.select(*old.columns))
 
     recommendations = change.recommendations
     if base.recommendations is not None:
-        recommendations = put(base.recommendations, change.recommendations, ["user_id"])
+        recommendations = put(base.recommendations, change.recommendations, ["user_id"], change.users)
     return Relations(
         put(base.user_ratings, change.user_ratings, ["user_id", "item_id"]),
         put(base.item_info, change.item_info, ["item_id"]),

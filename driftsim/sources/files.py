@@ -4,7 +4,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions
 from pyspark.sql.types import StructType
 
 from driftsim.functions.scoring import to_epoch
-from driftsim.schemas import RATINGS
+from driftsim.schemas import RATINGS, VOTES
 
 MICROBATCH_JSON = (
     "user map<string,bigint>, item map<string,bigint>, rating map<string,double>, unixtimestamp map<string,bigint>"
@@ -46,6 +46,13 @@ def scan_block_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def ingest_block_log(spark: SparkSession, source: str, target: str) -> DataFrame:
+    """Sort the votes of a block log by time and write them as csv."""
+    votes = scan_block_log(spark, source)
+    votes.orderBy("ts", "electee_id", "voter_id", "vote").write.csv(target)
+    return scan_ratings(spark, target, VOTES)
+
+
 def carry_forward(lines: DataFrame, value: str, name: str) -> DataFrame:
     """The last non-null ``value`` at or before each line of its file.
 

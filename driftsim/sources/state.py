@@ -28,6 +28,7 @@ _COMMITS = (
     .add("epoch", LongType())
 )
 _CHANGES = -1  # the bucket of rows changed after the base
+_REPEATED = {"user_ratings"}  # may hold several rows of one key
 # Relations stored as one ranked array per key, and the fields of an entry.
 _LISTS = {"neighbors": ("item_id", ["neighbor_id", "sim"]), "recommendations": ("user_id", ["item_id", "pred"])}
 
@@ -71,12 +72,20 @@ class StateStore:
             commits.filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).limit(1).count()
         )
 
-    def write(self, version: int, name: str, rows: DataFrame, base: bool = False) -> DataFrame:
-        """Put rows under a version not yet committed, and return them as read back."""
+    def write(
+        self, version: int, name: str, rows: DataFrame, base: bool = False, owners: DataFrame | None = None
+    ) -> DataFrame:
+        """Put rows under a version not yet committed, and return them as read back.
+
+        ``owners`` are keys whose list is replaced even if nothing is left in it.
+        """
         schema = STATE[name][0]
         if name in _LISTS:
             key, fields = _LISTS[name]
             rows = ranked_list(rows, key, fields, name)
+            if owners is not None:
+                empty = F.array().cast(schema[name].dataType)
+                rows = owners.select(key).join(rows, key, "left").withColumn(name, F.coalesce(name, empty))
         typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
         path = self._put(version, name, rows.select(*typed), base)
         return self._flat(name, self.spark.read.schema(schema).parquet(path).select(*schema.names))
@@ -171,6 +180,13 @@ class StateStore:
         if not key or version == base:
             return rows.select(*schema.names)
         rest = [c for c in schema.names if c not in key]
+        if name in _REPEATED:
+            # A version's rows of a key replace all earlier ones. A key has a row for each
+            # time it was rated and each version since the base, however large its user is.
+            every = F.collect_list(F.struct("v", *rest))
+            found = rows.groupBy(*key).agg(every.alias("every"), F.max("v").alias("newest"))
+            last = F.filter("every", lambda x: x["v"] == F.col("newest"))
+            return found.select(*key, F.inline(last)).drop("v")
         newest = F.max_by(F.struct(*rest), "v").alias("row")
         return rows.groupBy(*key).agg(newest).select(*key, "row.*")
 

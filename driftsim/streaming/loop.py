@@ -70,7 +70,7 @@ class Loop:
             size,
             self.ignore_new,
             self.contain_duplicates,
-            keep=lambda name, df: self.store.write(version, name, df),
+            keep=lambda name, df, owners=None: self.store.write(version, name, df, owners=owners),
         )
         ended = time.time()
         phases = [
