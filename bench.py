@@ -62,7 +62,7 @@ def main() -> None:
     # Latency per micro-batch of the serving loop, for batches of 10 and of 100 ratings.
     train, test = prepare.split_head_tail(catalog.ratings(spark, FOLDER), 100, catalog.ORDER)
     order = [F.col(c) for c in catalog.ORDER]
-    store = StateStore(spark, scratch_path(spark, "bench-state"))
+    store = StateStore(spark, scratch_path(spark, "bench-state"), 8)
     timed(
         "state_bootstrap",
         lambda: store.bootstrap(

@@ -180,7 +180,7 @@ def stage_block_log(spark, folder) -> str:
     "SELECT electee_id, voter_id, vote, ts // 1000000 AS ts FROM v1",
 )
 def _(spark, folder):
-    return files.scan_block_log(spark, stage_block_log(spark, folder)).orderBy("ts")
+    return files.ingest_block_log(spark, stage_block_log(spark, folder), scratch_path(spark, "votes"))
 
 
 @query(
@@ -195,8 +195,11 @@ def _(spark, folder):
     )
 
 
+STATE_BUCKETS = 8
+
+
 def stored_state(spark, folder) -> StateStore:
-    store = StateStore(spark, scratch_path(spark, "state"))
+    store = StateStore(spark, scratch_path(spark, "state"), STATE_BUCKETS)
     store.bootstrap(
         lambda keep: bootstrap.relations(ratings(spark, folder), SETTINGS, keep),
         lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r),
@@ -266,16 +269,14 @@ def _(spark, folder):
     )
 
 
-REPLAY_BATCHES = 8
+REPLAY_ROWS = 100  # of a message, whatever the table's size
 REPLAY_SQL = f"""
     SELECT batch, user_id, item_id, rating, ts FROM (
-      {sql.array_split('r1', f"(SELECT greatest(1, count(*) // greatest(1, count(*) // {REPLAY_BATCHES})) FROM r1)", 'ts, user_id, item_id')})"""
+      {sql.array_split('r1', f"(SELECT greatest(1, count(*) // {REPLAY_ROWS}) FROM r1)", 'ts, user_id, item_id')})"""
 
 
 def replayed(spark, folder):
-    rows = ratings(spark, folder)
-    size = max(1, rows.count() // REPLAY_BATCHES)
-    staged = replay.stage_replay(rows, size, [F.col(c) for c in ORDER])
+    staged = replay.stage_replay(ratings(spark, folder), REPLAY_ROWS, [F.col(c) for c in ORDER])
     return replay.replay_stream(spark, staged, scratch_path(spark, "rows"), scratch_path(spark, "stream"))
 
 
@@ -892,13 +893,14 @@ def _(spark, folder):
 def run_stream(spark, folder, size):
     """Bootstrap on the head, then stream the tail through the serving loop."""
     train, test = split(spark, folder)
-    store = StateStore(spark, scratch_path(spark, "state"))
+    store = StateStore(spark, scratch_path(spark, "state"), STATE_BUCKETS)
     store.bootstrap(
         lambda keep: bootstrap.relations(train, SETTINGS, keep),
         lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r + size),
     )
     staged = replay.stage_replay(test.select(*RATINGS.names), size, [F.col(c) for c in [*ORDER, "rating"]])
-    loop.run_loop(store, staged, SETTINGS, [5, SETTINGS.r])
+    watched = tuple(range(3, 500, 7))
+    loop.run_loop(store, staged, SETTINGS, [5, SETTINGS.r], view_similarity=True, watched=watched)
     return store
 
 
@@ -928,17 +930,57 @@ def _(spark, folder):
     return streamed_once(spark, folder).log("predictions")
 
 
-@query("run_report", "phase:s batches:l n:l rmse:d mae:d rmse_mean:d", """
+PHASES = ["batching", "update", *(f"update {name}" for name in ("item_info", "pair_info", "popular", "neighbors", "user_ratings", "recommendations"))]
+SERVED_HITS = """
+    SELECT c.user_id, count(DISTINCT c.item_id) AS clicks, any_value(r.n) AS recommended, count(DISTINCT h.item_id) AS hits
+    FROM test c JOIN (SELECT user_id, count(DISTINCT item_id) AS n FROM lists GROUP BY 1) r ON r.user_id = c.user_id
+    LEFT JOIN lists h ON h.user_id = c.user_id AND h.item_id = c.item_id GROUP BY 1"""
+
+
+@query(
+    "run_report",
+    "phase:s batches:l n:l rmse:d mae:d rmse_mean:d ctr:d recall:d relevant:l recommended:l users:l",
+    f"""
+    WITH lists AS (SELECT DISTINCT user_id, item_id FROM served WHERE rank <= {sql.R}),
+    hits AS ({SERVED_HITS})
     SELECT phase, 1 AS batches, count(*) AS n, sqrt(avg((pred - rating) ** 2)) AS rmse,
-           avg(abs(pred - rating)) AS mae, sqrt(avg((mean - rating) ** 2)) AS rmse_mean
-    FROM predictions CROSS JOIN (SELECT unnest(['batching', 'update']) AS phase) GROUP BY phase""")
+           avg(abs(pred - rating)) AS mae, sqrt(avg((mean - rating) ** 2)) AS rmse_mean,
+           (SELECT avg(CASE WHEN recommended > 0 THEN hits / recommended ELSE 0 END) FROM hits) AS ctr,
+           (SELECT avg(hits / clicks) FROM hits) AS recall, (SELECT sum(hits) FROM hits) AS relevant,
+           (SELECT sum(recommended) FROM hits) AS recommended, (SELECT count(*) FROM hits) AS users
+    FROM predictions CROSS JOIN (SELECT unnest({PHASES}) AS phase) GROUP BY phase""",
+)
 def _(spark, folder):
     return loop.run_report(streamed_once(spark, folder))
 
 
-@query("batch_metrics", "batch:l phase:s rows:l seconds:d")
+@query(
+    "batch_metrics",
+    "batch:l phase:s rows:l took:s",
+    f"""SELECT batch, phase, 50 AS rows, 'true' AS took
+        FROM (SELECT unnest([1, 2]) AS batch) CROSS JOIN (SELECT unnest({PHASES}) AS phase)""",
+)
+def _(spark, folder):
+    return streamed(spark, folder).log("metrics").withColumn("took", F.col("seconds") >= 0)
+
+
+@query(
+    "batch_view_similarity",
+    "batch:l view_similarity:d",
+    """SELECT 1 AS batch, sum(m) / (SELECT count(*) FROM (SELECT item_id FROM t_info UNION SELECT item_id FROM n_info)) AS view_similarity
+       FROM (SELECT avg(sim) AS m FROM all_nb GROUP BY item_id)""",
+)
+def _(spark, folder):
+    return streamed_once(spark, folder).log("view_similarity")
+
+
+@query(
+    "batch_watch_items",
+    "batch:l item_id:l timed:s",
+    "SELECT DISTINCT 1 AS batch, item_id, 'true' AS timed FROM test WHERE item_id % 7 = 3 AND item_id < 500",
+)
 def _(spark, folder):
-    return streamed(spark, folder).log("metrics")
+    return streamed_once(spark, folder).log("watched").withColumn("timed", F.col("ended") >= F.col("started"))
 
 
 @query(

@@ -26,7 +26,8 @@ RECOMMENDATIONS = _struct(user_id=_LONG, recommendations=T.ArrayType(RECOMMENDAT
 STATE = {
     "user_ratings": (USER_RATINGS, ("user_id", "item_id"), ("user_id",)),
     "item_info": (ITEM_INFO, ("item_id",), ("item_id",)),
-    "pair_info": (PAIR_INFO, ("item_i", "item_j"), ("item_i", "item_j")),
+    # Pairs lie by their first item: the few items of a batch open few buckets.
+    "pair_info": (PAIR_INFO, ("item_i", "item_j"), ("item_i",)),
     "neighbors": (NEIGHBORS, ("item_id",), ("item_id",)),
     "recommendations": (RECOMMENDATIONS, ("user_id",), ("user_id",)),
     "popular": (_struct(item_id=_LONG, n=_LONG), (), ()),

@@ -11,7 +11,7 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, Row, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from driftsim.operators.keys import lookup
@@ -38,9 +38,10 @@ class StoredRelations(Relations):
     """Relations of a store, which looks keys up by bucket."""
 
     store: StateStore | None = None
+    head: Row | None = None
 
     def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
-        return self.store.find(name, wanted, on)
+        return self.store.find(name, wanted, on, self.head)
 
 
 class StateStore:
@@ -120,17 +121,20 @@ class StateStore:
         """A relation as of the last commit."""
         return self._flat(name, self._stored(name))
 
-    def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
+    def find(self, name: str, wanted: DataFrame, on: list[str], head: Row | None = None) -> DataFrame:
         """Rows of a relation whose key is wanted, out of the buckets that can hold them."""
-        buckets = self._head().buckets
-        if buckets == 1 or tuple(on) != STATE[name][2]:
-            return lookup(self.read(name), wanted, on)
+        head = head or self._head()
+        by = STATE[name][2]
+        if head.buckets == 1 or not set(by) <= set(on):
+            return lookup(self._flat(name, self._stored(name, head=head)), wanted, on)
         # Bucket numbers only: at most as many as there are buckets.
-        found = wanted.select(_bucket(on, buckets).alias("bucket")).distinct().collect()
-        return lookup(self._flat(name, self._stored(name, [r.bucket for r in found])), wanted, on)
+        found = wanted.select(_bucket(by, head.buckets).alias("bucket")).distinct().collect()
+        return lookup(self._flat(name, self._stored(name, [r.bucket for r in found], head)), wanted, on)
 
     def relations(self) -> Relations:
-        return StoredRelations(**{name: self.read(name) for name in STATE}, store=self)
+        head = self._head()
+        found = {name: self._flat(name, self._stored(name, head=head)) for name in STATE}
+        return StoredRelations(**found, store=self, head=head)
 
     def bootstrap(self, build, topr) -> Relations:
         """Store freshly built relations as version 0.
@@ -166,9 +170,10 @@ class StateStore:
             self._put(version, name, self.spark.createDataFrame([], schema), base=True)
         self.commit(version, version)
 
-    def _stored(self, name: str, buckets: list[int] | None = None) -> DataFrame:
+    def _stored(self, name: str, buckets: list[int] | None = None, head: Row | None = None) -> DataFrame:
         schema, key, _ = STATE[name]
-        version, base = self.last()
+        head = head or self._head()
+        version, base = head.version, head.base
         layout = [StructField("v", LongType()), StructField("bucket", IntegerType())]
         rows = (
             self.spark.read.schema(StructType([*schema.fields, *layout]))

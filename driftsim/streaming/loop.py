@@ -10,7 +10,7 @@ from driftsim.plans.update import apply_batch
 from driftsim.session import durable, scratch_path
 from driftsim.sources.files import parse_columnar_json, recommendation_messages
 from driftsim.sources.state import StateStore
-from driftsim.streaming.replay import microbatch_source, run_to_end
+from driftsim.streaming.replay import in_order, microbatch_source, run_to_end
 
 
 class Loop:
@@ -30,7 +30,12 @@ class Loop:
         ignore_new: bool = False,
         contain_duplicates: bool = True,
         compact_every: int = 20,
+        view_similarity: bool = False,
+        watched: tuple[int, ...] = (),
     ):
+        """``view_similarity``: log the mean similarity of all lists after every batch;
+        ``watched``: items whose batches are reported by ``watch_report``."""
+        self.view_similarity, self.watched = view_similarity, tuple(watched)
         self.store, self.settings, self.cutoffs, self.stream = store, settings, cutoffs, stream
         self.ignore_new, self.contain_duplicates = ignore_new, contain_duplicates
         self.compact_every = compact_every
@@ -46,7 +51,7 @@ class Loop:
         base = self.store.relations()
 
         started = time.time()
-        rows = durable(parse_columnar_json(messages).withColumn("batch", F.lit(version).cast("long")))
+        rows = durable(parse_columnar_json(messages.select("value")).withColumn("batch", F.lit(version).cast("long")))
         size = rows.count()
         self.store.append_log(version, "observations", rows)
         users, items = rows.select("user_id").distinct(), rows.select("item_id").distinct()
@@ -55,13 +60,25 @@ class Loop:
         )
         self.store.append_log(version, "predictions", predicted)
         stored = base.find("recommendations", users, ["user_id"])
-        served = recommend.serve_recommendations(rows, stored, self.cutoffs)
+        served = durable(recommend.serve_recommendations(rows, stored, self.cutoffs))
         self.store.append_log(version, "messages", recommendation_messages(served))
+        longest = served.filter(F.col("cutoff") == max(self.cutoffs))
+        self.store.append_log(version, "served", longest.select("batch", "arrival", "user_id", "item_id", "rank"))
         batched = time.time()
 
         fresh = prepare.last_in_batch(prepare.batch_timestep(rows)).select(
             "user_id", "item_id", "rating", "position"
         )
+        steps = []
+
+        def keep(name: str, df: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+            """Store a relation, and note how long its step took."""
+            begun = steps[-1][3] if steps else batched
+            found = self.store.write(version, name, df, owners=owners)
+            now = time.time()
+            steps.append((version, f"update {name}", begun, now, now - begun, size))
+            return found
+
         apply_batch(
             base,
             fresh,
@@ -70,11 +87,12 @@ class Loop:
             size,
             self.ignore_new,
             self.contain_duplicates,
-            keep=lambda name, df, owners=None: self.store.write(version, name, df, owners=owners),
+            keep=keep,
         )
         ended = time.time()
         phases = [
             (version, "batching", started, batched, batched - started, size),
+            *steps,
             (version, "update", batched, ended, ended - batched, size),
         ]
         metrics = self.store.spark.createDataFrame(
@@ -82,6 +100,12 @@ class Loop:
         )
         self.store.append_log(version, "metrics", metrics)
         self.store.commit(version, base_version, self.stream, epoch)
+        if self.view_similarity:
+            found = evaluate.avg_view_similarity(self.store.read("neighbors"), self.store.read("item_info"))
+            self.store.append_log(version, "view_similarity", found.withColumn("batch", F.lit(version).cast("long")))
+        if self.watched:
+            found = evaluate.watch_items(rows, metrics.filter("phase in ('batching', 'update')"), list(self.watched))
+            self.store.append_log(version, "watched", found)
 
 
 def run_loop(
@@ -90,14 +114,19 @@ def run_loop(
     """Apply every message file below ``folder`` to the state."""
     checkpoint = checkpoint or scratch_path(store.spark, "stream")
     loop = Loop(store, settings, cutoffs, checkpoint, **options)
-    run_to_end(microbatch_source(store.spark, folder), loop, checkpoint)
+    run_to_end(microbatch_source(store.spark, folder), in_order(store.spark, folder, loop), checkpoint)
 
 
 def run_report(store: StateStore) -> DataFrame:
-    """Batches, latency figures per phase and prediction errors of a run, one row per phase."""
+    """One row per phase: its latency figures, and those of the whole run.
+
+    These are the batches, the prediction errors, and what became of the longest lists
+    that were served: click-through, recall, and the totals behind them.
+    """
     latency = evaluate.latency_summary(store.log("metrics"), "phase", "seconds")
     batches = store.log("metrics").select("batch").distinct().agg(F.count(F.lit(1)).alias("batches"))
     errors = evaluate.prediction_error(store.log("predictions"))
-    return latency.select(
-        "*", batches.scalar().alias("batches"), *(errors.select(c).scalar().alias(c) for c in errors.columns)
-    )
+    hits = durable(evaluate.user_hits(store.log("observations"), store.log("served")))
+    rates, totals = evaluate.ctr_recall(hits).drop("users"), evaluate.hit_totals(hits)
+    whole = [frame.select(c).scalar().alias(c) for frame in (batches, errors, rates, totals) for c in frame.columns]
+    return latency.select("*", *whole)

@@ -1,28 +1,62 @@
 """Ordered replay of ratings as a stream of micro-batches, one file each."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftsim.operators.prepare import assign_microbatches
-from driftsim.session import durable, scratch_path
+from driftsim.session import scratch_path
 from driftsim.sources.files import microbatch_messages, parse_columnar_json
 
 
+MESSAGE = "batch long, value string"
+#: Files of one trigger where their order does not matter.
+FILES_PER_TRIGGER = 200
+
+
 def stage_replay(test: DataFrame, size: int, order: list, folder: str | None = None) -> str:
-    """Write one JSON message file per micro-batch, in order, and return their folder."""
+    """Write one JSON message file per micro-batch and return their folder.
+
+    A message carries its number; a folder that has messages already is continued. All
+    files are written by one job.
+    """
     spark = test.sparkSession
     folder = folder or scratch_path(spark, "replay")
-    messages = durable(microbatch_messages(assign_microbatches(test, size, order)))
-    # Batch numbers only: one job per micro-batch follows anyway.
-    last = messages.agg(F.max("batch")).first()[0] or 0
-    for batch in range(1, last + 1):
-        one = messages.filter(F.col("batch") == batch).select("value").coalesce(1)
-        one.write.mode("append").text(folder)
+    try:
+        before = read_messages(spark, folder).agg(F.max("batch")).first()[0] or 0
+    except AnalysisException:
+        before = 0
+    messages = microbatch_messages(assign_microbatches(test, size, order)).withColumn("batch", F.col("batch") + before)
+    part = messages.repartition("batch").select("batch", "value")
+    part.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
     return folder
 
 
-def microbatch_source(spark: SparkSession, folder: str) -> DataFrame:
-    """The message files as a stream, one per trigger, oldest first."""
-    return spark.readStream.schema("value string").option("maxFilesPerTrigger", 1).text(folder)
+def read_messages(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(MESSAGE).json(folder)
+
+
+def microbatch_source(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
+    """The message files as a stream of (batch, value), ``per_trigger`` at a time.
+
+    Files come in the order of their times, which need not be that of the batches: the
+    number in the message says which one it is (``in_order``).
+    """
+    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", per_trigger).json(folder)
+
+
+def in_order(spark: SparkSession, folder: str, handle):
+    """``handle`` with the next message by number, whichever file the trigger brought.
+
+    With one file per trigger the n-th trigger says that n messages have come.
+    """
+
+    def run(messages: DataFrame, epoch: int) -> None:
+        wanted = read_messages(spark, folder).filter(F.col("batch") == epoch + 1)
+        if wanted.isEmpty():
+            raise RuntimeError(f"message {epoch + 1} has not come, but a later one has")
+        handle(wanted, epoch)
+
+    return run
 
 
 def run_to_end(stream: DataFrame, handle, checkpoint: str) -> list[dict]:
@@ -38,11 +72,11 @@ def run_to_end(stream: DataFrame, handle, checkpoint: str) -> list[dict]:
 
 
 def replay_stream(spark: SparkSession, folder: str, target: str, checkpoint: str) -> DataFrame:
-    """Read the messages as a stream and append their rows to a table, with the batch they came in."""
+    """Read the messages as a stream and append their rows to a table, with the number of their batch."""
 
     def handle(messages: DataFrame, epoch: int) -> None:
-        rows = parse_columnar_json(messages).withColumn("batch", F.lit(epoch + 1).cast("long"))
+        rows = parse_columnar_json(messages)
         rows.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
-    run_to_end(microbatch_source(spark, folder), handle, checkpoint)
+    run_to_end(microbatch_source(spark, folder, FILES_PER_TRIGGER), handle, checkpoint)
     return spark.read.parquet(target).drop("epoch")
