@@ -3,9 +3,10 @@
 A column spec names the columns and their kinds: l(ong), d(ouble, 6 digits), s(tring).
 """
 
+from dataclasses import replace
 from functools import cache
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from checks import oracle as sql
 from driftsim.functions import scoring
@@ -890,7 +891,7 @@ def _(spark, folder):
 # ---------------------------------------------------------------- streaming and state
 
 
-def run_stream(spark, folder, size):
+def run_stream(spark, folder, size, **options):
     """Bootstrap on the head, then stream the tail through the serving loop."""
     train, test = split(spark, folder)
     store = StateStore(spark, scratch_path(spark, "state"), STATE_BUCKETS)
@@ -900,13 +901,13 @@ def run_stream(spark, folder, size):
     )
     staged = replay.stage_replay(test.select(*RATINGS.names), size, [F.col(c) for c in [*ORDER, "rating"]])
     watched = tuple(range(3, 500, 7))
-    loop.run_loop(store, staged, SETTINGS, [5, SETTINGS.r], view_similarity=True, watched=watched)
+    loop.run_loop(store, staged, SETTINGS, [5, SETTINGS.r], view_similarity=True, watched=watched, **options)
     return store
 
 
 @cache
 def streamed(spark, folder):
-    return run_stream(spark, folder, 50)
+    return run_stream(spark, folder, sql.HALF)
 
 
 @cache
@@ -919,11 +920,88 @@ def _(spark, folder):
     return streamed_once(spark, folder).read("neighbors")
 
 
-@query("incremental_state_two_batches", PAIR_SPEC)
+@query("incremental_state_two_batches", PAIR_SPEC, "SELECT * FROM bm_sums")
 def _(spark, folder):
     return streamed(spark, folder).read("pair_info")
 
 
+@query("two_batches_neighbors", NEIGHBOR_SPEC, "SELECT * FROM bm_nb")
+def _(spark, folder):
+    return streamed(spark, folder).read("neighbors")
+
+
+@query("two_batches_recommendations", REC_SPEC, "SELECT * FROM bm_recs")
+def _(spark, folder):
+    return streamed(spark, folder).read("recommendations")
+
+
+@query("two_batches_profiles", STEP_SPEC, "SELECT * FROM bm_prof")
+def _(spark, folder):
+    return streamed(spark, folder).read("user_ratings")
+
+
+def next_rows(spark, folder):
+    """The rows after the first slice, as one batch. Most of its users and items are new."""
+    rest = slices(spark, folder)[1].orderBy("arrival").limit(sql.TAIL)
+    rows = prepare.last_in_batch(prepare.batch_timestep(rest.withColumn("batch", F.lit(1))))
+    return rows.select("user_id", "item_id", "rating", "position")
+
+
+@cache
+def _grown(spark, folder):
+    early = bootstrap.relations(slices(spark, folder)[0], SETTINGS)
+    early = replace(early, recommendations=durable(bootstrap.topr_bootstrap(early, SETTINGS.r)))
+    change = update.apply_batch(early, next_rows(spark, folder), SETTINGS, 1, sql.TAIL)
+    return update.merged_relations(early, change)
+
+
+@query("new_entities_item_info", INFO_SPEC, "SELECT * FROM um_info")
+def _(spark, folder):
+    return _grown(spark, folder).item_info
+
+
+@query("new_entities_pair_info", PAIR_SPEC, "SELECT * FROM um_sums")
+def _(spark, folder):
+    return _grown(spark, folder).pair_info
+
+
+@query("new_entities_neighbors", NEIGHBOR_SPEC, "SELECT * FROM um_nb")
+def _(spark, folder):
+    return _grown(spark, folder).neighbors
+
+
+@query("new_entities_recommendations", REC_SPEC, "SELECT * FROM um_recs")
+def _(spark, folder):
+    return _grown(spark, folder).recommendations
+
+
+@query(
+    "refresh_recommendations_exhausted",
+    REC_SPEC,
+    "SELECT * FROM w_long WHERE user_id NOT IN (SELECT user_id FROM asked_w)",
+)
+def _(spark, folder):
+    """Through the store: users who rate all popular items in a batch have nothing left to be recommended."""
+    train = split(spark, folder)[0]
+    few = replace(SETTINGS, p=sql.FEW)
+    store = StateStore(spark, scratch_path(spark, "state"), STATE_BUCKETS)
+    base = store.bootstrap(
+        lambda keep: bootstrap.relations(train, few, keep), lambda found: bootstrap.topr_bootstrap(found, few.r)
+    )
+    users = train.select("user_id").distinct().filter("user_id % 5 = 2")
+    rows = users.crossJoin(F.broadcast(base.popular.select("item_id"))).withColumn("rating", F.lit(4.0))
+    position = F.row_number().over(W.partitionBy("user_id").orderBy("item_id")).cast("long")
+    update.apply_batch(
+        store.relations(),
+        durable(rows.withColumn("position", position)),
+        few,
+        1,
+        keep=lambda name, df, owners=None: store.write(1, name, df, owners=owners),
+    )
+    store.commit(1, 0)
+    return store.read("recommendations")
+
+
 @query("prequential_eval", "arrival:l user_id:l item_id:l rating:d mean:d pred:d",
        "SELECT arrival - 1 AS arrival, user_id, item_id, rating, mean, pred FROM predictions")
 def _(spark, folder):
@@ -986,18 +1064,18 @@ def _(spark, folder):
 @query(
     "duplicate_policy",
     "policy:s user_id:l item_id:l rating:d",
-    """SELECT 'upsert' AS policy, * FROM n_prof
-       UNION ALL SELECT 'append', user_id, item_id, rating FROM clk
-       UNION ALL SELECT 'append', user_id, item_id, rating FROM t_prof WHERE user_id IN (SELECT user_id FROM clk)""",
+    """SELECT 'upsert' AS policy, user_id, item_id, rating FROM bm_prof
+       UNION ALL SELECT 'append', user_id, item_id, rating FROM b_fresh
+       UNION ALL SELECT 'append', user_id, item_id, rating FROM a_fresh
+       UNION ALL SELECT 'append', user_id, item_id, rating FROM t_prof""",
 )
 def _(spark, folder):
-    rows = clocked(spark, folder)
-    old = keys.lookup(before(spark, folder).user_ratings, increment.fresh_keys(rows, "user_id"), ["user_id"])
-    return (
-        increment.merge_profiles(old, rows, True)
-        .withColumn("policy", F.lit("upsert"))
-        .unionByName(increment.merge_profiles(old, rows, False).withColumn("policy", F.lit("append")))
-    )
+    """The stored state after two batches of the loop, under both policies."""
+    found = None
+    for policy, store in (("upsert", streamed(spark, folder)), ("append", run_stream(spark, folder, sql.HALF, contain_duplicates=False))):
+        rows = store.read("user_ratings").withColumn("policy", F.lit(policy))
+        found = rows if found is None else found.unionByName(rows)
+    return found
 
 
 # ---------------------------------------------------------------- composite analytics

@@ -1,5 +1,7 @@
 """Plain SQL statements of the same results, built from named common table expressions."""
 
+import re
+
 ALPHA, K, R, P, TAIL, SEED = 0.05, 5, 10, 50, 100, 42
 SLICES = 100
 TRUST_K, TRUST_ALPHA, TRUST_BATCH = 10, 0.3, 1000
@@ -7,7 +9,7 @@ TRUST_K, TRUST_ALPHA, TRUST_BATCH = 10, 0.3, 1000
 CTES: dict[str, str] = {}
 
 
-def chain(p: str, src: str, alpha: float = ALPHA, k: int = K) -> None:
+def chain(p: str, src: str, alpha: float = ALPHA, k: int = K, popular: int = P) -> None:
     """Everything the bootstrap derives from a ratings relation."""
     CTES.update({
         f"{p}_clean": f"""
@@ -40,7 +42,7 @@ def chain(p: str, src: str, alpha: float = ALPHA, k: int = K) -> None:
             SELECT item_i AS item_id, item_j AS neighbor_id, sim FROM {p}_sims
             UNION ALL SELECT item_j, item_i, sim FROM {p}_sims""",
         f"{p}_nb": top_neighbors(f"{p}_dirs", k),
-        f"{p}_pop": f"SELECT item_id, n FROM {p}_info ORDER BY n DESC, item_id LIMIT {P}",
+        f"{p}_pop": f"SELECT item_id, n FROM {p}_info ORDER BY n DESC, item_id LIMIT {popular}",
         f"{p}_cand": candidates(f"{p}_prof", f"{p}_pop", f"{p}_nb"),
         f"{p}_scored": scored(f"{p}_cand", f"{p}_prof", f"{p}_nb"),
         f"{p}_recs": top_recs(f"{p}_scored", R),
@@ -128,7 +130,7 @@ CTES["new_users"] = "SELECT DISTINCT user_id FROM rest_rows WHERE user_id NOT IN
 
 # One micro-batch on top of the train state.
 FADE = f"exp(-2 * {ALPHA})"
-CTES.update({
+STEP = {
     "positioned": "SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY arrival) AS position FROM test",
     "fresh": """
         SELECT user_id, item_id, rating, position FROM (
@@ -242,7 +244,70 @@ CTES.update({
         FROM test o JOIN t_long_recs s ON s.user_id = o.user_id
         WHERE NOT EXISTS (SELECT 1 FROM test x WHERE x.user_id = o.user_id AND x.item_id = s.item_id
                           AND x.arrival <= o.arrival)""",
-})
+}
+CTES.update(STEP)
+
+
+def follow(p: str, base: str, src: str, batch: int, rows: int) -> None:
+    """The same for another batch: ``src`` on top of the relations ``base``, which may lack its items.
+
+    An item that is new starts with the most popular others. The relations after the
+    batch are ``{p}m_prof``, ``_info``, ``_sums``, ``_nb`` and ``_recs``.
+    """
+    names = [name for name in STEP if name not in ("predictions", "t_long_recs", "served")]
+    new = {name: f"{p}_{name}" for name in names} | {f"t_{x}": f"{base}_{x}" for x in ("prof", "info", "sums", "nb")}
+    new["test"] = src
+    for name in names:
+        text = STEP[name].replace(f"'{SEED}:1:'", f"'{SEED}:{batch}:'").replace(f"rank <= {R + TAIL}", f"rank <= {R + rows}")
+        own = dict(new)
+        if name in ("listed", "explicit", "all_nb"):
+            own["t_nb"] = f"{p}_lists"
+        CTES[f"{p}_{name}"] = re.sub(r"\b\w+\b", lambda m, own=own: own.get(m[0], m[0]), text)
+    CTES[f"{p}_lists"] = f"""
+        SELECT item_id, neighbor_id, sim, rank FROM {base}_nb
+        UNION ALL SELECT item_id, neighbor_id, 0, nth FROM (
+          SELECT i.item_id, o.item_id AS neighbor_id, row_number() OVER (PARTITION BY i.item_id ORDER BY n DESC, o.item_id) AS nth
+          FROM (SELECT DISTINCT item_id FROM {p}_clk WHERE item_id NOT IN (SELECT item_id FROM {base}_info)) i
+          JOIN {p}_n_pop o ON o.item_id <> i.item_id) WHERE nth <= {K}"""
+    CTES[f"{p}m_prof"] = f"""
+        SELECT user_id, item_id, rating, timestep FROM {p}_clk
+        UNION ALL SELECT user_id, item_id, rating, timestep FROM {base}_prof b
+        WHERE NOT EXISTS (SELECT 1 FROM {p}_clk c WHERE c.user_id = b.user_id AND c.item_id = b.item_id)"""
+    CTES[f"{p}m_info"] = f"""
+        SELECT item_id, l, n, q FROM {p}_n_info
+        UNION ALL SELECT item_id, l, n, q FROM {base}_info WHERE item_id NOT IN (SELECT item_id FROM {p}_touched)"""
+    CTES[f"{p}m_sums"] = f"""
+        SELECT item_i, item_j, l_i, l_j, p FROM {p}_n_sums
+        UNION ALL SELECT item_i, item_j, l_i, l_j, p FROM {base}_sums b
+        WHERE NOT EXISTS (SELECT 1 FROM {p}_wanted w WHERE w.item_i = b.item_i AND w.item_j = b.item_j)"""
+    CTES[f"{p}m_nb"] = f"""
+        SELECT item_id, neighbor_id, sim, rank FROM {p}_n_nb
+        UNION ALL SELECT item_id, neighbor_id, sim, rank FROM {base}_nb WHERE item_id NOT IN (SELECT item_id FROM {p}_n_nb)"""
+    CTES[f"{p}m_recs"] = f"""
+        SELECT user_id, item_id, pred, rank FROM {p}_n_recs
+        UNION ALL SELECT user_id, item_id, pred, rank FROM {base}_recs WHERE user_id NOT IN (SELECT user_id FROM {p}_clk)"""
+
+
+# The last rows as two batches, one after the other.
+HALF = TAIL // 2
+CTES["test_a"] = f"SELECT * FROM test WHERE arrival <= {HALF}"
+CTES["test_b"] = f"SELECT * FROM test WHERE arrival > {HALF}"
+for name in ("prof", "info", "sums", "nb"):
+    CTES[f"h_{name}"] = f"SELECT * FROM t_{name}"
+CTES["h_recs"] = top_recs("t_scored", R + HALF)
+follow("a", "h", "test_a", 1, HALF)
+follow("b", "am", "test_b", 2, HALF)
+# The first slice of the table and the rows after it, with their new users and items.
+chain("y", "early")
+CTES["test_y"] = f"""
+    SELECT user_id, item_id, rating, ts, arrival FROM rest_rows
+    QUALIFY row_number() OVER (ORDER BY arrival) <= {TAIL}"""
+follow("u", "y", "test_y", 1, TAIL)
+# A state with few popular items.
+FEW = 2
+chain("w", "train", popular=FEW)
+CTES["w_long"] = top_recs("w_scored", R)
+CTES["asked_w"] = "SELECT DISTINCT user_id FROM train WHERE user_id % 5 = 2"
 # Trust on the votes but the last ones.
 T_FADE = f"-2 * {TRUST_ALPHA}"
 CTES.update({
