@@ -201,3 +201,92 @@ def test_message_formats(spark):
     assert sorted(r.value for r in messages.collect()) == ['["5","20","30"]', '["6"]']
     back = files.parse_recommendation_messages(messages).select("user_id", "item_id")
     assert sorted(map(tuple, back.collect()), key=str) == sorted([(5, 20), (5, 30), (6, None)], key=str)
+
+
+SMALL = Settings(k=2, r=3, p=3, alpha=0.0)
+SMALL_ROWS = [(1, 1, 4.0, 1), (1, 2, 3.0, 2), (2, 1, 5.0, 1), (2, 2, 2.0, 2), (2, 3, 4.0, 3), (3, 3, 1.0, 1), (3, 4, 2.0, 2)]
+
+
+def small_store(spark, folder):
+    train = spark.createDataFrame(SMALL_ROWS, RATINGS)
+    store = StateStore(spark, str(folder), 3)
+    store.bootstrap(
+        lambda keep: bootstrap.relations(train, SMALL, keep), lambda base: bootstrap.topr_bootstrap(base, SMALL.r)
+    )
+    return store
+
+
+def test_list_that_ran_empty_is_replaced(spark, tmp_path):
+    store = small_store(spark, tmp_path / "s")
+    # Items 1, 2 and 3 are popular; user 1 lacks item 3 and then rates it.
+    assert {(r.user_id, r.item_id) for r in store.read("recommendations").collect()} == {(1, 3), (3, 1), (3, 2)}
+    rows = spark.createDataFrame([(1, 3, 5.0, 10)], RATINGS)
+    staged = replay.stage_replay(rows, 1, [F.col(c) for c in ORDER], str(tmp_path / "in"))
+    base = store.relations()
+    fresh = spark.createDataFrame([(1, 3, 5.0, 1)], "user_id long, item_id long, rating double, position long")
+    folded = update.merged_relations(base, update.apply_batch(base, fresh, SMALL, 1, 1))
+    assert {r.user_id for r in folded.recommendations.collect()} == {3}
+    loop.run_loop(store, staged, SMALL, [2], str(tmp_path / "point"))
+    assert {r.user_id for r in store.read("recommendations").collect()} == {3}
+    store.compact()
+    assert {r.user_id for r in store.read("recommendations").collect()} == {3}
+
+
+@pytest.mark.parametrize("upsert", [True, False])
+def test_rated_again_through_the_loop(spark, tmp_path, upsert):
+    store = small_store(spark, tmp_path / "s")
+    rows = spark.createDataFrame([(1, 1, 1.0, 10), (1, 1, 2.0, 11)], RATINGS)
+    staged = replay.stage_replay(rows, 1, [F.col(c) for c in ORDER], str(tmp_path / "in"))
+    loop.run_loop(store, staged, SMALL, [2], str(tmp_path / "point"), contain_duplicates=upsert)
+    got = sorted(r.rating for r in store.read("user_ratings").filter("user_id = 1 and item_id = 1").collect())
+    assert got == ([2.0] if upsert else [1.0, 2.0, 4.0])
+    assert store.read("user_ratings").filter("user_id = 2").count() == 3
+
+
+def test_replay_goes_by_number(spark, tmp_path):
+    rows = spark.createDataFrame([(n, n, 1.0, n) for n in range(1, 8)], RATINGS)
+    folder = replay.stage_replay(rows, 2, [F.col(c) for c in ORDER], str(tmp_path / "in"))
+    files.parse_columnar_json(replay.read_messages(spark, folder)).createOrReplaceTempView("sent")
+    sizes = spark.sql("select batch, count(*) n, min(ts) low from sent group by batch order by batch").collect()
+    assert [(r.batch, r.n, r.low) for r in sizes] == [(1, 3, 1), (2, 2, 4), (3, 2, 6)]
+    seen = []
+    handle = replay.in_order(spark, folder, lambda messages, epoch: seen.append([r.batch for r in messages.collect()]))
+    replay.run_to_end(replay.microbatch_source(spark, folder), handle, str(tmp_path / "point"))
+    assert seen == [[1], [2], [3]]
+
+
+def test_watched_batches_are_listed_once(spark):
+    from driftsim.operators import evaluate
+
+    rows = spark.createDataFrame([(1, 7), (1, 8), (2, 7)], "batch long, item_id long")
+    metrics = spark.createDataFrame(
+        [(1, 0.0, 5.0), (1, 5.0, 9.0), (2, 10.0, 11.0)], "batch long, started double, ended double"
+    )
+    got = evaluate.watch_items(rows, metrics, [7])
+    assert sorted((r.batch, r.started[-2:], r.ended[-2:]) for r in got.collect()) == [(1, "00", "09"), (2, "10", "11")]
+
+
+def test_split_keeps_rows_with_nulls(spark):
+    rows = spark.createDataFrame(
+        [(1, 1, 1.0, None), (None, 1, 1.0, 5), (2, None, 1.0, 5), (2, 2, None, 5), (3, 3, 1.0, 6), (None, None, None, None)], RATINGS
+    )
+    for tail in range(1, 6):
+        head, test = prepare.split_head_tail(rows, tail)
+        assert (head.count(), test.count()) == (6 - tail, tail)
+
+
+def test_latency_percentiles_are_exact(spark):
+    from driftsim.operators import evaluate
+
+    rows = spark.createDataFrame([("a", float(n)) for n in range(1, 12)] + [("b", 3.0), (None, 4.0), ("a", None)], "phase string, seconds double")
+    got = {r.phase: (r.p50, r.p90, r["max"]) for r in evaluate.latency_summary(rows, "phase", "seconds").collect()}
+    assert got == {"a": (6.0, 10.0, 11.0), "b": (3.0, 3.0, 3.0), None: (4.0, 4.0, 4.0)}
+
+
+def test_pair_tasks_follow_the_pairs(spark):
+    from driftsim.operators import pairs
+    from driftsim.operators.ordering import GroupSizes
+
+    one = pairs._pair_tasks(spark.range(1), GroupSizes(10, 1e9))
+    many = pairs._pair_tasks(spark.range(1), GroupSizes(10, 1e12))
+    assert (one, many) == (125, 125_000)
