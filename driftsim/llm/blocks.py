@@ -127,8 +127,11 @@ def repeated_blocks(docs: DataFrame, kind: Kind, across: bool) -> DataFrame:
         F.min("whole").alias("low"),
         F.max("whole").alias("high"),
     )
-    seeds = seeds.filter(F.col("one.id") < F.col("last_id") if across else F.col("places") > 1).select(
-        "seed", "one", "places", (F.col("low") < F.col("high")).alias("open")
+    # Written, so that the join is one of two plain tables, whose hot keys Spark can split.
+    seeds = durable(
+        seeds.filter(F.col("one.id") < F.col("last_id") if across else F.col("places") > 1).select(
+            "seed", "one", "places", (F.col("low") < F.col("high")).alias("open")
+        )
     )
     same = (F.col("gap") == F.col("one.gap")) & (F.col("n") == F.col("one.n")) & (F.col("whole") == F.col("one.whole"))
     return durable(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from driftsim.session import durable
+
 LINES = 3
 
 
@@ -36,7 +38,10 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
         .select("id", "print", "w.*")
     )
     where = F.struct("id", "print", "place")
-    repeated = windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(where).alias("first")).filter("n > 1")
+    # Written, so that the join is one of two plain tables, whose hot keys Spark can split.
+    repeated = durable(
+        windows.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min(where).alias("first")).filter("n > 1")
+    )
     later = windows.join(repeated, ["h1", "h2"]).filter(where > F.col("first"))
     covered = (
         later.groupBy("id", "print")

@@ -106,7 +106,8 @@ def link_groups(prints: DataFrame) -> DataFrame:
     link between groups is lost. Both are joins on the key that Spark splits when skewed.
     """
     keyed = durable(prints.select("print", F.explode(_chain_keys()).alias("key")))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("least")).filter("n > 1").drop("n")
+    # Written, so that the join is one of two plain tables, whose hot keys Spark can split.
+    shared = durable(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("print").alias("least")).filter("n > 1").drop("n"))
     shared = durable(keyed.join(shared, "key"))
     star = shared.filter(
         (F.col("print") != F.col("least")) & (F.bit_count(F.col("print").bitwiseXOR(F.col("least"))) <= DISTANCE)
@@ -118,7 +119,7 @@ def link_groups(prints: DataFrame) -> DataFrame:
         .select("key", "print", F.coalesce("root", "print").alias("root"))
     )
     # A key whose fingerprints are all in one group has no pair left to compare.
-    open_keys = rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key")
+    open_keys = durable(rest.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).filter("lo < hi").select("key"))
     rest = rest.join(open_keys, "key", "left_semi")
     left, right = rest.alias("x"), rest.alias("y")
     a, b = F.col("x.print"), F.col("y.print")
@@ -153,7 +154,7 @@ def simhash_groups(prints: DataFrame) -> DataFrame:
     groups = durable(link_groups(classes.select("print")))
     tops = classes.join(groups, "print").groupBy("root").agg(F.min("first").alias("top"))
     found = groups.join(tops, "root").select("print", "top")
-    return classes.join(found, "print", "left").select("print", F.coalesce("top", "first").alias("top"))
+    return durable(classes.join(found, "print", "left").select("print", F.coalesce("top", "first").alias("top")))
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:

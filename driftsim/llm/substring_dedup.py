@@ -101,7 +101,7 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     table = repeated_blocks(docs, _KIND, across=True)
     whole = table.filter("same and id > first_id").select("id", "print", "start", "n")
     blocks = durable(_open_blocks(with_blocks(docs, table.filter("open and (is_first or not same)"))))
-    refs = (
+    refs = durable(
         blocks.filter("is_first")
         .groupBy("seed")
         .agg(F.min(F.struct("id", "gap", "hashes")).alias("ref"))
@@ -110,7 +110,7 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     others = blocks.filter("not is_first").join(refs, "seed")
     found = durable(_factors(others.select("id", "print", "seed", "start", "gap", "hashes", "ref_id", "ref_gap", "ref_hashes")))
     rest = found.filter("hash is not null")
-    least = rest.groupBy("seed", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most")
+    least = durable(rest.groupBy("seed", "hash").agg(F.min("id").alias("least"), F.max("id").alias("most")).filter("least < most"))
     elsewhere = rest.join(least, ["seed", "hash"]).filter("id > least").select("id", "print", "start", "n")
     return whole.unionByName(found.filter("hash is null").select("id", "print", "start", "n")).unionByName(elsewhere)
 

@@ -207,11 +207,11 @@ def duplicate_strings(docs: DataFrame) -> DataFrame:
     table = repeated_blocks(docs, _KIND, across=False)
     known = table.filter("(not open) or (same and not is_first)").select("id", "print", "start", "n")
     contents = durable(_contents(with_blocks(docs, table.filter("open and (is_first or not same)"))))
-    copied = table.filter("open and same and not is_first").select("seed").distinct()
+    copied = durable(table.filter("open and same and not is_first").select("seed").distinct())
     firsts = contents.filter("is_first").join(copied, "seed").select("id", "print", "start", "n")
     few = _sort_shards(contents.filter(F.col("places") <= SEED_PLACES))
     many = _windows(contents.filter(F.col("places") > SEED_PLACES))
-    twice = many.groupBy("seed", "hash").agg(F.count("*").alias("times")).filter("times > 1").drop("times")
+    twice = durable(many.groupBy("seed", "hash").agg(F.count("*").alias("times")).filter("times > 1").drop("times"))
     counted = many.join(twice, ["seed", "hash"]).select("id", "print", "start", F.lit(1).alias("n"))
     return known.unionByName(firsts).unionByName(few).unionByName(counted)
 
