@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from driftsim.session import durable
+
 #: The kinds of personal data, in order, and their patterns. Loops are
 #: possessive where what follows cannot be part of them: the matches are the same, and no
 #: text makes the matcher go back over it. An e-mail begins where a run of its letters does.
@@ -145,11 +147,10 @@ def disclosing(terms: DataFrame) -> DataFrame:
     pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"))
     of_term = seen.groupBy("term").agg(F.count("*").alias("with_term"))
     of_entity = terms.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    whole = of_entity.agg(F.sum("with_entity").alias("contexts"))
+    contexts = of_entity.agg(F.sum("with_entity")).first()[0] or 0
     found = pairs.filter(F.col("both") >= SUPPORT).join(of_term, "term").filter(F.col("both") >= SHARE * F.col("with_term"))
-    found = found.join(of_entity, "entity").crossJoin(F.broadcast(whole))  # one row
-    gain = F.log2(F.col("both") / F.col("with_term") * F.col("contexts") / F.col("with_entity"))
-    return found.filter(gain >= BITS).select("entity", "term")
+    gain = F.log2(F.col("both") / F.col("with_term") * contexts / F.col("with_entity"))
+    return durable(found.join(of_entity, "entity").filter(gain >= BITS).select("entity", "term"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
@@ -166,7 +167,8 @@ def find_personal_data(docs: DataFrame) -> DataFrame:
     marked = docs.select(
         F.struct("*").alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), base_spans(text).alias("spans"), text.alias("text")
     )
-    terms = _terms(_places(marked))
+    # The places are found once; their contexts are short.
+    terms = _terms(durable(_places(marked)))
     gone = (
         terms.join(disclosing(terms), ["entity", "term"])
         .groupBy(F.col("id").alias("id2"), F.col("print").alias("print2"))
