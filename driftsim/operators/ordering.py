@@ -90,7 +90,8 @@ def _chained_positions(df, order, name, keys, unique, pieces) -> DataFrame:
         .withColumn(name, F.col("__start") + F.col(_SEQ).bitwiseAND(F.lit((1 << 33) - 1)) + 1)
     )
     if keys:
-        first = out.groupBy(*keys).agg(F.min(name).alias("__first"))
+        # Written, so that the join is one of two plain tables, whose hot keys Spark can split.
+        first = durable(out.groupBy(*keys).agg(F.min(name).alias("__first")))
         out = out.join(first, list(keys)).withColumn(name, F.col(name) - F.col("__first") + 1)
     return out.select(*columns, name)
 

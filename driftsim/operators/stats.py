@@ -4,6 +4,7 @@ from pyspark.sql import DataFrame, Window as W, functions as F
 
 from driftsim.functions.scoring import decay
 from driftsim.operators.ordering import GROUP_ROWS, positions
+from driftsim.session import durable
 
 PROFILE_ROWS = 4096
 
@@ -40,7 +41,8 @@ def weighted_ratings(
             "e", F.col("avg_rating") - before
         )
     else:
-        rows = profile.join(user_stats(profile), "user_id")
+        # Written, so that a hot user is a skewed join of two tables, which Spark can split.
+        rows = profile.join(durable(user_stats(profile)), "user_id")
     return rows.withColumn("w", decay("t", "timestep", alpha)).select(
         "user_id",
         "item_id",
