@@ -1,5 +1,6 @@
 """Rating prediction and top-R recommendation."""
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from driftsim.functions.scoring import rank_key
@@ -94,13 +95,19 @@ def predict_observations(observed: DataFrame, profile: DataFrame, neighbors: Dat
 
 
 def serve_recommendations(
-    observed: DataFrame, recommendations: DataFrame, cutoffs: list[int]
+    observed: DataFrame,
+    recommendations: DataFrame,
+    cutoffs: list[int],
+    most: int | None = None,
+    served_before: DataFrame | None = None,
 ) -> DataFrame:
     """What each observation is answered with, one list per cut-off.
 
     ``observed`` has (batch, user_id, item_id, arrival). The stored list of the user
     loses every item the user has rated in this batch so far, the current one
     included; the first R of the rest are served. Lists and batches are both bounded.
+    With ``most`` an item that has been in the longest lists of a user that often,
+    those of ``served_before`` included, gives way to the next one.
     """
     so_far = W.partitionBy("batch", "user_id").orderBy("arrival")
     queries = observed.select(
@@ -110,6 +117,9 @@ def serve_recommendations(
     lists = asked.groupBy("user_id").agg(
         F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("stored")
     )
+    if most is not None:
+        served = _serve_at_most(queries.join(lists, "user_id"), max(cutoffs), most, served_before)
+        return multi_cutoff(served, cutoffs)
     left = F.filter("stored", lambda x: ~F.array_contains("rated", x.item_id))
     best = F.transform(F.slice(left, 1, max(cutoffs)), lambda x: x.item_id)
     served = queries.join(lists, "user_id").select(
@@ -120,6 +130,37 @@ def serve_recommendations(
     return multi_cutoff(served.withColumn("rank", rank).drop("pos"), cutoffs)
 
 
+def _serve_at_most(queries: DataFrame, size: int, most: int, before: DataFrame | None) -> DataFrame:
+    """Answers in order of arrival, each of which uses up one turn of the items in it.
+
+    What is served depends on all earlier answers of the batch, so a user's queries are
+    walked through; they are no more than the batch.
+    """
+    users = queries.select("user_id").distinct()
+    counts = F.map_from_entries(F.collect_list(F.struct("item_id", "n")))
+    if before is None:
+        used = users.withColumn("used", F.lit(None).cast("map<bigint,bigint>"))
+    else:
+        turns = lookup(before, users, ["user_id"]).filter("item_id is not null")
+        used = turns.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(counts.alias("used"))
+    rows = queries.select("batch", "arrival", "user_id", "rated", F.transform("stored", lambda x: x.item_id).alias("items"))
+
+    def serve(group):
+        group = group.sort_values("arrival")
+        turns, out = dict(group["used"].iloc[0] or {}), []
+        for row in group.itertuples():
+            rated = set(row.rated)
+            best = [i for i in row.items if i not in rated and turns.get(i, 0) < most][:size]
+            for i in best:
+                turns[i] = turns.get(i, 0) + 1
+            # A list with nothing left is still an answer: one row without an item.
+            out += [(row.batch, row.arrival, row.user_id, i, n + 1) for n, i in enumerate(best or [None])]
+        return pd.DataFrame(out, columns=["batch", "arrival", "user_id", "item_id", "rank"]).astype({"item_id": "Int64"})
+
+    schema = "batch long, arrival long, user_id long, item_id long, rank int"
+    return rows.join(used, "user_id", "left").groupBy("user_id").applyInPandas(serve, schema)
+
+
 def multi_cutoff(ranked: DataFrame, cutoffs: list[int]) -> DataFrame:
     """One list per cut-off out of a single ranked list."""
     fitting = F.filter(F.array(*(F.lit(c) for c in sorted(set(cutoffs)))), lambda c: c >= F.col("rank"))

@@ -32,9 +32,12 @@ class Loop:
         compact_every: int = 20,
         view_similarity: bool = False,
         watched: tuple[int, ...] = (),
+        most_repeats: int | None = None,
     ):
-        """``view_similarity``: log the mean similarity of all lists after every batch;
+        """``most_repeats``: how often an item may be in the longest lists of a user;
+        ``view_similarity``: log the mean similarity of all lists after every batch;
         ``watched``: items whose batches are reported by ``watch_report``."""
+        self.most_repeats = most_repeats
         self.view_similarity, self.watched = view_similarity, tuple(watched)
         self.store, self.settings, self.cutoffs, self.stream = store, settings, cutoffs, stream
         self.ignore_new, self.contain_duplicates = ignore_new, contain_duplicates
@@ -60,7 +63,8 @@ class Loop:
         )
         self.store.append_log(version, "predictions", predicted)
         stored = base.find("recommendations", users, ["user_id"])
-        served = durable(recommend.serve_recommendations(rows, stored, self.cutoffs))
+        before = self.store.log("served") if self.most_repeats is not None and last > 0 else None
+        served = durable(recommend.serve_recommendations(rows, stored, self.cutoffs, self.most_repeats, before))
         self.store.append_log(version, "messages", recommendation_messages(served))
         longest = served.filter(F.col("cutoff") == max(self.cutoffs))
         self.store.append_log(version, "served", longest.select("batch", "arrival", "user_id", "item_id", "rank"))

@@ -290,3 +290,17 @@ def test_pair_tasks_follow_the_pairs(spark):
     one = pairs._pair_tasks(spark.range(1), GroupSizes(10, 1e9))
     many = pairs._pair_tasks(spark.range(1), GroupSizes(10, 1e12))
     assert (one, many) == (125, 125_000)
+
+
+def test_served_item_gives_way_to_the_next(spark):
+    from driftsim.operators import recommend
+
+    asked = spark.createDataFrame([(1, 5, 90, n) for n in range(1, 4)] + [(1, 6, 90, 4)], "batch long, user_id long, item_id long, arrival long")
+    lists = spark.createDataFrame([(5, 10, 1), (5, 20, 2), (5, 30, 3), (6, 10, 1)], "user_id long, item_id long, rank int")
+    before = spark.createDataFrame([(5, 10), (6, 10), (6, 10), (5, None)], "user_id long, item_id long")
+    got = recommend.serve_recommendations(asked, lists, [1, 2], 2, before)
+    rows = sorted((r.cutoff, r.arrival, r.rank, r.item_id) for r in got.collect())
+    assert rows == [
+        (1, 1, 1, 10), (1, 2, 1, 20), (1, 3, 1, 30), (1, 4, 1, None),
+        (2, 1, 1, 10), (2, 1, 2, 20), (2, 2, 1, 20), (2, 2, 2, 30), (2, 3, 1, 30), (2, 4, 1, None),
+    ]
