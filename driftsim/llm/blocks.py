@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from driftsim.llm.text import NOT_BLANK, byte_values, find_words, prefix_sums, sliding_argmin, slices, span_hashes, text_buffer, word_hashes
@@ -186,15 +187,32 @@ def runs_by_document(docs: DataFrame, runs: DataFrame) -> DataFrame:
     return docs.join(listed, (F.col("id") == F.col("id2")) & (F.col("print") == F.col("print2")), "left").select("document", "runs")
 
 
-def covered(runs: list[dict] | None, size: int, window: int) -> np.ndarray:
-    """Which of ``size`` units stand under a window of the runs."""
-    cover = np.zeros(size + 1, np.int64)
-    for run in runs or ():
-        cover[run["start"]] += 1
-        cover[run["start"] + run["n"] + window - 1] -= 1
+def covered(runs: pa.ListArray, first: np.ndarray, window: int) -> np.ndarray:
+    """Which units of a slice stand under a window of their row's runs; row r has those from first[r]."""
+    per_row = pc.fill_null(pc.list_value_length(runs), 0).to_numpy()
+    flat = runs.flatten()
+    start = flat.field("start").to_numpy().astype(np.int64) + np.repeat(first[:-1], per_row)
+    end = start + flat.field("n").to_numpy() + window - 1
+    cover = np.bincount(start, minlength=first[-1] + 1) - np.bincount(end, minlength=first[-1] + 1)
     return np.cumsum(cover[:-1]) > 0
 
 
-def spans(gone: np.ndarray) -> list[dict]:
-    edges = np.flatnonzero(np.diff(np.concatenate([[0], gone.astype(np.int8), [0]])))
-    return [{"start": a, "end": b} for a, b in edges.reshape(-1, 2).tolist()]
+def spans(gone: np.ndarray, first: np.ndarray) -> pa.ListArray:
+    """The maximal runs of ``gone`` units of every row, as (start, end) within the row."""
+    border = np.zeros(len(gone) + 1, bool)
+    border[first] = True
+    before, after = np.zeros_like(gone), np.zeros_like(gone)
+    before[1:], after[:-1] = gone[:-1], gone[1:]
+    start = np.flatnonzero(gone & (~before | border[:-1]))
+    end = np.flatnonzero(gone & (~after | border[1:])) + 1
+    row = np.searchsorted(first[1:], start, "right")
+    offsets = np.searchsorted(row, np.arange(len(first))).astype(np.int32)
+    values = pa.StructArray.from_arrays([pa.array(start - first[row]), pa.array(end - first[row])], names=["start", "end"])
+    return pa.ListArray.from_arrays(pa.array(offsets), values)
+
+
+def counted(gone: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """How many units of each row are gone."""
+    total = np.zeros(len(gone) + 1, np.int64)
+    np.cumsum(gone, out=total[1:])
+    return total[first[1:]] - total[first[:-1]]

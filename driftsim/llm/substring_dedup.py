@@ -8,8 +8,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from driftsim.llm.blocks import Kind, blocks_of, covered, pick, repeated_blocks, runs_by_document, spans, window_hashes, with_blocks, words
-from driftsim.llm.text import NOT_BLANK, column_at, find_words, slices, text_buffer
+from driftsim.llm.blocks import Kind, blocks_of, counted, covered, pick, repeated_blocks, runs_by_document, spans, window_hashes, with_blocks, words
+from driftsim.llm.text import NOT_BLANK, Words, column_at, find_words, slices, text_buffer
 from driftsim.session import durable
 
 #: Words of a window, and of a seed inside it.
@@ -115,6 +115,25 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     return whole.unionByName(found.filter("hash is null").select("id", "print", "start", "n")).unionByName(elsewhere)
 
 
+def _joined(words: Words, keep: np.ndarray) -> pa.Array:
+    """For each row its kept words, joined by one space."""
+    which = np.flatnonzero(keep)
+    size = words.end[which] - words.start[which] + 1  # with the space after it
+    out = np.cumsum(size)
+    at = np.arange(out[-1] if len(out) else 0) + np.repeat(words.start[which] - (out - size), size)
+    flat = np.append(words.data, np.uint8(32))[at]
+    flat[out - 1] = 32
+    # The last word of a row has no space after it.
+    row = words.row[which]
+    last = np.ones(len(which), bool)
+    last[:-1] = row[1:] != row[:-1]
+    stay = np.ones(len(flat), bool)
+    stay[out[last] - 1] = False
+    sizes = np.bincount(row, size - last, len(words.first) - 1).astype(np.int64)
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    return pa.StringArray.from_buffers(len(sizes), pa.py_buffer(offsets), pa.py_buffer(flat[stay]))
+
+
 def _remove(found: DataFrame) -> DataFrame:
     """``found`` (document, runs) with the covered words taken out."""
     added = T.StructType.fromDDL("n_words long, n_removed long, spans array<struct<start: long, end: long>>, kept string")
@@ -123,20 +142,9 @@ def _remove(found: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "document.text"):
                 at = find_words(*text_buffer(column_at(part, "document.text")), NOT_BLANK)
-                raw = at.data.tobytes()
-                ranges, kept, removed = [], [], []
-                for r, runs in enumerate(part.column("runs").to_pylist()):
-                    a, b = at.first[r], at.first[r + 1]
-                    gone = covered(runs, b - a, WINDOW)
-                    ranges.append(spans(gone))
-                    stay = a + np.flatnonzero(~gone)
-                    kept.append(b" ".join([raw[i:j] for i, j in zip(at.start[stay].tolist(), at.end[stay].tolist(), strict=True)]).decode())
-                    removed.append(int(gone.sum()))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("document"), pa.array(np.diff(at.first)), pa.array(removed, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.string())],
-                    ["document", *added.names],
-                )
+                gone = covered(part.column("runs"), at.first, WINDOW)
+                columns = [pa.array(np.diff(at.first)), pa.array(counted(gone, at.first)), spans(gone, at.first), _joined(at, ~gone)]
+                yield pa.RecordBatch.from_arrays([part.column("document"), *columns], ["document", *added.names])
 
     return found.mapInArrow(run, T.StructType([T.StructField("document", found.schema["document"].dataType), *added.fields]))
 

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from driftsim.llm.blocks import Kind, blocks_of, bytes_, covered, hashes_at, pick, repeated_blocks, runs_by_document, spans, with_blocks
+from driftsim.llm.blocks import Kind, blocks_of, bytes_, counted, covered, hashes_at, pick, repeated_blocks, runs_by_document, spans, with_blocks
 from driftsim.llm.text import byte_values, column_at, slices, text_buffer
 from driftsim.session import durable
 
@@ -23,11 +24,21 @@ _KIND = Kind(bytes_, LENGTH, SEED)
 
 def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Order of the tuples, and the rank of each (equal tuples share it, from 1)."""
-    order = np.lexsort(columns[::-1])
-    new = np.zeros(len(order), bool)
-    for c in columns:
-        sorted_c = c[order]
-        new[1:] |= sorted_c[1:] != sorted_c[:-1]
+    tops = [int(c.max()) + 1 for c in columns]
+    new = np.zeros(len(columns[0]), bool)
+    if math.prod(tops) < 1 << 62:
+        # The tuples as single numbers, which sort much faster.
+        key = columns[0]
+        for c, top in zip(columns[1:], tops[1:], strict=True):
+            key = key * top + c
+        order = np.argsort(key)
+        key = key[order]
+        new[1:] = key[1:] != key[:-1]
+    else:
+        order = np.lexsort(columns[::-1])
+        for c in columns:
+            sorted_c = c[order]
+            new[1:] |= sorted_c[1:] != sorted_c[:-1]
     rank = np.empty(len(order), np.int64)
     rank[order] = np.cumsum(new) + 1
     return order, rank
@@ -58,7 +69,7 @@ def suffix_array(symbols: np.ndarray) -> np.ndarray:
     first = sampled[order]
     first = first[first < n]
     zero = np.arange(0, n, 3)
-    zero = zero[np.lexsort((rank[zero + 1], s[zero]))]
+    zero = zero[_names([s[zero], rank[zero + 1]])[0]]
     # How many sampled suffixes stand before each other one: those of 1 by (symbol, rank
     # behind), those of 2 by (symbol, symbol, rank behind).
     before = np.zeros(len(zero), np.int64)
@@ -103,16 +114,16 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     # Equal beginnings stand side by side: compare each suffix of full length with the next.
     order = order[long[order]]
     hit = np.zeros(len(symbols), bool)
-    for lo in range(0, len(order) - 1, 1 << 14):
-        a, b = order[lo : lo + (1 << 14)], order[lo + 1 : lo + 1 + (1 << 14)]
-        a = a[: len(b)]
-        live = np.arange(len(a))
-        for k in range(0, length, 8):
-            step = np.arange(k, min(k + 8, length))
-            same = (symbols[a[live, None] + step] == symbols[b[live, None] + step]).all(axis=1)
-            live = live[same]
-        hit[a[live]] = True
-        hit[b[live]] = True
+    raw = np.zeros(len(symbols) + 8, np.uint64)
+    raw[: len(symbols)][inner] = np.frombuffer(b"".join(texts), np.uint8)
+    eight = sum(raw[k : len(symbols) + k] << np.uint64(8 * k) for k in range(8))
+    a, b = order[:-1], order[1:]
+    # Eight bytes at a time, the last eight of the string last.
+    for k in [*range(0, length - 8, 8), length - 8]:
+        same = eight[a + k] == eight[b + k]
+        a, b = a[same], b[same]
+    hit[a] = True
+    hit[b] = True
     return [hit[e - s : e] for s, e in zip(size, ends, strict=True)]
 
 
@@ -153,8 +164,8 @@ def _sort_shards(blocks: DataFrame) -> DataFrame:
         out = []
         if rows:
             for (id_, print_, _, start, _), hit in zip(rows, repeated_starts([r[4] for r in rows]), strict=True):
-                for span in spans(hit):
-                    out.append((id_, print_, start + span["start"], span["end"] - span["start"]))
+                for a, b in np.flatnonzero(np.diff(hit, prepend=False, append=False)).reshape(-1, 2).tolist():
+                    out.append((id_, print_, start + a, b - a))
         columns = list(zip(*out, strict=True)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "print", "start", "n"])
@@ -237,17 +248,13 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "document.text"):
                 data, starts, ends = text_buffer(column_at(part, "document.text"))
-                ranges, kept, removed = [], [], []
-                for a, b, runs in zip(starts.tolist(), ends.tolist(), part.column("runs").to_pylist(), strict=True):
-                    gone = covered(runs, b - a, LENGTH)
-                    ranges.append(spans(gone))
-                    kept.append(data[a:b][~gone].tobytes())
-                    removed.append(int(gone.sum()))
-                span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("document"), pa.array(ends - starts), pa.array(removed, pa.int64()), pa.array(ranges, span), pa.array(kept, pa.binary())],
-                    ["document", *added.names],
-                )
+                first = np.concatenate([[0], ends]).astype(np.int64)
+                gone = covered(part.column("runs"), first, LENGTH)
+                removed = counted(gone, first)
+                offsets = np.concatenate([[0], np.cumsum(ends - starts - removed)]).astype(np.int32)
+                kept = pa.BinaryArray.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gone])])
+                columns = [pa.array(ends - starts), pa.array(removed), spans(gone, first), kept]
+                yield pa.RecordBatch.from_arrays([part.column("document"), *columns], ["document", *added.names])
 
     found = runs_by_document(whole, duplicate_strings(texts))
     return found.mapInArrow(remove, T.StructType([T.StructField("document", found.schema["document"].dataType), *added.fields]))
