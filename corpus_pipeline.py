@@ -14,8 +14,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from driftsim.llm import decontamination, language_id, line_dedup, packing, simhash
 from driftsim.session import durable
 
-#: A text with a lower score is in no language for sure.
-LEAST_SCORE = 0.5
+#: Under this mean probability of its best language a text is in none of them.
+LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
