@@ -49,7 +49,72 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(h.n, 0)::BIGINT AS n_hit,
 FROM d LEFT JOIN hits h USING (doc_id) LEFT JOIN items i USING (doc_id)
 """
 
+_PASSAGES = r"""
+WITH cut AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), spots AS (
+  SELECT doc_id, p, md5(array_to_string(ws[p : p + 49], ' ')) AS words
+  FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 48)) AS p FROM cut WHERE len(ws) >= 50)
+), firsts AS (
+  SELECT words, min(doc_id) AS least FROM spots GROUP BY words
+), gone AS (
+  SELECT DISTINCT doc_id, i FROM (
+    SELECT doc_id, unnest(range(p, p + 50)) AS i FROM spots JOIN firsts USING (words) WHERE doc_id > least)
+), numbered AS (
+  SELECT doc_id, unnest(ws) AS word, unnest(range(1, len(ws) + 1)) AS i FROM cut
+), sums AS (
+  SELECT n.doc_id, count(g.i) AS n_removed, string_agg(word, ' ' ORDER BY n.i) FILTER (WHERE g.i IS NULL) AS kept
+  FROM numbered n LEFT JOIN gone g ON g.doc_id = n.doc_id AND g.i = n.i GROUP BY n.doc_id
+)
+SELECT c.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM cut c LEFT JOIN sums s USING (doc_id)
+"""
+
+_STRINGS = """
+WITH cut AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+), spots AS (
+  SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS bytes
+  FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 199)) AS p FROM cut WHERE length(h) >= 400)
+), twice AS (
+  SELECT bytes FROM spots GROUP BY bytes HAVING count(*) > 1
+), hits AS (
+  SELECT doc_id, p, lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS before FROM spots WHERE bytes IN (SELECT bytes FROM twice)
+), numbered AS (
+  SELECT *, sum(CASE WHEN before IS NULL OR before + 200 < p THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY p) AS span FROM hits
+), spans AS (
+  SELECT doc_id, span, min(p) AS a, max(p) + 200 AS b FROM numbered GROUP BY doc_id, span
+), gaps AS (
+  SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS from_byte FROM spans
+), sums AS (
+  SELECT g.doc_id, count(*) AS n_spans, sum(b - a) AS n_removed, max(b) AS last_byte,
+         string_agg(substr(h, 2 * from_byte + 1, 2 * (a - from_byte)), '' ORDER BY a) AS kept
+  FROM gaps g JOIN cut c ON c.doc_id = g.doc_id GROUP BY g.doc_id
+)
+SELECT c.doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(last_byte, 0) + 1))) AS kept_sha256
+FROM cut c LEFT JOIN sums s USING (doc_id)
+"""
+
+_VECTORS = """
+WITH RECURSIVE good AS (
+  SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings
+), links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM good a JOIN good b
+  ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.v, b.v) >= 0.95
+), reach AS (
+  SELECT vec_id AS v, vec_id AS r FROM good UNION SELECT l.b, r.r FROM reach r JOIN links l ON l.a = r.v
+), least AS (
+  SELECT v, min(r) AS component_id FROM reach GROUP BY v
+)
+SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.a = g.vec_id) AS n_links, component_id, g.vec_id = component_id AS kept
+FROM good g JOIN least ON least.v = g.vec_id
+"""
+
 LLM_ORACLE = {
     "op1_line_dedup": _LINES,
+    "op3_substring_dedup": _PASSAGES,
     "op5_decontamination": _BENCHMARK,
+    "op6_suffix_array_dedup": _STRINGS,
+    "op7_embedding_dedup": _VECTORS,
 }
