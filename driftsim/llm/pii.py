@@ -17,11 +17,11 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 TERM = "term"
-#: Characters on either side of a protected place in which terms count as its context.
-REACH = 60
-#: A term gives an entity away if it stood in at least SUPPORT different contexts of it,
-#: the entity has at least this share of the term's contexts, and knowing the term makes
-#: the entity likelier by this many bits.
+#: A word: a letter, and the letters and marks that follow it.
+WORD = r"\p{L}[\p{L}\p{M}]++"
+#: A term gives an entity away if it stood in at least SUPPORT different texts that hold
+#: the entity, the entity has at least this share of the term's texts, and knowing the term
+#: makes the entity likelier by this many bits.
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
 
 
@@ -78,6 +78,10 @@ def _worth(kind: str, text: Column) -> Column:
     return text.rlike(r"[0-9]\.[0-9]" if kind == "ip" else r"[0-9][ -]?[0-9]")
 
 
+def _no_spans() -> Column:
+    return F.array().cast("array<struct<kind:string,start:int,end:int>>")
+
+
 def base_spans(text: Column) -> Column:
     """array<(kind, start, end)> of all personal data in a text, by kind and place."""
     return F.concat(*[_spans_of(kind, text) for kind in KINDS])
@@ -86,7 +90,7 @@ def base_spans(text: Column) -> Column:
 def _spans_of(kind: str, text: Column) -> Column:
     found = F.filter(_matches(text, PATTERNS[kind]), lambda m: _valid(kind, m["value"]))
     named = F.transform(found, lambda m: F.struct(F.lit(kind).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
-    return F.when(_worth(kind, text), named).otherwise(F.array().cast("array<struct<kind:string,start:int,end:int>>"))
+    return F.when(_worth(kind, text), named).otherwise(_no_spans())
 
 
 def _merged(spans: Column) -> Column:
@@ -102,80 +106,103 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), step)
 
 
-def _places(docs: DataFrame) -> DataFrame:
-    """A row for each protected place: whose it is, its text, and the text on both sides up to the next place."""
-    listed = docs.filter(F.size("spans") > 0).select("id", "print", "text", _merged(F.col("spans")).alias("places"))
-    one = listed.select("id", "print", "text", "places", F.posexplode("places").alias("nth", "place"))
-    before = F.coalesce(F.when(F.col("nth") > 0, F.get("places", F.col("nth") - 1)["end"]), F.lit(0))
-    after = F.coalesce(F.get("places", F.col("nth") + 1)["start"], F.length("text"))
-    start, end = F.col("place.start"), F.col("place.end")
-    left, right = F.greatest(before, start - REACH), F.least(after, end + REACH)
-    return one.select(
-        "id",
-        "print",
-        F.lower(F.substring(F.col("text"), start + 1, end - start)).alias("entity"),
-        left.alias("left"),
-        F.substring(F.col("text"), left + 1, start - left).alias("ahead"),
-        end.alias("right"),
-        F.substring(F.col("text"), end + 1, right - end).alias("behind"),
-    )
+def _blanks(n: Column) -> Column:
+    return F.repeat(F.lit(" "), n)
+
 
+def _outside(text: Column, places: Column) -> Column:
+    """The text with blanks for protected places and for words that run into one; the rest stays where it is."""
 
-def _terms(places: DataFrame) -> DataFrame:
-    """A row for each word of a context: (id, print, entity, context, term, start, end)."""
-    word = r"\p{L}[\p{L}\p{M}]++"
+    def piece(i: Column) -> Column:
+        last, place = F.when(i > 0, F.get(places, i - 1)), F.get(places, i)
+        start, end = F.coalesce(last["end"], F.lit(0)), F.coalesce(place["start"], F.length(text))
+        between = F.substring(text, start + 1, end - start)
+        runs_on = F.substring(text, last["end"], F.lit(1)).rlike("[A-Za-z]")
+        head = F.when(runs_on, F.regexp_extract(between, r"^[\p{L}\p{M}]++", 0)).otherwise("")
+        rest = F.substring(between, F.length(head) + 1, F.length(between))
+        runs_in = F.substring(text, place["start"] + 1, F.lit(1)).rlike("[A-Za-z]")
+        tail = F.when(runs_in, F.regexp_extract(rest, r"(?<![\p{L}\p{M}])[\p{L}\p{M}]++\z", 0)).otherwise("")
+        kept = F.substring(rest, F.lit(1), F.length(rest) - F.length(tail))
+        hidden = F.length(tail) + F.coalesce(place["end"] - place["start"], F.lit(0))
+        return F.concat(_blanks(F.length(head)), kept, _blanks(hidden))
+
+    cut = F.array_join(F.transform(F.sequence(F.lit(0), F.size(places)), piece), "")
+    return F.when(F.size(places) > 0, cut).otherwise(text)
 
-    def side(text: str, at: str) -> Column:
-        return F.transform(
-            _matches(F.col(text), word),
-            lambda m: F.struct(F.lower(m["value"]).alias("term"), (m["start"] + F.col(at)).alias("start"), (m["end"] + F.col(at)).alias("end")),
-        )
 
-    words = F.concat(side("ahead", "left"), side("behind", "right"))
-    return places.select(
-        "id", "print", "entity", F.xxhash64("ahead", "behind").alias("context"), F.explode(words).alias("word")
-    ).select("id", "print", "entity", "context", "word.*")
+def _terms(text: Column) -> Column:
+    """array<string>: the different words of a text in small letters."""
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), F.lower))
 
 
-def disclosing(terms: DataFrame) -> DataFrame:
-    """(entity, term) pairs in which the term gives the entity away, over all contexts of the corpus.
+def _term_spans(text: Column, terms: Column) -> Column:
+    """array<(kind, start, end)>: every place where one of ``terms`` stands as a word of the text.
 
-    Equal contexts (as in copies of a document) count once. The sums are made in parts
-    before rows meet, so that neither a frequent entity nor a frequent term is a hot group.
+    The text is drawn with x for the letters of these words and blanks for all others, so
+    that only what is found is walked through.
     """
-    seen = terms.groupBy("entity", "term", "context").agg(F.lit(1).alias("one"))
-    pairs = seen.groupBy("entity", "term").agg(F.count("*").alias("both"))
-    of_term = seen.groupBy("term").agg(F.count("*").alias("with_term"))
-    of_entity = terms.groupBy("entity", "context").agg(F.lit(1).alias("one")).groupBy("entity").agg(F.count("*").alias("with_entity"))
-    contexts = of_entity.agg(F.sum("with_entity")).first()[0] or 0
-    found = pairs.filter(F.col("both") >= SUPPORT).join(of_term, "term").filter(F.col("both") >= SHARE * F.col("with_term"))
-    gain = F.log2(F.col("both") / F.col("with_term") * contexts / F.col("with_entity"))
-    return durable(found.join(of_entity, "entity").filter(gain >= BITS).select("entity", "term"))
+
+    def drawn(word: Column) -> Column:
+        return F.repeat(F.when(F.array_contains(terms, F.lower(word)), "x").otherwise(" "), F.length(word))
+
+    gaps, words = F.split(text, WORD, -1), F.transform(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), drawn)
+    pairs = F.arrays_zip(gaps.alias("gaps"), words.alias("words"))
+    drawing = F.array_join(F.transform(pairs, lambda p: F.concat(_blanks(F.length(p["gaps"])), F.coalesce(p["words"], F.lit("")))), "")
+    return F.transform(_matches(drawing, "x+"), lambda m: F.struct(F.lit(TERM).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
+
+
+def _entities(text: Column, places: Column) -> Column:
+    """array<string>: what stands in the protected places, in small letters, each once."""
+    return F.array_distinct(F.transform(places, lambda p: F.lower(F.substring(text, p["start"] + 1, p["end"] - p["start"]))))
+
+
+def disclosing(held: DataFrame, holders: DataFrame, of_term: DataFrame, texts: int) -> DataFrame:
+    """(entity, term) pairs in which the term gives the entity away.
+
+    ``held`` (print, outside) has each text with protected places once, ``holders`` (print,
+    entity) whose they are, ``of_term`` (term, with_term) the texts of each term, of
+    ``texts`` in all. Entities in fewer than SUPPORT texts, or in so many that no term can
+    gain BITS, are left out before rows meet: no pair of theirs can be found. The sums are
+    made in parts, so that neither a frequent entity nor a frequent term is a hot group.
+    """
+    of_entity = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
+    able = durable(of_entity.filter((F.col("with_entity") >= SUPPORT) & (F.log2(texts / F.col("with_entity")) >= BITS)))
+    asked = durable(holders.join(able, "entity").select("print", "entity"))
+    rows = held.select("print", _terms(F.col("outside")).alias("terms")).join(asked, "print").select("entity", F.explode("terms").alias("term"))
+    pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
+    found = pairs.join(of_term, "term").filter(F.col("both") >= SHARE * F.col("with_term"))
+    gain = F.log2(F.col("both") / F.col("with_term") * texts / F.col("with_entity"))
+    return durable(found.join(able, "entity").filter(gain >= BITS).select("entity", "term"))
 
 
 def find_personal_data(docs: DataFrame) -> DataFrame:
     """(document, base, spans) for every row of ``docs`` (doc_id, text, ...).
 
-    ``base`` is array<(kind, start, end)> of the four kinds, ``spans`` is the same and the
-    terms that give a protected place in their neighbourhood away, kind TERM; places are
-    code points, ends exclusive. The share and gain of a term are estimated over the whole
-    corpus (see ``disclosing``). A null text is empty; a null doc_id is a document like
-    any other; rows that are there twice get the same result; ``document`` is the input
-    row as a struct, so columns of any name pass through.
+    ``base`` is array<(kind, start, end)> of the four kinds, ``spans`` is the same and
+    every occurrence of a term that gives a protected place of the document away, kind
+    TERM; places are code points, ends exclusive. The context of a place is its whole
+    document: all words but those in protected places. Equal texts count once. The share
+    and gain of a term are estimated over the texts that hold personal data (see
+    ``disclosing``). A null text is empty; a null doc_id is a document like any other;
+    rows that are there twice get the same result; ``document`` is the input row as a
+    struct, so columns of any name pass through.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select(
-        F.struct("*").alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"), base_spans(text).alias("spans"), text.alias("text")
-    )
-    # The places are found once; their contexts are short.
-    terms = _terms(durable(_places(marked)))
-    gone = (
-        terms.join(disclosing(terms), ["entity", "term"])
-        .groupBy(F.col("id").alias("id2"), F.col("print").alias("print2"))
-        .agg(F.array_sort(F.collect_set(F.struct(F.lit(TERM).alias("kind"), "start", "end"))).alias("terms"))
+    marked = docs.select(F.struct("*").alias("document"), F.md5(text.cast("binary")).alias("print"), text.alias("text"))
+    spanned = marked.select("print", "text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
+    # The places are found once, and each text that holds some is written once.
+    found = spanned.dropDuplicates(["print"]).withColumn("places", _merged(F.col("spans")))
+    held = durable(found.withColumn("outside", _outside(F.col("text"), F.col("places"))))
+    holders = durable(held.select("print", F.explode(_entities(F.col("text"), F.col("places"))).alias("entity")))
+    of_term = held.select(F.explode(_terms(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
+    pairs = disclosing(held, holders, of_term, held.count())
+    gone = durable(holders.join(pairs, "entity").groupBy("print").agg(F.collect_set("term").alias("terms")))
+    terms = F.when(F.col("terms").isNotNull(), _term_spans(F.col("outside"), F.col("terms"))).otherwise(_no_spans())
+    spans = durable(
+        held.join(gone, "print", "left").select(F.col("print").alias("print2"), F.col("spans").alias("base"), F.concat("spans", terms).alias("spans"))
     )
-    met = marked.drop("text").join(gone, F.col("id").eqNullSafe(F.col("id2")) & (F.col("print") == F.col("print2")), "left")
-    return met.select("document", F.col("spans").alias("base"), F.concat("spans", F.coalesce("terms", F.array().cast("array<struct<kind:string,start:int,end:int>>"))).alias("spans"))
+    met = marked.select("document", "print").join(spans, F.col("print") == F.col("print2"), "left")
+    return met.select("document", F.coalesce("base", _no_spans()).alias("base"), F.coalesce("spans", _no_spans()).alias("spans"))
 
 
 def count_of(kind: str, spans: str) -> Column:

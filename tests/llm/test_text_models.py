@@ -102,6 +102,39 @@ def test_terms_that_give_an_entity_away(spark):
     assert all("@" not in r.clean and "Zanz" not in r.clean for r in clean if r.doc_id is not None and r.doc_id < 12)
 
 
+def marked_words(spark, texts):
+    """Per document, every (word, start) of kind term."""
+    found = pii.find_personal_data(table(spark, texts)).select("document.doc_id", "document.text", "spans").collect()
+    return {r.doc_id: [(r.text[s.start : s.end], s.start) for s in r.spans if s.kind == "term"] for r in found}
+
+
+def test_terms_anywhere_in_the_document(spark):
+    rng = random.Random(11)
+    # Far from the place, behind another place, twice, and not where it is part of a place or of a longer word.
+    texts = [
+        f"{prose(rng, 3)} Zanzibarian {prose(rng, 60)} ada@x.org {prose(rng, 5)} u{n}@y.org {prose(rng, 60)} zanzibarian, Quokkas; Zanzibarians ñquokkas@z{n}.org"
+        for n in range(8)
+    ]
+    texts += [f"{prose(rng, 20)} v{n}@y.org {prose(rng, 20)}" for n in range(300)]
+    got = marked_words(spark, texts)
+    for n in range(8):
+        text = texts[n]
+        want = [(m[0], m.start()) for m in re.finditer(r"\b(?:zanzibarian|quokkas|zanzibarians)\b(?!@)", text, re.I)]
+        assert len(want) == 4
+        assert [g for g in got[n] if g[0].lower()[:2] in ("za", "qu", "ñq")] == want
+        assert all(word.isalpha() for word, _ in got[n])
+    assert not any(got[n] for n in range(8, 308))
+
+
+def test_words_beside_places(spark):
+    texts = ["größe@x.de tel+49 30 1234567 größe", "a@b.cé\u0301é und a@b.c", "ab 😀 cd@ef.gh ij", "ab"]
+    text = pii.F.col("text")
+    places = pii._merged(pii.base_spans(text))
+    rows = table(spark, texts).select("doc_id", pii._outside(text, places).alias("outside")).collect()
+    got = {r.doc_id: r.outside for r in rows}
+    assert got == {0: " " * 11 + "tel" + " " * 15 + "größe", 1: " " * 8 + " und" + " " * 6, 2: "ab 😀" + " " * 10 + "ij", 3: "ab"}
+
+
 WORD = re.compile(rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
