@@ -151,57 +151,72 @@ def _term_spans(text: Column, terms: Column) -> Column:
     return F.transform(_matches(drawing, "x+"), lambda m: F.struct(F.lit(TERM).alias("kind"), m["start"].alias("start"), m["end"].alias("end")))
 
 
+def _documents_of_terms(marked: DataFrame, held: DataFrame) -> DataFrame:
+    """(term, with_term): in how many documents of the whole corpus each term stands.
+
+    A text with protected places has fewer terms than words; those it lacks are taken off
+    again, so that no text has to meet another. Terms in fewer than SUPPORT are left out.
+    """
+    words = marked.select(F.explode(_terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("n"))
+    hidden = held.select("copies", F.explode(F.array_except(_terms(F.col("text")), _terms(F.col("outside")))).alias("term"))
+    less = hidden.groupBy("term").agg((-F.sum("copies")).alias("n"))
+    summed = words.unionByName(less).groupBy("term").agg(F.sum("n").alias("with_term"))
+    return durable(summed.filter(F.col("with_term") >= SUPPORT))
+
+
 def _entities(text: Column, places: Column) -> Column:
     """array<string>: what stands in the protected places, in small letters, each once."""
     return F.array_distinct(F.transform(places, lambda p: F.lower(F.substring(text, p["start"] + 1, p["end"] - p["start"]))))
 
 
-def disclosing(held: DataFrame, holders: DataFrame, of_term: DataFrame, texts: int) -> DataFrame:
+def disclosing(held: DataFrame, holders: DataFrame, of_term: DataFrame, documents: int) -> DataFrame:
     """(entity, term) pairs in which the term gives the entity away.
 
-    ``held`` (print, outside) has each text with protected places once, ``holders`` (print,
-    entity) whose they are, ``of_term`` (term, with_term) the texts of each term, of
-    ``texts`` in all. Entities in fewer than SUPPORT texts, or in so many that no term can
-    gain BITS, are left out before rows meet: no pair of theirs can be found. The sums are
-    made in parts, so that neither a frequent entity nor a frequent term is a hot group.
+    ``held`` (print, copies, outside) has each text with protected places once, ``holders``
+    (print, copies, entity) whose they are, ``of_term`` (term, with_term) the documents of
+    each term, of ``documents`` in all. Copies are documents, but support comes from
+    different texts. Entities in fewer than SUPPORT texts, or in so many documents that no
+    term can gain BITS, are left out before rows meet: no pair of theirs can be found. The
+    sums are made in parts, so that neither a frequent entity nor a frequent term is a hot
+    group.
     """
-    of_entity = holders.groupBy("entity").agg(F.count("*").alias("with_entity"))
-    able = durable(of_entity.filter((F.col("with_entity") >= SUPPORT) & (F.log2(texts / F.col("with_entity")) >= BITS)))
-    asked = durable(holders.join(able, "entity").select("print", "entity"))
-    rows = held.select("print", _terms(F.col("outside")).alias("terms")).join(asked, "print").select("entity", F.explode("terms").alias("term"))
-    pairs = rows.groupBy("entity", "term").agg(F.count("*").alias("both")).filter(F.col("both") >= SUPPORT)
-    found = pairs.join(of_term, "term").filter(F.col("both") >= SHARE * F.col("with_term"))
-    gain = F.log2(F.col("both") / F.col("with_term") * texts / F.col("with_entity"))
+    of_entity = holders.groupBy("entity").agg(F.count("*").alias("texts"), F.sum("copies").alias("with_entity"))
+    able = durable(of_entity.filter((F.col("texts") >= SUPPORT) & (F.log2(documents / F.col("with_entity")) >= BITS)))
+    asked = durable(holders.join(able, "entity").select("print", "copies", "entity"))
+    rows = held.select("print", _terms(F.col("outside")).alias("terms")).join(asked, "print").select("entity", "copies", F.explode("terms").alias("term"))
+    sums = rows.groupBy("entity", "term").agg(F.count("*").alias("support"), F.sum("copies").alias("both"))
+    found = sums.filter(F.col("support") >= SUPPORT).join(of_term, "term").filter(F.col("both") >= SHARE * F.col("with_term"))
+    gain = F.log2(F.col("both") / F.col("with_term") * documents / F.col("with_entity"))
     return durable(found.join(able, "entity").filter(gain >= BITS).select("entity", "term"))
 
 
-def find_personal_data(docs: DataFrame) -> DataFrame:
+def find_personal_data(docs: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """(document, base, spans) for every row of ``docs`` (doc_id, text, ...).
 
     ``base`` is array<(kind, start, end)> of the four kinds, ``spans`` is the same and
     every occurrence of a term that gives a protected place of the document away, kind
     TERM; places are code points, ends exclusive. The context of a place is its whole
-    document: all words but those in protected places. Equal texts count once. The share
-    and gain of a term are estimated over the texts that hold personal data (see
+    document: all words but those in protected places. The share and gain of a term are
+    estimated over all documents of the corpus, those without personal data included (see
     ``disclosing``). A null text is empty; a null doc_id is a document like any other;
     rows that are there twice get the same result; ``document`` is the input row as a
-    struct, so columns of any name pass through.
+    struct, so columns of any name pass through; with ``keep`` it has these columns only,
+    and the others, such as the text, are not shuffled.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    marked = docs.select(F.struct("*").alias("document"), F.md5(text.cast("binary")).alias("print"), text.alias("text"))
+    marked = docs.select(F.md5(text.cast("binary")).alias("print"), text.alias("text"))
     spanned = marked.select("print", "text", base_spans(F.col("text")).alias("spans")).filter(F.size("spans") > 0)
     # The places are found once, and each text that holds some is written once.
-    found = spanned.dropDuplicates(["print"]).withColumn("places", _merged(F.col("spans")))
-    held = durable(found.withColumn("outside", _outside(F.col("text"), F.col("places"))))
-    holders = durable(held.select("print", F.explode(_entities(F.col("text"), F.col("places"))).alias("entity")))
-    of_term = held.select(F.explode(_terms(F.col("outside"))).alias("term")).groupBy("term").agg(F.count("*").alias("with_term"))
-    pairs = disclosing(held, holders, of_term, held.count())
+    once = spanned.groupBy("print").agg(F.first("text").alias("text"), F.first("spans").alias("spans"), F.count("*").alias("copies"))
+    placed = once.withColumn("places", _merged(F.col("spans")))
+    held = durable(placed.withColumn("outside", _outside(F.col("text"), F.col("places"))))
+    holders = durable(held.select("print", "copies", F.explode(_entities(F.col("text"), F.col("places"))).alias("entity")))
+    pairs = disclosing(held, holders, _documents_of_terms(marked, held), docs.count())
     gone = durable(holders.join(pairs, "entity").groupBy("print").agg(F.collect_set("term").alias("terms")))
     terms = F.when(F.col("terms").isNotNull(), _term_spans(F.col("outside"), F.col("terms"))).otherwise(_no_spans())
-    spans = durable(
-        held.join(gone, "print", "left").select(F.col("print").alias("print2"), F.col("spans").alias("base"), F.concat("spans", terms).alias("spans"))
-    )
-    met = marked.select("document", "print").join(spans, F.col("print") == F.col("print2"), "left")
+    found = durable(held.join(gone, "print", "left").select("print", F.col("spans").alias("base"), F.concat("spans", terms).alias("spans")))
+    row = F.struct(*[F.col(f"`{c}`") for c in keep]) if keep else F.struct("*")
+    met = docs.select(row.alias("document"), F.md5(text.cast("binary")).alias("print")).join(found, "print", "left")
     return met.select("document", F.coalesce("base", _no_spans()).alias("base"), F.coalesce("spans", _no_spans()).alias("spans"))
 
 

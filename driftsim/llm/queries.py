@@ -36,7 +36,7 @@ def op3_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op4_personal_data(spark: SparkSession, folder: str) -> DataFrame:
-    found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"))
+    found = pii.find_personal_data(table(spark, folder, "documents").select("doc_id", "text"), keep=("doc_id",))
     counts = [pii.count_of(kind, "base").alias(f"n_{kind}") for kind in pii.KINDS]
     return found.select(
         "document.doc_id", *counts, F.sha2(pii.span_list("base"), 256).alias("base_sha256"), pii.span_list("spans").alias("spans")

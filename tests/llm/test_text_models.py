@@ -126,6 +126,19 @@ def test_terms_anywhere_in_the_document(spark):
     assert not any(got[n] for n in range(8, 308))
 
 
+def test_terms_are_counted_over_all_documents(spark):
+    rng = random.Random(12)
+    texts = [f"{prose(rng, 9)} ordinary zanzibarian ada@x.org {prose(rng, 9)}" for _ in range(4)]
+    texts += [f"{prose(rng, 9)} ordinary {n}" for n in range(80)]
+    # Copies of one text are no support for its terms; words inside places are no terms.
+    texts += ["quokkas bob@x.org"] * 3 + ["zanzibarian und"] + [f"{prose(rng, 2)} w{n}@zanzibarian.org" for n in range(9)]
+    got = marked_words(spark, texts)
+    assert all([w for w, _ in got[n] if len(w) > 6] == ["zanzibarian"] for n in range(4))
+    assert not any(got[n] for n in range(4, len(texts)))
+    found = {r.document.doc_id: r.document.asDict() for r in pii.find_personal_data(table(spark, texts)).collect()}
+    assert found[0] == {"doc_id": 0, "text": texts[0], "lang": "en", "source": "s", "n_chars": len(texts[0]), "row": "r", "print": "p", "spans": 1, "document": 2}
+
+
 def test_words_beside_places(spark):
     texts = ["größe@x.de tel+49 30 1234567 größe", "a@b.cé\u0301é und a@b.c", "ab 😀 cd@ef.gh ij", "ab"]
     text = pii.F.col("text")
