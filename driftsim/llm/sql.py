@@ -111,10 +111,51 @@ SELECT g.vec_id, (SELECT count(*) FROM links l WHERE l.a = g.vec_id) AS n_links,
 FROM good g JOIN least ON least.v = g.vec_id
 """
 
+_RUNS = r"""
+WITH RECURSIVE crc AS (
+  SELECT doc_id, doc_id::VARCHAR AS s, 0 AS bit, 4294967295::BIGINT AS c FROM documents
+  UNION ALL
+  SELECT doc_id, s, bit + 1, CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384::BIGINT) ELSE x >> 1 END
+  FROM (SELECT doc_id, s, bit, CASE WHEN bit % 8 = 0 THEN xor(c, ord(substr(s, bit // 8 + 1, 1))::BIGINT) ELSE c END AS x FROM crc WHERE bit < 8 * length(s))
+), hashed AS (
+  SELECT doc_id, xor(c, 4294967295::BIGINT) AS h FROM crc WHERE bit = 8 * length(s)
+), cut AS (
+  SELECT d.doc_id, h, h // 10 AS g, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents d JOIN hashed USING (doc_id)
+), sized AS (
+  SELECT *, len(ws) AS n, CASE WHEN h % 10 = 0 AND len(ws) > 0 THEN g % len(ws) END AS a FROM cut
+), planted AS (
+  SELECT *, 1 + (n - a) // (3 + g % 8) AS p FROM sized
+), words AS (
+  SELECT doc_id, i, ws[(CASE WHEN a IS NOT NULL AND i >= a THEN a + (i - a) % p ELSE i END) + 1] AS word
+  FROM (SELECT *, unnest(range(0, n)) AS i FROM planted)
+), matches AS (
+  SELECT x.doc_id, y.i - x.i AS q, x.i FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.word = y.word AND x.i < y.i
+  JOIN planted d ON d.doc_id = x.doc_id WHERE 4 * (y.i - x.i) <= d.n
+), islands AS (
+  SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS island FROM matches
+), stretches AS (
+  SELECT doc_id, q, min(i) AS s, count(*) + q AS l FROM islands GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(6, 4 * q)
+), runs AS (
+  SELECT doc_id, s, l, min(q) AS q FROM stretches GROUP BY doc_id, s, l
+), listed AS (
+  SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || l || ',' || q || chr(10), '' ORDER BY s, q) AS lines,
+         first(struct_pack(s := s, l := l, q := q) ORDER BY l::DOUBLE / q DESC, s, q) AS best
+  FROM runs GROUP BY doc_id
+), gone AS (
+  SELECT DISTINCT doc_id, unnest(range(s + q, s + l)) AS i FROM runs
+), kept AS (
+  SELECT w.doc_id, string_agg(word, ' ' ORDER BY w.i) AS text FROM words w ANTI JOIN gone g ON g.doc_id = w.doc_id AND g.i = w.i GROUP BY w.doc_id
+)
+SELECT c.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, best.s::BIGINT AS start, best.l::BIGINT AS length, best.q::BIGINT AS period,
+       (1000 * best.l // best.q)::BIGINT AS exponent_milli, sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(k.text, '')) AS collapsed_sha256
+FROM cut c LEFT JOIN listed USING (doc_id) LEFT JOIN kept k ON k.doc_id = c.doc_id
+"""
+
 LLM_ORACLE = {
     "op1_line_dedup": _LINES,
     "op3_substring_dedup": _PASSAGES,
     "op5_decontamination": _BENCHMARK,
     "op6_suffix_array_dedup": _STRINGS,
     "op7_embedding_dedup": _VECTORS,
+    "op13_periodic_runs": _RUNS,
 }
