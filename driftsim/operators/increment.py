@@ -67,18 +67,17 @@ def two_hop(first: DataFrame, neighbors: DataFrame) -> DataFrame:
     return first.join(step, "candidate_id").select("fresh_id", F.col("next_id").alias("candidate_id")).distinct()
 
 
-def random_k(items: DataFrame, known: DataFrame, k: int, seed: int, batch: int = 0) -> DataFrame:
-    """k distinct random known items per item, the same for the same seed and batch.
+def drawn(known: DataFrame, n: int, seed: int, batch: int = 0) -> DataFrame:
+    """The n known items (item_id, draw) with the lowest hash; the same for the same seed and batch."""
+    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(batch)), F.col("item_id").cast("string")))
+    return known.select("item_id", draw.alias("draw")).orderBy("draw", "item_id").limit(n)
+
+
+def deal(items: DataFrame, pool: DataFrame, k: int, count: int) -> DataFrame:
+    """k items of the drawn ``pool`` for each of the ``count`` ``items``.
 
-    The k*n known items with the lowest hash form one pool; item number f takes pool
-    slots f*k .. f*k+k-1, around the end if the pool is short. The catalogue is scanned
-    once and never paired with the batch.
+    Item number f takes pool slots f*k .. f*k+k-1, around the end if the pool is short.
     """
-    count = items.agg(F.count(F.lit(1))).first()[0]
-    if not count:
-        return items.select(F.col("item_id").alias("fresh_id"), F.col("item_id").alias("candidate_id"))
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(batch)), F.col("item_id").cast("string")))
-    pool = known.select("item_id", draw.alias("draw")).orderBy("draw", "item_id").limit(k * count)
     pool = positions(pool, [F.col("draw"), F.col("item_id")], "slot", largest=k * count, unique=True)
     size = pool.agg(F.count(F.lit(1))).scalar()
     turns = F.explode(F.sequence(F.lit(0), F.least(F.lit(k), size.cast("int")) - 1))
@@ -90,6 +89,18 @@ def random_k(items: DataFrame, known: DataFrame, k: int, seed: int, batch: int =
     return wanted.join(pool, "slot").select("fresh_id", F.col("item_id").alias("candidate_id"))
 
 
+def random_k(items: DataFrame, known: DataFrame, k: int, seed: int, batch: int = 0) -> DataFrame:
+    """k distinct random known items per item, the same for the same seed and batch.
+
+    The k*n known items with the lowest hash form one pool, which is dealt out. The
+    catalogue is scanned once and never paired with the batch.
+    """
+    count = items.agg(F.count(F.lit(1))).first()[0]
+    if not count:
+        return items.select(F.col("item_id").alias("fresh_id"), F.col("item_id").alias("candidate_id"))
+    return deal(items, drawn(known, k * count, seed, batch), k, count)
+
+
 def candidates(
     fresh: DataFrame, neighbors: DataFrame, known: DataFrame, k: int, seed: int, batch: int = 0
 ) -> DataFrame:
@@ -229,12 +240,13 @@ def update_candidates(listed: DataFrame, neighbors: DataFrame, scored: DataFrame
 
 
 def refresh_neighbors(
-    neighbors: DataFrame, touched: DataFrame, new_info: DataFrame, new_pairs: DataFrame, k: int
+    neighbors: DataFrame, touched: DataFrame, new_info: DataFrame, new_pairs: DataFrame, k: int, keep=durable
 ) -> DataFrame:
     """New lists of every touched item that owns one.
 
     A pair updated in this batch, with two norms, gets a new similarity; a stored
     neighbour keeps its old one; any other touched item competes with similarity 0.
+    ``keep`` holds the explicit candidates, which are used more than once.
     """
     listed = present(touched, neighbors, ["item_id"])
     q = new_info.select("item_id", "q").filter(F.col("q") != 0)
@@ -244,7 +256,7 @@ def refresh_neighbors(
         .select("item_i", "item_j", pair_similarity("p", "q_i", "q_j").alias("sim"))
     )
     scored = mirror_pairs(scored)
-    explicit = durable(
+    explicit = keep(
         update_candidates(listed, neighbors, scored).select(
             "item_id", "neighbor_id", F.coalesce("new_sim", "old_sim").alias("sim")
         )

@@ -1,7 +1,6 @@
 """Rating prediction and top-R recommendation."""
 
-import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftsim.functions.scoring import rank_key
 from driftsim.operators.keys import lookup, present
@@ -20,10 +19,13 @@ def candidate_items(profile: DataFrame, popular: DataFrame, neighbors: DataFrame
 
 
 def topr_recommendations(
-    profile: DataFrame, popular: DataFrame, neighbors: DataFrame, r: int
+    profile: DataFrame, popular: DataFrame, neighbors: DataFrame, r: int, means: DataFrame | None = None
 ) -> DataFrame:
     """The r best predicted candidates of every user.
 
+    With ``means`` (user_id, mean) of all users, ``profile`` need only hold their ratings
+    of popular items and of the neighbours of these.
+
     Ratings meet the neighbour lists of the popular items through the neighbour id,
     which yields only (user, candidate) sums with evidence. Candidates without
     evidence fall back to the user mean. Ranking happens inside the user's row.
@@ -33,7 +35,7 @@ def topr_recommendations(
     lists = F.broadcast(
         neighbors.join(served, "item_id", "left_semi").select("item_id", "neighbor_id", "sim")
     )
-    users = _unseen(profile, served)
+    users = _unseen(profile, served, means)
     evidence = (
         profile.select("user_id", F.col("item_id").alias("neighbor_id"), "rating")
         .join(lists, "neighbor_id")
@@ -64,14 +66,18 @@ def topr_recommendations(
     )
 
 
-def predict_observations(observed: DataFrame, profile: DataFrame, neighbors: DataFrame) -> DataFrame:
+def predict_observations(
+    observed: DataFrame, profile: DataFrame, neighbors: DataFrame, means: DataFrame | None = None
+) -> DataFrame:
     """Prediction and user mean for each (user, item) of a batch, from the state before it.
 
-    Users without a profile get none, as there is no mean to start from.
+    Users without a profile get none, as there is no mean to start from. With ``means``
+    (user_id, mean), ``profile`` need only hold ratings of neighbours of the items.
     """
     keys = observed.select("user_id", "item_id").distinct()
     rated = lookup(profile, keys.select("user_id").distinct(), ["user_id"])
-    means = rated.groupBy("user_id").agg(F.avg("rating").alias("mean"))
+    if means is None:
+        means = rated.groupBy("user_id").agg(F.avg("rating").alias("mean"))
     evidence = (
         keys.join(
             lookup(neighbors, keys.select("item_id").distinct(), ["item_id"]).select("item_id", "neighbor_id", "sim"),
@@ -100,14 +106,16 @@ def serve_recommendations(
     cutoffs: list[int],
     most: int | None = None,
     served_before: DataFrame | None = None,
+    turns: DataFrame | None = None,
 ) -> DataFrame:
     """What each observation is answered with, one list per cut-off.
 
     ``observed`` has (batch, user_id, item_id, arrival). The stored list of the user
     loses every item the user has rated in this batch so far, the current one
     included; the first R of the rest are served. Lists and batches are both bounded.
-    With ``most`` an item that has been in the longest lists of a user that often,
-    those of ``served_before`` included, gives way to the next one.
+    With ``most`` an item that has been in the longest lists of a user that often gives
+    way to the next one. Earlier turns come as counts, ``turns`` (user_id, item_id, n),
+    or as the rows of earlier lists, ``served_before``.
     """
     so_far = W.partitionBy("batch", "user_id").orderBy("arrival")
     queries = observed.select(
@@ -118,7 +126,9 @@ def serve_recommendations(
         F.sort_array(F.collect_list(F.struct("rank", "item_id"))).alias("stored")
     )
     if most is not None:
-        served = _serve_at_most(queries.join(lists, "user_id"), max(cutoffs), most, served_before)
+        if turns is None and served_before is not None:
+            turns = turns_of(lookup(served_before, observed.select("user_id"), ["user_id"]))
+        served = _serve_at_most(queries.join(lists, "user_id"), max(cutoffs), most, turns)
         return multi_cutoff(served, cutoffs)
     left = F.filter("stored", lambda x: ~F.array_contains("rated", x.item_id))
     best = F.transform(F.slice(left, 1, max(cutoffs)), lambda x: x.item_id)
@@ -130,35 +140,56 @@ def serve_recommendations(
     return multi_cutoff(served.withColumn("rank", rank).drop("pos"), cutoffs)
 
 
-def _serve_at_most(queries: DataFrame, size: int, most: int, before: DataFrame | None) -> DataFrame:
+def turns_of(served: DataFrame) -> DataFrame:
+    """How often each item was in the lists of each user: (user_id, item_id, n)."""
+    return served.filter("item_id is not null").groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def added_turns(turns: DataFrame, served: DataFrame) -> DataFrame:
+    """The new counts of the (user, item) in ``served``, on top of those in ``turns``."""
+    new = turns_of(served)
+    old = turns.select("user_id", "item_id", F.col("n").alias("before"))
+    return new.join(old, ["user_id", "item_id"], "left").select(
+        "user_id", "item_id", (F.col("n") + F.coalesce("before", F.lit(0))).alias("n")
+    )
+
+
+def _serve_at_most(queries: DataFrame, size: int, most: int, turns: DataFrame | None) -> DataFrame:
     """Answers in order of arrival, each of which uses up one turn of the items in it.
 
     What is served depends on all earlier answers of the batch, so a user's queries are
-    walked through; they are no more than the batch.
+    folded in one row, with the turns of the listed items beside them; queries and lists
+    are no longer than the batch and the stored list.
     """
-    users = queries.select("user_id").distinct()
-    counts = F.map_from_entries(F.collect_list(F.struct("item_id", "n")))
-    if before is None:
-        used = users.withColumn("used", F.lit(None).cast("map<bigint,bigint>"))
+    asked = F.sort_array(F.collect_list(F.struct("arrival", "batch", "rated")))
+    users = queries.groupBy("user_id").agg(asked.alias("asked"), F.first(F.transform("stored", lambda x: x.item_id)).alias("items"))
+    if turns is None:
+        users = users.withColumn("used", F.lit(None).cast("map<bigint,bigint>"))
     else:
-        turns = lookup(before, users, ["user_id"]).filter("item_id is not null")
-        used = turns.groupBy("user_id", "item_id").agg(F.count(F.lit(1)).alias("n")).groupBy("user_id").agg(counts.alias("used"))
-    rows = queries.select("batch", "arrival", "user_id", "rated", F.transform("stored", lambda x: x.item_id).alias("items"))
-
-    def serve(group):
-        group = group.sort_values("arrival")
-        turns, out = dict(group["used"].iloc[0] or {}), []
-        for row in group.itertuples():
-            rated = set(row.rated)
-            best = [i for i in row.items if i not in rated and turns.get(i, 0) < most][:size]
-            for i in best:
-                turns[i] = turns.get(i, 0) + 1
-            # A list with nothing left is still an answer: one row without an item.
-            out += [(row.batch, row.arrival, row.user_id, i, n + 1) for n, i in enumerate(best or [None])]
-        return pd.DataFrame(out, columns=["batch", "arrival", "user_id", "item_id", "rank"]).astype({"item_id": "Int64"})
-
-    schema = "batch long, arrival long, user_id long, item_id long, rank int"
-    return rows.join(used, "user_id", "left").groupBy("user_id").applyInPandas(serve, schema)
+        entries = F.map_from_entries(F.collect_list(F.struct("item_id", "n"))).alias("used")
+        listed = users.select("user_id", F.explode("items").alias("item_id"))
+        used = turns.join(listed, ["user_id", "item_id"], "left_semi").groupBy("user_id").agg(entries)
+        users = users.join(used, "user_id", "left")
+    items = F.col("items")
+    begin = F.transform(items, lambda x: F.coalesce(F.try_element_at("used", x), F.lit(0).cast("long")))
+    answers = F.array().cast("array<struct<batch: bigint, arrival: bigint, best: array<bigint>>>")
+
+    def step(state: Column, query: Column) -> Column:
+        counted = F.transform(items, lambda x, i: F.struct(x.alias("item"), state["used"][i].alias("n")))
+        left = F.filter(counted, lambda x: ~F.array_contains(query["rated"], x["item"]) & (x["n"] < most))
+        best = F.transform(F.slice(left, 1, size), lambda x: x["item"])
+        moved = F.transform(
+            counted, lambda x: x["n"] + F.when(F.array_contains(best, x["item"]), F.lit(1).cast("long")).otherwise(F.lit(0).cast("long"))
+        )
+        answer = F.struct(query["batch"].alias("batch"), query["arrival"].alias("arrival"), best.alias("best"))
+        return F.struct(moved.alias("used"), F.concat(state["answers"], F.array(answer)).alias("answers"))
+
+    folded = F.aggregate("asked", F.struct(begin.alias("used"), answers.alias("answers")), step, lambda state: state["answers"])
+    served = users.select("user_id", F.explode(folded).alias("answer")).select(
+        "answer.batch", "answer.arrival", "user_id", F.posexplode_outer("answer.best").alias("pos", "item_id")
+    )
+    # A list with nothing left is still an answer: one row without an item.
+    return served.withColumn("rank", F.coalesce(F.col("pos") + 1, F.lit(1))).drop("pos")
 
 
 def multi_cutoff(ranked: DataFrame, cutoffs: list[int]) -> DataFrame:
@@ -194,10 +225,15 @@ def _served(popular: DataFrame, neighbors: DataFrame) -> DataFrame:
     return present(popular, neighbors, ["item_id"])
 
 
-def _unseen(profile: DataFrame, served: DataFrame) -> DataFrame:
+def _unseen(profile: DataFrame, served: DataFrame, means: DataFrame | None = None) -> DataFrame:
     """Per user: mean rating and the served items not rated yet."""
     ids = served.agg(F.sort_array(F.collect_list("item_id"))).scalar()
     marked = profile.join(F.broadcast(served.withColumn("__served", F.lit(True))), "item_id", "left")
-    seen = F.collect_set(F.when(F.col("__served"), F.col("item_id")))
-    users = marked.groupBy("user_id").agg(F.avg("rating").alias("mean"), seen.alias("seen"))
+    seen = F.collect_set(F.when(F.col("__served"), F.col("item_id"))).alias("seen")
+    if means is None:
+        users = marked.groupBy("user_id").agg(F.avg("rating").alias("mean"), seen)
+    else:
+        users = means.join(marked.groupBy("user_id").agg(seen), "user_id", "left").withColumn(
+            "seen", F.coalesce("seen", F.array().cast("array<bigint>"))
+        )
     return users.select("user_id", "mean", F.array_except(ids, F.col("seen")).alias("unseen"))

@@ -108,12 +108,17 @@ def running_user_mean(profile: DataFrame, fresh: DataFrame) -> DataFrame:
     ``rubar`` is the merged mean, ``e`` its change, ``t`` the clock after the batch and
     ``n_old`` the clock before it.
     """
-    new = fresh.groupBy("user_id").agg(F.sum("rating").alias("s_new"), F.count(F.lit(1)).alias("n_new"))
     old = (
         profile.join(fresh.select("user_id").distinct(), "user_id", "left_semi")
         .groupBy("user_id")
         .agg(F.sum("rating").alias("s_old"), F.count(F.lit(1)).alias("n_old"))
     )
+    return merged_means(old, fresh)
+
+
+def merged_means(old: DataFrame, fresh: DataFrame) -> DataFrame:
+    """The same, from the sums (user_id, s_old, n_old) of the stored ratings."""
+    new = fresh.groupBy("user_id").agg(F.sum("rating").alias("s_new"), F.count(F.lit(1)).alias("n_new"))
     s_old, n_old = F.coalesce("s_old", F.lit(0.0)), F.coalesce("n_old", F.lit(0))
     rubar = (s_old + F.col("s_new")) / (n_old + F.col("n_new"))
     old_mean = F.when(n_old > 0, s_old / n_old).otherwise(F.lit(0.0))
@@ -126,6 +131,19 @@ def running_user_mean(profile: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
+def profile_parts(profile: DataFrame, items: DataFrame) -> DataFrame:
+    """Per user the sum ``s_old`` and number ``n_old`` of all ratings, and in ``some`` those of ``items``.
+
+    One pass, summed before the shuffle: however long a profile is, what comes out of it
+    is bounded by ``items`` (distinct, a small frame).
+    """
+    marked = profile.join(F.broadcast(items.select("item_id", F.lit(True).alias("__asked"))), "item_id", "left")
+    entry = F.when(F.col("__asked"), F.struct("item_id", "rating", "timestep"))
+    return marked.groupBy("user_id").agg(
+        F.sum("rating").alias("s_old"), F.count(F.lit(1)).alias("n_old"), F.collect_list(entry).alias("some")
+    )
+
+
 def ratings_profile(rows: DataFrame, item: str = "item_id") -> DataFrame:
     """Time range, largest id, distinct ids and row count of a raw table."""
     items = rows.select(item).distinct().agg(F.count(F.lit(1)).alias("items"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftsim.operators import increment, pairs, recommend, stats
 from driftsim.plans.bootstrap import Relations, Settings
-from driftsim.session import durable
+from driftsim.session import LOCAL_ROWS, durable, is_local, local, local_table
 
 
 @dataclass(frozen=True)
@@ -27,6 +27,16 @@ class Update:
     users: DataFrame
 
 
+def small_rows(settings: Settings) -> int:
+    """The most rows of a batch whose whole reach is small enough for local frames.
+
+    A rating touches k neighbours, their k neighbours and k random items; every touched
+    or popular item brings a list of k.
+    """
+    reach = 1 + 2 * settings.k + settings.k**2
+    return max(0, (LOCAL_ROWS // (1 + settings.k) - settings.p) // reach)
+
+
 def apply_batch(
     base: Relations,
     fresh: DataFrame,
@@ -35,15 +45,95 @@ def apply_batch(
     batch_rows: int = 0,
     ignore_new: bool = False,
     contain_duplicates: bool = True,
-    keep=lambda name, df, owners=None: durable(df),
+    keep=None,
+    small: bool | None = None,
 ) -> Update:
     """Update every relation by one batch of (user_id, item_id, rating, position).
 
     ``keep`` stores a changed relation under its name and returns it as read back; the
     third argument are keys whose old list goes even if they have no new one.
+
+    A batch of up to ``small_rows`` looks its rows up in the relations and then works on
+    local frames, one short job a step. A larger one goes through written tables. Both
+    give the same rows; ``small`` says which way to go if the caller knows.
     """
     if ignore_new:
         fresh = increment.ignore_new(fresh, base.user_ratings, base.item_info)
+    fresh = fresh.select("user_id", "item_id", "rating", "position")
+    if small is None:
+        few = fresh.limit(small_rows(settings) + 1).toArrow()
+        small = few.num_rows <= small_rows(settings)
+        if small:
+            fresh = local_table(fresh.sparkSession, few)
+    if small:
+        keep = keep or (lambda name, df, owners=None: local(df))
+        return _apply_small(base, local(fresh) if not is_local(fresh) else fresh, settings, batch, batch_rows, contain_duplicates, keep)
+    keep = keep or (lambda name, df, owners=None: durable(df))
+    return _apply_large(base, fresh, settings, batch, batch_rows, contain_duplicates, keep)
+
+
+def small_profiles(base: Relations, users: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Sums (user_id, s_old, n_old) of the stored ratings of ``users``, and their ratings of ``items``."""
+    parts = local(stats.profile_parts(base.find("user_ratings", users, ["user_id"]), items))
+    return parts.drop("some"), parts.select("user_id", F.inline("some"))
+
+
+def _apply_small(base, fresh, settings, batch, batch_rows, contain_duplicates, keep) -> Update:
+    k = settings.k
+    users = local(increment.fresh_keys(fresh, "user_id"))
+    items = local(increment.fresh_keys(fresh, "item_id"))
+    # Lists of the batch's items and of their neighbours, and the drawn candidates.
+    near = local(base.find("neighbors", items, ["item_id"]))
+    further = local(base.find("neighbors", near.select(F.col("neighbor_id").alias("item_id")), ["item_id"]))
+    first = increment.one_hop(items, near)
+    listed = local(near.select("item_id").distinct())
+    pool = first.unionByName(increment.two_hop(first, further))
+    n = len(listed.collect())
+    if n:
+        # The batch's own new items can be drawn as well.
+        known = local(increment.drawn(base.item_info, k * n, settings.seed, batch)).select("item_id")
+        known = local(increment.drawn(known.unionByName(items).distinct(), k * n, settings.seed, batch))
+        pool = pool.unionByName(increment.deal(listed, known, k, n))
+    pool = local(pool.distinct())
+    touched = local(increment.touched_items(fresh, pool))
+    wanted = local(increment.touched_pairs(pool))
+    # Whatever can be popular afterwards, and every list that can be served.
+    was_popular = local(base.popular)
+    mine = touched.unionByName(was_popular.select("item_id"))
+    lists = local(base.find("neighbors", mine, ["item_id"]))
+    asked = local(mine.unionByName(lists.select(F.col("neighbor_id").alias("item_id"))).distinct())
+    sums, old = small_profiles(base, users, asked)
+
+    clocked = local(increment.clocked(fresh, stats.merged_means(sums, fresh)))
+    old_info = local(base.find("item_info", touched, ["item_id"]))
+    info = keep("item_info", increment.update_item_info(old_info, touched, clocked, old, settings.alpha))
+    met = increment.fresh_prev_pairs(clocked, old, touched, settings.alpha)
+    old_pairs = local(base.find("pair_info", wanted, ["item_i", "item_j"]))
+    pairs = keep("pair_info", increment.update_pair_info(old_pairs, wanted, met, settings.alpha))
+
+    popular = keep("popular", increment.maintain_popular(was_popular, info, settings.p))
+    defaults = local(stats.default_neighbors(increment.new_entities(clocked, old_info, "item_id"), popular, k))
+    own = lists.join(touched, "item_id", "left_semi").unionByName(defaults)
+    neighbors = keep("neighbors", increment.refresh_neighbors(own, touched, info, pairs, k, keep=local))
+
+    rows = clocked.select("user_id", "item_id", "rating", "timestep")
+    again = old.select(*rows.columns).join(rows.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
+    ratings = keep("user_ratings", rows if contain_duplicates else rows.unionByName(again))
+    profile = local(increment.merge_profiles(old, clocked, contain_duplicates))
+    changed = fresh.select("user_id", F.col("rating").alias("s"), F.lit(1).alias("c"))
+    if contain_duplicates:
+        changed = changed.unionByName(again.select("user_id", (-F.col("rating")).alias("s"), F.lit(-1).alias("c")))
+    moved = changed.groupBy("user_id").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).join(sums, "user_id", "left")
+    whole = F.coalesce("s_old", F.lit(0.0)) + F.col("s")
+    means = local(moved.select("user_id", (whole / (F.coalesce("n_old", F.lit(0)) + F.col("c"))).alias("mean")))
+    served = local(increment_lists(lists.unionByName(defaults), neighbors, popular))
+    recommendations = keep(
+        "recommendations", recommend.topr_recommendations(profile, popular, served, settings.r + batch_rows, means), users
+    )
+    return Update(ratings, info, pairs, neighbors, popular, recommendations, touched, wanted, users)
+
+
+def _apply_large(base, fresh, settings, batch, batch_rows, contain_duplicates, keep) -> Update:
     users = increment.fresh_keys(fresh, "user_id")
     # The earlier ratings of the batch's users, the batch with its clock, and the
     # candidates drawn for it feed every step below.

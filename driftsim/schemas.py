@@ -32,3 +32,18 @@ STATE = {
     "recommendations": (RECOMMENDATIONS, ("user_id",), ("user_id",)),
     "popular": (_struct(item_id=_LONG, n=_LONG), (), ()),
 }
+
+# How often an item was in the longest lists of a user. Kept where repeats are capped.
+COUNTERS = {
+    "turns": (_struct(user_id=_LONG, item_id=_LONG, n=_LONG), ("user_id", "item_id"), ("user_id",)),
+}
+
+_SEEN = {"batch": _LONG, "arrival": _LONG, "user_id": _LONG, "item_id": _LONG}
+# What the serving loop notes of every batch.
+LOGS = {
+    "observations": _struct(**_SEEN, rating=_DOUBLE, ts=_LONG),
+    "predictions": _struct(**_SEEN, rating=_DOUBLE, ts=_LONG, mean=_DOUBLE, pred=_DOUBLE),
+    "messages": _struct(batch=_LONG, cutoff=_INT, arrival=_LONG, value=T.StringType()),
+    "served": _struct(**_SEEN, rank=_INT),
+    "metrics": _struct(batch=_LONG, phase=T.StringType(), started=_DOUBLE, ended=_DOUBLE, seconds=_DOUBLE, rows=_LONG),
+}

@@ -3,6 +3,7 @@
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
@@ -50,3 +51,48 @@ def durable(df: DataFrame) -> DataFrame:
     path = scratch_path(df.sparkSession, "frame")
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: A frame with more rows than this is never held as local data.
+LOCAL_ROWS = 200_000
+_calm: dict[str, SparkSession] = {}
+
+
+def calm_session(spark: SparkSession) -> SparkSession:
+    """A session of the same application for plans over small local frames.
+
+    Its shuffles have one partition and nothing is planned anew while running, so that a
+    plan over local data is one job of a few short tasks. Tables are read and large
+    frames made in the caller's own session.
+    """
+    key = spark.sparkContext.applicationId
+    if key not in _calm:
+        calm = spark.newSession()
+        for name, value in {
+            "spark.sql.adaptive.enabled": "false",
+            "spark.sql.shuffle.partitions": "1",
+            "spark.sql.leafNodeDefaultParallelism": "1",
+            "spark.sql.autoBroadcastJoinThreshold": "-1",
+            "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.session.timeZone": "UTC",
+        }.items():
+            calm.conf.set(name, value)
+        _calm[key] = calm
+    return _calm[key]
+
+
+def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
+    """An Arrow table as a local frame."""
+    if not table.num_rows:
+        table = pa.Table.from_arrays([pa.array([], f.type) for f in table.schema], schema=table.schema)
+    return calm_session(spark).createDataFrame(table)
+
+
+def local(df: DataFrame) -> DataFrame:
+    """``df`` as local data, by one action. For frames whose size a parameter bounds."""
+    return local_table(df.sparkSession, df.toArrow())
+
+
+def is_local(df: DataFrame) -> bool:
+    """Whether the rows are at the driver already, so that reading them takes no job."""
+    return df._jdf.queryExecution().optimizedPlan().getClass().getSimpleName() == "LocalRelation"

@@ -1,44 +1,62 @@
-"""Relations kept as parquet in a shared folder, one directory per version.
-
-A version holds only the rows it changed. Reading takes the newest row of each key up
-to the last committed version. A base version, from ``bootstrap`` or ``compact``, is laid
-out in buckets by lookup key, and ``find`` opens only the buckets of the wanted keys and
-the changes made since.
+"""Relations kept as parquet in a shared folder: a base version, and the rows changed since.
+
+A base version, from ``bootstrap`` or ``compact``, is laid out in buckets by lookup key
+and sorted inside them. Every later version is one table of all rows it changed, each
+under the name of its relation. Reading takes the newest row of each key up to the last
+commit; ``find`` opens only the buckets of the wanted keys and the changes. A commit is a
+small text put in place in one step: it names the versions that are alive, and those that
+were replaced, which are deleted once no reader can be using them any more.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+import json
+import time
+from dataclasses import dataclass, field, replace
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, Row, SparkSession, functions as F
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from driftsim.operators.keys import lookup
 from driftsim.operators.pairs import ranked_list, unranked
 from driftsim.plans.bootstrap import Relations
-from driftsim.schemas import STATE
-
-_COMMITS = (
-    StructType()
-    .add("version", LongType())
-    .add("base", LongType())
-    .add("buckets", IntegerType())
-    .add("stream", StringType())
-    .add("epoch", LongType())
-)
-_CHANGES = -1  # the bucket of rows changed after the base
+from driftsim.schemas import COUNTERS, LOGS, STATE
+from driftsim.session import LOCAL_ROWS, is_local, local_table
+from driftsim.sources import folders
+
+#: Seconds for which a replaced version stays, for readers that have opened it.
+KEEP_SECONDS = 600.0
+#: Commits that stay readable.
+COMMITS = 3
+#: So many wanted keys also go to the scan as a filter, which skips row groups.
+FILTER_KEYS = 100
+_ALL = STATE | COUNTERS
+_NONE = -1  # no bucket's number
 _REPEATED = {"user_ratings"}  # may hold several rows of one key
 # Relations stored as one ranked array per key, and the fields of an entry.
 _LISTS = {"neighbors": ("item_id", ["neighbor_id", "sim"]), "recommendations": ("user_id", ["item_id", "pred"])}
 
 
+@dataclass(frozen=True)
+class Head:
+    """A commit. ``changes``: version and number of rows of each one after the base;
+    ``retired``: folder, and when it was replaced; ``streams``: the last epoch of each."""
+
+    version: int
+    base: int
+    buckets: int
+    changes: list = field(default_factory=list)
+    retired: list = field(default_factory=list)
+    streams: dict = field(default_factory=dict)
+
+
 @dataclass(frozen=True)
 class StoredRelations(Relations):
     """Relations of a store, which looks keys up by bucket."""
 
     store: StateStore | None = None
-    head: Row | None = None
+    head: Head | None = None
 
     def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
         return self.store.find(name, wanted, on, self.head)
@@ -47,95 +65,243 @@ class StoredRelations(Relations):
 class StateStore:
     """``buckets`` applies to bases written from here on; a stored base keeps its own number."""
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1):
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1, keep_seconds: float = KEEP_SECONDS):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.buckets = buckets
+        self.keep_seconds = keep_seconds
+        self._bases: dict = {}
+        self._changed: tuple = (None, {})
+        self._rows: dict[int, int] = {}
 
-    def commits(self) -> DataFrame | None:
-        try:
-            return self.spark.read.schema(_COMMITS).parquet(f"{self.folder}/commits")
-        except AnalysisException:
-            return None
+    # ------------------------------------------------------------ commits
+
+    def _head(self) -> Head | None:
+        found = [n for n in folders.names(self.spark, f"{self.folder}/commits") if n.endswith(".json")]
+        return Head(**json.loads(folders.read_text(self.spark, f"{self.folder}/commits/{found[-1]}"))) if found else None
 
     def last(self) -> tuple[int, int] | None:
         """Version and base of the newest commit."""
-        row = self._head()
-        return (row.version, row.base) if row else None
-
-    def _head(self):
-        commits = self.commits()
-        return commits.orderBy(F.desc("version")).first() if commits else None
+        head = self._head()
+        return (head.version, head.base) if head else None
 
     def applied(self, stream: str, epoch: int) -> bool:
-        commits = self.commits()
-        return bool(commits) and bool(
-            commits.filter((F.col("stream") == stream) & (F.col("epoch") == epoch)).limit(1).count()
-        )
+        """Whether the epoch of a stream, or a later one, was committed."""
+        head = self._head()
+        return bool(head) and head.streams.get(stream, -1) >= epoch
+
+    def commit(self, version: int, base: int, stream: str = "", epoch: int = -1) -> None:
+        """Make a version visible. Written last, so a version cut short is never seen.
+
+        What was replaced long enough ago is deleted first: if that is cut short, the old
+        commit still names it and the next one deletes it again.
+        """
+        old, now = self._head(), time.time()
+        old = old or Head(-1, -1, self.buckets)
+        streams = old.streams | ({stream: epoch} if stream else {})
+        retired = list(old.retired)
+        if version == base:
+            gone = [f"{name}/v={old.base}" for name in _ALL if old.base >= 0] + [f"changes/v={v}" for v, _ in old.changes]
+            retired += [[path, now] for path in gone]
+            head = Head(version, base, self.buckets, [], retired, streams)
+        else:
+            rows = self._rows.pop(version, None)
+            if rows is None:
+                rows = self.spark.read.parquet(f"{self.folder}/changes/v={version}").count()
+            head = Head(version, old.base, old.buckets, [*old.changes, [version, rows]], retired, streams)
+        due = [path for path, since in head.retired if since + self.keep_seconds <= now]
+        for path in due:
+            folders.delete(self.spark, f"{self.folder}/{path}")
+        head = replace(head, retired=[r for r in head.retired if r[0] not in due])
+        folders.write_text(self.spark, f"{self.folder}/commits/{version:012d}.json", json.dumps(head.__dict__))
+        for name in folders.names(self.spark, f"{self.folder}/commits")[:-COMMITS]:
+            folders.delete(self.spark, f"{self.folder}/commits/{name}")
+
+    def sweep(self) -> None:
+        """Delete bases and changes that no commit names, left by work that was cut short."""
+        head = self._head()
+        named = {path for path, _ in head.retired} | {f"{name}/v={head.base}" for name in _ALL} | {f"changes/v={v}" for v, _ in head.changes}
+        for parent in (*_ALL, "changes"):
+            for name in folders.names(self.spark, f"{self.folder}/{parent}"):
+                if f"{parent}/{name}" not in named:
+                    folders.delete(self.spark, f"{self.folder}/{parent}/{name}")
+
+    # ------------------------------------------------------------ writing
 
     def write(
         self, version: int, name: str, rows: DataFrame, base: bool = False, owners: DataFrame | None = None
     ) -> DataFrame:
-        """Put rows under a version not yet committed, and return them as read back.
+        """Put rows of one relation under a version not yet committed, and return them as read back.
 
         ``owners`` are keys whose list is replaced even if nothing is left in it.
         """
-        schema = STATE[name][0]
-        if name in _LISTS:
-            key, fields = _LISTS[name]
-            rows = ranked_list(rows, key, fields, name)
-            if owners is not None:
-                empty = F.array().cast(schema[name].dataType)
-                rows = owners.select(key).join(rows, key, "left").withColumn(name, F.coalesce(name, empty))
-        typed = [F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields]
-        path = self._put(version, name, rows.select(*typed), base)
-        return self._flat(name, self.spark.read.schema(schema).parquet(path).select(*schema.names))
-
-    def _put(self, version: int, name: str, rows: DataFrame, base: bool) -> str:
+        rows = stored_form(name, rows, owners)
+        schema = _ALL[name][0]
+        if base:
+            path = self._put_base(version, name, rows)
+        else:
+            path = f"{self.folder}/changes/v={version}/part={name}"
+            rows.write.mode("overwrite").parquet(path)
+        return _flat(name, self.spark.read.schema(schema).parquet(path).select(*schema.names))
+
+    def write_changes(self, version: int, parts: dict[str, DataFrame]) -> None:
+        """All changed rows of a version (in ``stored_form``) as one table, written by one job."""
+        tagged_union(parts).write.mode("overwrite").partitionBy("part").parquet(f"{self.folder}/changes/v={version}")
+
+    def note_rows(self, version: int, rows: int) -> None:
+        """How many changed rows a version has, where the caller knows."""
+        self._rows[version] = rows
+
+    def _put_base(self, version: int, name: str, rows: DataFrame) -> str:
         path = f"{self.folder}/{name}/v={version}"
-        by = STATE[name][2]
-        bucketed = base and by and self.buckets > 1
-        if bucketed:
+        key, by = _ALL[name][1:]
+        writer = rows
+        if by and self.buckets > 1:
             # Rebalancing splits a bucket that one key has made large.
-            rows = rows.withColumn("bucket", _bucket(by, self.buckets)).hint("rebalance", "bucket")
+            writer = rows.withColumn("bucket", _bucket(by, self.buckets)).hint("rebalance", "bucket")
         else:
-            rows = rows.withColumn("bucket", F.lit(_CHANGES))
-        rows.write.mode("overwrite").partitionBy("bucket").parquet(path)
+            writer = rows.withColumn("bucket", F.lit(0))
+        if key:
+            # Sorted, so that few row groups hold a key.
+            writer = writer.sortWithinPartitions("bucket", *key)
+        writer = writer.write.mode("overwrite").partitionBy("bucket")
+        for column in by:
+            writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+        writer.parquet(path)
         return path
 
     def append_log(self, version: int, name: str, rows: DataFrame) -> None:
-        rows.write.mode("overwrite").parquet(f"{self.folder}/log_{name}/v={version}")
+        rows.write.mode("overwrite").parquet(f"{self.folder}/log/part={name}/v={version}")
+
+    def append_logs(self, version: int, parts: dict[str, DataFrame]) -> None:
+        """Several logs of a batch, by one job; what a batch wrote before it was cut short is replaced."""
+        rows = tagged_union({name: logged(name, rows) for name, rows in parts.items()}).withColumn("v", F.lit(version))
+        writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+        writer.partitionBy("part", "v").parquet(f"{self.folder}/log")
 
     def log(self, name: str) -> DataFrame:
         """A log up to the last commit."""
         version, _ = self.last()
-        return self.spark.read.parquet(f"{self.folder}/log_{name}").filter(F.col("v") <= version)
+        reader = self.spark.read
+        if name in LOGS:
+            reader = reader.schema(StructType([*LOGS[name].fields, StructField("v", IntegerType())]))
+        return reader.parquet(f"{self.folder}/log/part={name}").filter(F.col("v") <= version)
 
-    def commit(self, version: int, base: int, stream: str = "", epoch: int = -1) -> None:
-        """Make a version visible. Written last, so a version cut short is never seen."""
-        buckets = self.buckets if version == base else self._head().buckets
-        row = self.spark.createDataFrame([(version, base, buckets, stream, epoch)], _COMMITS)
-        row.coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+    # ------------------------------------------------------------ reading
 
     def read(self, name: str) -> DataFrame:
         """A relation as of the last commit."""
-        return self._flat(name, self._stored(name))
+        return _flat(name, self._stored(name, self._head()))
+
+    def find(self, name: str, wanted: DataFrame, on: list[str], head: Head | None = None) -> DataFrame:
+        """Rows of a relation whose key is wanted, out of the buckets that can hold them.
 
-    def find(self, name: str, wanted: DataFrame, on: list[str], head: Row | None = None) -> DataFrame:
-        """Rows of a relation whose key is wanted, out of the buckets that can hold them."""
+        A few wanted keys at hand are a filter of the scan as well.
+        """
         head = head or self._head()
-        by = STATE[name][2]
-        if head.buckets == 1 or not set(by) <= set(on):
-            return lookup(self._flat(name, self._stored(name, head=head)), wanted, on)
-        # Bucket numbers only: at most as many as there are buckets.
-        found = wanted.select(_bucket(by, head.buckets).alias("bucket")).distinct().collect()
-        return lookup(self._flat(name, self._stored(name, [r.bucket for r in found], head)), wanted, on)
+        key, by = _ALL[name][1:]
+        keep = []
+        if by and set(by) <= set(on):
+            own = wanted.select(*by)
+            if is_local(own):
+                values = {r[0] for r in own.collect()}
+                if len(values) <= FILTER_KEYS:
+                    keep.append(F.col(by[0]).isin(sorted(v for v in values if v is not None)))
+            if head.buckets > 1:
+                # Bucket numbers only: at most as many as there are buckets.
+                numbers = wanted.select(_bucket(by, head.buckets).alias("bucket"))
+                numbers = numbers if is_local(numbers) else numbers.distinct()
+                keep.append(F.col("bucket").isin([_NONE, *sorted({r.bucket for r in numbers.collect()})]))
+        return _flat(name, self._stored(name, head, keep, lambda rows: lookup(rows, wanted, on)))
 
     def relations(self) -> Relations:
         head = self._head()
-        found = {name: self._flat(name, self._stored(name, head=head)) for name in STATE}
+        found = {name: _flat(name, self._stored(name, head)) for name in STATE}
         return StoredRelations(**found, store=self, head=head)
 
+    def load(self, k: int) -> Relations:
+        """The stored relations with only the first ``k`` neighbours of each item."""
+        found = self.relations()
+        lists = unranked(self._stored("neighbors", found.head), "item_id", "neighbors", k)
+        return replace(found, neighbors=lists)
+
+    def _stored(self, name: str, head: Head, keep=(), narrow=lambda rows: rows) -> DataFrame:
+        """A relation as of ``head``; ``keep`` filters the base's scan, ``narrow`` both parts."""
+        schema, key, _ = _ALL[name]
+        if not key:
+            # Every version holds the whole list.
+            if head.version != head.base:
+                return self._changes(name, head).select(*schema.names)
+            return self._base(name, head.base).select(*schema.names)
+        rows = self._base(name, head.base)
+        for condition in keep:
+            rows = rows.filter(condition)
+        rows = narrow(rows.select(*schema.names))
+        if not head.changes:
+            return rows
+        changed = narrow(self._changes(name, head))
+        gone = changed.select(*key)
+        return rows.join(gone, list(key), "left_anti").select(*schema.names).unionByName(changed.select(*schema.names))
+
+    def _base(self, name: str, version: int) -> DataFrame:
+        """The base of a relation, which never changes: its files are listed once."""
+        if (name, version) not in self._bases:
+            path = f"{self.folder}/{name}/v={version}"
+            schema = StructType([*_ALL[name][0].fields, StructField("bucket", IntegerType())])
+            if name in COUNTERS and not folders.exists(self.spark, path):
+                return self.spark.createDataFrame([], schema)
+            self._bases = {k: v for k, v in self._bases.items() if k[1] == version}
+            self._bases[name, version] = self.spark.read.schema(schema).parquet(path)
+        return self._bases[name, version]
+
+    def _changes(self, name: str, head: Head) -> DataFrame:
+        """The newest changed row of each key since the base.
+
+        Up to LOCAL_ROWS rows are read once for all relations and held as local data.
+        """
+        schema, key, _ = _ALL[name]
+        if sum(rows for _, rows in head.changes) <= LOCAL_ROWS:
+            if self._changed[0] != head.version:
+                self._changed = (head.version, self._local_changes(head))
+            return self._changed[1][name]
+        rows = self._read_changes(head, [*schema.fields]).filter(F.col("part") == name).drop("part")
+        if not key:
+            return rows.filter(F.col("v") == head.version).drop("v")
+        rest = [c for c in schema.names if c not in key]
+        if name in _REPEATED:
+            # A version's rows of a key replace all earlier ones. A key has a row for each
+            # time it was rated and each version since the base, however large its user is.
+            every = F.collect_list(F.struct("v", *rest))
+            found = rows.groupBy(*key).agg(every.alias("every"), F.max("v").alias("newest"))
+            last = F.filter("every", lambda x: x["v"] == F.col("newest"))
+            return found.select(*key, F.inline(last)).drop("v")
+        newest = F.max_by(F.struct(*rest), "v").alias("row")
+        return rows.groupBy(*key).agg(newest).select(*key, "row.*")
+
+    def _read_changes(self, head: Head, fields: list[StructField]) -> DataFrame:
+        layout = [StructField("v", LongType()), StructField("part", StringType())]
+        paths = [f"{self.folder}/changes/v={v}" for v, _ in head.changes]
+        return self.spark.read.schema(StructType([*fields, *layout])).option("basePath", f"{self.folder}/changes").parquet(*paths)
+
+    def _local_changes(self, head: Head) -> dict[str, DataFrame]:
+        fields = {f.name: f for schema, *_ in _ALL.values() for f in schema.fields}
+        every = self._read_changes(head, list(fields.values())).toArrow()
+        parts, versions = every.column("part").to_numpy(), every.column("v").to_numpy()
+        out = {}
+        for name, (schema, key, _) in _ALL.items():
+            mine = parts == name
+            rows = every.filter(pa.array(mine)).select(list(schema.names))
+            v = versions[mine]
+            if key:
+                keys = rows.select(list(key)).to_pandas().assign(v=v)
+                rows = rows.filter(pa.array((keys["v"] == keys.groupby(list(key), dropna=False)["v"].transform("max")).to_numpy(bool)))
+            else:
+                rows = rows.filter(pa.array(v == head.version))
+            out[name] = local_table(self.spark, rows)
+        return out
+
+    # ------------------------------------------------------------ whole versions
+
     def bootstrap(self, build, topr) -> Relations:
         """Store freshly built relations as version 0.
 
@@ -149,58 +315,54 @@ class StateStore:
         self.commit(0, 0)
         return replace(found, recommendations=recommendations)
 
-    def load(self, k: int) -> Relations:
-        """The stored relations with only the first ``k`` neighbours of each item."""
-        found = self.relations()
-        lists = unranked(self._stored("neighbors"), "item_id", "neighbors", k)
-        return replace(found, neighbors=lists)
-
     def compact(self) -> None:
-        """Write every relation whole, as the base of a new version."""
-        version = self.last()[0] + 1
-        for name in STATE:
-            self._put(version, name, self._stored(name), base=True)
+        """Write every relation whole, as the base of a new version, and delete what is long replaced."""
+        head = self._head()
+        version = head.version + 1
+        for name in _ALL:
+            self._put_base(version, name, self._stored(name, head))
         self.commit(version, version)
+        self.sweep()
 
     def truncate(self) -> None:
         """Commit a new version in which every relation is empty."""
         last = self.last()
         version = last[0] + 1 if last else 0
-        for name, (schema, *_) in STATE.items():
-            self._put(version, name, self.spark.createDataFrame([], schema), base=True)
+        for name, (schema, *_) in _ALL.items():
+            self._put_base(version, name, self.spark.createDataFrame([], schema))
         self.commit(version, version)
 
-    def _stored(self, name: str, buckets: list[int] | None = None, head: Row | None = None) -> DataFrame:
-        schema, key, _ = STATE[name]
-        head = head or self._head()
-        version, base = head.version, head.base
-        layout = [StructField("v", LongType()), StructField("bucket", IntegerType())]
-        rows = (
-            self.spark.read.schema(StructType([*schema.fields, *layout]))
-            .parquet(f"{self.folder}/{name}")
-            .filter(F.col("v").between(base if key else version, version))
-        )
-        if buckets is not None:
-            rows = rows.filter(F.col("bucket").isin([_CHANGES, *buckets]))
-        if not key or version == base:
-            return rows.select(*schema.names)
-        rest = [c for c in schema.names if c not in key]
-        if name in _REPEATED:
-            # A version's rows of a key replace all earlier ones. A key has a row for each
-            # time it was rated and each version since the base, however large its user is.
-            every = F.collect_list(F.struct("v", *rest))
-            found = rows.groupBy(*key).agg(every.alias("every"), F.max("v").alias("newest"))
-            last = F.filter("every", lambda x: x["v"] == F.col("newest"))
-            return found.select(*key, F.inline(last)).drop("v")
-        newest = F.max_by(F.struct(*rest), "v").alias("row")
-        return rows.groupBy(*key).agg(newest).select(*key, "row.*")
 
-    @staticmethod
-    def _flat(name: str, rows: DataFrame) -> DataFrame:
-        if name in _LISTS:
-            key, _ = _LISTS[name]
-            return unranked(rows, key, name)
-        return rows
+def stored_form(name: str, rows: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+    """Rows of a relation as they are stored: its schema, and ranked lists as one array per key."""
+    schema = _ALL[name][0]
+    if name in _LISTS:
+        key, fields = _LISTS[name]
+        rows = ranked_list(rows, key, fields, name)
+        if owners is not None:
+            empty = F.array().cast(schema[name].dataType)
+            rows = owners.select(key).join(rows, key, "left").withColumn(name, F.coalesce(name, empty))
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields))
+
+
+def logged(name: str, rows: DataFrame) -> DataFrame:
+    return rows.select(*(F.col(f.name).cast(f.dataType).alias(f.name) for f in LOGS[name].fields))
+
+
+def tagged_union(parts: dict[str, DataFrame]) -> DataFrame:
+    """Rows of several shapes in one frame; ``part`` says which shape a row has."""
+    found = None
+    for name, rows in parts.items():
+        rows = rows.withColumn("part", F.lit(name))
+        found = rows if found is None else found.unionByName(rows, allowMissingColumns=True)
+    return found
+
+
+def _flat(name: str, rows: DataFrame) -> DataFrame:
+    if name in _LISTS:
+        key, _ = _LISTS[name]
+        return unranked(rows, key, name)
+    return rows
 
 
 def _bucket(by, buckets: int):

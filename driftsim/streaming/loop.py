@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame, functions as F
 
 from driftsim.operators import evaluate, prepare, recommend
 from driftsim.plans.bootstrap import Settings
-from driftsim.plans.update import apply_batch
-from driftsim.session import durable, scratch_path
+from driftsim.plans.update import apply_batch, small_profiles, small_rows
+from driftsim.session import calm_session, durable, local, local_table, scratch_path
 from driftsim.sources.files import parse_columnar_json, recommendation_messages
-from driftsim.sources.state import StateStore
+from driftsim.sources.state import StateStore, stored_form
 from driftsim.streaming.replay import in_order, microbatch_source, run_to_end
 
+METRICS = "batch long, phase string, started double, ended double, seconds double, rows long"
+
 
 class Loop:
     """``foreachBatch`` handler that moves a state store one version per micro-batch.
@@ -19,6 +21,10 @@ class Loop:
     A batch is handled from the last committed version and committed once, last of all,
     together with its stream and epoch: a batch replayed after a failure either finds
     its commit and does nothing, or is computed again from the same version.
+
+    A batch of up to ``small_rows`` is looked up in the state and worked through on local
+    frames; what it changed is written as one table and what it served as another. A
+    larger one writes every step.
     """
 
     def __init__(
@@ -44,72 +50,105 @@ class Loop:
         self.compact_every = compact_every
 
     def __call__(self, messages: DataFrame, epoch: int) -> None:
-        if self.store.applied(self.stream, epoch):
+        store = self.store
+        if store.applied(self.stream, epoch):
             return
-        last, base_version = self.store.last()
+        last, base_version = store.last()
         if last - base_version >= self.compact_every:
-            self.store.compact()
-            last, base_version = self.store.last()
+            store.compact()
+            last, base_version = store.last()
         version = last + 1
-        base = self.store.relations()
-
-        started = time.time()
-        rows = durable(parse_columnar_json(messages.select("value")).withColumn("batch", F.lit(version).cast("long")))
-        size = rows.count()
-        self.store.append_log(version, "observations", rows)
-        users, items = rows.select("user_id").distinct(), rows.select("item_id").distinct()
-        predicted = recommend.predict_observations(
-            rows, base.find("user_ratings", users, ["user_id"]), base.find("neighbors", items, ["item_id"])
-        )
-        self.store.append_log(version, "predictions", predicted)
-        stored = base.find("recommendations", users, ["user_id"])
-        before = self.store.log("served") if self.most_repeats is not None and last > 0 else None
-        served = durable(recommend.serve_recommendations(rows, stored, self.cutoffs, self.most_repeats, before))
-        self.store.append_log(version, "messages", recommendation_messages(served))
+        base = store.relations()
+        steps = Steps(version)
+
+        rows = parse_columnar_json(messages.select("value")).withColumn("batch", F.lit(version).cast("long"))
+        most = small_rows(self.settings)
+        few = rows.limit(most + 1).toArrow()
+        small = few.num_rows <= most
+        if small:
+            rows, steps.rows = local_table(store.spark, few), few.num_rows
+        else:
+            rows = durable(rows)
+            steps.rows = rows.count()
+        hold = local if small else durable
+        predicted, served, turns = self._answer(rows, base, small, hold)
         longest = served.filter(F.col("cutoff") == max(self.cutoffs))
-        self.store.append_log(version, "served", longest.select("batch", "arrival", "user_id", "item_id", "rank"))
-        batched = time.time()
-
-        fresh = prepare.last_in_batch(prepare.batch_timestep(rows)).select(
-            "user_id", "item_id", "rating", "position"
+        store.append_logs(
+            version, {"observations": rows, "predictions": predicted, "messages": recommendation_messages(served), "served": longest}
         )
-        steps = []
+        steps.end("batching")
+
+        fresh = prepare.last_in_batch(prepare.batch_timestep(rows)).select("user_id", "item_id", "rating", "position")
+        changes, written = {}, 0
 
         def keep(name: str, df: DataFrame, owners: DataFrame | None = None) -> DataFrame:
-            """Store a relation, and note how long its step took."""
-            begun = steps[-1][3] if steps else batched
-            found = self.store.write(version, name, df, owners=owners)
-            now = time.time()
-            steps.append((version, f"update {name}", begun, now, now - begun, size))
+            """Hold a changed relation until all are written, or write it, and note how long its step took."""
+            nonlocal written
+            if small:
+                table = df.toArrow()
+                found = local_table(store.spark, table)
+                changes[name] = stored_form(name, found, owners)
+                written += table.num_rows + (steps.rows if owners is not None else 0)
+            else:
+                found = store.write(version, name, df, owners=owners)
+            steps.end(f"update {name}", of="update")
             return found
 
-        apply_batch(
-            base,
-            fresh,
-            self.settings,
-            version,
-            size,
-            self.ignore_new,
-            self.contain_duplicates,
-            keep=keep,
-        )
-        ended = time.time()
-        phases = [
-            (version, "batching", started, batched, batched - started, size),
-            *steps,
-            (version, "update", batched, ended, ended - batched, size),
-        ]
-        metrics = self.store.spark.createDataFrame(
-            phases, "batch long, phase string, started double, ended double, seconds double, rows long"
-        )
-        self.store.append_log(version, "metrics", metrics)
-        self.store.commit(version, base_version, self.stream, epoch)
+        apply_batch(base, fresh, self.settings, version, steps.rows, self.ignore_new, self.contain_duplicates, keep, small)
+        if turns is not None:
+            turns = recommend.added_turns(turns, longest)
+            if small:
+                changes["turns"] = stored_form("turns", turns)
+                written += steps.rows * max(self.cutoffs)
+            else:
+                store.write(version, "turns", turns)
+        if small:
+            store.write_changes(version, changes)
+            store.note_rows(version, written)
+        steps.end("update")
+        metrics = calm_session(store.spark).createDataFrame(steps.found, METRICS)
+        store.append_logs(version, {"metrics": metrics})
+        store.commit(version, base_version, self.stream, epoch)
         if self.view_similarity:
-            found = evaluate.avg_view_similarity(self.store.read("neighbors"), self.store.read("item_info"))
-            self.store.append_log(version, "view_similarity", found.withColumn("batch", F.lit(version).cast("long")))
+            found = evaluate.avg_view_similarity(store.read("neighbors"), store.read("item_info"))
+            store.append_log(version, "view_similarity", found.withColumn("batch", F.lit(version).cast("long")))
         if self.watched:
             found = evaluate.watch_items(rows, metrics.filter("phase in ('batching', 'update')"), list(self.watched))
-            self.store.append_log(version, "watched", found)
+            store.append_log(version, "watched", found)
+
+    def _answer(self, rows: DataFrame, base, small: bool, hold) -> tuple[DataFrame, DataFrame, DataFrame | None]:
+        """Predictions for the batch and the lists it is served, both from the state before it."""
+        users, items = hold(rows.select("user_id").distinct()), hold(rows.select("item_id").distinct())
+        lists = base.find("neighbors", items, ["item_id"])
+        if small:
+            lists = local(lists)
+            sums, some = small_profiles(base, users, local(lists.select(F.col("neighbor_id").alias("item_id")).distinct()))
+            means = sums.select("user_id", (F.col("s_old") / F.col("n_old")).alias("mean"))
+            predicted = recommend.predict_observations(rows, some, lists, means)
+        else:
+            predicted = recommend.predict_observations(rows, base.find("user_ratings", users, ["user_id"]), lists)
+        stored, turns = hold(base.find("recommendations", users, ["user_id"])), None
+        if self.most_repeats is not None:
+            turns = hold(base.find("turns", users, ["user_id"]))
+        served = hold(recommend.serve_recommendations(rows, stored, self.cutoffs, self.most_repeats, turns=turns))
+        return predicted, served, turns
+
+
+class Steps:
+    """Wall time of the phases of a batch and of the steps inside one."""
+
+    def __init__(self, version: int):
+        self.version, self.rows, self.found = version, 0, []
+        self.begun = {None: time.time()}
+
+    def end(self, phase: str, of: str | None = None) -> None:
+        """A phase ends now. It began when the one before it did end, on its own level."""
+        now = time.time()
+        since = self.begun.get(of, self.begun[None])
+        self.found.append((self.version, phase, since, now, now - since, self.rows))
+        self.begun[of] = now
+        if of is None:
+            self.begun = {None: now}
 
 
 def run_loop(

@@ -1,82 +1,128 @@
-"""Ordered replay of ratings as a stream of micro-batches, one file each."""
+"""Ordered replay of ratings as a stream of numbered micro-batches."""
+
+import time
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from driftsim.operators.prepare import assign_microbatches
 from driftsim.session import scratch_path
+from driftsim.sources import folders
 from driftsim.sources.files import microbatch_messages, parse_columnar_json
 
-
-MESSAGE = "batch long, value string"
-#: Files of one trigger where their order does not matter.
-FILES_PER_TRIGGER = 200
+SOURCE = "numbered_messages"
+MESSAGE = "value string, batch long"
 
 
 def stage_replay(test: DataFrame, size: int, order: list, folder: str | None = None) -> str:
-    """Write one JSON message file per micro-batch and return their folder.
+    """Write one JSON message per micro-batch, each in a folder of its number, and return the folder of all.
 
-    A message carries its number; a folder that has messages already is continued. All
-    files are written by one job.
+    A folder that has messages already is continued. All are written by one job.
     """
     spark = test.sparkSession
     folder = folder or scratch_path(spark, "replay")
-    try:
-        before = read_messages(spark, folder).agg(F.max("batch")).first()[0] or 0
-    except AnalysisException:
-        before = 0
+    before = last_message(spark, folder)
     messages = microbatch_messages(assign_microbatches(test, size, order)).withColumn("batch", F.col("batch") + before)
-    part = messages.repartition("batch").select("batch", "value")
-    part.write.mode("append").option("maxRecordsPerFile", 1).json(folder)
+    messages.repartition("batch").write.mode("append").partitionBy("batch").json(folder)
     return folder
 
 
-def read_messages(spark: SparkSession, folder: str) -> DataFrame:
-    return spark.read.schema(MESSAGE).json(folder)
+def last_message(spark: SparkSession, folder: str) -> int:
+    """The number of the newest message; 0 if there is none."""
+    return max((int(n.partition("=")[2]) for n in folders.names(spark, folder) if n.startswith("batch=")), default=0)
 
 
-def microbatch_source(spark: SparkSession, folder: str, per_trigger: int = 1) -> DataFrame:
-    """The message files as a stream of (batch, value), ``per_trigger`` at a time.
+def read_messages(spark: SparkSession, folder: str, number: int | None = None) -> DataFrame:
+    """All messages of a folder, or one of them, whose files alone are opened."""
+    reader = spark.read.schema(MESSAGE)
+    if number is None:
+        return reader.json(folder).select("batch", "value")
+    return reader.option("basePath", folder).json(f"{folder}/batch={number}").select("batch", "value")
 
-    Files come in the order of their times, which need not be that of the batches: the
-    number in the message says which one it is (``in_order``).
+
+def numbered_source():
+    """A streaming source of message numbers: its offset is the number of the last one handed out.
+
+    A trigger gets the next number and no other, so one message is in flight at a time. What
+    the message holds is read by whoever handles the number.
     """
-    return spark.readStream.schema(MESSAGE).option("maxFilesPerTrigger", per_trigger).json(folder)
+    # Defined here, so that the source travels to Spark's own process by value.
+    from pyspark.sql.datasource import DataSource, SimpleDataSourceStreamReader
 
+    class Reader(SimpleDataSourceStreamReader):
+        def __init__(self, last: int):
+            self.last = last
 
-def in_order(spark: SparkSession, folder: str, handle):
-    """``handle`` with the next message by number, whichever file the trigger brought.
+        def initialOffset(self) -> dict:
+            return {"batch": 0}
 
-    With one file per trigger the n-th trigger says that n messages have come.
-    """
+        def read(self, start: dict):
+            number = start["batch"] + 1
+            if number > self.last:
+                return iter(()), start
+            return iter([(number,)]), {"batch": number}
+
+        def readBetweenOffsets(self, start: dict, end: dict):
+            return iter([(n,) for n in range(start["batch"] + 1, end["batch"] + 1)])
+
+        def commit(self, end: dict) -> None:
+            pass
+
+    class Numbers(DataSource):
+        @classmethod
+        def name(cls) -> str:
+            return SOURCE
+
+        def schema(self) -> str:
+            return "batch long"
 
-    def run(messages: DataFrame, epoch: int) -> None:
-        wanted = read_messages(spark, folder).filter(F.col("batch") == epoch + 1)
-        if wanted.isEmpty():
-            raise RuntimeError(f"message {epoch + 1} has not come, but a later one has")
-        handle(wanted, epoch)
+        def simpleStreamReader(self, schema):
+            return Reader(int(self.options["last"]))
+
+    return Numbers
+
+
+def microbatch_source(spark: SparkSession, folder: str) -> DataFrame:
+    """The numbers (batch) of the messages that are there now, as a stream: in order, one a trigger."""
+    spark.dataSource.register(numbered_source())
+    return spark.readStream.format(SOURCE).option("last", str(last_message(spark, folder))).load()
+
+
+def in_order(spark: SparkSession, folder: str, handle):
+    """A ``foreachBatch`` function that hands ``handle`` the message of the number that came, and the epoch."""
+
+    def run(numbers: DataFrame, epoch: int) -> None:
+        for row in numbers.collect():
+            if row.batch != epoch + 1:
+                raise RuntimeError(f"message {row.batch} came as number {epoch + 1}")
+            handle(read_messages(spark, folder, row.batch), epoch)
 
     return run
 
 
 def run_to_end(stream: DataFrame, handle, checkpoint: str) -> list[dict]:
     """Process what the source holds, batch by batch, and return Spark's progress reports."""
-    query = (
-        stream.writeStream.foreachBatch(handle)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    return [p for p in query.recentProgress]
+    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
+    try:
+        query.processAllAvailable()
+        # Rows that came with the last trigger are committed before the source is asked again.
+        while query.status["isTriggerActive"]:
+            time.sleep(0.01)
+        return list(query.recentProgress)
+    finally:
+        query.stop()
 
 
 def replay_stream(spark: SparkSession, folder: str, target: str, checkpoint: str) -> DataFrame:
-    """Read the messages as a stream and append their rows to a table, with the number of their batch."""
+    """Read the messages in order as a stream and append their rows to a table.
+
+    ``nth`` is the place at which a message was handled, from 1.
+    """
+    seen = []
 
     def handle(messages: DataFrame, epoch: int) -> None:
-        rows = parse_columnar_json(messages)
+        seen.append(epoch)
+        rows = parse_columnar_json(messages).withColumn("nth", F.lit(len(seen)).cast("long"))
         rows.write.mode("overwrite").parquet(f"{target}/epoch={epoch}")
 
-    run_to_end(microbatch_source(spark, folder, FILES_PER_TRIGGER), handle, checkpoint)
+    run_to_end(microbatch_source(spark, folder), in_order(spark, folder, handle), checkpoint)
     return spark.read.parquet(target).drop("epoch")
