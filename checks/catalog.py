@@ -159,6 +159,23 @@ def _(spark, folder):
     return files.ingest_delimited(spark, source, target)
 
 
+def placed_in_files(rows):
+    """Rows read from files with their place ``nth`` in them, file by file."""
+    where = rows.select("*", F.col("_metadata.file_name").alias("f"), F.col("_metadata.file_block_start").alias("b"))
+    numbered = durable(where.withColumn("i", F.monotonically_increasing_id()))
+    return positions(numbered, [F.col("f"), F.col("b"), F.col("i")], "nth", unique=True)
+
+
+BY_TIME = "SELECT row_number() OVER (ORDER BY ts, user_id, item_id, rating) AS nth, * FROM r1"
+
+
+@query("ingest_delimited_order", f"nth:l {RATING_SPEC}", BY_TIME)
+def _(spark, folder):
+    source, target = scratch_path(spark, "tsv"), scratch_path(spark, "csv")
+    ratings(spark, folder).write.option("sep", "\t").csv(source)
+    return placed_in_files(files.ingest_delimited(spark, source, target))
+
+
 def stage_block_log(spark, folder) -> str:
     """The votes as a block log; a popular electee has several blocks."""
     path = scratch_path(spark, "log")
@@ -184,6 +201,16 @@ def _(spark, folder):
     return files.ingest_block_log(spark, stage_block_log(spark, folder), scratch_path(spark, "votes"))
 
 
+@query(
+    "ingest_block_log_order",
+    "nth:l electee_id:l voter_id:l vote:d ts:l",
+    """SELECT row_number() OVER (ORDER BY ts, electee_id, voter_id, vote) AS nth, *
+       FROM (SELECT electee_id, voter_id, vote, ts // 1000000 AS ts FROM v1)""",
+)
+def _(spark, folder):
+    return placed_in_files(files.ingest_block_log(spark, stage_block_log(spark, folder), scratch_path(spark, "votes")))
+
+
 @query(
     "carry_forward",
     "electee_id:l votes:l voters:l",
@@ -276,7 +303,9 @@ REPLAY_SQL = f"""
       {sql.array_split('r1', f"(SELECT greatest(1, count(*) // {REPLAY_ROWS}) FROM r1)", 'ts, user_id, item_id')})"""
 
 
+@cache
 def replayed(spark, folder):
+    """All ratings through the stream, with the place at which each message was handled."""
     staged = replay.stage_replay(ratings(spark, folder), REPLAY_ROWS, [F.col(c) for c in ORDER])
     return replay.replay_stream(spark, staged, scratch_path(spark, "rows"), scratch_path(spark, "stream"))
 
@@ -297,6 +326,12 @@ def _(spark, folder):
     )
 
 
+@query("replay_order", "nth:l batch:l n_rows:l", f"SELECT batch AS nth, batch, count(*) AS n_rows FROM ({REPLAY_SQL}) GROUP BY 1, 2")
+def _(spark, folder):
+    """Messages are handled one at a time, in the order of their numbers."""
+    return replayed(spark, folder).groupBy("nth", "batch").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
 def ten_sliced(spark, folder, size=100):
     return prepare.assign_microbatches(ratings(spark, folder), size, [F.col(c) for c in ORDER])
 
@@ -740,6 +775,13 @@ def _(spark, folder):
     return prepare.sort_by_time(ratings(spark, folder), ["user_id", "item_id", "rating"])
 
 
+@query("sort_by_time_order", f"nth:l {RATING_SPEC}", BY_TIME)
+def _(spark, folder):
+    rows = prepare.sort_by_time(ratings(spark, folder), ["user_id", "item_id", "rating"])
+    numbered = durable(rows.withColumn("i", F.monotonically_increasing_id()))
+    return positions(numbered, [F.col("i")], "nth", unique=True)
+
+
 @query("top_popular", "item_id:l n:l", "SELECT * FROM f_pop")
 def _(spark, folder):
     return stats.top_popular(stats.item_popularity(profile(spark, folder)), sql.P)
@@ -1078,6 +1120,36 @@ def _(spark, folder):
     return found
 
 
+MOST = 2
+SERVE_SQL = f"""
+    WITH RECURSIVE lists AS (
+      SELECT 1 AS batch, user_id, list(item_id ORDER BY rank) AS stored FROM h_recs GROUP BY user_id
+      UNION ALL SELECT 2, user_id, list(item_id ORDER BY rank) FROM am_recs GROUP BY user_id
+    ), asked AS (
+      SELECT arrival, 1 + (arrival - 1) // {sql.HALF} AS batch, user_id,
+             list(item_id) OVER (PARTITION BY user_id, (arrival - 1) // {sql.HALF} ORDER BY arrival) AS rated FROM test
+    ), open AS (
+      SELECT arrival, a.batch, a.user_id, list_filter(stored, lambda x: NOT list_contains(rated, x)) AS items
+      FROM asked a LEFT JOIN lists l ON l.batch = a.batch AND l.user_id = a.user_id
+    ), walk AS (
+      SELECT 0 AS arrival, 0 AS batch, 0 AS user_id, []::BIGINT[] AS best, []::VARCHAR[] AS used
+      UNION ALL
+      SELECT arrival, batch, user_id, best, list_concat(used, list_transform(coalesce(best, []), lambda x: user_id || ':' || x)) FROM (
+        SELECT o.arrival, o.batch, o.user_id, w.used,
+               list_slice(list_filter(o.items, lambda x: len(list_filter(w.used, lambda u: u = o.user_id || ':' || x)) < {MOST}), 1, {sql.R}) AS best
+        FROM walk w JOIN open o ON o.arrival = w.arrival + 1)
+    ), answers AS (
+      SELECT arrival, batch, user_id, CASE WHEN len(best) = 0 THEN [NULL] ELSE best END AS best FROM walk WHERE arrival > 0 AND best IS NOT NULL
+    )
+    SELECT batch, (arrival - 1) % {sql.HALF} AS arrival, user_id, unnest(best) AS item_id, unnest(range(1, len(best) + 1)) AS rank FROM answers"""
+
+
+@query("serve_at_most", "batch:l arrival:l user_id:l item_id:l rank:l", SERVE_SQL)
+def _(spark, folder):
+    """Two batches through the loop; no item is in a user's longest lists more than MOST times."""
+    return run_stream(spark, folder, sql.HALF, most_repeats=MOST).log("served")
+
+
 # ---------------------------------------------------------------- composite analytics
 
 

@@ -73,13 +73,14 @@ def drawn(known: DataFrame, n: int, seed: int, batch: int = 0) -> DataFrame:
     return known.select("item_id", draw.alias("draw")).orderBy("draw", "item_id").limit(n)
 
 
-def deal(items: DataFrame, pool: DataFrame, k: int, count: int) -> DataFrame:
+def deal(items: DataFrame, pool: DataFrame, k: int, count: int, size: int | None = None) -> DataFrame:
     """k items of the drawn ``pool`` for each of the ``count`` ``items``.
 
     Item number f takes pool slots f*k .. f*k+k-1, around the end if the pool is short.
+    ``size`` is that of the pool, if it is known.
     """
     pool = positions(pool, [F.col("draw"), F.col("item_id")], "slot", largest=k * count, unique=True)
-    size = pool.agg(F.count(F.lit(1))).scalar()
+    size = pool.agg(F.count(F.lit(1))).scalar() if size is None else F.lit(size).cast("long")
     turns = F.explode(F.sequence(F.lit(0), F.least(F.lit(k), size.cast("int")) - 1))
     wanted = (
         positions(items.select("item_id"), [F.col("item_id")], "turn", largest=count, unique=True)

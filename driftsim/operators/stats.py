@@ -1,6 +1,6 @@
 """Sums per user and per item."""
 
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from driftsim.functions.scoring import decay
 from driftsim.operators.ordering import GROUP_ROWS, positions
@@ -131,15 +131,14 @@ def merged_means(old: DataFrame, fresh: DataFrame) -> DataFrame:
     )
 
 
-def profile_parts(profile: DataFrame, items: DataFrame) -> DataFrame:
-    """Per user the sum ``s_old`` and number ``n_old`` of all ratings, and in ``some`` those of ``items``.
+def profile_parts(profile: DataFrame, asked: Column) -> DataFrame:
+    """Per user the sum ``s_old`` and number ``n_old`` of all ratings, and in ``some`` those that are ``asked`` for.
 
     One pass, summed before the shuffle: however long a profile is, what comes out of it
-    is bounded by ``items`` (distinct, a small frame).
+    is bounded by the items asked for.
     """
-    marked = profile.join(F.broadcast(items.select("item_id", F.lit(True).alias("__asked"))), "item_id", "left")
-    entry = F.when(F.col("__asked"), F.struct("item_id", "rating", "timestep"))
-    return marked.groupBy("user_id").agg(
+    entry = F.when(asked, F.struct("item_id", "rating", "timestep"))
+    return profile.groupBy("user_id").agg(
         F.sum("rating").alias("s_old"), F.count(F.lit(1)).alias("n_old"), F.collect_list(entry).alias("some")
     )
 

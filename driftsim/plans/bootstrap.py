@@ -2,12 +2,14 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from driftsim.operators import keys, pairs, prepare, recommend, stats
 from driftsim.operators.ordering import group_sizes
-from driftsim.session import durable
+from driftsim.schemas import STATE
+from driftsim.session import Held, among, durable, hold
 
 
 @dataclass(frozen=True)
@@ -34,6 +36,22 @@ class Relations:
         """Rows of a relation whose key is wanted."""
         return keys.lookup(getattr(self, name), wanted, on)
 
+    def hold(self, name: str, ids: np.ndarray) -> Held:
+        """Rows of a relation whose lookup key is among a few ids, at the driver."""
+        return hold(self.rows_of(name, ids))
+
+    def rows_of(self, name: str, ids: np.ndarray) -> DataFrame:
+        """The same as a plan."""
+        return getattr(self, name).filter(among(STATE[name][2][0], ids))
+
+    def hold_pairs(self, wanted: Held) -> Held:
+        """The stored sums of a few (item_i, item_j)."""
+        return hold(keys.lookup(self.pair_info, wanted.frame, ["item_i", "item_j"]))
+
+    def item_ids(self) -> DataFrame:
+        """(item_id) of all known items; one may come twice."""
+        return self.item_info.select("item_id")
+
 
 def similarity_bootstrap(ratings: DataFrame, settings: Settings) -> DataFrame:
     """Raw ratings to (item_id, neighbor_id, sim, rank)."""

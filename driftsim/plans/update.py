@@ -2,11 +2,12 @@
 
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from driftsim.operators import increment, pairs, recommend, stats
 from driftsim.plans.bootstrap import Relations, Settings
-from driftsim.session import LOCAL_ROWS, durable, is_local, local, local_table
+from driftsim.session import LOCAL_ROWS, Held, among, distinct_ids, durable, held, hold, id_frame, local
 
 
 @dataclass(frozen=True)
@@ -47,6 +48,7 @@ def apply_batch(
     contain_duplicates: bool = True,
     keep=None,
     small: bool | None = None,
+    near: Held | None = None,
 ) -> Update:
     """Update every relation by one batch of (user_id, item_id, rating, position).
 
@@ -55,82 +57,103 @@ def apply_batch(
 
     A batch of up to ``small_rows`` looks its rows up in the relations and then works on
     local frames, one short job a step. A larger one goes through written tables. Both
-    give the same rows; ``small`` says which way to go if the caller knows.
+    give the same rows; ``small`` says which way to go if the caller knows, and ``near`` are
+    the stored lists of the batch's items if they were looked up before.
     """
     if ignore_new:
         fresh = increment.ignore_new(fresh, base.user_ratings, base.item_info)
     fresh = fresh.select("user_id", "item_id", "rating", "position")
-    if small is None:
-        few = fresh.limit(small_rows(settings) + 1).toArrow()
-        small = few.num_rows <= small_rows(settings)
-        if small:
-            fresh = local_table(fresh.sparkSession, few)
-    if small:
-        keep = keep or (lambda name, df, owners=None: local(df))
-        return _apply_small(base, local(fresh) if not is_local(fresh) else fresh, settings, batch, batch_rows, contain_duplicates, keep)
+    most, few = small_rows(settings), None
+    if small is not False:
+        few = fresh.limit(most + 1).toArrow() if small is None else fresh.toArrow()
+    if few is not None and (small or few.num_rows <= most):
+        keep = keep or (lambda name, df, owners=None: hold(df))
+        return _apply_small(base, held(fresh.sparkSession, few), settings, batch, batch_rows, contain_duplicates, keep, near)
     keep = keep or (lambda name, df, owners=None: durable(df))
     return _apply_large(base, fresh, settings, batch, batch_rows, contain_duplicates, keep)
 
 
-def small_profiles(base: Relations, users: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
+#: So many asked items are a filter; more are broadcast.
+FILTER_IDS = 5000
+
+
+def small_profiles(base: Relations, users: np.ndarray, items: np.ndarray) -> tuple[DataFrame, DataFrame]:
     """Sums (user_id, s_old, n_old) of the stored ratings of ``users``, and their ratings of ``items``."""
-    parts = local(stats.profile_parts(base.find("user_ratings", users, ["user_id"]), items))
+    rows = base.rows_of("user_ratings", users)
+    if len(items) > FILTER_IDS:
+        asked = F.broadcast(id_frame(rows.sparkSession, "item_id", items).withColumn("__asked", F.lit(True)))
+        rows, entry = rows.join(asked, "item_id", "left"), F.col("__asked")
+    else:
+        entry = among("item_id", items)
+    parts = local(stats.profile_parts(rows, entry))
     return parts.drop("some"), parts.select("user_id", F.inline("some"))
 
 
-def _apply_small(base, fresh, settings, batch, batch_rows, contain_duplicates, keep) -> Update:
-    k = settings.k
-    users = local(increment.fresh_keys(fresh, "user_id"))
-    items = local(increment.fresh_keys(fresh, "item_id"))
+def _apply_small(base, batch_table, settings, batch, batch_rows, contain_duplicates, keep, near=None) -> Update:
+    """``keep`` may return a frame, as in ``apply_batch``, or what it ``Held`` of it."""
+    k, fresh, store = settings.k, batch_table.frame, keep
+
+    def keep(*args):
+        found = store(*args)
+        return found if isinstance(found, Held) else hold(found)
+
+    spark = base.popular.sparkSession
+    users, items = batch_table.ids("user_id"), batch_table.ids("item_id")
     # Lists of the batch's items and of their neighbours, and the drawn candidates.
-    near = local(base.find("neighbors", items, ["item_id"]))
-    further = local(base.find("neighbors", near.select(F.col("neighbor_id").alias("item_id")), ["item_id"]))
-    first = increment.one_hop(items, near)
-    listed = local(near.select("item_id").distinct())
-    pool = first.unionByName(increment.two_hop(first, further))
-    n = len(listed.collect())
-    if n:
+    near = near or base.hold("neighbors", items)
+    further = base.hold("neighbors", near.ids("neighbor_id"))
+    item_rows, listed = id_frame(spark, "item_id", items), near.ids("item_id")
+    first = increment.one_hop(item_rows, near.frame)
+    pool = first.unionByName(increment.two_hop(first, further.frame))
+    if len(listed):
         # The batch's own new items can be drawn as well.
-        known = local(increment.drawn(base.item_info, k * n, settings.seed, batch)).select("item_id")
-        known = local(increment.drawn(known.unionByName(items).distinct(), k * n, settings.seed, batch))
-        pool = pool.unionByName(increment.deal(listed, known, k, n))
-    pool = local(pool.distinct())
-    touched = local(increment.touched_items(fresh, pool))
-    wanted = local(increment.touched_pairs(pool))
+        n = k * len(listed)
+        known = local(increment.drawn(base.item_ids(), 2 * n, settings.seed, batch)).select("item_id")
+        known = hold(increment.drawn(known.unionByName(item_rows).distinct(), n, settings.seed, batch))
+        pool = pool.unionByName(increment.deal(id_frame(spark, "item_id", listed), known.frame, k, len(listed), known.table.num_rows))
+    pool = hold(pool.distinct())
+    touched_ids = distinct_ids(pool.table.column("candidate_id"), items)
+    touched = id_frame(spark, "item_id", touched_ids)
+    wanted = hold(increment.touched_pairs(pool.frame))
     # Whatever can be popular afterwards, and every list that can be served.
-    was_popular = local(base.popular)
-    mine = touched.unionByName(was_popular.select("item_id"))
-    lists = local(base.find("neighbors", mine, ["item_id"]))
-    asked = local(mine.unionByName(lists.select(F.col("neighbor_id").alias("item_id"))).distinct())
+    was_popular = hold(base.popular)
+    lists = base.hold("neighbors", distinct_ids(touched_ids, was_popular.ids("item_id")))
+    asked = distinct_ids(touched_ids, was_popular.ids("item_id"), lists.ids("neighbor_id"))
     sums, old = small_profiles(base, users, asked)
 
     clocked = local(increment.clocked(fresh, stats.merged_means(sums, fresh)))
-    old_info = local(base.find("item_info", touched, ["item_id"]))
-    info = keep("item_info", increment.update_item_info(old_info, touched, clocked, old, settings.alpha))
+    old_info = base.hold("item_info", touched_ids)
+    info = keep("item_info", increment.update_item_info(old_info.frame, touched, clocked, old, settings.alpha))
     met = increment.fresh_prev_pairs(clocked, old, touched, settings.alpha)
-    old_pairs = local(base.find("pair_info", wanted, ["item_i", "item_j"]))
-    pairs = keep("pair_info", increment.update_pair_info(old_pairs, wanted, met, settings.alpha))
+    old_pairs = base.hold_pairs(wanted).frame
+    pairs = keep("pair_info", increment.update_pair_info(old_pairs, wanted.frame, met, settings.alpha))
 
-    popular = keep("popular", increment.maintain_popular(was_popular, info, settings.p))
-    defaults = local(stats.default_neighbors(increment.new_entities(clocked, old_info, "item_id"), popular, k))
-    own = lists.join(touched, "item_id", "left_semi").unionByName(defaults)
-    neighbors = keep("neighbors", increment.refresh_neighbors(own, touched, info, pairs, k, keep=local))
+    popular = keep("popular", increment.maintain_popular(was_popular.frame, info.frame, settings.p))
+    mine = lists.frame.join(touched, "item_id", "left_semi")
+    every, new_items = lists.frame, np.setdiff1d(items, old_info.ids("item_id"))
+    if len(new_items):
+        defaults = local(stats.default_neighbors(id_frame(spark, "item_id", new_items), popular.frame, k))
+        mine, every = mine.unionByName(defaults), every.unionByName(defaults)
+    neighbors = keep("neighbors", increment.refresh_neighbors(mine, touched, info.frame, pairs.frame, k, keep=local))
 
     rows = clocked.select("user_id", "item_id", "rating", "timestep")
     again = old.select(*rows.columns).join(rows.select("user_id", "item_id"), ["user_id", "item_id"], "left_semi")
     ratings = keep("user_ratings", rows if contain_duplicates else rows.unionByName(again))
-    profile = local(increment.merge_profiles(old, clocked, contain_duplicates))
+    profile = increment.merge_profiles(old, clocked, contain_duplicates)
     changed = fresh.select("user_id", F.col("rating").alias("s"), F.lit(1).alias("c"))
     if contain_duplicates:
         changed = changed.unionByName(again.select("user_id", (-F.col("rating")).alias("s"), F.lit(-1).alias("c")))
     moved = changed.groupBy("user_id").agg(F.sum("s").alias("s"), F.sum("c").alias("c")).join(sums, "user_id", "left")
     whole = F.coalesce("s_old", F.lit(0.0)) + F.col("s")
-    means = local(moved.select("user_id", (whole / (F.coalesce("n_old", F.lit(0)) + F.col("c"))).alias("mean")))
-    served = local(increment_lists(lists.unionByName(defaults), neighbors, popular))
+    means = moved.select("user_id", (whole / (F.coalesce("n_old", F.lit(0)) + F.col("c"))).alias("mean"))
+    served = local(increment_lists(every, neighbors.frame, popular.frame))
+    owners = id_frame(spark, "user_id", users)
     recommendations = keep(
-        "recommendations", recommend.topr_recommendations(profile, popular, served, settings.r + batch_rows, means), users
+        "recommendations", recommend.topr_recommendations(profile, popular.frame, served, settings.r + batch_rows, means), owners
+    )
+    return Update(
+        *(x.frame for x in (ratings, info, pairs, neighbors, popular, recommendations)), touched, wanted.frame, owners
     )
-    return Update(ratings, info, pairs, neighbors, popular, recommendations, touched, wanted, users)
 
 
 def _apply_large(base, fresh, settings, batch, batch_rows, contain_duplicates, keep) -> Update:

@@ -2,9 +2,11 @@
 
 import tempfile
 import uuid
+from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -61,9 +63,9 @@ _calm: dict[str, SparkSession] = {}
 def calm_session(spark: SparkSession) -> SparkSession:
     """A session of the same application for plans over small local frames.
 
-    Its shuffles have one partition and nothing is planned anew while running, so that a
-    plan over local data is one job of a few short tasks. Tables are read and large
-    frames made in the caller's own session.
+    Its shuffles have one partition, nothing is broadcast, compiled or planned anew while
+    running, so that a plan over local data is one job of a few short tasks. Tables are
+    read and large frames made in the caller's own session.
     """
     key = spark.sparkContext.applicationId
     if key not in _calm:
@@ -74,6 +76,8 @@ def calm_session(spark: SparkSession) -> SparkSession:
             "spark.sql.leafNodeDefaultParallelism": "1",
             "spark.sql.autoBroadcastJoinThreshold": "-1",
             "spark.sql.codegen.wholeStage": "false",
+            "spark.sql.codegen.factoryMode": "NO_CODEGEN",
+            "spark.sql.optimizer.disableHints": "true",
             "spark.sql.session.timeZone": "UTC",
         }.items():
             calm.conf.set(name, value)
@@ -88,9 +92,44 @@ def local_table(spark: SparkSession, table: pa.Table) -> DataFrame:
     return calm_session(spark).createDataFrame(table)
 
 
-def local(df: DataFrame) -> DataFrame:
+@dataclass(frozen=True)
+class Held:
+    """A small table at the driver, and the local frame of its rows."""
+
+    table: pa.Table
+    frame: DataFrame
+
+    def ids(self, column: str) -> np.ndarray:
+        """The distinct values of an id column, without null."""
+        return distinct_ids(self.table.column(column))
+
+
+def distinct_ids(*columns) -> np.ndarray:
+    values = [c.drop_null().to_numpy() if isinstance(c, pa.ChunkedArray) else c for c in columns]
+    return np.unique(np.concatenate(values).astype(np.int64))
+
+
+def held(spark: SparkSession, table: pa.Table) -> Held:
+    return Held(table, local_table(spark, table))
+
+
+def hold(df: DataFrame) -> Held:
     """``df`` as local data, by one action. For frames whose size a parameter bounds."""
-    return local_table(df.sparkSession, df.toArrow())
+    return held(df.sparkSession, df.toArrow())
+
+
+def local(df: DataFrame) -> DataFrame:
+    return hold(df).frame
+
+
+def id_frame(spark: SparkSession, name: str, ids: np.ndarray) -> DataFrame:
+    """Ids as a local frame of one column."""
+    return local_table(spark, pa.table({name: pa.array(ids, pa.int64())}))
+
+
+def among(column: str, ids: np.ndarray) -> Column:
+    """Whether a column is one of the ids, as a filter that scans understand."""
+    return F.expr(f"`{column}` in ({', '.join(f'{i}L' for i in ids.tolist())})") if len(ids) else F.lit(False)
 
 
 def is_local(df: DataFrame) -> bool:

@@ -14,7 +14,10 @@ import json
 import time
 from dataclasses import dataclass, field, replace
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
@@ -22,7 +25,7 @@ from driftsim.operators.keys import lookup
 from driftsim.operators.pairs import ranked_list, unranked
 from driftsim.plans.bootstrap import Relations
 from driftsim.schemas import COUNTERS, LOGS, STATE
-from driftsim.session import LOCAL_ROWS, is_local, local_table
+from driftsim.session import LOCAL_ROWS, Held, among, held, hold, id_frame, is_local
 from driftsim.sources import folders
 
 #: Seconds for which a replaced version stays, for readers that have opened it.
@@ -61,6 +64,18 @@ class StoredRelations(Relations):
     def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
         return self.store.find(name, wanted, on, self.head)
 
+    def hold(self, name: str, ids: np.ndarray) -> Held:
+        return self.store.hold(name, ids, self.head)
+
+    def rows_of(self, name: str, ids: np.ndarray) -> DataFrame:
+        return self.store.rows_of(name, ids, self.head)
+
+    def hold_pairs(self, wanted: Held) -> Held:
+        return self.store.hold("pair_info", wanted.ids("item_i"), self.head, wanted)
+
+    def item_ids(self) -> DataFrame:
+        return self.store.item_ids(self.head)
+
 
 class StateStore:
     """``buckets`` applies to bases written from here on; a stored base keeps its own number."""
@@ -214,9 +229,60 @@ class StateStore:
                 keep.append(F.col("bucket").isin([_NONE, *sorted({r.bucket for r in numbers.collect()})]))
         return _flat(name, self._stored(name, head, keep, lambda rows: lookup(rows, wanted, on)))
 
-    def relations(self) -> Relations:
+    def hold(self, name: str, ids: np.ndarray, head: Head | None = None, wanted: Held | None = None) -> Held:
+        """Rows of a relation whose lookup key is among a few ids, at the driver: one scan of their buckets.
+
+        ``wanted`` narrows them to whole keys. The changes since the base are laid over
+        the rows of the base as they arrive.
+        """
+        head = head or self._head()
+        schema, key, by = _ALL[name]
+        if not self._is_small(head):
+            rows = self.rows_of(name, ids, head)
+            return hold(rows if wanted is None else lookup(rows, wanted.frame, list(key)))
+        rows = self._base(name, head.base)
+        for condition in self._scan_filters(by, ids, head):
+            rows = rows.filter(condition)
+        rows = rows.select(*schema.names)
+        if wanted is not None:
+            rows = lookup(rows.filter(among(key[1], wanted.ids(key[1]))), wanted.frame, list(key))
+        table = rows.toArrow()
+        if head.changes:
+            changed = self._changes(name, head).table
+            asked = changed.filter(pc.is_in(changed.column(by[0]), pa.array(ids, pa.int64())))
+            if wanted is not None:
+                asked = asked.filter(_key_in(asked, wanted.table, key))
+            old = table.filter(pc.invert(_key_in(table, asked, key)))
+            table = pa.concat_tables([old, asked.cast(old.schema)])
+        return held(self.spark, _flat_table(name, table))
+
+    def rows_of(self, name: str, ids: np.ndarray, head: Head | None = None) -> DataFrame:
+        """Rows of a relation whose lookup key is among a few ids, as a plan."""
+        head = head or self._head()
+        by = _ALL[name][2]
+        return _flat(name, self._stored(name, head, self._scan_filters(by, ids, head), lambda rows: rows.filter(among(by[0], ids))))
+
+    def _scan_filters(self, by: tuple, ids: np.ndarray, head: Head) -> list:
+        found = [among(by[0], ids)]
+        if head.buckets > 1:
+            numbers = id_frame(self.spark, by[0], ids).select(_bucket(by, head.buckets).alias("bucket")).collect()
+            found.append(F.col("bucket").isin([_NONE, *sorted({r.bucket for r in numbers})]))
+        return found
+
+    def item_ids(self, head: Head | None = None) -> DataFrame:
+        """(item_id) of all known items; a changed one may come twice."""
+        head = head or self._head()
+        base = self._base("item_info", head.base).select("item_id")
+        return base.unionByName(self._changed_rows("item_info", head).select("item_id")) if head.changes else base
+
+    def relations(self, whole: bool = True) -> Relations:
+        """The relations as of the last commit.
+
+        Without ``whole`` only the popular items are there as a frame; the others can be
+        looked up, and cost nothing until they are.
+        """
         head = self._head()
-        found = {name: _flat(name, self._stored(name, head)) for name in STATE}
+        found = {name: _flat(name, self._stored(name, head)) if whole or name == "popular" else None for name in STATE}
         return StoredRelations(**found, store=self, head=head)
 
     def load(self, k: int) -> Relations:
@@ -231,7 +297,7 @@ class StateStore:
         if not key:
             # Every version holds the whole list.
             if head.version != head.base:
-                return self._changes(name, head).select(*schema.names)
+                return self._changed_rows(name, head).select(*schema.names)
             return self._base(name, head.base).select(*schema.names)
         rows = self._base(name, head.base)
         for condition in keep:
@@ -239,7 +305,7 @@ class StateStore:
         rows = narrow(rows.select(*schema.names))
         if not head.changes:
             return rows
-        changed = narrow(self._changes(name, head))
+        changed = narrow(self._changed_rows(name, head))
         gone = changed.select(*key)
         return rows.join(gone, list(key), "left_anti").select(*schema.names).unionByName(changed.select(*schema.names))
 
@@ -254,16 +320,20 @@ class StateStore:
             self._bases[name, version] = self.spark.read.schema(schema).parquet(path)
         return self._bases[name, version]
 
-    def _changes(self, name: str, head: Head) -> DataFrame:
-        """The newest changed row of each key since the base.
+    def _is_small(self, head: Head) -> bool:
+        return sum(rows for _, rows in head.changes) <= LOCAL_ROWS
 
-        Up to LOCAL_ROWS rows are read once for all relations and held as local data.
-        """
+    def _changes(self, name: str, head: Head) -> Held:
+        """The newest changed row of each key since the base, read once for all relations."""
+        if self._changed[0] != head.version:
+            self._changed = (head.version, self._local_changes(head))
+        return self._changed[1][name]
+
+    def _changed_rows(self, name: str, head: Head) -> DataFrame:
+        """The newest changed row of each key since the base; up to LOCAL_ROWS are local data."""
+        if self._is_small(head):
+            return self._changes(name, head).frame
         schema, key, _ = _ALL[name]
-        if sum(rows for _, rows in head.changes) <= LOCAL_ROWS:
-            if self._changed[0] != head.version:
-                self._changed = (head.version, self._local_changes(head))
-            return self._changed[1][name]
         rows = self._read_changes(head, [*schema.fields]).filter(F.col("part") == name).drop("part")
         if not key:
             return rows.filter(F.col("v") == head.version).drop("v")
@@ -283,7 +353,7 @@ class StateStore:
         paths = [f"{self.folder}/changes/v={v}" for v, _ in head.changes]
         return self.spark.read.schema(StructType([*fields, *layout])).option("basePath", f"{self.folder}/changes").parquet(*paths)
 
-    def _local_changes(self, head: Head) -> dict[str, DataFrame]:
+    def _local_changes(self, head: Head) -> dict[str, Held]:
         fields = {f.name: f for schema, *_ in _ALL.values() for f in schema.fields}
         every = self._read_changes(head, list(fields.values())).toArrow()
         parts, versions = every.column("part").to_numpy(), every.column("v").to_numpy()
@@ -297,7 +367,7 @@ class StateStore:
                 rows = rows.filter(pa.array((keys["v"] == keys.groupby(list(key), dropna=False)["v"].transform("max")).to_numpy(bool)))
             else:
                 rows = rows.filter(pa.array(v == head.version))
-            out[name] = local_table(self.spark, rows)
+            out[name] = held(self.spark, rows)
         return out
 
     # ------------------------------------------------------------ whole versions
@@ -365,5 +435,27 @@ def _flat(name: str, rows: DataFrame) -> DataFrame:
     return rows
 
 
+def _flat_table(name: str, table: pa.Table) -> pa.Table:
+    """``_flat`` of a table at the driver."""
+    if name not in _LISTS:
+        return table
+    key, fields = _LISTS[name]
+    lists = table.column(name).combine_chunks()
+    size = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+    entries = lists.flatten()
+    rank = np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size) + 1
+    columns = {key: table.column(key).take(pa.array(np.repeat(np.arange(len(size)), size)))}
+    columns |= {f: entries.field(f) for f in fields} | {"rank": pa.array(rank.astype(np.int32))}
+    return pa.table(columns)
+
+
+def _key_in(rows: pa.Table, others: pa.Table, key: tuple) -> pa.Array:
+    """Whether the key of each row is that of one of the others."""
+    if len(key) == 1:
+        return pc.is_in(rows.column(key[0]), others.column(key[0]).combine_chunks())
+    mine, theirs = (pd.MultiIndex.from_frame(t.select(list(key)).to_pandas()) for t in (rows, others))
+    return pa.array(mine.isin(theirs), pa.bool_())
+
+
 def _bucket(by, buckets: int):
     return F.pmod(F.xxhash64(*by), F.lit(buckets)).cast("int")

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from driftsim.operators import evaluate, prepare, recommend
 from driftsim.plans.bootstrap import Settings
 from driftsim.plans.update import apply_batch, small_profiles, small_rows
-from driftsim.session import calm_session, durable, local, local_table, scratch_path
+from driftsim.session import calm_session, durable, held, hold, local, scratch_path
 from driftsim.sources.files import parse_columnar_json, recommendation_messages
 from driftsim.sources.state import StateStore, stored_form
 from driftsim.streaming.replay import in_order, microbatch_source, run_to_end
@@ -58,20 +58,20 @@ class Loop:
             store.compact()
             last, base_version = store.last()
         version = last + 1
-        base = store.relations()
         steps = Steps(version)
 
         rows = parse_columnar_json(messages.select("value")).withColumn("batch", F.lit(version).cast("long"))
         most = small_rows(self.settings)
         few = rows.limit(most + 1).toArrow()
         small = few.num_rows <= most
+        base = store.relations(whole=not small or self.ignore_new)
         if small:
-            rows, steps.rows = local_table(store.spark, few), few.num_rows
+            few, steps.rows = held(store.spark, few), few.num_rows
+            rows = few.frame
         else:
             rows = durable(rows)
             steps.rows = rows.count()
-        hold = local if small else durable
-        predicted, served, turns = self._answer(rows, base, small, hold)
+        predicted, served, turns, near = self._answer(few if small else rows, base, small)
         longest = served.filter(F.col("cutoff") == max(self.cutoffs))
         store.append_logs(
             version, {"observations": rows, "predictions": predicted, "messages": recommendation_messages(served), "served": longest}
@@ -81,20 +81,19 @@ class Loop:
         fresh = prepare.last_in_batch(prepare.batch_timestep(rows)).select("user_id", "item_id", "rating", "position")
         changes, written = {}, 0
 
-        def keep(name: str, df: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+        def keep(name: str, df: DataFrame, owners: DataFrame | None = None):
             """Hold a changed relation until all are written, or write it, and note how long its step took."""
             nonlocal written
             if small:
-                table = df.toArrow()
-                found = local_table(store.spark, table)
-                changes[name] = stored_form(name, found, owners)
-                written += table.num_rows + (steps.rows if owners is not None else 0)
+                found = hold(df)
+                changes[name] = stored_form(name, found.frame, owners)
+                written += found.table.num_rows + (steps.rows if owners is not None else 0)
             else:
                 found = store.write(version, name, df, owners=owners)
             steps.end(f"update {name}", of="update")
             return found
 
-        apply_batch(base, fresh, self.settings, version, steps.rows, self.ignore_new, self.contain_duplicates, keep, small)
+        apply_batch(base, fresh, self.settings, version, steps.rows, self.ignore_new, self.contain_duplicates, keep, small, near)
         if turns is not None:
             turns = recommend.added_turns(turns, longest)
             if small:
@@ -116,22 +115,32 @@ class Loop:
             found = evaluate.watch_items(rows, metrics.filter("phase in ('batching', 'update')"), list(self.watched))
             store.append_log(version, "watched", found)
 
-    def _answer(self, rows: DataFrame, base, small: bool, hold) -> tuple[DataFrame, DataFrame, DataFrame | None]:
-        """Predictions for the batch and the lists it is served, both from the state before it."""
-        users, items = hold(rows.select("user_id").distinct()), hold(rows.select("item_id").distinct())
-        lists = base.find("neighbors", items, ["item_id"])
+    def _answer(self, rows, base, small: bool):
+        """Predictions for the batch and the lists it is served, both from the state before it.
+
+        With them come the turns that items had before, if repeats are capped, and the
+        lists of the batch's items, if they are at hand.
+        """
+        turns = lists = None
         if small:
-            lists = local(lists)
-            sums, some = small_profiles(base, users, local(lists.select(F.col("neighbor_id").alias("item_id")).distinct()))
+            users, items, rows = rows.ids("user_id"), rows.ids("item_id"), rows.frame
+            lists = base.hold("neighbors", items)
+            sums, some = small_profiles(base, users, lists.ids("neighbor_id"))
             means = sums.select("user_id", (F.col("s_old") / F.col("n_old")).alias("mean"))
-            predicted = recommend.predict_observations(rows, some, lists, means)
+            predicted = recommend.predict_observations(rows, some, lists.frame, means)
+            stored = base.hold("recommendations", users).frame
+            if self.most_repeats is not None:
+                turns = self.store.hold("turns", users, base.head).frame
         else:
-            predicted = recommend.predict_observations(rows, base.find("user_ratings", users, ["user_id"]), lists)
-        stored, turns = hold(base.find("recommendations", users, ["user_id"])), None
-        if self.most_repeats is not None:
-            turns = hold(base.find("turns", users, ["user_id"]))
-        served = hold(recommend.serve_recommendations(rows, stored, self.cutoffs, self.most_repeats, turns=turns))
-        return predicted, served, turns
+            users, items = (durable(rows.select(c).distinct()) for c in ("user_id", "item_id"))
+            predicted = recommend.predict_observations(
+                rows, base.find("user_ratings", users, ["user_id"]), base.find("neighbors", items, ["item_id"])
+            )
+            stored = base.find("recommendations", users, ["user_id"])
+            if self.most_repeats is not None:
+                turns = durable(self.store.find("turns", users, ["user_id"], base.head))
+        served = recommend.serve_recommendations(rows, stored, self.cutoffs, self.most_repeats, turns=turns)
+        return predicted, local(served) if small else durable(served), turns, lists
 
 
 class Steps:

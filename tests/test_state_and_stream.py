@@ -11,7 +11,7 @@ from driftsim.plans import bootstrap, update
 from driftsim.plans.bootstrap import Settings
 from driftsim.schemas import RATINGS, STATE
 from driftsim.session import durable
-from driftsim.sources import files, views
+from driftsim.sources import files, folders, views
 from driftsim.sources.state import StateStore
 from driftsim.streaming import loop, replay
 
@@ -139,6 +139,101 @@ def test_crash_before_commit_is_repeated(spark, split, tmp_path):
     assert all(same(store.read(n), clean.read(n)) for n in STATE)
 
 
+def job_count(spark):
+    return spark._jsc.sc().dagScheduler().numTotalJobs()
+
+
+def test_batches_take_few_jobs_and_leave_no_versions(spark, split, tmp_path):
+    """A micro-batch is at most 40 jobs, and what it replaces is deleted."""
+    train, test = split
+    store = StateStore(spark, str(tmp_path / "s"), 3, keep_seconds=0)
+    store.bootstrap(lambda keep: bootstrap.relations(train, SETTINGS, keep), lambda base: bootstrap.topr_bootstrap(base, SETTINGS.r + 5))
+    staged = replay.stage_replay(test, 7, [F.col(c) for c in ORDER], str(tmp_path / "in"))
+    jobs, sizes = [], []
+
+    class Counted(loop.Loop):
+        def __call__(self, messages, epoch):
+            before, compacted = job_count(spark), store.last()[1]
+            super().__call__(messages, epoch)
+            if store.last()[1] == compacted:
+                jobs.append(job_count(spark) - before)
+            kept = [n for part in (*STATE, "changes", "commits") for n in folders.names(spark, f"{store.folder}/{part}")]
+            sizes.append(len(kept))
+
+    handle = Counted(store, SETTINGS, [2, 4], "s", compact_every=2, most_repeats=3)
+    replay.run_to_end(replay.microbatch_source(spark, staged), replay.in_order(spark, staged, handle), str(tmp_path / "point"))
+    assert len(sizes) == 4 and max(jobs) <= 40
+    # One base of each relation, the changes since, and the last commits.
+    assert max(sizes) <= len(STATE) + 2 + 3
+    same_in_one = new_store(spark, train, tmp_path / "one", buckets=2)
+    loop.run_loop(same_in_one, staged, SETTINGS, [2, 4], str(tmp_path / "point2"), most_repeats=3)
+    # Draws go by the version, and a compaction is one, so only these must be equal.
+    for name in ("user_ratings", "popular"):
+        assert same(store.read(name), same_in_one.read(name)), name
+    turns = store.log("served").filter("item_id is not null").groupBy("user_id", "item_id").agg(F.count("*").alias("n"))
+    assert bag(turns) == bag(store.read("turns"))
+    assert turns.agg(F.max("n")).first()[0] <= 3
+
+
+def test_deletion_cut_short_is_taken_up_again(spark, tmp_path, monkeypatch):
+    store = small_store(spark, tmp_path / "s")
+    store.keep_seconds = 0
+    before = bag(store.read("item_info"))
+    store.compact()
+    assert bag(store.read("item_info")) == before
+    real, seen = folders.delete, []
+
+    def fail(session, path):
+        seen.append(path)
+        if len(seen) == 2:
+            raise RuntimeError("lost while deleting")
+        real(session, path)
+
+    monkeypatch.setattr(folders, "delete", fail)
+    with pytest.raises(RuntimeError):
+        store.compact()
+    monkeypatch.setattr(folders, "delete", real)
+    again = StateStore(spark, store.folder, 3, keep_seconds=0)
+    kept = bag(again.read("neighbors"))
+    again.compact()
+    assert bag(again.read("neighbors")) == kept
+    assert all(len(folders.names(spark, f"{again.folder}/{name}")) == 1 for name in STATE)
+    assert folders.names(spark, f"{again.folder}/changes") == []
+
+
+def test_replaced_versions_stay_for_open_readers(spark, tmp_path):
+    store = small_store(spark, tmp_path / "s")
+    old = store.relations()
+    before = bag(old.pair_info)
+    for _ in range(3):
+        store.compact()
+    assert bag(old.pair_info) == before
+    assert len(folders.names(spark, f"{store.folder}/pair_info")) == 4
+
+
+def test_large_batches_give_the_same_rows(spark, split):
+    """The way over written tables and the one over local frames."""
+    train, test = split
+    base = bootstrap.relations(train, SETTINGS)
+    batched = prepare.batch_timestep(prepare.assign_microbatches(test, 30, [F.col(c) for c in ORDER]))
+    fresh = prepare.last_in_batch(batched).select("user_id", "item_id", "rating", "position")
+    for again in (True, False):
+        small, large = (update.apply_batch(base, fresh, SETTINGS, 1, 30, contain_duplicates=again, small=s) for s in (True, False))
+        for name in ("user_ratings", "item_info", "pair_info", "neighbors", "popular", "recommendations", "touched", "touched_pairs", "users"):
+            got, want = getattr(small, name), getattr(large, name)
+            assert same(got.select(*want.columns), want), name
+
+
+def test_messages_out_of_order_are_refused(spark, tmp_path):
+    rows = spark.createDataFrame([(n, n, 1.0, n) for n in range(1, 4)], RATINGS)
+    folder = replay.stage_replay(rows, 1, [F.col(c) for c in ORDER], str(tmp_path / "in"))
+    handle = replay.in_order(spark, folder, lambda messages, epoch: None)
+    with pytest.raises(RuntimeError):
+        handle(spark.createDataFrame([(2,)], "batch long"), 0)
+    # Only the files of the wanted message are opened.
+    assert len(replay.read_messages(spark, folder, 2).inputFiles()) == 1
+
+
 def test_find_reads_only_the_wanted_buckets(spark, split, tmp_path):
     store = new_store(spark, split[0], tmp_path / "s", buckets=12)
     some = durable(store.read("pair_info").select("item_i", "item_j").limit(2))
