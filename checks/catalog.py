@@ -1222,6 +1222,33 @@ def _(spark, folder):
     return trust_plans.trust_exact_knn(vote_split(spark, folder)[0], TRUST)
 
 
+@cache
+def trust_state(spark, folder):
+    """The state after all batches of votes but two, and these two applied to it."""
+    rows = deltas(spark, folder)
+    border = rows.agg(F.max("batch")).first()[0] - 2
+    store = trust_plans.trust_store(spark, scratch_path(spark, "trust"), STATE_BUCKETS)
+    trust_plans.start_trust(store, rows.filter(F.col("batch") <= border), TRUST)
+    for batch in (border + 1, border + 2):
+        trust_plans.apply_trust_batch(store, rows.filter(F.col("batch") == batch), TRUST)
+    return store
+
+
+@query("trust_state_knn", LIST_SPEC, "SELECT * FROM t_lists")
+def _(spark, folder):
+    return trust_plans.stored_trust_lists(trust_state(spark, folder), vote_split(spark, folder)[0], TRUST)
+
+
+@query("trust_state_norms", "voter_id:l q:d", "SELECT voter_id, q FROM t_norms")
+def _(spark, folder):
+    return trust_state(spark, folder).read("voter_norms")
+
+
+@query("trust_state_votes", "voter_id:l electee_id:l vote:d", "SELECT voter_id, electee_id, vote FROM applied")
+def _(spark, folder):
+    return trust_state(spark, folder).read("applied_votes")
+
+
 TRUSTED_SPEC = "arrival:l electee_id:l voter_id:l vote:d positive:l negative:l predicted:l"
 
 

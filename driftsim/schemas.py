@@ -38,6 +38,14 @@ COUNTERS = {
     "turns": (_struct(user_id=_LONG, item_id=_LONG, n=_LONG), ("user_id", "item_id"), ("user_id",)),
 }
 
+# The state of trust between voters after a batch of votes.
+TRUST_STATE = {
+    # The last vote of each voter on each electee, found by electee.
+    "applied_votes": (_struct(voter_id=_LONG, electee_id=_LONG, vote=_DOUBLE), ("voter_id", "electee_id"), ("electee_id",)),
+    "voter_norms": (_struct(voter_id=_LONG, q=_DOUBLE), ("voter_id",), ("voter_id",)),
+    "voter_products": (_struct(voter_i=_LONG, voter_j=_LONG, p=_DOUBLE), ("voter_i", "voter_j"), ("voter_i",)),
+}
+
 _SEEN = {"batch": _LONG, "arrival": _LONG, "user_id": _LONG, "item_id": _LONG}
 # What the serving loop notes of every batch.
 LOGS = {

@@ -34,7 +34,6 @@ KEEP_SECONDS = 600.0
 COMMITS = 3
 #: So many wanted keys also go to the scan as a filter, which skips row groups.
 FILTER_KEYS = 100
-_ALL = STATE | COUNTERS
 _NONE = -1  # no bucket's number
 _REPEATED = {"user_ratings"}  # may hold several rows of one key
 # Relations stored as one ranked array per key, and the fields of an entry.
@@ -78,13 +77,17 @@ class StoredRelations(Relations):
 
 
 class StateStore:
-    """``buckets`` applies to bases written from here on; a stored base keeps its own number."""
+    """``buckets`` applies to bases written from here on; a stored base keeps its own number.
 
-    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1, keep_seconds: float = KEEP_SECONDS):
+    ``layout`` has the relations: schema, key and lookup columns by name.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str, buckets: int = 1, keep_seconds: float = KEEP_SECONDS, layout: dict = STATE | COUNTERS):
         self.spark = spark
         self.folder = folder.rstrip("/")
         self.buckets = buckets
         self.keep_seconds = keep_seconds
+        self.layout = layout
         self._bases: dict = {}
         self._changed: tuple = (None, {})
         self._rows: dict[int, int] = {}
@@ -108,35 +111,39 @@ class StateStore:
     def commit(self, version: int, base: int, stream: str = "", epoch: int = -1) -> None:
         """Make a version visible. Written last, so a version cut short is never seen.
 
-        What was replaced long enough ago is deleted first: if that is cut short, the old
-        commit still names it and the next one deletes it again.
+        Only what an earlier commit has replaced is deleted before, and what this one
+        replaces after it: if that is cut short, the commit still names it and the next
+        one deletes it again.
         """
-        old, now = self._head(), time.time()
-        old = old or Head(-1, -1, self.buckets)
+        old, now = self._head() or Head(-1, -1, self.buckets), time.time()
         streams = old.streams | ({stream: epoch} if stream else {})
-        retired = list(old.retired)
+        due = self._expired(old.retired, now)
+        retired = [r for r in old.retired if r not in due]
         if version == base:
-            gone = [f"{name}/v={old.base}" for name in _ALL if old.base >= 0] + [f"changes/v={v}" for v, _ in old.changes]
-            retired += [[path, now] for path in gone]
-            head = Head(version, base, self.buckets, [], retired, streams)
+            gone = [f"{name}/v={old.base}" for name in self.layout if old.base >= 0] + [f"changes/v={v}" for v, _ in old.changes]
+            head = Head(version, base, self.buckets, [], retired + [[path, now] for path in gone], streams)
         else:
             rows = self._rows.pop(version, None)
             if rows is None:
                 rows = self.spark.read.parquet(f"{self.folder}/changes/v={version}").count()
             head = Head(version, old.base, old.buckets, [*old.changes, [version, rows]], retired, streams)
-        due = [path for path, since in head.retired if since + self.keep_seconds <= now]
-        for path in due:
-            folders.delete(self.spark, f"{self.folder}/{path}")
-        head = replace(head, retired=[r for r in head.retired if r[0] not in due])
         folders.write_text(self.spark, f"{self.folder}/commits/{version:012d}.json", json.dumps(head.__dict__))
+        self._expired(head.retired, now)
         for name in folders.names(self.spark, f"{self.folder}/commits")[:-COMMITS]:
             folders.delete(self.spark, f"{self.folder}/commits/{name}")
 
+    def _expired(self, retired: list, now: float) -> list:
+        """Delete what was replaced long enough ago."""
+        due = [r for r in retired if r[1] + self.keep_seconds <= now]
+        for path, _ in due:
+            folders.delete(self.spark, f"{self.folder}/{path}")
+        return due
+
     def sweep(self) -> None:
         """Delete bases and changes that no commit names, left by work that was cut short."""
         head = self._head()
-        named = {path for path, _ in head.retired} | {f"{name}/v={head.base}" for name in _ALL} | {f"changes/v={v}" for v, _ in head.changes}
-        for parent in (*_ALL, "changes"):
+        named = {path for path, _ in head.retired} | {f"{name}/v={head.base}" for name in self.layout} | {f"changes/v={v}" for v, _ in head.changes}
+        for parent in (*self.layout, "changes"):
             for name in folders.names(self.spark, f"{self.folder}/{parent}"):
                 if f"{parent}/{name}" not in named:
                     folders.delete(self.spark, f"{self.folder}/{parent}/{name}")
@@ -150,8 +157,8 @@ class StateStore:
 
         ``owners`` are keys whose list is replaced even if nothing is left in it.
         """
-        rows = stored_form(name, rows, owners)
-        schema = _ALL[name][0]
+        rows = stored_form(name, rows, owners, self.layout)
+        schema = self.layout[name][0]
         if base:
             path = self._put_base(version, name, rows)
         else:
@@ -169,7 +176,7 @@ class StateStore:
 
     def _put_base(self, version: int, name: str, rows: DataFrame) -> str:
         path = f"{self.folder}/{name}/v={version}"
-        key, by = _ALL[name][1:]
+        key, by = self.layout[name][1:]
         writer = rows
         if by and self.buckets > 1:
             # Rebalancing splits a bucket that one key has made large.
@@ -214,7 +221,7 @@ class StateStore:
         A few wanted keys at hand are a filter of the scan as well.
         """
         head = head or self._head()
-        key, by = _ALL[name][1:]
+        key, by = self.layout[name][1:]
         keep = []
         if by and set(by) <= set(on):
             own = wanted.select(*by)
@@ -236,7 +243,7 @@ class StateStore:
         the rows of the base as they arrive.
         """
         head = head or self._head()
-        schema, key, by = _ALL[name]
+        schema, key, by = self.layout[name]
         if not self._is_small(head):
             rows = self.rows_of(name, ids, head)
             return hold(rows if wanted is None else lookup(rows, wanted.frame, list(key)))
@@ -259,7 +266,7 @@ class StateStore:
     def rows_of(self, name: str, ids: np.ndarray, head: Head | None = None) -> DataFrame:
         """Rows of a relation whose lookup key is among a few ids, as a plan."""
         head = head or self._head()
-        by = _ALL[name][2]
+        by = self.layout[name][2]
         return _flat(name, self._stored(name, head, self._scan_filters(by, ids, head), lambda rows: rows.filter(among(by[0], ids))))
 
     def _scan_filters(self, by: tuple, ids: np.ndarray, head: Head) -> list:
@@ -293,7 +300,7 @@ class StateStore:
 
     def _stored(self, name: str, head: Head, keep=(), narrow=lambda rows: rows) -> DataFrame:
         """A relation as of ``head``; ``keep`` filters the base's scan, ``narrow`` both parts."""
-        schema, key, _ = _ALL[name]
+        schema, key, _ = self.layout[name]
         if not key:
             # Every version holds the whole list.
             if head.version != head.base:
@@ -313,7 +320,7 @@ class StateStore:
         """The base of a relation, which never changes: its files are listed once."""
         if (name, version) not in self._bases:
             path = f"{self.folder}/{name}/v={version}"
-            schema = StructType([*_ALL[name][0].fields, StructField("bucket", IntegerType())])
+            schema = StructType([*self.layout[name][0].fields, StructField("bucket", IntegerType())])
             if name in COUNTERS and not folders.exists(self.spark, path):
                 return self.spark.createDataFrame([], schema)
             self._bases = {k: v for k, v in self._bases.items() if k[1] == version}
@@ -333,7 +340,7 @@ class StateStore:
         """The newest changed row of each key since the base; up to LOCAL_ROWS are local data."""
         if self._is_small(head):
             return self._changes(name, head).frame
-        schema, key, _ = _ALL[name]
+        schema, key, _ = self.layout[name]
         rows = self._read_changes(head, [*schema.fields]).filter(F.col("part") == name).drop("part")
         if not key:
             return rows.filter(F.col("v") == head.version).drop("v")
@@ -354,11 +361,11 @@ class StateStore:
         return self.spark.read.schema(StructType([*fields, *layout])).option("basePath", f"{self.folder}/changes").parquet(*paths)
 
     def _local_changes(self, head: Head) -> dict[str, Held]:
-        fields = {f.name: f for schema, *_ in _ALL.values() for f in schema.fields}
+        fields = {f.name: f for schema, *_ in self.layout.values() for f in schema.fields}
         every = self._read_changes(head, list(fields.values())).toArrow()
         parts, versions = every.column("part").to_numpy(), every.column("v").to_numpy()
         out = {}
-        for name, (schema, key, _) in _ALL.items():
+        for name, (schema, key, _) in self.layout.items():
             mine = parts == name
             rows = every.filter(pa.array(mine)).select(list(schema.names))
             v = versions[mine]
@@ -385,11 +392,19 @@ class StateStore:
         self.commit(0, 0)
         return replace(found, recommendations=recommendations)
 
+    def start(self, relations: dict[str, DataFrame]) -> None:
+        """Store all relations of the layout as version 0. Fails if the folder holds a state already."""
+        if self.last() is not None:
+            raise FileExistsError(f"{self.folder} holds a state already")
+        for name in self.layout:
+            self.write(0, name, relations[name], base=True)
+        self.commit(0, 0)
+
     def compact(self) -> None:
         """Write every relation whole, as the base of a new version, and delete what is long replaced."""
         head = self._head()
         version = head.version + 1
-        for name in _ALL:
+        for name in self.layout:
             self._put_base(version, name, self._stored(name, head))
         self.commit(version, version)
         self.sweep()
@@ -398,14 +413,14 @@ class StateStore:
         """Commit a new version in which every relation is empty."""
         last = self.last()
         version = last[0] + 1 if last else 0
-        for name, (schema, *_) in _ALL.items():
+        for name, (schema, *_) in self.layout.items():
             self._put_base(version, name, self.spark.createDataFrame([], schema))
         self.commit(version, version)
 
 
-def stored_form(name: str, rows: DataFrame, owners: DataFrame | None = None) -> DataFrame:
+def stored_form(name: str, rows: DataFrame, owners: DataFrame | None = None, layout: dict = STATE | COUNTERS) -> DataFrame:
     """Rows of a relation as they are stored: its schema, and ranked lists as one array per key."""
-    schema = _ALL[name][0]
+    schema = layout[name][0]
     if name in _LISTS:
         key, fields = _LISTS[name]
         rows = ranked_list(rows, key, fields, name)
