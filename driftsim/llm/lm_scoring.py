@@ -13,14 +13,15 @@ import sentencepiece
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from driftsim.llm.text import LOWER, NOT_BLANK, Words, find_words, slices, text_buffer, word_hashes
+from driftsim.llm.text import LOWER, NOT_BLANK, Words, find_words, slices, text_buffer, trimmed, word_hashes
 from driftsim.session import durable
 
 VOCABULARY = "piece_bpe_32k.model"
-#: At most so many frequent words travel to every task; the others are joined.
-HEAD_WORDS = 400_000
-#: Words whose lattices are worked through at once.
-LATTICE_WORDS = 10_000
+#: At most so many frequent words travel to every task, as a hash and two numbers each; the
+#: others, and every word of more bytes than HEAD_BYTES, are joined.
+HEAD_WORDS, HEAD_BYTES = 1 << 18, 32
+#: Bytes of the words whose lattices are worked through at once.
+LATTICE_BYTES = 1 << 17
 _SPACE = "▁"
 _NONE = -np.inf
 
@@ -169,6 +170,11 @@ def _spell(words: Words, which: np.ndarray) -> list[bytes]:
     return [raw[a:b] for a, b in zip(words.start[which].tolist(), words.end[which].tolist(), strict=True)]
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    data, starts, ends = text_buffer(words)
+    return word_hashes(Words(data, starts, ends, starts, starts))
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word: binary, trained, total): occurrences in the rows learned from, and in all rows."""
 
@@ -184,7 +190,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
                     [pa.array(_spell(words, one), pa.binary()), pa.array(trained), pa.array(total)], ["word", "trained", "total"]
                 )
 
-    found = docs.select("text", _held().alias("held")).mapInArrow(run, "word binary, trained long, total long")
+    found = docs.select("text", _held().alias("held")).mapInArrow(trimmed(run), "word binary, trained long, total long")
     return found.groupBy("word").agg(F.sum("trained").alias("trained"), F.sum("total").alias("total"))
 
 
@@ -205,13 +211,12 @@ def fit(counts: DataFrame, ends: int, known: Pieces) -> Model:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, total = pieces(), np.zeros(len(known.log_p))
         for batch in batches:
-            for lo in range(0, batch.num_rows, LATTICE_WORDS):
-                part = batch.slice(lo, LATTICE_WORDS)
+            for part in slices(batch, "word", LATTICE_BYTES):
                 total += expected_counts(part.column("word").to_pylist(), part.column("trained").to_numpy(), own)
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["piece", "n"])
 
-    rows = counts.filter("trained > 0").select("word", "trained").mapInArrow(run, "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
+    rows = counts.filter("trained > 0").select("word", "trained").mapInArrow(trimmed(run), "piece long, n double").groupBy("piece").agg(F.sum("n").alias("n")).collect()
     n = np.zeros(len(known.log_p))
     for r in rows:
         n[r["piece"]] = r["n"]
@@ -228,8 +233,11 @@ def score(docs: DataFrame) -> DataFrame:
     log10 of the text's probability: a text is a row of pieces drawn independently and an
     end, each word begins with a piece that carries the blank, and the probability of a
     word is summed over all its segmentations. Each distinct word's lattice is worked out
-    once. The most frequent words (at most HEAD_WORDS) are looked up inside the tasks that
-    read the texts; all others, which no longer hold a hot key, are joined. Repeated rows
+    once. The most frequent words (at most HEAD_WORDS, of at most HEAD_BYTES bytes) are looked
+    up inside the tasks that read the texts; all others are joined with the written
+    weights, a row for each text that has the word, so that Spark can split one that many
+    texts have. A very long text is worked through by itself; a word's lattice needs some
+    hundred bytes for each of its bytes. Repeated rows
     are scored each; a null doc_id is learned from.
     """
     known = pieces()
@@ -244,28 +252,30 @@ def score(docs: DataFrame) -> DataFrame:
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = pieces()
         for batch in batches:
-            for lo in range(0, batch.num_rows, LATTICE_WORDS):
-                part = batch.slice(lo, LATTICE_WORDS)
+            for part in slices(batch, "word", LATTICE_BYTES):
                 value = word_log_p(part.column("word").to_pylist(), model.log_p, own) * to_log10
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(value)], [*part.schema.names, "log10_p"])
+                yield pa.RecordBatch.from_arrays(
+                    [*part.columns, pa.array(value), pa.array(_hashes(part.column("word")).view(np.int64))], [*part.schema.names, "log10_p", "hash"]
+                )
 
-    weighed = durable(counts.mapInArrow(weigh, "word binary, trained long, total long, log10_p double"))
+    weighed = durable(counts.mapInArrow(trimmed(weigh), "word binary, trained long, total long, log10_p double, hash long"))
+    short = F.octet_length("word") <= HEAD_BYTES
     # The least count of a head word: bands of counts, an eighth of a doubling wide.
     band = F.floor(F.log2("total") * 8).cast("int")
-    bands = weighed.groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min("total").alias("least")).orderBy(F.desc("band")).collect()
+    bands = weighed.filter(short).groupBy(band.alias("band")).agg(F.count("*").alias("n"), F.min("total").alias("least")).orderBy(F.desc("band")).collect()
     least, taken = 1 << 62, 0
     for r in bands:
         taken += r["n"]
         if taken > HEAD_WORDS:
             break
         least = r["least"]
-    head = weighed.filter(F.col("total") >= least).select("word", "trained", "log10_p").toPandas()
-    spelled = find_words(*text_buffer(pa.array([w.decode() for w in head["word"]], pa.string())), NOT_BLANK)
-    hashes = word_hashes(spelled)
+    is_head = short & (F.col("total") >= least)
+    head = weighed.filter(is_head).select("hash", "trained", "log10_p").toArrow()
+    hashes = head.column("hash").to_numpy().view(np.uint64)
     order = np.argsort(hashes)
     keys = np.append(hashes[order], np.uint64(0))
-    trained = np.append(head["trained"].to_numpy(np.int64)[order], 0)
-    log10_p = np.append(head["log10_p"].to_numpy(np.float64)[order], 0.0)
+    trained = np.append(head.column("trained").to_numpy()[order], 0)
+    log10_p = np.append(head.column("log10_p").to_numpy()[order], 0.0)
 
     def look_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, nth = TaskContext.get().partitionId() << 40, 0
@@ -275,13 +285,13 @@ def score(docs: DataFrame) -> DataFrame:
                 words = words_of(part.column("text"))
                 found = word_hashes(words)
                 at = np.searchsorted(keys[:-1], found)
-                is_head = keys[at] == found if len(keys) > 1 else np.zeros(len(found), bool)
-                of, hit, rows = words.row[is_head], at[is_head], part.num_rows
+                known = (keys[at] == found) & (words.end - words.start <= HEAD_BYTES) if len(keys) > 1 else np.zeros(len(found), bool)
+                of, hit, rows = words.row[known], at[known], part.num_rows
                 number = task + nth + np.arange(rows)
                 nth += rows
                 sums = [np.bincount(of, x[hit], rows).astype(float) for x in (trained > 0, base, log10_p)]
                 # The rare words of each text, without repeats.
-                rest = np.flatnonzero(~is_head)
+                rest = np.flatnonzero(~known)
                 pair = np.stack([words.row[rest].astype(np.uint64), found[rest]])
                 _, one, times = np.unique(pair, axis=1, return_index=True, return_counts=True)
                 one = rest[one]
@@ -302,8 +312,8 @@ def score(docs: DataFrame) -> DataFrame:
                 )
 
     schema = "word binary, number long, doc_id long, held boolean, n long, n_known long, base double, log10_p double"
-    rows = docs.select(F.col("doc_id").cast("long"), "text", _held().alias("held")).mapInArrow(look_up, schema)
-    rare = weighed.filter(F.col("total") < least).select("word", "trained", F.col("log10_p").alias("rare_p"))
+    rows = docs.select(F.col("doc_id").cast("long"), "text", _held().alias("held")).mapInArrow(trimmed(look_up), schema)
+    rare = weighed.filter(~is_head).select("word", "trained", F.col("log10_p").alias("rare_p"))
     joined = rows.join(rare, "word", "left")
     own = F.col("held").isNotNull()
     end_base = np.log10((ends + 1)) - floor if ends else -floor

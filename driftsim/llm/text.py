@@ -7,7 +7,10 @@ its own.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import contextlib
+import ctypes
+import gc
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -47,6 +50,25 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         first = last
 
 
+def trimmed(run: Callable) -> Callable:
+    """``run`` as a function of batches that gives freed memory back to the system when it ends.
+
+    Python workers live on from task to task; without this the largest arrays of every
+    stage so far would stay counted to them.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return work
+
+
 def column_at(batch: pa.RecordBatch, path: str) -> pa.Array:
     """A column, or a field of a struct column by a path with dots."""
     column, *fields = path.split(".")
