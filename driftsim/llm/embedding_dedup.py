@@ -19,6 +19,15 @@ EXACT_WIDTH = (1 << 24) // (127 * 127)
 _SLACK = 1e-9
 
 
+def scaled(vectors: np.ndarray) -> np.ndarray:
+    """Each vector times a power of two, so that no square of it is too large or too small.
+
+    Angles stay as they are, to the last bit.
+    """
+    _, exponent = np.frexp(np.abs(vectors).max(axis=1))
+    return np.ldexp(vectors, -exponent[:, None])
+
+
 def quantise(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """int8 values, their scale, length of the quantised vector and of the error, by row."""
     scale = np.abs(unit).max(axis=1) / 127
@@ -66,7 +75,7 @@ def _tile_links(group: pd.DataFrame) -> pd.DataFrame:
         right = left
     if left.empty:
         return pd.DataFrame({"node": [], "links": [], "root": []}).astype("int64")
-    a, b = np.stack(left["vector"]).astype(np.float64), np.stack(right["vector"]).astype(np.float64)
+    a, b = (scaled(np.stack(side["vector"]).astype(np.float64)) for side in (left, right))
     nodes = left["node"].to_numpy() if same else np.concatenate([left["node"].to_numpy(), right["node"].to_numpy()])
     times = left["times"].to_numpy() if same else np.concatenate([left["times"].to_numpy(), right["times"].to_numpy()])
     shift = 0 if same else len(left)
@@ -149,12 +158,12 @@ def _width_links(classes: DataFrame, width: int, n: int) -> DataFrame:
     want = min(CENTRES, -(-n // tile))
     # A bounded sample; the centres decide what is compared first, never what is found.
     drawn = classes.orderBy(F.xxhash64("vector"), "node").limit(want).select("vector").collect()
-    centres = np.array([r["vector"] for r in drawn])
+    centres = scaled(np.array([r["vector"] for r in drawn]))
     centres /= np.linalg.norm(centres, axis=1, keepdims=True)
 
     def place(batches):
         for batch in batches:
-            x = np.stack(batch["vector"].to_numpy())
+            x = scaled(np.stack(batch["vector"].to_numpy()))
             x = x / np.linalg.norm(x, axis=1, keepdims=True)
             near = x @ centres.T
             cell = near.argmax(axis=1)
