@@ -10,7 +10,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from driftsim.llm.text import column_at, slices, text_buffer
+from driftsim.llm.text import column_at, slices, text_buffer, trimmed
 
 #: Bytes of one window; windows follow one another over the whole text.
 WINDOW = 256
@@ -75,7 +75,9 @@ def train(texts: list[str], labels: list[str], rounds: int = 6, rate: float = 0.
     ends = np.cumsum([len(r) for r in raw])
     windows, row, size = _windows(np.frombuffer(b"".join(raw), np.uint8), ends - [len(r) for r in raw], ends)
     y = np.array([names.index(x) for x in labels])[row]
-    windows, y = windows[size >= 8], y[size >= 8]
+    # A short rest of a text is left out, a short text is not.
+    first = np.append(True, row[1:] != row[:-1])
+    windows, y = windows[(size >= 8) | first], y[(size >= 8) | first]
     draw = np.random.default_rng(seed)
     weights = {f"t{w}": draw.normal(0, 0.3, (w, 256, FILTERS)).astype(np.float32) for w in WIDTHS}
     weights["dense"] = draw.normal(0, 0.3, (len(WIDTHS) * FILTERS, len(names))).astype(np.float32)
@@ -200,7 +202,7 @@ def with_language(docs: DataFrame, net: Network | None, text: str = "text") -> D
                 )
 
     fields = [*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())]
-    return docs.mapInArrow(run, T.StructType(fields))
+    return docs.mapInArrow(trimmed(run), T.StructType(fields))
 
 
 def identify(docs: DataFrame) -> DataFrame:

@@ -38,7 +38,7 @@ def op2_language_id(spark: SparkSession, folder: str) -> DataFrame:
     docs = table(spark, folder, "documents").select("doc_id", "text", "lang")
     return language_id.identify(docs).select(
         "document.doc_id",
-        (F.crc32(F.col("document.doc_id").cast("string").cast("binary")) % 3 == 1).alias("held_out"),
+        F.coalesce(F.crc32(F.col("document.doc_id").cast("string").cast("binary")) % 3 == 1, F.lit(False)).alias("held_out"),
         "lang_pred",
         "score",
     )
