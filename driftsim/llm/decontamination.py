@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from driftsim.llm.text import ALNUM, LOWER, Words, column_at, find_words, slices, text_buffer, word_hashes
+from driftsim.llm.text import ALNUM, LOWER, Words, column_at, find_words, slices, text_buffer, trimmed, word_hashes
 
 WINDOW = 13
 #: Every so many places of a shard keep their suffix position.
@@ -225,7 +225,7 @@ def _add_block(found: DataFrame, wanted: Phrases) -> DataFrame:
                 }
                 yield pa.RecordBatch.from_arrays([part.column("document"), *columns.values()], ["document", *columns])
 
-    return found.mapInArrow(run, T.StructType([T.StructField(f.name, f.dataType) for f in found.schema.fields]))
+    return found.mapInArrow(trimmed(run), T.StructType([T.StructField(f.name, f.dataType) for f in found.schema.fields]))
 
 
 def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -17,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 from tokenizers import Tokenizer
 
-from driftsim.llm.text import column_at, slices, text_buffer
+from driftsim.llm.text import column_at, slices, text_buffer, trimmed
 from driftsim.session import durable
 
 SEQUENCE = 2048
@@ -110,7 +110,7 @@ def _numbered_pieces(docs: DataFrame, length: int, tokenizer: str) -> DataFrame:
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], [*_PIECE, "task", "nth"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, f"{_SCHEMA}, task int, nth long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(trimmed(run), f"{_SCHEMA}, task int, nth long")
 
 
 def plan(counts: dict[int, int], capacity: int = SEQUENCE) -> list[tuple[int, int, int, int]]:
@@ -189,4 +189,4 @@ def pack(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER) ->
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *new], [*kept, "sequence_id", "offset"])
 
     columns = ranked(found).select(*_PIECE, "rank")
-    return columns.mapInArrow(place, f"{_SCHEMA}, sequence_id long, offset long")
+    return columns.mapInArrow(trimmed(place), f"{_SCHEMA}, sequence_id long, offset long")

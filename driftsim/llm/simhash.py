@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from driftsim.llm.components import components
-from driftsim.llm.text import LOWER, NOT_BLANK, column_at, joined_by_space, slices, text_buffer
+from driftsim.llm.text import LOWER, NOT_BLANK, column_at, joined_by_space, slices, text_buffer, trimmed
 from driftsim.session import durable
 
 SHINGLE = 4
@@ -51,7 +51,7 @@ def with_fingerprint(docs: DataFrame, text: str = "text", name: str = "print", s
                 prints = pa.array(_fingerprint_rows(column_at(part, text), shingle))
                 yield pa.RecordBatch.from_arrays([*part.columns, prints], [*part.schema.names, name])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
+    return docs.mapInArrow(trimmed(run), T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())]))
 
 
 def _segment(place: int, at: str = "print") -> Column:

@@ -348,3 +348,44 @@ def test_scores(spark, monkeypatch, head):
         assert g[:5] == w[:5]
         assert np.allclose(g[5:], w[5:], rtol=1e-9)
     assert lm_scoring.score(table(spark, [])).count() == 0
+
+
+def test_embeddings_of_any_magnitude(spark):
+    base = [0.3, 0.4, 0.5]
+    rows = [(1, [1e200, 1e200, 0.0]), (2, [1e200, 1.0001e200, 0.0]), (3, [1e-200, 1e-200, 0.0]), (4, base), (5, [c * 1e-300 for c in base]), (6, [0.0, 0.0, -5e-324])]
+    got = embedding_dedup.embedding_links(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted((r.vec_id, r.n_links, r.component_id) for r in got) == [(1, 2, 1), (2, 2, 1), (3, 2, 1), (4, 1, 4), (5, 1, 4), (6, 0, 6)]
+
+
+def test_language_of_very_short_texts(spark):
+    words = {"es": "hola", "en": "hello", "de": "hallo", "fr": "salut"}
+    rows = [(n, w, lang) for k, (lang, w) in enumerate(words.items()) for n in range(1000 * k, 1000 * k + 60)]
+    docs = spark.createDataFrame([*rows, (None, "hola", "es")], "doc_id long, text string, lang string")
+    got = language_id.identify(docs).select("document.lang", "lang_pred").collect()
+    assert sum(r.lang == r.lang_pred for r in got) > 0.95 * len(got)
+
+
+def test_forward_pass_against_a_plain_convolution():
+    rng = np.random.default_rng(5)
+    net = language_id.train(["abc def " * 40, "xyz uvw " * 40], ["a", "b"], rounds=1)
+    windows = rng.integers(0, 256, (3, language_id.WINDOW)).astype(np.uint8)
+    want = []
+    for x in windows:
+        hidden = [
+            max(sum(net.tables[w][j][x[i + j]][f] for j in range(w)) for i in range(language_id.WINDOW - w + 1))
+            for w in language_id.WIDTHS
+            for f in range(language_id.FILTERS)
+        ]
+        z = np.array(hidden) @ net.dense + net.bias
+        want.append(np.exp(z - z.max()) / np.exp(z - z.max()).sum())
+    assert np.allclose(language_id._probabilities(windows, net.pairs(), net), want, atol=1e-4)
+
+
+def test_scores_of_long_words(spark):
+    """A word of 50 kilobytes beside short ones; it is joined, however frequent."""
+    long = "ab" * 25_000
+    docs = spark.createDataFrame([(n, f"{long} a bc a") for n in range(6)] + [(9, long)], "doc_id long, text string")
+    rows = {r.document if "document" in r else r.doc_id: r for r in lm_scoring.score(docs).collect()}
+    assert all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows.values())
+    assert rows[0].n_tokens == 5 and rows[9].n_tokens == 2
+    assert rows[0].score < rows[9].score < -1000
