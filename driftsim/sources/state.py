@@ -125,7 +125,7 @@ class StateStore:
         else:
             rows = self._rows.pop(version, None)
             if rows is None:
-                rows = self.spark.read.parquet(f"{self.folder}/changes/v={version}").count()
+                rows = self.spark.read.schema("part string").parquet(f"{self.folder}/changes/v={version}").count()
             head = Head(version, old.base, old.buckets, [*old.changes, [version, rows]], retired, streams)
         folders.write_text(self.spark, f"{self.folder}/commits/{version:012d}.json", json.dumps(head.__dict__))
         self._expired(head.retired, now)
