@@ -24,17 +24,18 @@ def largest_group(df: DataFrame, keys) -> int:
 
 @dataclass(frozen=True)
 class GroupSizes:
-    """How large the groups of a table are: the largest, and the sum of squares."""
+    """How large the groups of a table are: the largest, the sum of squares, and all rows."""
 
     largest: int
     squares: float
+    rows: int = 0
 
 
 def group_sizes(df: DataFrame, keys) -> GroupSizes:
     sizes = df.groupBy(*keys).count()
     square = F.col("count").cast("double") * F.col("count")
-    row = sizes.agg(F.max("count"), F.sum(square)).first()
-    return GroupSizes(row[0] or 0, row[1] or 0.0)
+    row = sizes.agg(F.max("count"), F.sum(square), F.sum("count")).first()
+    return GroupSizes(row[0] or 0, row[1] or 0.0, row[2] or 0)
 
 
 def positions(

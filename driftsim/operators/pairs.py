@@ -9,6 +9,8 @@ from driftsim.operators.ordering import GROUP_ROWS, GroupSizes, group_sizes, pos
 CELL_ROWS = 4096
 # Pairs that one task should make.
 PAIR_ROWS = 4_000_000
+# Rows that a row meets on average, from which on a pair join hashes one side.
+HASHED = 8
 
 
 def pairs_within(
@@ -45,6 +47,10 @@ def pairs_within(
     names = [member, *columns]
     left = left.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_i") for c in names))
     right = right.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_j") for c in names))
+    if sizes.rows and sizes.squares >= HASHED * sizes.rows:
+        # With this many pairs a row, a task of PAIR_ROWS pairs holds few rows: they are
+        # hashed, which passes over the pairs faster than a merge.
+        right = right.hint("shuffle_hash")
     return (
         left.join(right, keys)
         .filter(F.col(f"{member}_i") < F.col(f"{member}_j"))

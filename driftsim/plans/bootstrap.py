@@ -3,7 +3,6 @@
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 
 from driftsim.operators import keys, pairs, prepare, recommend, stats
@@ -55,11 +54,15 @@ class Relations:
 
 def similarity_bootstrap(ratings: DataFrame, settings: Settings) -> DataFrame:
     """Raw ratings to (item_id, neighbor_id, sim, rank)."""
+    # Written, so that counting them does not make them twice.
+    ratings = durable(ratings)
     sizes = group_sizes(ratings, ["user_id"])
     profile = prepare.user_ratings(ratings, sizes.largest)
     # Feeds the item norms and both sides of the pair join.
     weighted = durable(stats.weighted_ratings(profile, settings.alpha, sizes.largest))
-    sims = pairs.pair_similarities(weighted, stats.item_info(weighted), sizes)
+    # Written, so that a hot item is a skewed join of two tables, which Spark can split.
+    info = durable(stats.item_info(weighted))
+    sims = pairs.pair_similarities(weighted, info, sizes)
     return pairs.topk_neighbors(pairs.mirror_pairs(sims), settings.k)
 
 
@@ -68,15 +71,15 @@ def relations(ratings: DataFrame, settings: Settings, keep=lambda name, df: dura
 
     ``keep`` stores a relation under its name and returns it as read back.
     """
+    ratings = durable(ratings)
     sizes = group_sizes(ratings, ["user_id"])
     profile = keep("user_ratings", prepare.user_ratings(ratings, sizes.largest))
     weighted = durable(stats.weighted_ratings(profile, settings.alpha, sizes.largest))
     info = keep("item_info", stats.item_info(weighted))
     # Stored, and ranked: the pairs are summed once for both.
-    sums = pairs.pair_info_with_similarity(weighted, info, sizes).persist(StorageLevel.DISK_ONLY)
+    sums = durable(pairs.pair_info_with_similarity(weighted, info, sizes))
     stored = keep("pair_info", sums.drop("sim"))
     neighbors = keep("neighbors", pairs.topk_neighbors(pairs.mirror_pairs(sums), settings.k))
-    sums.unpersist()
     popular = keep("popular", stats.top_popular(info, settings.p))
     return Relations(profile, info, stored, neighbors, popular)
 
