@@ -1017,12 +1017,38 @@ def _(spark, folder):
     return _grown(spark, folder).recommendations
 
 
-@query(
-    "refresh_recommendations_exhausted",
-    REC_SPEC,
-    "SELECT * FROM w_long WHERE user_id NOT IN (SELECT user_id FROM asked_w)",
-)
+@cache
+def _met_anew(spark, folder):
+    """The last rows applied to the ratings of all users and items they do not hold."""
+    train, test = split(spark, folder)
+    users, items = (F.broadcast(test.select(c).distinct()) for c in ("user_id", "item_id"))
+    rest = train.join(users, "user_id", "left_anti").join(items, "item_id", "left_anti").select(*RATINGS.names)
+    base = bootstrap.relations(rest, SETTINGS)
+    base = replace(base, recommendations=durable(bootstrap.topr_bootstrap(base, SETTINGS.r)))
+    return update.merged_relations(base, update.apply_batch(base, fresh(spark, folder), SETTINGS, 1, sql.TAIL))
+
+
+@query("unseen_entities_item_info", INFO_SPEC, "SELECT * FROM qm_info")
+def _(spark, folder):
+    return _met_anew(spark, folder).item_info
+
+
+@query("unseen_entities_pair_info", PAIR_SPEC, "SELECT * FROM qm_sums")
+def _(spark, folder):
+    return _met_anew(spark, folder).pair_info
+
+
+@query("unseen_entities_neighbors", NEIGHBOR_SPEC, "SELECT * FROM qm_nb")
+def _(spark, folder):
+    return _met_anew(spark, folder).neighbors
+
+
+@query("unseen_entities_recommendations", REC_SPEC, "SELECT * FROM qm_recs")
 def _(spark, folder):
+    return _met_anew(spark, folder).recommendations
+
+
+def exhausted(spark, folder, choose):
     """Through the store: users who rate all popular items in a batch have nothing left to be recommended."""
     train = split(spark, folder)[0]
     few = replace(SETTINGS, p=sql.FEW)
@@ -1030,7 +1056,7 @@ def _(spark, folder):
     base = store.bootstrap(
         lambda keep: bootstrap.relations(train, few, keep), lambda found: bootstrap.topr_bootstrap(found, few.r)
     )
-    users = train.select("user_id").distinct().filter("user_id % 5 = 2")
+    users = choose(train, base.popular).select("user_id").distinct()
     rows = users.crossJoin(F.broadcast(base.popular.select("item_id"))).withColumn("rating", F.lit(4.0))
     position = F.row_number().over(W.partitionBy("user_id").orderBy("item_id")).cast("long")
     update.apply_batch(
@@ -1044,6 +1070,27 @@ def _(spark, folder):
     return store.read("recommendations")
 
 
+@query(
+    "refresh_recommendations_exhausted",
+    REC_SPEC,
+    "SELECT * FROM w_long WHERE user_id NOT IN (SELECT user_id FROM asked_w)",
+)
+def _(spark, folder):
+    return exhausted(spark, folder, lambda train, popular: train.filter("user_id % 5 = 2"))
+
+
+@query(
+    "refresh_recommendations_of_raters",
+    REC_SPEC,
+    "SELECT * FROM w_long WHERE user_id NOT IN (SELECT user_id FROM raters_w)",
+)
+def _(spark, folder):
+    """The users are those who rated the most popular item."""
+    return exhausted(
+        spark, folder, lambda train, popular: train.join(popular.orderBy(F.desc("n"), "item_id").limit(1), "item_id", "left_semi")
+    )
+
+
 @query("prequential_eval", "arrival:l user_id:l item_id:l rating:d mean:d pred:d",
        "SELECT arrival - 1 AS arrival, user_id, item_id, rating, mean, pred FROM predictions")
 def _(spark, folder):

@@ -303,10 +303,18 @@ CTES["test_y"] = f"""
     SELECT user_id, item_id, rating, ts, arrival FROM rest_rows
     QUALIFY row_number() OVER (ORDER BY arrival) <= {TAIL}"""
 follow("u", "y", "test_y", 1, TAIL)
+# The ratings of all users and items that the last rows do not hold, and then those rows.
+CTES["early_n"] = """
+    SELECT user_id, item_id, rating, ts FROM train
+    WHERE user_id NOT IN (SELECT user_id FROM test) AND item_id NOT IN (SELECT item_id FROM test)"""
+chain("k", "early_n")
+follow("q", "k", "test", 1, TAIL)
 # A state with few popular items.
 FEW = 2
 chain("w", "train", popular=FEW)
 CTES["w_long"] = top_recs("w_scored", R)
+CTES["raters_w"] = """
+    SELECT DISTINCT user_id FROM train WHERE item_id = (SELECT item_id FROM w_pop ORDER BY n DESC, item_id LIMIT 1)"""
 CTES["asked_w"] = "SELECT DISTINCT user_id FROM train WHERE user_id % 5 = 2"
 # Trust on the votes but the last ones.
 T_FADE = f"-2 * {TRUST_ALPHA}"
