@@ -8,11 +8,12 @@ from driftsim.session import durable
 
 #: The kinds of personal data, in order, and their patterns. Loops are
 #: possessive where what follows cannot be part of them: the matches are the same, and no
-#: text makes the matcher go back over it. An e-mail begins where a run of its letters does.
+#: text makes the matcher go back over it. An e-mail begins where a run of its letters does,
+#: an address where a run of digits does.
 KINDS = ("email", "ip", "card", "phone")
 PATTERNS = {
     "email": r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++",
-    "ip": r"[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)",
+    "ip": r"(?<![0-9])[0-9]++(?:\.[0-9]++)(?:\.[0-9]++)(?:\.[0-9]++)",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
@@ -25,22 +26,66 @@ WORD = r"\p{L}[\p{L}\p{M}]++"
 SUPPORT, SHARE, BITS = 3, 0.5, 4.0
 
 
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: Numbers of one part of a running total.
+PART = 256
+
+
+def _running(values: Column, combine) -> Column:
+    """array<int>: for each value the total of those before it, 0 for the first.
+
+    ``combine`` adds or takes the larger; values are not negative. Parts have their own
+    totals, which are carried over from part to part, so that arrays that grow one by one
+    stay short.
+    """
+    none = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("found"))
+
+    def step(state: Column, value: Column) -> Column:
+        return F.struct(combine(state["at"], value).alias("at"), F.concat(state["found"], F.array(state["at"])).alias("found"))
+
+    def carried(parts: Column) -> Column:
+        before = F.aggregate(F.transform(parts, lambda p: p["at"]), none, step, lambda state: state["found"])
+        return F.flatten(
+            F.transform(
+                F.arrays_zip(parts.alias("part"), before.alias("before")),
+                lambda z: F.transform(z["part"]["found"], lambda x: combine(z["before"], x)),
+            )
+        )
+
+    def body(values: Column) -> Column:
+        number = F.floor((F.size(values) - 1) / PART).cast("int")
+        begins = F.transform(F.sequence(F.lit(0), F.greatest(number, F.lit(0))), lambda n: n * PART + 1)
+        return _let(F.transform(begins, lambda begin: F.aggregate(F.slice(values, begin, F.lit(PART)), none, step)), carried)
+
+    return _let(values, body)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return a + b
+
+
 def _matches(text: Column, pattern: str) -> Column:
     """array<(start, end, value)> of the leftmost non-overlapping matches, in code points.
 
     The texts between matches and the matches take turns; their lengths add up to places.
     """
     gaps, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    empty = F.array().cast("array<struct<start:int,end:int,value:string>>")
 
-    def step(acc: Column, pair: Column) -> Column:
-        start = acc["at"] + F.length(pair["gaps"])
-        end = start + F.length(pair["hits"])
-        one = F.array(F.struct(start.alias("start"), end.alias("end"), pair["hits"].alias("value")))
-        return F.struct(end.alias("at"), F.concat(acc["found"], one).alias("found"))
+    def placed(pairs: Column) -> Column:
+        at = _running(F.transform(pairs, lambda p: F.length(p["gap"]) + F.length(p["hit"])), _sum)
+
+        def place(z: Column) -> Column:
+            start = z["at"] + F.length(z["pair"]["gap"])
+            end = start + F.length(z["pair"]["hit"])
+            return F.struct(start.alias("start"), end.alias("end"), z["pair"]["hit"].alias("value"))
+
+        return F.transform(F.arrays_zip(pairs.alias("pair"), at.alias("at")), place)
 
-    pairs = F.arrays_zip(F.slice(gaps, 1, F.size(hits)).alias("gaps"), hits.alias("hits"))
-    return F.aggregate(pairs, F.struct(F.lit(0).alias("at"), empty.alias("found")), step, lambda acc: acc["found"])
+    return _let(_let(hits, lambda found: F.arrays_zip(F.slice(gaps, 1, F.size(found)).alias("gap"), found.alias("hit"))), placed)
 
 
 def _digits(value: Column) -> Column:
@@ -94,16 +139,31 @@ def _spans_of(kind: str, text: Column) -> Column:
 
 
 def _merged(spans: Column) -> Column:
-    """array<(start, end)>: the places under any span, overlapping ones as one, in order."""
+    """array<(start, end)>: the places under any span, overlapping ones as one, in order.
+
+    A span that starts where all before it have ended begins a new place, which ends where
+    the last of those before the next one does.
+    """
     plain = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
 
-    def step(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"))
-        joins = (F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > s["start"])
-        return F.when(joins, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider))).otherwise(F.concat(acc, F.array(s)))
+    def merged(spans: Column) -> Column:
+        before = _running(F.transform(spans, lambda s: s["end"]), F.greatest)
+        rows = F.arrays_zip(spans.alias("span"), before.alias("before"))
+        begins = F.filter(rows, lambda r: (r["before"] <= r["span"]["start"]))
+        last = F.array_max(F.transform(spans, lambda s: s["end"]))
+
+        def place(pair: Column) -> Column:
+            return F.struct(pair["begin"]["span"]["start"].alias("start"), F.coalesce(pair["next"]["before"], pair["last"]).alias("end"))
+
+        def paired(begins: Column) -> Column:
+            following = F.slice(begins, F.lit(2), F.greatest(F.size(begins) - 1, F.lit(0)))
+            return F.transform(
+                F.arrays_zip(begins.alias("begin"), following.alias("next"), F.array_repeat(last, F.size(begins)).alias("last")), place
+            )
+
+        return F.when(F.size(spans) > 0, _let(begins, paired)).otherwise(F.array().cast("array<struct<start:int,end:int>>"))
 
-    return F.aggregate(plain, F.array().cast("array<struct<start:int,end:int>>"), step)
+    return _let(plain, merged)
 
 
 def _blanks(n: Column) -> Column:

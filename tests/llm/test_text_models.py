@@ -3,12 +3,14 @@
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from driftsim.llm import decontamination, embedding_dedup, language_id, lm_scoring, packing, pii
@@ -389,3 +391,34 @@ def test_scores_of_long_words(spark):
     assert all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows.values())
     assert rows[0].n_tokens == 5 and rows[9].n_tokens == 2
     assert rows[0].score < rows[9].score < -1000
+
+
+def test_many_and_long_matches_in_one_text(spark):
+    """Long runs of digits, and many addresses, take time in proportion to their length."""
+    texts = ["7" * 300_000 + " 1.5 " + "8" * 300_000 + ".1.2.3", "12.3.4.5.6.7.8.9.10 1.2.3 " * 300, "a@b.c 10.0.0.1, " * 3000, "x"]
+    docs = table(spark, texts).repartition(4)
+    began = time.time()
+    got = {r.document.doc_id: r for r in pii.find_personal_data(docs).collect()}
+    assert time.time() - began < 100
+    for n, text in enumerate(texts):
+        want = [("email", m) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+", text if "@" in text else "")]
+        want += [("ip", m) for m in re.finditer(r"(?<![0-9])[0-9]+(?:\.[0-9]+){3}", text) if all(int(p[-4:]) <= 255 and len(p.lstrip("0")) < 4 for p in m[0].split("."))]
+        found = [(s.kind, s.start, s.end) for s in got[n].base if s.kind in ("email", "ip")]
+        assert found == [(k, *m.span()) for k, m in want]
+
+
+def test_merged_places(spark):
+    rng = random.Random(4)
+    rows = []
+    for n in range(60):
+        spans = [(a, a + rng.randint(1, 12)) for a in (rng.randrange(0, 4000) for _ in range(rng.choice([0, 1, 5, 300, 700])))]
+        rows.append((n, spans))
+    frame = spark.createDataFrame(rows, "n long, spans array<struct<start:int,end:int>>")
+    for r in frame.select("n", "spans", pii._merged(F.col("spans")).alias("places")).collect():
+        want = []
+        for a, b in sorted(map(tuple, r.spans)):
+            if want and a < want[-1][1]:
+                want[-1][1] = max(want[-1][1], b)
+            else:
+                want.append([a, b])
+        assert [[p.start, p.end] for p in r.places] == want
