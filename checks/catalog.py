@@ -1131,6 +1131,21 @@ def _(spark, folder):
     return streamed(spark, folder).log("metrics").withColumn("took", F.col("seconds") >= 0)
 
 
+TIMES = ("triggerExecution", "latestOffset", "addBatch", "walCommit", "commitOffsets")
+
+
+@query(
+    "batch_progress",
+    "epoch:l messages:l step:s took:s",
+    f"""SELECT epoch, 1 AS messages, step, 'true' AS took
+        FROM (SELECT unnest([0, 1]) AS epoch) CROSS JOIN (SELECT unnest({list(TIMES)}) AS step)""",
+)
+def _(spark, folder):
+    """Spark's own times of the triggers of two batches; a trigger has one message."""
+    rows = streamed(spark, folder).log("progress").select("epoch", F.col("rows").alias("messages"), F.explode("times").alias("step", "ms"))
+    return rows.filter(F.col("step").isin(*TIMES)).withColumn("took", F.col("ms") >= 0)
+
+
 @query(
     "batch_view_similarity",
     "batch:l view_similarity:d",

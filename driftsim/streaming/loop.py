@@ -1,6 +1,7 @@
 """The serving loop: per micro-batch predict, recommend, then update the state."""
 
 import time
+import uuid
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -10,8 +11,10 @@ from driftsim.plans.update import apply_batch, small_profiles, small_rows
 from driftsim.session import calm_session, durable, held, hold, local, scratch_path
 from driftsim.sources.files import parse_columnar_json, recommendation_messages
 from driftsim.sources.state import StateStore, stored_form
+from driftsim.streaming.progress import Progress
 from driftsim.streaming.replay import in_order, microbatch_source, run_to_end
 
+PROGRESS = "epoch long, rows long, times map<string, long>"
 METRICS = "batch long, phase string, started double, ended double, seconds double, rows long"
 
 
@@ -163,10 +166,28 @@ class Steps:
 def run_loop(
     store: StateStore, folder: str, settings: Settings, cutoffs: list[int], checkpoint: str | None = None, **options
 ) -> None:
-    """Apply every message file below ``folder`` to the state."""
-    checkpoint = checkpoint or scratch_path(store.spark, "stream")
+    """Apply every message below ``folder`` to the state.
+
+    Afterwards the log ``progress`` has Spark's own times of every trigger of the run.
+    """
+    spark = store.spark
+    checkpoint = checkpoint or scratch_path(spark, "stream")
     loop = Loop(store, settings, cutoffs, checkpoint, **options)
-    run_to_end(microbatch_source(store.spark, folder), in_order(store.spark, folder, loop), checkpoint)
+    handled = set()
+
+    def handle(messages: DataFrame, epoch: int) -> None:
+        loop(messages, epoch)
+        handled.add(epoch)
+
+    progress = Progress(f"loop-{uuid.uuid4().hex}")
+    spark.streams.addListener(progress)
+    try:
+        run_to_end(microbatch_source(spark, folder), in_order(spark, folder, handle), checkpoint, progress.name)
+        progress.wait_for(handled)
+    finally:
+        spark.streams.removeListener(progress)
+    if progress.found:
+        store.append_log(store.last()[0], "progress", calm_session(spark).createDataFrame(progress.rows(), PROGRESS))
 
 
 def run_report(store: StateStore) -> DataFrame:

@@ -99,9 +99,10 @@ def in_order(spark: SparkSession, folder: str, handle):
     return run
 
 
-def run_to_end(stream: DataFrame, handle, checkpoint: str) -> list[dict]:
+def run_to_end(stream: DataFrame, handle, checkpoint: str, name: str | None = None) -> list[dict]:
     """Process what the source holds, batch by batch, and return Spark's progress reports."""
-    query = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint).start()
+    writer = stream.writeStream.foreachBatch(handle).option("checkpointLocation", checkpoint)
+    query = (writer.queryName(name) if name else writer).start()
     try:
         query.processAllAvailable()
         # Rows that came with the last trigger are committed before the source is asked again.
