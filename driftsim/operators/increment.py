@@ -5,10 +5,10 @@ the micro-batch size, and everything looked up for it stays within the items and
 it touches.
 """
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from driftsim.functions.scoring import decay, pair_similarity
-from driftsim.operators.ordering import positions
+from driftsim.operators.ordering import positions, top_per_key
 from driftsim.operators.keys import lookup, present
 from driftsim.operators.pairs import canonical_pair, mirror_pairs, topk_neighbors, with_zero_fill
 from driftsim.session import durable
@@ -67,10 +67,24 @@ def two_hop(first: DataFrame, neighbors: DataFrame) -> DataFrame:
     return first.join(step, "candidate_id").select("fresh_id", F.col("next_id").alias("candidate_id")).distinct()
 
 
+def draw_of(seed: int, batch: Column) -> Column:
+    """The hash by which an item is drawn in a batch."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), batch.cast("string"), F.col("item_id").cast("string")))
+
+
 def drawn(known: DataFrame, n: int, seed: int, batch: int = 0) -> DataFrame:
     """The n known items (item_id, draw) with the lowest hash; the same for the same seed and batch."""
-    draw = F.md5(F.concat_ws(":", F.lit(str(seed)), F.lit(str(batch)), F.col("item_id").cast("string")))
-    return known.select("item_id", draw.alias("draw")).orderBy("draw", "item_id").limit(n)
+    return known.select("item_id", draw_of(seed, F.lit(batch)).alias("draw")).orderBy("draw", "item_id").limit(n)
+
+
+def drawn_ahead(known: DataFrame, n: int, seed: int, first: int, last: int) -> DataFrame:
+    """(version, item_id, draw): the same for every batch from ``first`` to ``last``, in one pass.
+
+    Every map task keeps no more than n items of a batch.
+    """
+    rows = known.select("item_id", F.explode(F.sequence(F.lit(first), F.lit(last))).alias("version"))
+    rows = rows.withColumn("draw", draw_of(seed, F.col("version")))
+    return top_per_key(rows, "version", [F.col("draw"), F.col("item_id")], n).drop("rank")
 
 
 def deal(items: DataFrame, pool: DataFrame, k: int, count: int, size: int | None = None) -> DataFrame:

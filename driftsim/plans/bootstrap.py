@@ -5,7 +5,7 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark.sql import DataFrame
 
-from driftsim.operators import keys, pairs, prepare, recommend, stats
+from driftsim.operators import increment, keys, pairs, prepare, recommend, stats
 from driftsim.operators.ordering import group_sizes
 from driftsim.schemas import STATE
 from driftsim.session import Held, among, durable, hold
@@ -47,9 +47,9 @@ class Relations:
         """The stored sums of a few (item_i, item_j)."""
         return hold(keys.lookup(self.pair_info, wanted.frame, ["item_i", "item_j"]))
 
-    def item_ids(self) -> DataFrame:
-        """(item_id) of all known items; one may come twice."""
-        return self.item_info.select("item_id")
+    def candidates(self, n: int, seed: int, batch: int) -> DataFrame:
+        """(item_id) of known items, with the n first drawn in a batch among them."""
+        return increment.drawn(self.item_info, n, seed, batch).select("item_id")
 
 
 def similarity_bootstrap(ratings: DataFrame, settings: Settings) -> DataFrame:

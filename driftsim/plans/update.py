@@ -108,7 +108,7 @@ def _apply_small(base, batch_table, settings, batch, batch_rows, contain_duplica
     if len(listed):
         # The batch's own new items can be drawn as well.
         n = k * len(listed)
-        known = local(increment.drawn(base.item_ids(), 2 * n, settings.seed, batch)).select("item_id")
+        known = local(base.candidates(n, settings.seed, batch))
         known = hold(increment.drawn(known.unionByName(item_rows).distinct(), n, settings.seed, batch))
         pool = pool.unionByName(increment.deal(id_frame(spark, "item_id", listed), known.frame, k, len(listed), known.table.num_rows))
     pool = hold(pool.distinct())

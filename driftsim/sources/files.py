@@ -23,9 +23,18 @@ def ingest_delimited(spark: SparkSession, source: str, target: str, sep: str = "
     return scan_ratings(spark, target)
 
 
-def scan_block_log(spark: SparkSession, path: str) -> DataFrame:
+def read_lines(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
+    """(value) of every line. Spark's text reader knows UTF-8 only; the csv reader knows others."""
+    if encoding.upper() in ("UTF-8", "UTF8"):
+        return spark.read.text(path)
+    reader = spark.read.schema("value string").option("encoding", encoding)
+    # One column: no quotes, no escapes, and a separator that no line has.
+    return reader.option("sep", "\u0001").option("quote", "").option("escape", "").option("maxCharsPerColumn", -1).csv(path)
+
+
+def scan_block_log(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
     """Votes from a log where a ``U`` line names the electee of the ``V`` lines after it."""
-    lines = spark.read.text(path).select(
+    lines = read_lines(spark, path, encoding).select(
         "value",
         F.col("_metadata.file_path").alias("file"),
         F.col("_metadata.file_block_start").alias("start"),
@@ -46,9 +55,9 @@ def scan_block_log(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def ingest_block_log(spark: SparkSession, source: str, target: str) -> DataFrame:
+def ingest_block_log(spark: SparkSession, source: str, target: str, encoding: str = "UTF-8") -> DataFrame:
     """Sort the votes of a block log by time and write them as csv."""
-    votes = scan_block_log(spark, source)
+    votes = scan_block_log(spark, source, encoding)
     votes.orderBy("ts", "electee_id", "voter_id", "vote").write.csv(target)
     return scan_ratings(spark, target, VOTES)
 

@@ -21,6 +21,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
+from driftsim.operators import increment
 from driftsim.operators.keys import lookup
 from driftsim.operators.pairs import ranked_list, unranked
 from driftsim.plans.bootstrap import Relations
@@ -59,6 +60,8 @@ class StoredRelations(Relations):
 
     store: StateStore | None = None
     head: Head | None = None
+    #: How many items of each batch were drawn with the base, if any were.
+    drawn_ahead: int = 0
 
     def find(self, name: str, wanted: DataFrame, on: list[str]) -> DataFrame:
         return self.store.find(name, wanted, on, self.head)
@@ -72,8 +75,8 @@ class StoredRelations(Relations):
     def hold_pairs(self, wanted: Held) -> Held:
         return self.store.hold("pair_info", wanted.ids("item_i"), self.head, wanted)
 
-    def item_ids(self) -> DataFrame:
-        return self.store.item_ids(self.head)
+    def candidates(self, n: int, seed: int, batch: int) -> DataFrame:
+        return self.store.candidates(n, seed, batch, self.head, self.drawn_ahead)
 
 
 class StateStore:
@@ -120,7 +123,7 @@ class StateStore:
         due = self._expired(old.retired, now)
         retired = [r for r in old.retired if r not in due]
         if version == base:
-            gone = [f"{name}/v={old.base}" for name in self.layout if old.base >= 0] + [f"changes/v={v}" for v, _ in old.changes]
+            gone = [f"{name}/v={old.base}" for name in (*self.layout, "draws") if old.base >= 0] + [f"changes/v={v}" for v, _ in old.changes]
             head = Head(version, base, self.buckets, [], retired + [[path, now] for path in gone], streams)
         else:
             rows = self._rows.pop(version, None)
@@ -142,8 +145,8 @@ class StateStore:
     def sweep(self) -> None:
         """Delete bases and changes that no commit names, left by work that was cut short."""
         head = self._head()
-        named = {path for path, _ in head.retired} | {f"{name}/v={head.base}" for name in self.layout} | {f"changes/v={v}" for v, _ in head.changes}
-        for parent in (*self.layout, "changes"):
+        named = {path for path, _ in head.retired} | {f"{name}/v={head.base}" for name in (*self.layout, "draws")} | {f"changes/v={v}" for v, _ in head.changes}
+        for parent in (*self.layout, "draws", "changes"):
             for name in folders.names(self.spark, f"{self.folder}/{parent}"):
                 if f"{parent}/{name}" not in named:
                     folders.delete(self.spark, f"{self.folder}/{parent}/{name}")
@@ -276,13 +279,36 @@ class StateStore:
             found.append(F.col("bucket").isin([_NONE, *sorted({r.bucket for r in numbers})]))
         return found
 
-    def item_ids(self, head: Head | None = None) -> DataFrame:
-        """(item_id) of all known items; a changed one may come twice."""
+    def draw_ahead(self, n: int, seed: int, versions: int) -> None:
+        """Draw the n first items of each of the next ``versions`` out of the base's, once for a base.
+
+        The base never changes and draws go by hash, so whoever draws gets the same.
+        """
+        head = self._head()
+        path = self._draws(head, n, seed)
+        if not folders.exists(self.spark, f"{path}/_SUCCESS"):
+            rows = increment.drawn_ahead(self._base("item_info", head.base), n, seed, head.base + 1, head.base + versions)
+            rows.write.mode("overwrite").partitionBy("version").parquet(path)
+
+    def _draws(self, head: Head, n: int, seed: int) -> str:
+        return f"{self.folder}/draws/v={head.base}/of={seed}x{n}"
+
+    def candidates(self, n: int, seed: int, batch: int, head: Head | None = None, ahead: int = 0) -> DataFrame:
+        """(item_id) of known items, with the n first drawn in a batch among them; one may come twice.
+
+        Those drawn ``ahead`` for the batch and all items changed since are enough;
+        without them the items of the base are scanned.
+        """
         head = head or self._head()
-        base = self._base("item_info", head.base).select("item_id")
-        return base.unionByName(self._changed_rows("item_info", head).select("item_id")) if head.changes else base
+        path = f"{self._draws(head, ahead, seed)}/version={batch}"
+        if n <= ahead and folders.exists(self.spark, path):
+            drawn = self.spark.read.schema("item_id long, draw string").parquet(path).orderBy("draw", "item_id").limit(n)
+        else:
+            drawn = increment.drawn(self._base("item_info", head.base), n, seed, batch)
+        drawn = drawn.select("item_id")
+        return drawn.unionByName(self._changed_rows("item_info", head).select("item_id")) if head.changes else drawn
 
-    def relations(self, whole: bool = True) -> Relations:
+    def relations(self, whole: bool = True, drawn_ahead: int = 0) -> Relations:
         """The relations as of the last commit.
 
         Without ``whole`` only the popular items are there as a frame; the others can be
@@ -290,7 +316,7 @@ class StateStore:
         """
         head = self._head()
         found = {name: _flat(name, self._stored(name, head)) if whole or name == "popular" else None for name in STATE}
-        return StoredRelations(**found, store=self, head=head)
+        return StoredRelations(**found, store=self, head=head, drawn_ahead=drawn_ahead)
 
     def load(self, k: int) -> Relations:
         """The stored relations with only the first ``k`` neighbours of each item."""

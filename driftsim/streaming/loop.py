@@ -67,7 +67,10 @@ class Loop:
         most = small_rows(self.settings)
         few = rows.limit(most + 1).toArrow()
         small = few.num_rows <= most
-        base = store.relations(whole=not small or self.ignore_new)
+        ahead = most * self.settings.k if small else 0
+        if small:
+            store.draw_ahead(ahead, self.settings.seed, self.compact_every)
+        base = store.relations(not small or self.ignore_new, ahead)
         if small:
             few, steps.rows = held(store.spark, few), few.num_rows
             rows = few.frame

@@ -2,15 +2,16 @@
 
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from driftsim.operators import prepare
+from driftsim.operators import increment, prepare
 from driftsim.operators.ordering import positions
 from driftsim.plans import bootstrap, update
 from driftsim.plans.bootstrap import Settings
 from driftsim.schemas import RATINGS, STATE
-from driftsim.session import durable
+from driftsim.session import distinct_ids, durable
 from driftsim.sources import files, folders, views
 from driftsim.sources.state import StateStore
 from driftsim.streaming import loop, replay
@@ -157,14 +158,14 @@ def test_batches_take_few_jobs_and_leave_no_versions(spark, split, tmp_path):
             super().__call__(messages, epoch)
             if store.last()[1] == compacted:
                 jobs.append(job_count(spark) - before)
-            kept = [n for part in (*STATE, "changes", "commits") for n in folders.names(spark, f"{store.folder}/{part}")]
+            kept = [n for part in (*STATE, "changes", "draws", "commits") for n in folders.names(spark, f"{store.folder}/{part}")]
             sizes.append(len(kept))
 
     handle = Counted(store, SETTINGS, [2, 4], "s", compact_every=2, most_repeats=3)
     replay.run_to_end(replay.microbatch_source(spark, staged), replay.in_order(spark, staged, handle), str(tmp_path / "point"))
     assert len(sizes) == 4 and max(jobs) <= 40
-    # One base of each relation, the changes since, and the last commits.
-    assert max(sizes) <= len(STATE) + 2 + 3
+    # One base of each relation, the changes and draws since, and the last commits.
+    assert max(sizes) <= len(STATE) + 2 + 1 + 3
     same_in_one = new_store(spark, train, tmp_path / "one", buckets=2)
     loop.run_loop(same_in_one, staged, SETTINGS, [2, 4], str(tmp_path / "point2"), most_repeats=3)
     # Draws go by the version, and a compaction is one, so only these must be equal.
@@ -175,6 +176,30 @@ def test_batches_take_few_jobs_and_leave_no_versions(spark, split, tmp_path):
     assert turns.agg(F.max("n")).first()[0] <= 3
 
 
+def test_draws_need_no_scan_of_the_catalogue(spark, split, tmp_path):
+    store = new_store(spark, split[0], tmp_path / "s", buckets=2)
+    store.write(1, "item_info", store.read("item_info").limit(2).withColumn("item_id", F.col("item_id") + 5000))
+    store.write(1, "popular", store.read("popular"))
+    store.draw_ahead(6, SETTINGS.seed, 4)
+    store.commit(1, 0)
+    base = store.relations(drawn_ahead=6)
+    for batch, n in ((2, 6), (4, 3), (2, 7), (9, 2)):
+        found = base.candidates(n, SETTINGS.seed, batch)
+        opened = found.inputFiles()
+        assert any("/item_info/" in f for f in opened) == (n > 6 or batch > 4)
+        want = increment.drawn(store.read("item_info"), n, SETTINGS.seed, batch)
+        assert bag(increment.drawn(found.distinct(), n, SETTINGS.seed, batch)) == bag(want)
+
+
+def test_few_keys_are_a_filter_of_the_scan(spark, split, tmp_path):
+    store = new_store(spark, split[0], tmp_path / "s", buckets=4)
+    ids = store.read("item_info").select("item_id").limit(12).collect()
+    rows = store.rows_of("item_info", distinct_ids(np.array([r.item_id for r in ids])))
+    plan = rows._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[[^\]]*In\(item_id", plan) and re.search(r"PartitionFilters: \[[^\]]*bucket#\d+ IN", plan)
+    assert rows.count() == 12
+
+
 def test_deletion_cut_short_is_taken_up_again(spark, tmp_path, monkeypatch):
     store = small_store(spark, tmp_path / "s")
     store.keep_seconds = 0
@@ -288,6 +313,15 @@ def test_block_log_across_splits(spark, tmp_path):
     assert len(rows) == 202 and all(r[0] == 31 for r in rows[2:])
 
 
+def test_block_log_in_latin_1(spark, tmp_path):
+    text = 'U\t30\tJos\u00e9 "x"\nV\t1\t7\t2004-09-21 01:15:53\t\u00fc\u00df\n\nU\t31\t\u00e9\nV\t-1\t8\t2004-09-21 01:16:53\t\u00e9,"\n'
+    (tmp_path / "log.txt").write_bytes(text.encode("latin-1"))
+    lines = sorted(r.value for r in files.read_lines(spark, str(tmp_path / "log.txt"), "ISO-8859-1").collect())
+    assert lines == sorted(x for x in text.split("\n") if x)
+    got = files.ingest_block_log(spark, str(tmp_path / "log.txt"), str(tmp_path / "out"), "ISO-8859-1")
+    assert sorted(map(tuple, got.collect())) == [(30, 7, 1.0, 1095729353), (31, 8, -1.0, 1095729413)]
+
+
 def test_message_formats(spark):
     text = '{"user":{"0":1,"1":2},"item":{"0":10,"1":20},"rating":{"0":4.0,"1":3.5},"unixtimestamp":{"0":100,"1":200}}'
     got = files.parse_columnar_json(spark.createDataFrame([(text,)], "value string"))
