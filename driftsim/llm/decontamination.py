@@ -10,12 +10,15 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from driftsim.llm.text import ALNUM, LOWER, Words, column_at, find_words, slices, text_buffer, trimmed, word_hashes
+from driftsim.session import durable
 
 WINDOW = 13
 #: Every so many places of a shard keep their suffix position.
 SAMPLE = 8
 #: Text bytes of one shard, and items and bytes of the benchmark that one pass carries.
 SHARD_BYTES, BLOCK_ITEMS, BLOCK_BYTES = 4 << 20, 50_000, 16 << 20
+#: Passes over the documents after which what they found is written.
+WRITTEN = 4
 
 
 class WaveletMatrix:
@@ -239,6 +242,9 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     ``items`` are the item_ids, as sorted text, that have an occurring window: rows of one
     item_id count as one item, a null item_id as the item ''. Null and empty texts have no
     words. ``document`` is the input row as a struct, so columns of any name pass through.
+    Repeated rows get equal results. A very long text is a shard of its own, with memory in
+    proportion to it. After every WRITTEN blocks the rows found so far are written, so that
+    no plan carries all blocks of a large benchmark.
     """
     known = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item"), "text").filter("text is not null")
     n, size = known.agg(F.count("*"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()
@@ -253,6 +259,8 @@ def benchmark_hits(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = known.filter(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == block).orderBy("item", "text").collect()
         wanted = phrases([r["item"] for r in rows], [r["text"] for r in rows])
         found = _add_block(found, wanted or Phrases(np.zeros(1, np.uint64), {1: (np.zeros((0, 1), np.int64), np.zeros(0, np.int64))}, [], np.zeros(0, np.int64), np.zeros(0, np.int64)))
+        if (block + 1) % WRITTEN == 0 and block + 1 < blocks:
+            found = durable(found)
     return found
 
 

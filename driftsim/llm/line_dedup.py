@@ -22,7 +22,8 @@ def line_dedup(docs: DataFrame, lines: int = LINES) -> DataFrame:
     stays null; an empty text is one empty line; fewer than ``lines`` lines are never
     removed; a document with nothing left gets an empty text. A null doc_id comes before
     all others. Rows with equal doc_id are told apart by their text; a row that is
-    there twice is one document and both rows get the same result.
+    there twice is one document and both rows get the same result. A very long text is one
+    row while it is cut and joined again; its windows are spread like any others.
     """
     whole = docs.select(F.struct("*").alias("document"), F.col("doc_id").alias("id"), F.xxhash64("text").alias("print"))
     keyed = whole.withColumn("all", F.split("document.text", "\n", -1))

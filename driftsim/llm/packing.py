@@ -172,7 +172,8 @@ def pack(docs: DataFrame, length: int = SEQUENCE, tokenizer: str = TOKENIZER) ->
     Returns ``pieces`` with sequence_id and offset. Only the histogram of lengths (at most
     ``length`` rows) comes to the driver and only its plan goes back; each piece finds its
     slot by its rank within its length. An empty table gives no rows. Repeated rows and
-    null doc_ids are documents like any other. Other columns are not used.
+    null doc_ids are documents like any other. Other columns are not used. A very long text
+    is tokenised by itself, and its pieces are rows of their own from then on.
     """
     found = durable(_numbered_pieces(docs, length, tokenizer))
     counts = {r["length"]: r["n"] for r in found.groupBy("length").agg(F.count("*").alias("n")).collect()}

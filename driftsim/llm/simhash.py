@@ -162,6 +162,7 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
     Null and empty texts have fingerprint zero and link like any other. A null doc_id
     takes part and gets the component of its group. Repeated rows are equal fingerprints.
+    A task works through a megabyte of text at once, or through one longer text.
     """
     prints = durable(with_fingerprint(docs.select("doc_id", "text")).select("doc_id", "print"))
     return prints.join(simhash_groups(prints), "print").select(

@@ -158,6 +158,7 @@ def substring_dedup(docs: DataFrame) -> DataFrame:
     space. Windows are judged on the input. A null or empty text has no words. A null
     doc_id is neither smaller nor larger: such a row stays whole and removes nothing.
     Rows of one doc_id do not remove from one another, and equal ones get equal results.
+    A task works through a megabyte of text at once, or through one longer text.
     """
     whole = docs.select(F.struct("*").alias("document"), F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"))
     texts = docs.filter("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("id"), F.xxhash64("text").alias("print"), "text")

@@ -236,7 +236,8 @@ def suffix_dedup(docs: DataFrame) -> DataFrame:
     which need not be whole characters. Matches never cross documents; both places of a
     match go, overlapping ones too, in one document as well. Strings are judged on the
     input. A null text is empty; a null doc_id is a document like any other; rows that are
-    there twice repeat one another.
+    there twice repeat one another. A very long text is cut into blocks by one task, which
+    are sorted in many.
     """
     whole = docs.select(F.struct("*").alias("document"), F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)).alias("id"), F.xxhash64("doc_id", "text").alias("print"))
     texts = docs.filter("text is not null").select(
