@@ -19,31 +19,48 @@ LEAST_SCORE = 0.4
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents without a letter and those whose language is not clear."""
+    """Drop documents without a letter and those whose language is not clear.
+
+    A null or empty text has no letter. Repeated rows share their fate; further columns
+    pass through under any name, here and in the stages below.
+    """
     found = language_id.identify(docs)
     return found.filter((F.col("lang_pred") != language_id.UNKNOWN) & (F.col("score") >= LEAST_SCORE)).select("document.*")
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut passages of three lines that stood before; no document is dropped."""
+    """Cut passages of three lines that stood before; no document is dropped.
+
+    Of equal documents the one of smallest doc_id keeps its lines, the others end up
+    empty; a row that is there twice is one document. A null text stays null.
+    """
     found = line_dedup.line_dedup(docs)
     new = {"text": F.col("kept"), "n_chars": F.length("kept").cast("long")}
     return found.select(*[new.get(c, F.col("document").getField(c)).alias(c) for c in docs.columns])
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document of smallest id of each group of near duplicates."""
+    """Keep the document of smallest id of each group of near duplicates.
+
+    Null and empty texts are one group; of rows that tie, one stays; a null doc_id is last.
+    """
     return simhash.simhash_dedup(docs)
 
 
 def benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents of which a twentieth or more stands in the benchmark."""
+    """Drop documents of which a twentieth or more stands in the benchmark.
+
+    Null and empty texts have no words and stay; repeated rows share their fate.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     return decontamination.benchmark_hits(docs, items).filter(~decontamination.contaminated()).select("document.*")
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Place the documents in training sequences."""
+    """Place the documents in training sequences.
+
+    Null and empty texts are one end token; an empty table gives no rows.
+    """
     return packing.pack(docs)
 
 
