@@ -35,5 +35,5 @@ def test_stages_take_awkward_rows(spark):
 
 def test_entry_has_all_queries():
     assert set(LLM_QUERIES) <= set(__spark_entry__.queries())
-    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op")) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in LLM_QUERIES if n.startswith("op")) == list(range(1, 14))
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
