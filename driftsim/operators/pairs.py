@@ -43,7 +43,7 @@ def pairs_within(
         left = sized.select(*keep, chunk.alias("__row"), every.alias("__column"))
         right = sized.select(*keep, every.alias("__row"), chunk.alias("__column"))
         keys += ["__row", "__column"]
-    tasks = _pair_tasks(df, sizes)
+    tasks = pair_tasks(df, sizes)
     names = [member, *columns]
     left = left.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_i") for c in names))
     right = right.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_j") for c in names))
@@ -58,12 +58,15 @@ def pairs_within(
     )
 
 
-def _pair_tasks(df: DataFrame, sizes: GroupSizes) -> int:
+def pair_tasks(df: DataFrame, sizes: GroupSizes) -> int:
     """Tasks of a pair join. Its input says little about its work, so the pairs are counted in."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return max(base, round(sizes.squares / 2 / PAIR_ROWS))
 
 
+_pair_tasks = pair_tasks
+
+
 def co_rated_pairs(profile: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS) -> DataFrame:
     """For item pairs i < j every user who rated both, with both ratings and timesteps."""
     return _named(pairs_within(profile, "user_id", "item_id", ["rating", "timestep"], sizes, cell_rows))

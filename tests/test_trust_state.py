@@ -66,6 +66,8 @@ def test_batches_equal_the_closed_form(spark, deltas, tmp_path, history, buckets
         assert all(map(close, got, want))
     closed = {(r.voter_i, r.voter_j): r.p for r in trust.pair_products(so_far, SETTINGS.alpha, SETTINGS.batch_rows).collect()}
     assert close(got[2], closed)
+    joined = {(r.voter_i, r.voter_j): r.p for r in trust.pair_products(so_far, SETTINGS.alpha, SETTINGS.batch_rows, mask_bytes=0).collect()}
+    assert close(got[2], joined)
     # A batch handed in again does nothing, and no replaced version is left.
     version = store.last()
     plans.apply_trust_batch(store, deltas.filter("batch = 4"), SETTINGS, "votes", 4)
@@ -78,6 +80,17 @@ def test_batches_equal_the_closed_form(spark, deltas, tmp_path, history, buckets
     assert rounded[0] == rounded[1]
 
 
+def test_masks_of_many_words(spark):
+    """Batches far apart: both ways of counting the later common ones."""
+    rng = random.Random(3)
+    rows = {(rng.choice([0, 1, 61, 62, 63, 123, 124, 186, 300]), rng.randrange(7), rng.randrange(4)): rng.choice([1.0, -1.0]) for _ in range(120)}
+    deltas = spark.createDataFrame([(*k, v) for k, v in rows.items()], "batch long, voter_id long, electee_id long, vote double").persist()
+    want = stepwise(deltas.collect(), 0.1)[2]
+    for size in (trust.MASK_BYTES, 0):
+        got = {(r.voter_i, r.voter_j): r.p for r in trust.pair_products(deltas, 0.1, 50, mask_bytes=size).collect()}
+        assert close(got, want)
+
+
 def test_null_and_empty_batches(spark, tmp_path):
     store = plans.trust_store(spark, str(tmp_path / "s"))
     none = spark.createDataFrame([], "batch long, voter_id long, electee_id long, vote double")
