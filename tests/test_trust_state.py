@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from driftsim.operators import trust
+from driftsim.operators import trust, voter_blocks
 from driftsim.plans import trust as plans
 from driftsim.plans.trust import TrustSettings
 from driftsim.sources import folders
@@ -97,3 +97,38 @@ def test_null_and_empty_batches(spark, tmp_path):
     plans.start_trust(store, none, SETTINGS)
     plans.apply_trust_batch(store, none, SETTINGS)
     assert store.last() == (1, 0) and found(store) == ({}, {}, {})
+
+
+@pytest.mark.parametrize("block", [2, 4, 100])
+def test_blocks_of_voters_equal_the_loop(spark, deltas, block):
+    """Whole lists and products by blocks, with a voter who never voted in a whole batch."""
+    rows = deltas.collect()
+    votes, q, p = stepwise(rows, 0.2)
+    pairs = voter_blocks.block_products(deltas, 0.2, block)
+    assert close({(r.voter_i, r.voter_j): r.p for r in pairs.collect()}, p)
+    voters = deltas.select("voter_id").unionByName(spark.createDataFrame([(77,), (None,)], "voter_id long"))
+    for size in (3, 50):
+        lists = trust.best_of(voter_blocks.block_lists(deltas, voters, 0.2, size, block), size)
+        exact = trust.best_of(voter_blocks.exact_lists(trust.applied_profiles(deltas), voters, size, block), size)
+        dot = lambda a, b: sum(x * votes.get((b, e), 0) for (v, e), x in votes.items() if v == a)
+        plain = [{(r.voter_id, r.neighbor_id): r.sim for r in x.collect()} for x in (lists, exact)]
+        for found, product, norm in ((plain[0], lambda a, b: p.get((min(a, b), max(a, b)), 0), lambda a: q.get(a, 0)), (plain[1], dot, lambda a: dot(a, a))):
+            want = {}
+            for a in [*q, 77]:
+                root = lambda b: math.sqrt(norm(a)) * math.sqrt(norm(b))
+                sims = {b: product(a, b) / root(b) if root(b) else 0.0 for b in [*q, 77] if b != a}
+                want |= {(a, b): sims[b] for b in sorted(sims, key=lambda b: (-round(sims[b], 9), b))[:size]}
+            assert close(found, want)
+
+
+def test_many_voters_are_summed_in_blocks(spark, deltas, monkeypatch):
+    """Where all meet, no pair of votes is made; results are those of the joins."""
+    joined = {(r.voter_i, r.voter_j): r.p for r in trust.pair_products(deltas, 0.2, 12).collect()}
+    lists = [plans.trust_incremental_knn(deltas, SETTINGS, deltas).collect()]
+    monkeypatch.setattr(trust, "BLOCKED", 2)
+    monkeypatch.setattr(trust, "vote_products", None)
+    assert close({(r.voter_i, r.voter_j): r.p for r in trust.pair_products(deltas, 0.2, 12).collect()}, joined)
+    monkeypatch.setattr(voter_blocks, "TABLE_CELLS", 0)
+    lists.append(plans.trust_incremental_knn(deltas, SETTINGS, deltas).collect())
+    a, b = (sorted((r.voter_id, r.neighbor_id, round(r.sim, 9), r["rank"]) for r in x) for x in lists)
+    assert a == b
