@@ -385,6 +385,18 @@ def test_replay_goes_by_number(spark, tmp_path):
     assert seen == [[1], [2], [3]]
 
 
+def test_replay_takes_runs_of_messages(spark, tmp_path):
+    """Several messages a trigger: a folder and a trigger for each run, and every row once, in order."""
+    rows = spark.createDataFrame([(n, n, 1.0, n) for n in range(1, 16)], RATINGS)
+    folder = replay.stage_runs(rows, 2, [F.col(c) for c in ORDER], 3)
+    assert sorted(n for n in folders.names(spark, folder) if "=" in n) == ["run=1", "run=2", "run=3"]
+    out = replay.replay_stream(spark, folder, str(tmp_path / "out"), str(tmp_path / "point"))
+    assert sorted(n for n in folders.names(spark, str(tmp_path / "out")) if "=" in n) == ["epoch=0", "epoch=1", "epoch=2"]
+    # 15 rows in 7 messages, the first of them one row longer.
+    want = [(1, 1, 1), (1, 1, 2), (1, 1, 3), *((b, b, t) for b in range(2, 8) for t in (2 * b, 2 * b + 1))]
+    assert sorted((r.nth, r.batch, r.ts) for r in out.collect()) == want
+
+
 def test_watched_batches_are_listed_once(spark):
     from driftsim.operators import evaluate
 
