@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ SLOTS = 1 << 16
 #: A text with fewer words fails, and one with over so many per cent of its words repeated.
 LEAST_WORDS, MOST_REPEATED = 10, 20
 WINDOW = 5
-#: At most so many labelled rows are learned from; which ones a hash of their ids decides.
-TRUSTED_ROWS = 50_000
+#: So many ids of labelled rows travel at once; more take further passes over the texts.
+TRUSTED_ROWS = 2_000_000
 #: One labelled row of so many sets the threshold; the others are learned from.
 FOLDS = 4
 #: This share of the trusted texts that set the threshold may fall below it.
@@ -142,8 +143,8 @@ def base_failed(figures: dict[str, np.ndarray]) -> np.ndarray:
     return (figures["n_words"] < LEAST_WORDS) | (100 * figures["n_repeat_words"] > MOST_REPEATED * figures["n_words"])
 
 
-def threshold(trusted: DataFrame, ratios: np.ndarray) -> float:
-    """The highest step of the grid that at most BELOW of the trusted texts (``text``) lie under.
+def threshold(trusted: list[DataFrame], ratios: np.ndarray) -> float:
+    """The highest step of the grid that at most BELOW of the trusted texts (``text``) of all frames lie under.
 
     Texts that fail the plain rules have no say. Scores are counted by step, so the
     result is one number whatever way the rows are dealt; without rows it is -infinity.
@@ -158,12 +159,15 @@ def threshold(trusted: DataFrame, ratios: np.ndarray) -> float:
                 yield pa.RecordBatch.from_arrays([pa.array(step), pa.array(n)], ["step", "n"])
 
     # A ratio is within some 50 either way: the steps are bounded however many rows there are.
-    steps = trusted.select("text").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).orderBy("step").collect()
-    room = int(BELOW * sum(r["n"] for r in steps))
-    for r in steps:
-        room -= r["n"]
+    steps = Counter()
+    for part in trusted:
+        for r in part.select("text").mapInArrow(run, "step long, n long").groupBy("step").agg(F.sum("n").alias("n")).collect():
+            steps[r["step"]] += r["n"]
+    room = int(BELOW * steps.total())
+    for step, n in sorted(steps.items()):
+        room -= n
         if room < 0:
-            return r["step"] / GRID
+            return step / GRID
     return -np.inf
 
 
@@ -174,8 +178,7 @@ def rate_quality(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     base_failed, ratio, kept): ``document`` is the input row as a struct, so columns of
     any name pass through. The n-grams of a text are its tokens and pairs of neighbouring
     tokens, hashed into SLOTS; two multinomials over the slots are counted, one over all
-    of ``docs``, one over documents named in ``trusted`` (doc_id), TRUSTED_ROWS of these at
-    most, the same ones every time. ``ratio`` is the
+    of ``docs``, one over all documents named in ``trusted`` (doc_id). ``ratio`` is the
     text's log-likelihood under the second less that under the first, by its number of
     n-grams. ``kept``: the plain rules hold and the ratio reaches ``threshold``, which is
     set on the trusted documents whose crc32(doc_id as text) modulo FOLDS is 0; the
@@ -188,15 +191,17 @@ def rate_quality(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     megabyte of text at once, or through one longer text.
     """
     ids = trusted.select(F.col("doc_id").cast("long").alias("trusted_id")).filter("trusted_id is not null").distinct()
-    ids = durable(ids.orderBy(F.xxhash64("trusted_id"), "trusted_id").limit(TRUSTED_ROWS))
+    ids = durable(ids)
+    parts = max(1, -(-ids.count() // TRUSTED_ROWS))
+    part = F.pmod(F.xxhash64("trusted_id"), F.lit(parts))
     fold = F.crc32(F.col("trusted_id").cast("string").cast("binary")) % FOLDS
     texts = docs.select(F.col("doc_id").cast("long").alias("trusted_id"), "text").filter("text is not null")
 
-    def of(which) -> DataFrame:
-        # No more than TRUSTED_ROWS ids travel, so no text is shuffled to find its label.
-        return texts.join(F.broadcast(ids.filter(which)), "trusted_id", "left_semi")
+    def of(which) -> list[DataFrame]:
+        # About TRUSTED_ROWS ids travel for a pass, so no text is shuffled to find its label.
+        return [texts.join(F.broadcast(ids.filter(which & (part == n))), "trusted_id", "left_semi") for n in range(parts)]
 
-    ratios = log_ratios(ngram_counts(of(fold != 0)), ngram_counts(texts))
+    ratios = log_ratios(sum(map(ngram_counts, of(fold != 0))), ngram_counts(texts))
     least = threshold(of(fold == 0), ratios)
     added = T.StructType.fromDDL(
         "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, ratio double, kept boolean"

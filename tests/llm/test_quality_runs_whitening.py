@@ -187,6 +187,18 @@ def test_rate_quality_against_plain_multinomials(spark):
     assert quality.rate_quality(docs.limit(0), trusted).count() == 0
 
 
+def test_all_trusted_rows_are_learned_from(spark, monkeypatch):
+    """Labels beyond those that travel at once take further passes; none is left out."""
+    rng = random.Random(4)
+    docs = table(spark, [(k, prose(rng, 30, "abcdef" if k < 40 else "uvwxyz")) for k in range(60)])
+    trusted = spark.createDataFrame([(k,) for k in range(40)], "doc_id long")
+    figures = []
+    for rows in (1000, 7):
+        monkeypatch.setattr(quality, "TRUSTED_ROWS", rows)
+        figures.append(sorted((r.document.doc_id, r.ratio, r.kept) for r in quality.rate_quality(docs, trusted).collect()))
+    assert figures[0] == figures[1]
+
+
 # Whitening
 
 VECTORS = T.StructType(
