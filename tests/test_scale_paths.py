@@ -88,6 +88,14 @@ def test_zero_fill_equals_all_zeros(spark, k):
     assert sorted(map(tuple, got.collect())) == sorted(want)
 
 
+def test_asof_join_of_voters_with_few_and_many_votes(spark):
+    """A heavy electee meets voters with few votes by what they bring, others by looking them up."""
+    seen = {(b, v, (3 * b + v) % 3) for b in range(6) for v in range(8)} | {(b, 9, e) for b in range(6) for e in range(3)}
+    deltas = spark.createDataFrame([(*k, float(sum(k) % 3 - 1)) for k in seen], "batch long, voter_id long, electee_id long, vote double")
+    want = bag(trust.asof_profile_join(deltas, 1000))
+    assert want and all(bag(trust.asof_profile_join(deltas, rows)) == want for rows in (5, 6, 17))
+
+
 def test_asof_join_light_and_heavy(spark):
     votes = views.event_votes(spark, FOLDER)
     order = [F.col(c) for c in ("ts", "electee_id", "voter_id", "vote")]
