@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE_BYTES = 1 << 20
+#: Bytes of words that are hashed at once; the steps of a hash take some fifty bytes for each.
+HASH_BYTES = 1 << 18
 
 
 def _byte_set(pattern: bytes) -> np.ndarray:
@@ -143,7 +145,9 @@ def powers(base: int, n: int) -> np.ndarray:
         have = np.full(size, base, np.uint64)
         have[0] = 1
         have = np.multiply.accumulate(have)
-        _powers[base] = have
+        # Kept for the next slice; those of one very long text go with it.
+        if n <= 2 * SLICE_BYTES:
+            _powers[base] = have
     return have[:n]
 
 
@@ -168,8 +172,16 @@ def span_hashes(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, base: in
 
 
 def word_hashes(words: Words) -> np.ndarray:
-    prefix = prefix_sums(_BYTE_VALUES[words.data], _BYTE_BASE)
-    return span_hashes(prefix, words.start, words.end, _BYTE_BASE)
+    """A 64-bit hash of every word, HASH_BYTES of text or one longer word at a time."""
+    out = np.empty(len(words.start), np.uint64)
+    first = 0
+    while first < len(out):
+        base = words.start[first]
+        last = max(first + 1, int(np.searchsorted(words.end, base + HASH_BYTES, "right")))
+        prefix = prefix_sums(_BYTE_VALUES[words.data[base : words.end[last - 1]]], _BYTE_BASE)
+        out[first:last] = span_hashes(prefix, words.start[first:last] - base, words.end[first:last] - base, _BYTE_BASE)
+        first = last
+    return out
 
 
 def byte_values(data: np.ndarray) -> np.ndarray:

@@ -4,16 +4,18 @@ import math
 import random
 import re
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from driftsim.llm import decontamination, embedding_dedup, language_id, lm_scoring, packing, pii
+from driftsim.llm import decontamination, embedding_dedup, language_id, lm_scoring, packing, pii, text
 from tests.llm.helpers import DOCS, awkward, prose, table
 
 
@@ -422,3 +424,27 @@ def test_merged_places(spark):
             else:
                 want.append([a, b])
         assert [[p.start, p.end] for p in r.places] == want
+
+
+def peak_mb(work):
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1] / 1e6
+    finally:
+        tracemalloc.stop()
+
+
+def test_words_are_hashed_piece_by_piece():
+    """Hashes do not depend on the piece a word is in, and a task needs a bounded memory for them."""
+    long = "x" * (3 * text.HASH_BYTES + 5)
+    rows = ["a bc  def", "", None, f"{long} b {long}y {long}", "bc " * 200_000, "def"]
+    words = lm_scoring.words_of(pa.array(rows, pa.string()))
+    spelled = lm_scoring._spell(words, np.arange(len(words.start)))
+    by_word = {}
+    for word, value in zip(spelled, text.word_hashes(words).tolist(), strict=True):
+        assert by_word.setdefault(word, value) == value
+    alone = {w: int(text.word_hashes(lm_scoring.words_of(pa.array([w.decode()])))[0]) for w in by_word}
+    assert by_word == alone and len(set(alone.values())) == len(alone) == 6
+    many = lm_scoring.words_of(pa.array(["some words of a text " * 1000] * 380))  # 8 MB
+    assert peak_mb(lambda: text.word_hashes(many)) < 40
