@@ -28,8 +28,8 @@ class WaveletMatrix:
         self.levels = []
         for level in range(max(1, int(top).bit_length()) - 1, -1, -1):
             one = ((symbols >> level) & 1).astype(bool)
-            zeros = np.zeros(len(symbols) + 1, np.int64)
-            np.cumsum(~one, out=zeros[1:])
+            zeros = np.zeros(len(symbols) + 1, np.int32)
+            np.cumsum(~one, out=zeros[1:], dtype=np.int32)
             self.levels.append((level, zeros))
             symbols = np.concatenate([symbols[~one], symbols[one]])
 

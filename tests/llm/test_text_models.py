@@ -448,3 +448,16 @@ def test_words_are_hashed_piece_by_piece():
     assert by_word == alone and len(set(alone.values())) == len(alone) == 6
     many = lm_scoring.words_of(pa.array(["some words of a text " * 1000] * 380))  # 8 MB
     assert peak_mb(lambda: text.word_hashes(many)) < 40
+
+
+def test_decontamination_memory_of_a_shard():
+    rng = np.random.default_rng(3)
+    vocabulary = np.array([f"word{k}" for k in range(3000)])
+    texts = [" ".join(vocabulary[rng.integers(0, 3000, 500)]) for _ in range(1000)]  # 4 MB
+    wanted = decontamination.phrases([str(k) for k in range(300)], [" ".join(t.split()[:20]) for t in texts[:300]])
+    words = decontamination.words_of(pa.array(texts))
+    found = []
+    assert peak_mb(lambda: found.append(decontamination.occurrences(words, wanted))) < 110
+    start, length, _ = found[0]
+    assert {(int(words.row[s]), int(s - words.first[words.row[s]])) for s in start} >= {(r, k) for r in range(300) for k in range(8)}
+    assert set(length.tolist()) == {13}
