@@ -4,11 +4,14 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from driftsim.functions.scoring import clamp, pair_similarity, rank_key
 from driftsim.operators.ordering import GROUP_ROWS, GroupSizes, group_sizes, positions, top_per_key
+from driftsim.session import durable
 
 # Rows of one group that one side of a pair join may hold.
 CELL_ROWS = 4096
 # Pairs that one task should make.
 PAIR_ROWS = 4_000_000
+# Pairs whose sums one pass leaves on disk; the rows of a shuffle of pairs hardly collapse before it.
+PASS_PAIRS = 50_000_000
 # Rows that a row meets on average, from which on a pair join hashes one side.
 HASHED = 8
 
@@ -20,9 +23,13 @@ def pairs_within(
     columns: list[str],
     sizes: GroupSizes | None = None,
     cell_rows: int = CELL_ROWS,
+    passes: int = 1,
+    nth: int = 0,
 ) -> DataFrame:
     """Pairs (member_i < member_j) that meet in a group, with both rows' ``columns``.
 
+    Of several ``passes`` the ``nth`` makes the pairs whose member_i falls to it by hash.
+
     Columns come out suffixed ``_i`` and ``_j``. ``sizes`` are known bounds of the group
     sizes. A group above ``cell_rows`` is cut into g chunks by member hash; its rows are
     laid out on a g x g grid of cells and joined per (group, cell), so that no task holds
@@ -43,7 +50,9 @@ def pairs_within(
         left = sized.select(*keep, chunk.alias("__row"), every.alias("__column"))
         right = sized.select(*keep, every.alias("__row"), chunk.alias("__column"))
         keys += ["__row", "__column"]
-    tasks = pair_tasks(df, sizes)
+    if passes > 1:
+        left = left.filter(F.pmod(F.xxhash64(member), F.lit(passes)) == nth)
+    tasks = pair_tasks(df, sizes, passes)
     names = [member, *columns]
     left = left.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_i") for c in names))
     right = right.repartition(tasks, *keys).select(*keys, *(F.col(c).alias(f"{c}_j") for c in names))
@@ -58,10 +67,10 @@ def pairs_within(
     )
 
 
-def pair_tasks(df: DataFrame, sizes: GroupSizes) -> int:
+def pair_tasks(df: DataFrame, sizes: GroupSizes, passes: int = 1) -> int:
     """Tasks of a pair join. Its input says little about its work, so the pairs are counted in."""
     base = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return max(base, round(sizes.squares / 2 / PAIR_ROWS))
+    return max(base, round(sizes.squares / 2 / PAIR_ROWS / passes))
 
 
 _pair_tasks = pair_tasks
@@ -93,10 +102,35 @@ def pair_similarities(
 ) -> DataFrame:
     """Similarity of every co-rated pair."""
     rows = unit_ratings(weighted, info).select("user_id", "item_id", "v")
-    pairs = _named(pairs_within(rows, "user_id", "item_id", ["v"], sizes, cell_rows))
+    return _unit_similarities(rows, sizes, cell_rows)
+
+
+def _unit_similarities(rows: DataFrame, sizes, cell_rows, passes: int = 1, nth: int = 0) -> DataFrame:
+    pairs = _named(pairs_within(rows, "user_id", "item_id", ["v"], sizes, cell_rows, passes, nth))
     return pairs.groupBy("item_i", "item_j").agg(_similarity_sum())
 
 
+def nearest_items(
+    weighted: DataFrame, info: DataFrame, k: int, sizes: GroupSizes, pass_pairs: int = PASS_PAIRS, cell_rows: int = CELL_ROWS
+) -> DataFrame:
+    """The k most similar co-rated items of every item.
+
+    More than ``pass_pairs`` pairs are made in passes by their smaller item. Each pair
+    falls to one pass, whole, so the best k of every pass hold the best k of all; a pass
+    leaves these lists only, and what it shuffled is deleted when they are written.
+    """
+    passes = max(1, -(-round(sizes.squares / 2) // pass_pairs))
+    if passes == 1:
+        return topk_neighbors(mirror_pairs(pair_similarities(weighted, info, sizes, cell_rows)), k)
+    rows = durable(unit_ratings(weighted, info).select("user_id", "item_id", "v"), last_use=True)
+    found = None
+    for nth in range(passes):
+        sims = _unit_similarities(rows, sizes, cell_rows, passes, nth)
+        part = durable(topk_neighbors(mirror_pairs(sims), k).drop("rank"), last_use=True)
+        found = part if found is None else found.unionByName(part)
+    return topk_neighbors(found, k)
+
+
 def pair_info_with_similarity(
     weighted: DataFrame, info: DataFrame, sizes: GroupSizes | None = None, cell_rows: int = CELL_ROWS
 ) -> DataFrame:

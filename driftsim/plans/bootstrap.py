@@ -62,8 +62,7 @@ def similarity_bootstrap(ratings: DataFrame, settings: Settings) -> DataFrame:
     weighted = durable(stats.weighted_ratings(profile, settings.alpha, sizes.largest))
     # Written, so that a hot item is a skewed join of two tables, which Spark can split.
     info = durable(stats.item_info(weighted))
-    sims = pairs.pair_similarities(weighted, info, sizes)
-    return pairs.topk_neighbors(pairs.mirror_pairs(sims), settings.k)
+    return pairs.nearest_items(weighted, info, settings.k, sizes)
 
 
 def relations(ratings: DataFrame, settings: Settings, keep=lambda name, df: durable(df)) -> Relations:

@@ -1,6 +1,8 @@
 """The routes taken for hot keys and large tables give what the plain routes give."""
 
 import random
+import time
+from pathlib import Path
 
 import numpy as np
 import pytest
@@ -9,6 +11,7 @@ from pyspark.sql import Window as W, functions as F
 from driftsim.operators import pairs, prepare, recommend, stats, trust
 from driftsim.operators.ordering import GroupSizes, group_sizes, positions
 from driftsim.schemas import RATINGS
+from driftsim.session import durable
 from driftsim.sources import views
 
 FOLDER = "/root/testdata/sf0.001"
@@ -187,3 +190,29 @@ def test_cap_repeats_keeps_first_rows(ratings):
     assert most == 2
     rank = F.row_number().over(W.partitionBy("user_id", "item_id").orderBy("arrival"))
     assert bag(kept) == bag(log.withColumn("o", rank).filter("o <= 2").drop("o"))
+
+
+def shuffled_files(spark):
+    folders = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()
+    return {f.name for folder in folders for f in Path(folder).rglob("shuffle_*.data")}
+
+
+def test_neighbours_in_passes(spark):
+    """Passes give the lists of one pass, and what one shuffles is gone when its lists are written."""
+    rows = spark.range(3000).selectExpr("id % 40 as user_id", "pmod(hash(id), 60) as item_id", "pmod(hash(id, 1), 9) - 4.0 as x")
+    weighted = durable(rows.groupBy("user_id", F.col("item_id").cast("long")).agg(F.min("x").cast("double").alias("x"), F.lit(0.1).alias("we")))
+    info = durable(stats.item_info(weighted))
+    sizes = group_sizes(weighted, ["user_id"])
+    want = [tuple(r) for r in pairs.nearest_items(weighted, info, 5, sizes).orderBy("item_id", "rank").collect()]
+    assert len(want) == 60 * 5
+    for cell_rows in (pairs.CELL_ROWS, 7):
+        left = shuffled_files(spark)
+        in_passes = pairs.nearest_items(weighted, info, 5, sizes, pass_pairs=round(sizes.squares / 2 / 6), cell_rows=cell_rows)
+        for _ in range(50):
+            if not shuffled_files(spark) - left:
+                break
+            time.sleep(0.1)
+        assert not shuffled_files(spark) - left
+        got = [tuple(r) for r in in_passes.orderBy("item_id", "rank").collect()]
+        assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+        assert max(abs(x[2] - y[2]) for x, y in zip(got, want, strict=True)) < 1e-9
