@@ -112,15 +112,14 @@ def block_table(docs: DataFrame, kind: Kind) -> DataFrame:
     return docs.select("id", "print", "text").mapInArrow(run, "id long, print long, seed long, start int, gap int, n int, whole long")
 
 
-def repeated_blocks(docs: DataFrame, kind: Kind, across: bool) -> DataFrame:
-    """The blocks of seeds that stand in two places, next to the first block of their seed.
+def repeated_blocks(table: DataFrame, across: bool) -> DataFrame:
+    """The blocks of a ``block_table`` whose seeds stand in two places, next to the first block of their seed.
 
     ``across``: the two places must be in documents of different ids. Adds ``first_id``,
     ``is_first``, ``same`` (equal to the first block), ``open`` (not all blocks of the
     seed are equal) and ``places`` (how many there are). The seed's figures are summed
     in parts before they meet, and joined back, so a frequent seed is one row on one side.
     """
-    table = block_table(docs, kind)
     seeds = table.groupBy("seed").agg(
         F.min(F.struct("id", "start", "gap", "n", "whole")).alias("one"),
         F.max("id").alias("last_id"),
@@ -132,7 +131,8 @@ def repeated_blocks(docs: DataFrame, kind: Kind, across: bool) -> DataFrame:
     seeds = durable(
         seeds.filter(F.col("one.id") < F.col("last_id") if across else F.col("places") > 1).select(
             "seed", "one", "places", (F.col("low") < F.col("high")).alias("open")
-        )
+        ),
+        last_use=True,
     )
     same = (F.col("gap") == F.col("one.gap")) & (F.col("n") == F.col("one.n")) & (F.col("whole") == F.col("one.whole"))
     return durable(
@@ -148,19 +148,19 @@ def repeated_blocks(docs: DataFrame, kind: Kind, across: bool) -> DataFrame:
             F.col("one.id").alias("first_id"),
             same.alias("same"),
             (same & (F.col("id") == F.col("one.id")) & (F.col("start") == F.col("one.start"))).alias("is_first"),
-        )
+        ),
+        last_use=True,
     )
 
 
-def with_blocks(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """``docs`` (id, print, text) that have rows in ``wanted``, with these in an array ``wanted``.
+def with_blocks(docs: DataFrame, wanted: DataFrame, *columns: str) -> DataFrame:
+    """``docs`` (id, print, text) that have rows in ``wanted``, with their ``columns`` in an array ``wanted``.
 
-    ``wanted`` has (id, print, start, places, is_first); a document's rows are no more
-    than its own blocks.
+    ``wanted`` has (id, print) too; a document's rows are no more than its own blocks.
     """
     listed = (
         wanted.groupBy(F.col("id").alias("id2"), F.col("print").alias("print2"))
-        .agg(F.collect_set(F.struct("start", "places", "is_first")).alias("wanted"))
+        .agg(F.collect_set(F.struct(*columns)).alias("wanted"))
     )
     return docs.join(listed, (F.col("id") == F.col("id2")) & (F.col("print") == F.col("print2"))).select("id", "print", "text", "wanted")
 

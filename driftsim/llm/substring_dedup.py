@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from driftsim.llm.blocks import Kind, blocks_of, counted, covered, pick, repeated_blocks, runs_by_document, spans, window_hashes, with_blocks, words
+from driftsim.llm.blocks import Kind, block_table, blocks_of, counted, covered, pick, repeated_blocks, runs_by_document, spans, window_hashes, with_blocks, words
 from driftsim.llm.text import NOT_BLANK, Words, column_at, find_words, slices, text_buffer
 from driftsim.session import durable
 
@@ -98,9 +98,9 @@ def duplicate_windows(docs: DataFrame) -> DataFrame:
     compared window by window; what the factors leave over at their borders is looked up
     by hash among all windows that were left over.
     """
-    table = repeated_blocks(docs, _KIND, across=True)
+    table = repeated_blocks(block_table(docs, _KIND), across=True)
     whole = table.filter("same and id > first_id").select("id", "print", "start", "n")
-    blocks = durable(_open_blocks(with_blocks(docs, table.filter("open and (is_first or not same)"))))
+    blocks = durable(_open_blocks(with_blocks(docs, table.filter("open and (is_first or not same)"), "start", "places", "is_first")))
     refs = durable(
         blocks.filter("is_first")
         .groupBy("seed")

@@ -9,7 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from driftsim.llm.blocks import Kind, blocks_of, bytes_, counted, covered, hashes_at, pick, repeated_blocks, runs_by_document, spans, with_blocks
+from driftsim.llm.blocks import Kind, block_table, bytes_, counted, covered, hashes_at, repeated_blocks, runs_by_document, spans, with_blocks
 from driftsim.llm.text import byte_values, column_at, slices, text_buffer
 from driftsim.session import durable
 
@@ -17,8 +17,10 @@ from driftsim.session import durable
 LENGTH, SEED = 200, 24
 #: Seeds with more places than this are no group of one task: their strings are counted one by one.
 SEED_PLACES = 64
-#: Bytes of the blocks that are sorted at once.
-SHARD_BYTES = 2 << 20
+#: Bytes of the blocks that are sorted at once: the sorter's arrays stay in a core's cache.
+SHARD_BYTES = 64 << 10
+#: Runs that are handed on at once.
+RUN_ROWS = 10_000
 _KIND = Kind(bytes_, LENGTH, SEED)
 
 
@@ -44,37 +46,46 @@ def _names(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return order, rank
 
 
-def suffix_array(symbols: np.ndarray) -> np.ndarray:
+def suffix_array(symbols: np.ndarray, step: int = 1) -> np.ndarray:
     """Suffix array of positive integers by the difference cover {1, 2} modulo 3.
 
     The triples at the sampled places are sorted and named. If names repeat, the sampled
     suffixes are sorted by recursion on the names. The other suffixes follow by their
-    first symbol and the rank behind it, and the two orders are merged.
+    first symbol and the rank behind it, and the two orders are merged. Small symbols are
+    taken by twos, six to a triple, and a name then spans two places of the next recursion,
+    whose triples have their symbols ``step`` places apart.
     """
     n = len(symbols)
     if n < 3:
         return np.array(sorted(range(n), key=lambda i: symbols[i:].tolist()), np.int64)
-    s = np.concatenate([symbols, np.zeros(3, np.int64)])
+    s = np.concatenate([symbols, np.zeros(3 * step + 6, np.int64)])
     # One more sampled place if n is 1 modulo 3, so that the two halves stay apart.
-    one = np.arange(1, n + (n % 3 == 1), 3)
-    two = np.arange(2, n, 3)
-    sampled = np.concatenate([one, two])
-    _, names = _names([s[sampled], s[sampled + 1], s[sampled + 2]])
-    if names.max() < len(names):
-        order = suffix_array(names)
+    ends = (n + (n % 3 == 1), n)
+    top = int(s.max()) + 2
+    small = step == 1 and top**6 < 1 << 62
+
+    def behind(depth: int) -> np.ndarray:
+        return np.concatenate([s[1 + depth : ends[0] + depth : 3], s[2 + depth : ends[1] + depth : 3]])
+
+    sampled = np.concatenate([np.arange(1, ends[0], 3), np.arange(2, ends[1], 3)])
+    if small:
+        pairs = s[:-1] * top + s[1:]
+        six = (pairs[:-4] * top**2 + pairs[2:-2]) * top**2 + pairs[4:]
+        order, names = _names([np.concatenate([six[1 : ends[0] : 3], six[2 : ends[1] : 3]])])
     else:
-        order = np.argsort(names)
+        order, names = _names([behind(0), behind(step), behind(2 * step)])
+    if names.max() < len(names):
+        order = suffix_array(names, 2 if small or step == 2 else 1)
     rank = np.zeros(n + 4, np.int64)
-    rank[sampled[order]] = np.arange(1, len(order) + 1)
     first = sampled[order]
+    rank[first] = np.arange(1, len(order) + 1)
     first = first[first < n]
-    zero = np.arange(0, n, 3)
-    zero = zero[_names([s[zero], rank[zero + 1]])[0]]
+    zero_order, _ = _names([s[0:n:3], rank[1 : n + 1 : 3]])
+    zero = zero_order * 3
     # How many sampled suffixes stand before each other one: those of 1 by (symbol, rank
     # behind), those of 2 by (symbol, symbol, rank behind).
     before = np.zeros(len(zero), np.int64)
     width = int(rank.max()) + 2
-    top = int(s.max()) + 2
     of_one, of_two = first[first % 3 == 1], first[first % 3 == 2]
     if top * width < 1 << 62 and top * top * width < 1 << 62:
         before += np.searchsorted(s[of_one] * width + rank[of_one + 1], s[zero] * width + rank[zero + 1])
@@ -127,7 +138,7 @@ def repeated_starts(texts: list[bytes], length: int = LENGTH) -> list[np.ndarray
     return [hit[e - s : e] for s, e in zip(size, ends, strict=True)]
 
 
-_CONTENT = "id long, print long, seed long, places long, is_first boolean, start int, gap int, n int, content binary"
+_CONTENT = "id long, print long, seed long, places long, is_first boolean, start int, n int, content binary"
 
 
 def _contents(docs: DataFrame) -> DataFrame:
@@ -136,20 +147,19 @@ def _contents(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
-                found = blocks_of(bytes_(part.column("text")), _KIND)
-                which, places, first = pick(found, part.column("wanted"))
-                raw = text_buffer(part.column("text"))[0].tobytes()
-                begin, n = found.base[which], found.n[which]
-                rows = pa.array(found.row[which])
+                data, starts, _ = text_buffer(part.column("text"))
+                raw, wanted = data.tobytes(), part.column("wanted")
+                flat = wanted.flatten()
+                row = np.repeat(np.arange(len(wanted)), np.diff(wanted.offsets.to_numpy()))
+                begin = starts[row] + flat.field("start").to_numpy()
+                end = begin + flat.field("n").to_numpy() - 1 + LENGTH
+                rows = pa.array(row)
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column("id").take(rows),
                         part.column("print").take(rows),
-                        pa.array(found.seed[which]),
-                        pa.array(places.astype(np.int64)),
-                        pa.array(first.astype(bool)),
-                        *(pa.array(x[which].astype(np.int32)) for x in (found.start, found.gap, found.n)),
-                        pa.array([raw[a : a + m - 1 + LENGTH] for a, m in zip(begin.tolist(), n.tolist(), strict=True)], pa.binary()),
+                        *(flat.field(c) for c in ("seed", "places", "is_first", "start", "n")),
+                        pa.array([raw[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)], pa.binary()),
                     ],
                     [f.split()[0] for f in _CONTENT.split(", ")],
                 )
@@ -160,26 +170,31 @@ def _contents(docs: DataFrame) -> DataFrame:
 def _sort_shards(blocks: DataFrame) -> DataFrame:
     """Runs of repeated windows in blocks dealt out and sorted by seed: a shard is some whole seeds."""
 
-    def shard(rows: list[tuple]) -> pa.RecordBatch:
-        out = []
-        if rows:
-            for (id_, print_, _, start, _), hit in zip(rows, repeated_starts([r[4] for r in rows]), strict=True):
-                for a, b in np.flatnonzero(np.diff(hit, prepend=False, append=False)).reshape(-1, 2).tolist():
-                    out.append((id_, print_, start + a, b - a))
-        columns = list(zip(*out, strict=True)) or [[]] * 4
+    def runs(found: list[tuple]) -> pa.RecordBatch:
+        columns = list(zip(*found, strict=True)) or [[]] * 4
         kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32())
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["id", "print", "start", "n"])
 
+    def shard(rows: list[tuple]) -> Iterator[tuple]:
+        for (id_, print_, _, start, _), hit in zip(rows, repeated_starts([r[4] for r in rows]), strict=True):
+            for a, b in np.flatnonzero(np.diff(hit, prepend=False, append=False)).reshape(-1, 2).tolist():
+                yield id_, print_, start + a, b - a
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, held = [], 0
+        rows, held, found = [], 0, []
         for batch in batches:
             for row in zip(*(batch.column(c).to_pylist() for c in ("id", "print", "seed", "start", "content")), strict=True):
                 if held > SHARD_BYTES and row[2] != rows[-1][2]:
-                    yield shard(rows)
+                    found += shard(rows)
                     rows, held = [], 0
+                    if len(found) >= RUN_ROWS:
+                        yield runs(found)
+                        found = []
                 rows.append(row)
                 held += len(row[4])
-        yield shard(rows)
+        if rows:
+            found += shard(rows)
+        yield runs(found)
 
     dealt = blocks.select("id", "print", "seed", "start", "content").repartition("seed").sortWithinPartitions("seed")
     return dealt.mapInArrow(run, "id long, print long, start int, n int")
@@ -215,14 +230,16 @@ def duplicate_strings(docs: DataFrame) -> DataFrame:
     difference cover and compared with their neighbours. A seed of very many places is
     no such group; its windows are counted one by one by their hashes, in parts.
     """
-    table = repeated_blocks(docs, _KIND, across=False)
+    table = repeated_blocks(block_table(docs, _KIND), across=False)
     known = table.filter("(not open) or (same and not is_first)").select("id", "print", "start", "n")
-    contents = durable(_contents(with_blocks(docs, table.filter("open and (is_first or not same)"))))
-    copied = durable(table.filter("open and same and not is_first").select("seed").distinct())
+    wanted = table.filter("open and (is_first or not same)")
+    contents = durable(_contents(with_blocks(docs, wanted, "seed", "start", "n", "places", "is_first")), last_use=True)
+    copied = durable(table.filter("open and same and not is_first").select("seed").distinct(), last_use=True)
     firsts = contents.filter("is_first").join(copied, "seed").select("id", "print", "start", "n")
     few = _sort_shards(contents.filter(F.col("places") <= SEED_PLACES))
     many = _windows(contents.filter(F.col("places") > SEED_PLACES))
-    twice = durable(many.groupBy("seed", "hash").agg(F.count("*").alias("times")).filter("times > 1").drop("times"))
+    times = many.groupBy("seed", "hash").agg(F.count("*").alias("times"))
+    twice = durable(times.filter("times > 1").drop("times"), last_use=True)
     counted = many.join(twice, ["seed", "hash"]).select("id", "print", "start", F.lit(1).alias("n"))
     return known.unionByName(firsts).unionByName(few).unionByName(counted)
 

@@ -108,6 +108,16 @@ def test_suffix_array(seed):
     assert suffix_dedup.suffix_array(symbols).tolist() == want
 
 
+def test_suffix_array_takes_few_recursions(monkeypatch):
+    """Names span twice as many places as the triples of plain recursion."""
+    rng, sort, sizes = random.Random(5), suffix_dedup.suffix_array, []
+    monkeypatch.setattr(suffix_dedup, "suffix_array", lambda symbols, *step: sizes.append(len(symbols)) or sort(symbols, *step))
+    text = rng.randbytes(350)
+    found = suffix_dedup.repeated_starts([text, rng.randbytes(350), text])
+    assert [int(hit.sum()) for hit in found] == [151, 0, 151]
+    assert len(sizes) <= 5
+
+
 def fingerprint(text):
     words = re.findall(rb"[^\x20\x09-\x0D]+", re.sub(rb"[A-Z]", lambda m: m[0].lower(), (text or "").encode()))
     if not words:
