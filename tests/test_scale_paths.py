@@ -8,6 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import Window as W, functions as F
 
+from checks.catalog import shaped
 from driftsim.operators import pairs, prepare, recommend, stats, trust
 from driftsim.operators.ordering import GroupSizes, group_sizes, positions
 from driftsim.schemas import RATINGS
@@ -216,3 +217,14 @@ def test_neighbours_in_passes(spark):
         got = [tuple(r) for r in in_passes.orderBy("item_id", "rank").collect()]
         assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
         assert max(abs(x[2] - y[2]) for x, y in zip(got, want, strict=True)) < 1e-9
+
+
+def test_whole_values_are_not_rounded(spark):
+    """Doubles come out rounded to 6 digits, and a decimal is made only of those that are not whole."""
+    values = [-1.0, 0.0, -0.0, 4.0, 1e15, 1e300, 0.1, -2.5000005, 1234567.1234565, 1e-7, -1e-7, float("inf"), float("-inf"), float("nan"), None]
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    got = shaped(df, "x:d")
+    plain = df.select((F.round("x", 6) + F.lit(0.0)).alias("x"))
+    assert [str(r.x) for r in got.collect()] == [str(r.x) for r in plain.collect()]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("round(") == plan.count("ELSE round(") == 1
