@@ -19,18 +19,20 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, StructField, StructType
 
 from driftsim.operators import increment
 from driftsim.operators.keys import lookup
 from driftsim.operators.pairs import ranked_list, unranked
 from driftsim.plans.bootstrap import Relations
-from driftsim.schemas import COUNTERS, LOGS, STATE
-from driftsim.session import LOCAL_ROWS, Held, among, held, hold, id_frame, is_local
+from driftsim.schemas import COUNTERS, LOGS, STATE, TRUST_STATE
+from driftsim.session import LOCAL_ROWS, SHUFFLE_CLEANUP_CONF, Held, among, durable, held, hold, id_frame, is_local
 from driftsim.sources import folders
 
 #: Seconds for which a replaced version stays, for readers that have opened it.
 KEEP_SECONDS = 600.0
+#: Where a base in lists lies, and the lookup keys that a file of it may have.
+PACKED, PART_KEYS = "packed", 8192
 #: Commits that stay readable.
 COMMITS = 3
 #: So many wanted keys also go to the scan as a filter, which skips row groups.
@@ -195,6 +197,29 @@ class StateStore:
         writer.parquet(path)
         return path
 
+    def _put_parts(self, version: int, name: str, parts: list[DataFrame]) -> None:
+        """The base of a relation too large to be shuffled, in lists as the tasks return them."""
+        path = f"{self.folder}/{name}/v={version}/{PACKED}"
+        by = self.layout[name][2]
+        before = self.spark.conf.get(SHUFFLE_CLEANUP_CONF)
+        try:
+            self.spark.conf.set(SHUFFLE_CLEANUP_CONF, "true")
+            for nth, rows in enumerate(parts):
+                rows = rows.select(*(F.col(f.name).cast(f.dataType) for f in self._packed(name)))
+                writer = rows.write.mode("append" if nth else "overwrite").option("compression", "zstd")
+                for column in by:
+                    # Many files, each of few keys: a filter of the usual size would be as large as the rows.
+                    writer = writer.option(f"parquet.bloom.filter.enabled#{column}", "true")
+                    writer = writer.option(f"parquet.bloom.filter.expected.ndv#{column}", str(PART_KEYS))
+                writer.parquet(path)
+        finally:
+            self.spark.conf.set(SHUFFLE_CLEANUP_CONF, before)
+
+    def _packed(self, name: str) -> StructType:
+        """Rows of a relation in lists: the lookup key once, and an array of each other column."""
+        schema, _, by = self.layout[name]
+        return StructType([f if f.name in by else StructField(f.name, ArrayType(f.dataType)) for f in schema.fields])
+
     def append_log(self, version: int, name: str, rows: DataFrame) -> None:
         rows.write.mode("overwrite").parquet(f"{self.folder}/log/part={name}/v={version}")
 
@@ -326,7 +351,7 @@ class StateStore:
 
     def _stored(self, name: str, head: Head, keep=(), narrow=lambda rows: rows) -> DataFrame:
         """A relation as of ``head``; ``keep`` filters the base's scan, ``narrow`` both parts."""
-        schema, key, _ = self.layout[name]
+        schema, key, by = self.layout[name]
         if not key:
             # Every version holds the whole list.
             if head.version != head.base:
@@ -340,8 +365,43 @@ class StateStore:
             return rows
         changed = narrow(self._changed_rows(name, head))
         gone = changed.select(*key)
+        touched = self._touched(name, head) if self._lists(name, head.base) is not None else None
+        if touched is not None:
+            # Few of the rows can have been replaced: only those with a lookup key that was
+            # changed meet the changed keys, and the base is not shuffled.
+            kept = rows.join(touched, list(by), "left_semi").join(gone, list(key), "left_anti").select(*schema.names)
+            rows = rows.join(touched, list(by), "left_anti").select(*schema.names).unionByName(kept)
+            return rows.unionByName(changed.select(*schema.names))
         return rows.join(gone, list(key), "left_anti").select(*schema.names).unionByName(changed.select(*schema.names))
 
+    def _touched(self, name: str, head: Head) -> DataFrame | None:
+        """The lookup keys of all changed rows, to be broadcast; None if so few rows are changed or so many keys."""
+        if self._is_small(head):
+            return None
+        touched = durable(self._changed_rows(name, head).select(*self.layout[name][2]).distinct())
+        return F.broadcast(touched) if touched.count() <= LOCAL_ROWS else None
+
+    def lists_and_rows(self, name: str) -> tuple[DataFrame | None, DataFrame]:
+        """A relation as of the last commit: those of its lists in which no row was changed, and all other rows.
+
+        Without lists, or if many were changed, all are rows.
+        """
+        head = self._head()
+        lists, (schema, key, by) = self._lists(name, head.base), self.layout[name]
+        if lists is None:
+            return None, self.read(name)
+        if not head.changes:
+            return lists, self.spark.createDataFrame([], schema)
+        changed = self._changed_rows(name, head).select(*schema.names)
+        touched = self._touched(name, head)
+        if touched is None:
+            if not self._is_small(head):
+                return None, self.read(name)
+            touched = F.broadcast(changed.select(*by).distinct())
+        rest = _unpacked(lists.join(touched, list(by), "left_semi").select(*schema.names), by)
+        rest = rest.join(changed.select(*key), list(key), "left_anti").select(*schema.names)
+        return lists.join(touched, list(by), "left_anti").select(*schema.names), rest.unionByName(changed)
+
     def _base(self, name: str, version: int) -> DataFrame:
         """The base of a relation, which never changes: its files are listed once."""
         if (name, version) not in self._bases:
@@ -350,9 +410,21 @@ class StateStore:
             if name in COUNTERS and not folders.exists(self.spark, path):
                 return self.spark.createDataFrame([], schema)
             self._bases = {k: v for k, v in self._bases.items() if k[1] == version}
-            self._bases[name, version] = self.spark.read.schema(schema).parquet(path)
+            lists = self._lists(name, version)
+            if lists is None:
+                self._bases[name, version] = self.spark.read.schema(schema).parquet(path)
+            else:
+                # Not in buckets.
+                self._bases[name, version] = _unpacked(lists, self.layout[name][2]).withColumn("bucket", F.lit(_NONE))
         return self._bases[name, version]
 
+    def _lists(self, name: str, version: int) -> DataFrame | None:
+        """The base of a relation as it lies in lists, if it does."""
+        path = f"{self.folder}/{name}/v={version}/{PACKED}"
+        if self.layout is not TRUST_STATE or not folders.exists(self.spark, path):
+            return None
+        return self.spark.read.schema(self._packed(name)).parquet(path)
+
     def _is_small(self, head: Head) -> bool:
         return sum(rows for _, rows in head.changes) <= LOCAL_ROWS
 
@@ -418,12 +490,19 @@ class StateStore:
         self.commit(0, 0)
         return replace(found, recommendations=recommendations)
 
-    def start(self, relations: dict[str, DataFrame]) -> None:
-        """Store all relations of the layout as version 0. Fails if the folder holds a state already."""
+    def start(self, relations: dict[str, DataFrame | list[DataFrame]]) -> None:
+        """Store all relations of the layout as version 0. Fails if the folder holds a state already.
+
+        A relation may come in parts of lists (a lookup key, and arrays of the other columns),
+        which are written one after another.
+        """
         if self.last() is not None:
             raise FileExistsError(f"{self.folder} holds a state already")
         for name in self.layout:
-            self.write(0, name, relations[name], base=True)
+            if isinstance(relations[name], list):
+                self._put_parts(0, name, relations[name])
+            else:
+                self.write(0, name, relations[name], base=True)
         self.commit(0, 0)
 
     def compact(self) -> None:
@@ -469,6 +548,11 @@ def tagged_union(parts: dict[str, DataFrame]) -> DataFrame:
     return found
 
 
+def _unpacked(lists: DataFrame, by: tuple) -> DataFrame:
+    """Lists of a relation as its rows."""
+    return lists.select(*by, F.inline(F.arrays_zip(*(c for c in lists.columns if c not in by))))
+
+
 def _flat(name: str, rows: DataFrame) -> DataFrame:
     if name in _LISTS:
         key, _ = _LISTS[name]
