@@ -3,6 +3,7 @@
 from pyspark.sql import Column, DataFrame, functions as F
 
 from driftsim.functions.scoring import clamp, pair_similarity, rank_key
+from driftsim.operators.item_lists import neighbor_lists
 from driftsim.operators.ordering import GROUP_ROWS, GroupSizes, group_sizes, positions, top_per_key
 from driftsim.session import durable
 
@@ -12,6 +13,8 @@ CELL_ROWS = 4096
 PAIR_ROWS = 4_000_000
 # Pairs whose sums one pass leaves on disk; the rows of a shuffle of pairs hardly collapse before it.
 PASS_PAIRS = 50_000_000
+# Pairs for each two items up to which hardly any is met again in the task that makes it.
+REPEATS = 8
 # Rows that a row meets on average, from which on a pair join hashes one side.
 HASHED = 8
 
@@ -117,12 +120,19 @@ def nearest_items(
 
     More than ``pass_pairs`` pairs are made in passes by their smaller item. Each pair
     falls to one pass, whole, so the best k of every pass hold the best k of all; a pass
-    leaves these lists only, and what it shuffled is deleted when they are written.
+    leaves these lists only, and what it shuffled is deleted when they are written. Where
+    there are so many items that pairs hardly repeat, whole lists of users make the pairs
+    (``item_lists``), in passes of as many pairs as there are ratings or more.
     """
-    passes = max(1, -(-round(sizes.squares / 2) // pass_pairs))
+    pairs = sizes.squares / 2
+    passes = max(1, -(-round(pairs) // pass_pairs))
     if passes == 1:
         return topk_neighbors(mirror_pairs(pair_similarities(weighted, info, sizes, cell_rows)), k)
     rows = durable(unit_ratings(weighted, info).select("user_id", "item_id", "v"), last_use=True)
+    if info.count() ** 2 / 2 * REPEATS >= pairs:
+        known = rows.filter("user_id is not null and item_id is not null")
+        if known.filter("v is null or isnan(v)").isEmpty():
+            return neighbor_lists(known, k, pairs, max(pass_pairs, sizes.rows), sizes.largest, cell_rows)
     found = None
     for nth in range(passes):
         sims = _unit_similarities(rows, sizes, cell_rows, passes, nth)

@@ -5,11 +5,13 @@ import time
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 import pytest
 from pyspark.sql import Window as W, functions as F
 
 from checks.catalog import shaped
-from driftsim.operators import pairs, prepare, recommend, stats, trust
+from driftsim.operators import item_lists, pairs, prepare, recommend, stats, trust
 from driftsim.operators.ordering import GroupSizes, group_sizes, positions
 from driftsim.schemas import RATINGS
 from driftsim.session import durable
@@ -219,6 +221,50 @@ def test_neighbours_in_passes(spark):
         assert max(abs(x[2] - y[2]) for x, y in zip(got, want, strict=True)) < 1e-9
 
 
+@pytest.mark.parametrize("list_rows", [pairs.CELL_ROWS, 7])
+def test_neighbours_out_of_user_lists(spark, monkeypatch, list_rows):
+    """Where pairs hardly repeat, no sum of a pair is shuffled; the lists are those of the pair join."""
+    rows = spark.range(900).selectExpr("id % 40 as user_id", "pmod(hash(id), 300) - 50 as item_id", "pmod(hash(id, 1), 9) - 4.0 as x")
+    weighted = durable(rows.groupBy("user_id", F.col("item_id").cast("long")).agg(F.min("x").cast("double").alias("x"), F.lit(0.1).alias("we")))
+    info = durable(stats.item_info(weighted))
+    sizes = group_sizes(weighted, ["user_id"])
+    want = [tuple(r) for r in pairs.nearest_items(weighted, info, 5, sizes).orderBy("item_id", "rank").collect()]
+    monkeypatch.setattr(pairs, "pairs_within", None)
+    # A pass takes as many pairs as there are ratings.
+    found = pairs.nearest_items(weighted, info, 5, sizes, pass_pairs=100, cell_rows=list_rows)
+    got = [tuple(r) for r in found.orderBy("item_id", "rank").collect()]
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert max(abs(x[2] - y[2]) for x, y in zip(got, want, strict=True)) < 1e-9
+    assert found.schema["rank"].dataType.simpleString() == "int"
+
+
+def test_products_are_summed_in_any_pieces(monkeypatch):
+    """Sums of a part, with few products kept at once and with items that do not fit a packed key."""
+    rng = np.random.default_rng(2)
+    for shift in (0, -9, 1 << 62):
+        lists = [[(int(i) + shift, float(rng.integers(-3, 4))) for i in rng.choice(12, 6, replace=False)] for _ in range(30)]
+        kind = pa.list_(pa.struct([("item_id", pa.int64()), ("v", pa.float64())]))
+        entries = [[{"item_id": i, "v": v} for i, v in own] for own in lists]
+        batches = [pa.record_batch([pa.array(entries[a : a + 4], kind), pa.nulls(len(entries[a : a + 4]), kind)], ["rated", "others"]) for a in range(0, 30, 4)]
+        want = {}
+        for own in lists:
+            for i, v in own:
+                for j, w in own:
+                    if i != j:
+                        want[i, j] = want.get((i, j), 0.0) + v * w
+        best = {i: sorted((-min(1.0, max(-1.0, s)), j) for (a, j), s in want.items() if a == i)[:3] for i, _ in want}
+        for chunk in (1, 50, 1 << 21):
+            monkeypatch.setattr(item_lists, "CHUNK_PRODUCTS", chunk)
+            found = {}
+            for nth in range(2):
+                dealt = list(item_lists._dealt(iter(batches), nth, 2, 3))
+                for part in range(3):
+                    mine = [b.filter(pa.compute.equal(b.column("part"), part)) for b in dealt]
+                    for item, other, sim, rank in zip(*(c.to_pylist() for c in item_lists._ranked(iter(mine), 3).columns)) if mine else ():
+                        found.setdefault(item, []).append((rank, -sim, other))
+            assert {i: [x[1:] for x in sorted(rows)] for i, rows in found.items()} == best
+
+
 def test_whole_values_are_not_rounded(spark):
     """Doubles come out rounded to 6 digits, and a decimal is made only of those that are not whole."""
     values = [-1.0, 0.0, -0.0, 4.0, 1e15, 1e300, 0.1, -2.5000005, 1234567.1234565, 1e-7, -1e-7, float("inf"), float("-inf"), float("nan"), None]
